@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import lsm_dedup, mixing, packing
+from lodestack.llm import lsm_dedup, mixing, outliers, packing, simhash
 from lodestack.llm.common import documents
 
 
-def _tokenizer_path() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality_rules(documents(spark, sf_dir))
+
+
 def op2_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -25,11 +29,21 @@ def op3_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), _tokenizer_path())
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
+def op8_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_lsm_exact_dedup, op3_water_filling_mix, op4_tier_packing)
+    f.__name__: f for f in (op1_mcd_quality_rules, op2_lsm_exact_dedup, op3_water_filling_mix, op4_tier_packing, op8_simhash_bk_trees, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
