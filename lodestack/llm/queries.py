@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import lsm_dedup, mixing, outliers, packing, simhash
+from lodestack.llm import lsm_dedup, mixing, outliers, packing, secrets, simhash
 from lodestack.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
 def op8_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -43,7 +47,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mcd_quality_rules, op2_lsm_exact_dedup, op3_water_filling_mix, op4_tier_packing, op8_simhash_bk_trees, pipeline)
+    f.__name__: f for f in (op1_mcd_quality_rules, op2_lsm_exact_dedup, op3_water_filling_mix, op4_tier_packing, op7_secret_battery, op8_simhash_bk_trees, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
