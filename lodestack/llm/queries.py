@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import lsm_dedup, mixing, outliers, packing, secrets, simhash
+from lodestack.llm import lsm_dedup, mil_quality, mixing, outliers, packing, secrets, simhash, toxicity, url_filter
 from lodestack.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op6_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
@@ -40,6 +44,14 @@ def op8_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -47,7 +59,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mcd_quality_rules, op2_lsm_exact_dedup, op3_water_filling_mix, op4_tier_packing, op7_secret_battery, op8_simhash_bk_trees, pipeline)
+    f.__name__: f
+    for f in (
+        op1_mcd_quality_rules,
+        op2_lsm_exact_dedup,
+        op3_water_filling_mix,
+        op4_tier_packing,
+        op6_boosted_toxicity,
+        op7_secret_battery,
+        op8_simhash_bk_trees,
+        op9_attention_mil_quality,
+        op10_url_rules,
+        pipeline,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
