@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import lsm_dedup, mil_quality, mixing, outliers, packing, secrets, simhash, toxicity, url_filter
+from lodestack.llm import fm_index, lsm_dedup, mil_quality, mixing, outliers, packing, secrets, simhash, toxicity, url_filter
 from lodestack.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op5_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+
+
 def op6_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_lsm_exact_dedup,
         op3_water_filling_mix,
         op4_tier_packing,
+        op5_fm_index_substrings,
         op6_boosted_toxicity,
         op7_secret_battery,
         op8_simhash_bk_trees,
