@@ -43,6 +43,8 @@ SHARD_WORDS = 600_000
 FREQUENT = 2_000
 SEGMENT_WINDOWS = 64
 BITMAP_BITS = (1 << 16, 1 << 28)
+#: 64-bit words of a bitmap that come to the driver as one row
+CHUNK_WORDS = 1 << 12
 _WORDS_KNOWN = 1_000_000
 
 
@@ -146,14 +148,26 @@ def minimizers(docs: DataFrame) -> DataFrame:
 
 
 def bitmaps(counted: DataFrame, bits: int) -> np.ndarray:
-    """Two rows of packed 64-bit words: minimizers of several documents, and frequent ones. The size is fixed by `bits`."""
+    """Two rows of packed 64-bit words: minimizers of several documents, and frequent ones. The size is fixed by `bits`.
+
+    Words are put together by tasks, so the driver gets bits / 4 bytes in few rows, whatever the number of minimizers.
+    """
     place = F.pmod("v", F.lit(bits))
     one = F.expr("shiftleft(1L, CAST(pmod(v, 64) AS INT))")
     words = counted.groupBy((F.shiftright(place, 6)).cast("int").alias("w")).agg(F.bit_or(one).alias("some"), F.bit_or(F.when(F.col("n") > FREQUENT, one).otherwise(F.lit(0))).alias("often"))
-    out = np.zeros((2, bits >> 6), np.int64)
-    got = words.toPandas()
-    out[0, got["w"]], out[1, got["w"]] = got["some"], got["often"]
-    return out.view(np.uint64)
+    side = CHUNK_WORDS
+
+    def pack(table: pa.Table) -> pa.Table:
+        table, out = table.combine_chunks(), np.zeros((2, side), np.int64)
+        at = table["w"].to_numpy() % side
+        out[0, at], out[1, at] = table["some"].to_numpy(), table["often"].to_numpy()
+        return pa.table({"chunk": pa.array([int(table["w"][0].as_py()) // side], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    chunks = words.groupBy(F.floor(F.col("w") / side).alias("c")).applyInArrow(pack, "chunk int, bits binary").toArrow()
+    out = np.zeros((2, max(side, bits >> 6)), np.int64)
+    for chunk, raw in zip(chunks["chunk"].to_pylist(), chunks["bits"], strict=True):
+        out[:, chunk * side : (chunk + 1) * side] = np.frombuffer(raw.as_py(), np.int64).reshape(2, side)
+    return out[:, : bits >> 6].view(np.uint64)
 
 
 def _has(bitmap: np.ndarray, v: np.ndarray) -> np.ndarray:
