@@ -33,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 TIERS = (1024, 512, 256, 128)
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 STEP_TOKENS = 8 * 1024
 END_ID = 0
 #: Pieces of text whose ids a worker remembers; about 150 bytes each.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 200_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, step_group long"
 #: How the byte-level vocabulary parts text before it merges bytes (fixed value of the vocabulary).
@@ -205,9 +205,9 @@ def pack_batches(batches: Iterable[pa.RecordBatch], cache: TokenCache, partition
 
     for batch in batches:
         ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-        for i in range(0, len(ids_of), 1024):
-            some = [t or "" for t in texts.slice(i, 1024).to_pylist()]
-            for doc_id, ids in zip(ids_of[i : i + 1024], cache.encode(some), strict=True):
+        for i in range(0, len(ids_of), 512):
+            some = [t or "" for t in texts.slice(i, 512).to_pylist()]
+            for doc_id, ids in zip(ids_of[i : i + 512], cache.encode(some), strict=True):
                 held[number] = (doc_id, ids + end)
                 packer.route(number, len(ids) // 4 + 1)
                 tokens, number = tokens + len(ids) // 4 + 1, number + 1
