@@ -5,17 +5,17 @@ in a document with a smaller identifier; windows are judged on the input, not on
 
 Sharding. Each window belongs to the least hash (minimizer) among its runs of GRAM words, so equal windows belong together
 wherever they stand. Neighbouring windows with one minimizer form a segment, about half a dozen windows long. Pass one counts
-minimizers; those of one document only cannot hold a repeated window. What passes is kept in two bitmaps of a fixed size: minimizers of
-two documents or more, and very frequent ones, whose windows become segments of their own and are dealt by the
-hash of the whole window, so that no shard is hot. A false bit costs work, never a result. Pass two cuts the segments; equal
-segments are joined on the map side first, so a passage of a third of all documents is one row per task.
+the documents of each minimizer; a minimizer of one document holds no repeated window. Those of two documents or more pass as
+a bitmap of a fixed size, in which a false bit costs work, never a result. Pass two cuts the segments and deals them
+to shards by minimizer. Minimizers of very many documents (a second bitmap) would make hot shards: their windows are
+told apart one by one by the digest of the whole window, with the least identifier found by a map-side aggregation, however many
+documents share them.
 
 In a shard. The distinct segments are the text of an FM-index: suffixes are sorted by prefix doubling as far as a window
 reaches, and the Burrows-Wheeler transform is a wavelet tree (by levels) of packed bits with block counts. The segments
 are streamed through it: backward search from every position gives matching statistics up to the window
-length, and where they reach it the suffix interval gives the least identifier that has the window.
-
-Results join back to the segments' places by a 128-bit digest, and to the texts by identifier.
+length (a search whose interval holds one suffix has only found itself and ends), and where they reach it the suffix
+interval gives the least identifier that has the window. The shard returns the intervals of each document.
 
 Defined results: null and empty texts have no words; documents shorter than a window lose nothing; a null doc_id is neither smaller nor
 greater than any; rows that repeat a doc_id are one document to each other (its windows do not remove its own) and each row is cut by
@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import staged
+from lodestack.llm.common import maybe_broadcast, staged
 
 WINDOW = 13
 GRAM = 5
@@ -45,54 +45,73 @@ SEGMENT_WINDOWS = 64
 BITMAP_BITS = (1 << 16, 1 << 28)
 #: 64-bit words of a bitmap that come to the driver as one row
 CHUNK_WORDS = 1 << 12
-_WORDS_KNOWN = 1_000_000
+#: documents with something to remove that are broadcast; if there are more, texts are shuffled to them
+BROADCAST_FOUND = 150_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that scatters them."""
     x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = x ^ (x >> np.uint64(29))
-    return x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x
 
 
 def _roll(h: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of `size` values; the last size - 1 places hold no whole run."""
     out = h.copy()
     for k in range(1, size):
-        out[:-k] = out[:-k] * np.uint64(0x100000001B3) + h[k:]
+        out[:-k] *= np.uint64(0x100000001B3)
+        out[:-k] += h[k:]
     return _mix(out)
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered."""
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\x0b\x0c\r")] = True
+_BASE = 0x9E6C63D0876A9A35  # odd, so it has an inverse modulo 2**64
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
+class _Powers:
+    """Powers of the hash base and of its inverse, grown as needed."""
 
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > _WORDS_KNOWN:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = digest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    up, down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(n, 2 * len(cls.up))
+            back = pow(_BASE, -1, 1 << 64)
+            cls.up = np.multiply.accumulate(np.append(np.uint64(1), np.full(size, _BASE, np.uint64)))
+            cls.down = np.multiply.accumulate(np.append(np.uint64(1), np.full(size, back, np.uint64)))
+        return cls.up, cls.down
 
 
 class Minimizers:
-    """Windows of many documents at once: words, where documents start, and each window's minimizer."""
-
-    def __init__(self, texts: list[str | None], hashes: WordHashes):
-        lists = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        self.sizes = np.array([len(x) for x in lists], np.int64)
-        self.words = [w for x in lists for w in x]
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.doc = np.repeat(np.arange(len(lists)), self.sizes)
-        self.h = hashes.of(self.words)
-        n = len(self.words)
-        self.whole = np.arange(n) + WINDOW <= (self.starts + self.sizes)[self.doc] if n else np.zeros(0, bool)
+    """Windows of many documents at once: where words and documents start, and each window's minimizer.
+
+    A word's hash is a polynomial in its bytes, from running sums over the whole buffer.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        raws = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        self.data = b"\n".join(raws) + b"\n"
+        buf = np.frombuffer(self.data, np.uint8)
+        space = _SPACE[buf]
+        edge = np.flatnonzero(np.diff(space, prepend=True))
+        self.first, self.last = edge[::2], edge[1::2]  # a word's bytes; the buffer ends in white space
+        n = len(self.first)
+        up, down = _Powers.of(len(buf))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(7)) * up[: len(buf)])])
+        self.h = _mix((sums[self.last] - sums[self.first]) * down[self.first])
+        bounds = np.cumsum([len(r) + 1 for r in raws])
+        upto = np.searchsorted(self.first, bounds)
+        self.sizes = np.diff(upto, prepend=0)
+        self.starts = upto - self.sizes
+        self.doc = np.repeat(np.arange(len(raws), dtype=np.int32), self.sizes)
+        self.whole = np.zeros(n, bool)
+        if n >= WINDOW:
+            self.whole[: n - WINDOW + 1] = self.doc[: n - WINDOW + 1] == self.doc[WINDOW - 1 :]
         least, span = _roll(self.h, GRAM), 1
         grams = WINDOW - GRAM + 1
         while span < grams:  # the least of `span` runs, doubled until a window's runs are covered
@@ -108,43 +127,46 @@ class Minimizers:
             return at, at, np.zeros(0, np.uint64)
         v = self.least[at]
         new = np.ones(len(at), bool)
-        new[1:] = (v[1:] != v[:-1]) | (at[1:] != at[:-1] + 1) | (self.doc[at[1:]] != self.doc[at[:-1]])
+        new[1:] = (v[1:] != v[:-1]) | (at[1:] != at[:-1] + 1)  # between documents places are left out
         run = np.flatnonzero(new)
-        # runs of one minimizer that go on for long are cut
-        nth = np.arange(len(at)) - run[np.cumsum(new) - 1]
-        first = np.flatnonzero(nth % SEGMENT_WINDOWS == 0)
-        return at[first], np.diff(np.append(first, len(at))), v[first]
+        size = np.diff(np.append(run, len(at)))
+        if size.max() > SEGMENT_WINDOWS:  # runs of one minimizer that go on for long are cut
+            nth = np.arange(len(at)) - np.repeat(run, size)
+            run = np.flatnonzero(nth % SEGMENT_WINDOWS == 0)
+            size = np.diff(np.append(run, len(at)))
+        return at[run], size, v[run]
 
+    def cut(self, first: np.ndarray, windows: np.ndarray) -> list[bytes]:
+        """The words of segments, joined by one blank."""
+        data = self.data
+        a, z = self.first[first].tolist(), self.last[first + windows + (WINDOW - 2)].tolist()
+        return [b" ".join(data[x:y].split()) for x, y in zip(a, z, strict=True)]
 
-def _chunks(batch: pa.RecordBatch, size: int = 400) -> Iterator[pa.RecordBatch]:
+
+def _chunks(batch: pa.RecordBatch, size: int = 256) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, size):
         yield batch.slice(i, size)
 
 
 def minimizers(docs: DataFrame) -> DataFrame:
-    """v, lo, hi, n: a minimizer, the least and greatest identifier that have it, and how many documents, summed up per batch."""
+    """v, n: a minimizer and how many documents of a batch have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            vs, ds = [], []
             for b in _chunks(batch):
-                m = Minimizers(b.column(1).to_pylist(), hashes)
+                m = Minimizers(b.column(1).to_pylist())
                 first, _, v = m.segments()
-                vs.append(v)
-                ds.append(b.column(0).to_numpy(zero_copy_only=False)[m.doc[first]])
-            v, d = np.concatenate(vs), np.concatenate(ds).astype(np.int64)
-            order = np.lexsort((d, v))
-            v, d = v[order], d[order]
-            once = np.ones(len(v), bool)
-            once[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
-            v, d = v[once], d[once]
-            start = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
-            size = np.diff(np.append(start, len(v)))
-            cols = (v[start].view(np.int64), d[start], d[start + size - 1], size)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["v", "lo", "hi", "n"])
-
-    return docs.mapInArrow(run, "v long, lo long, hi long, n long")
+                d = b.column(0).to_numpy(zero_copy_only=False)[m.doc[first]]
+                order = np.lexsort((d, v))
+                v, d = v[order], d[order]
+                once = np.ones(len(v), bool)
+                once[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
+                v = v[once]
+                start = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+                n = np.diff(np.append(start, len(v)))
+                yield pa.RecordBatch.from_arrays([pa.array(v[start].view(np.int64)), pa.array(n, pa.int64())], names=["v", "n"])
+
+    return docs.mapInArrow(run, "v long, n long")
 
 
 def bitmaps(counted: DataFrame, bits: int) -> np.ndarray:
@@ -175,64 +197,74 @@ def _has(bitmap: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (v & np.uint64(63))) & np.uint64(1) == 1
 
 
-PLACES = "doc_id long, text_key long, start int, windows int, deal long, digest binary, segment binary"
+PLACES = "doc_id long, text_key long, start int, windows int, deal long, segment binary, digest binary"
 
 
 def places(docs: DataFrame, shared) -> DataFrame:
-    """Every segment that may hold a repeated window, with its place; `shared` is the broadcast bitmaps."""
+    """Every segment that may hold a repeated window, with its place; `shared` is the broadcast bitmaps.
+
+    A window of a frequent minimizer comes by itself, with its digest in place of its words.
+    """
+    names = [x.split()[0] for x in PLACES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes, (some, often) = WordHashes(), shared.value
+        some, often = shared.value
         for batch in batches:
             for b in _chunks(batch):
-                m = Minimizers(b.column(1).to_pylist(), hashes)
+                m = Minimizers(b.column(1).to_pylist())
                 first, size, v = m.segments()
                 keep = _has(some, v)
                 first, size, v = first[keep], size[keep], v[keep]
                 hot = _has(often, v)
-                # windows of frequent minimizers one by one, dealt by the whole window
                 each = np.repeat(first[hot], size[hot]) + (np.arange(size[hot].sum()) - np.repeat(np.cumsum(size[hot]) - size[hot], size[hot]))
-                deal = np.concatenate([v[~hot], _roll(m.h, WINDOW)[each]])
-                first, size = np.concatenate([first[~hot], each]), np.concatenate([size[~hot], np.ones(len(each), np.int64)])
-                words = m.words
-                cut = [b" ".join(words[a:z]) for a, z in zip(first.tolist(), (first + size + WINDOW - 1).tolist(), strict=True)]
-                doc = m.doc[first]
+                first, size, v = first[~hot], size[~hot], v[~hot]
+                words = m.cut(first, size)
+                digests = [xxhash.xxh3_128_digest(w) for w in m.cut(each, np.ones(len(each), np.int64))]
+                at = np.concatenate([first, each])
+                doc = m.doc[at]
                 ids, keys = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)[doc] for i in (0, 2))
-                start = (first - m.starts[doc]).astype(np.int32)
-                digests = [xxhash.xxh3_128_digest(c) for c in cut]
-                cols = [pa.array(ids), pa.array(keys), pa.array(start), pa.array(size.astype(np.int32)), pa.array(_mix(deal).view(np.int64)), pa.array(digests, pa.binary()), pa.array(cut, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in PLACES.split(", ")])
+                windows = np.concatenate([size, np.ones(len(each), np.int64)]).astype(np.int32)
+                deal = np.concatenate([_mix(v), np.zeros(len(each), np.uint64)]).view(np.int64)
+                none = [None] * max(len(words), len(digests))
+                cols = [pa.array(ids), pa.array(keys), pa.array((at - m.starts[doc]).astype(np.int32)), pa.array(windows), pa.array(deal)]
+                cols += [pa.array(words + none[: len(digests)], pa.binary()), pa.array(none[: len(words)] + digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.mapInArrow(run, PLACES)
 
 
 class WaveletTree:
-    """Rank over a sequence of symbols: one level per bit, packed in 64-bit words with counts before each word."""
+    """Rank over a sequence of symbols: one level per bit, packed in 32-bit words with counts before each word."""
 
     def __init__(self, symbols: np.ndarray, bits: int):
         self.levels = []
-        now = symbols
+        now, every = symbols, np.arange(1 << bits, dtype=np.int32)
+        self.start = np.zeros(1 << bits, np.int32)  # where a symbol's own run starts below the last level
         for level in range(bits - 1, -1, -1):
-            bit = (now >> level) & 1
-            ones = bit.astype(bool)
-            packed = np.packbits(np.append(ones, np.zeros(-len(ones) % 64 + 64, bool)), bitorder="little").view(np.uint64)
+            ones = ((now >> level) & 1).astype(bool)
+            packed = np.packbits(np.append(ones, np.zeros(-len(ones) % 32 + 32, bool)), bitorder="little").view(np.uint32)
             before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]]).astype(np.int32)
-            zeros = int(len(now) - bit.sum())
+            zeros = np.int32(len(now) - ones.sum())
             self.levels.append((level, packed, before, zeros))
+            self.start = self._down(self.levels[-1], every, self.start)
             now = np.concatenate([now[~ones], now[ones]])
 
+    @staticmethod
+    def _down(level: tuple, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        bit, packed, before, zeros = level
+        word = at >> 5
+        below = packed[word] & ((np.uint32(1) << (at & 31).astype(np.uint32)) - np.uint32(1))
+        ones = before[word] + np.bitwise_count(below)
+        return np.where((symbol >> bit) & 1, zeros + ones, at - ones)
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol stands before each place (counted from the start of the symbol's own run of equals)."""
-        low = np.zeros_like(at)
-        for level, packed, before, zeros in self.levels:
-            one = ((symbol >> level) & 1).astype(bool)
-            for p in (at, low):
-                word = p >> 6
-                ones = before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (p & 63).astype(np.uint64)) - np.uint64(1)))
-                p[:] = np.where(one, zeros + ones, p - ones)
-        return at - low
+        """How often each symbol stands before each place."""
+        start = self.start[symbol]
+        for level in self.levels:
+            at = self._down(level, symbol, at)
+        return at - start
 
 
 class FMIndex:
@@ -252,9 +284,8 @@ class FMIndex:
             if span >= reach or rank[order[-1]] == n - 1:
                 break
         self.suffixes = order
-        transform = text[order - 1]
-        self.tree = WaveletTree(transform, max(1, int(text.max(initial=1)).bit_length()))
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max(initial=0)) + 2))])
+        self.tree = WaveletTree(text[order - 1], max(1, int(text.max(initial=1)).bit_length()))
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max(initial=0)) + 2))]).astype(np.int32)
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step for many intervals at once."""
@@ -262,61 +293,78 @@ class FMIndex:
         start = self.before[symbol]
         return start + both[: len(low)], start + both[len(low) :]
 
-    def matching_statistics(self, stream: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each end place in `stream`: the longest match to its left (up to `limit`), and its suffix interval."""
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.text), np.int64)
-        length, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
+    def matching_statistics(self, stream: np.ndarray, ends: np.ndarray, limit: int, alone: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each end place in `stream`: the longest match to its left (up to `limit`), and its suffix interval.
+
+        A search stops early once its interval has at most `alone` suffixes.
+        """
+        low, high = np.zeros(len(ends), np.int32), np.full(len(ends), len(self.text), np.int32)
+        length, live = np.zeros(len(ends), np.int32), np.arange(len(ends))
         for k in range(limit):
             at = ends[live] - k
-            live, at = live[at >= 0], at[at >= 0]
-            known = stream[at] > 0
-            live, at = live[known], at[known]
-            lo, hi = self.extend(stream[at], low[live], high[live])
+            known = (at >= 0) & (stream[at] > 0)
+            live, symbol = live[known], stream[at[known]]
+            lo, hi = self.extend(symbol, low[live], high[live])
             found = hi > lo
             live, lo, hi = live[found], lo[found], hi[found]
             low[live], high[live], length[live] = lo, hi, k + 1
+            live = live[hi - lo > alone]
         return length, low, high
 
 
 def shard_flags(segments: pa.Array, ids: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of the segments, in order: is it also in a segment with a smaller identifier? And windows per segment."""
+    """For every window of the distinct segments, in order: is it also in a segment with a smaller identifier? And windows per segment."""
     coded = pc.split_pattern(segments.cast(pa.large_string()), " ")
     sizes = np.diff(coded.offsets.to_numpy())
-    symbols = coded.values.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    symbols = coded.values.dictionary_encode().indices.to_numpy().astype(np.int32) + 1
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    text = np.zeros(len(symbols) + len(sizes), np.int64)
+    text = np.zeros(len(symbols) + len(sizes), np.int32)
     text[np.arange(len(symbols)) + owner] = symbols
     of = np.repeat(np.arange(len(sizes)), sizes + 1)
     index = FMIndex(text, window)
     first = np.cumsum(sizes + 1) - (sizes + 1)
     n_windows = sizes - window + 1
     ends = np.repeat(first + window - 1 - (np.cumsum(n_windows) - n_windows), n_windows) + np.arange(n_windows.sum())
-    length, low, high = index.matching_statistics(text, ends, window)
-    if not (length == window).all():
-        raise RuntimeError("a window was not found in the index that holds it")
-    by_suffix = np.append(ids[of[index.suffixes]], np.iinfo(np.int64).max)
-    starts, back = np.unique(low, return_inverse=True)
-    stops = np.empty(len(starts), np.int64)
-    stops[back] = high
-    least = np.minimum.reduceat(by_suffix, np.column_stack([starts, stops]).ravel())[::2]
-    return least[back] < np.repeat(ids, n_windows), n_windows
+    length, low, high = index.matching_statistics(text, ends, window, alone=1)
+    again = np.flatnonzero(length == window)  # the others have found only themselves
+    flags = np.zeros(len(ends), bool)
+    if len(again):
+        by_suffix = np.append(ids[of[index.suffixes]], np.iinfo(np.int64).max)
+        starts, back = np.unique(low[again], return_inverse=True)
+        stops = np.empty(len(starts), np.int64)
+        stops[back] = high[again]
+        least = np.minimum.reduceat(by_suffix, np.column_stack([starts, stops]).ravel())[::2]
+        flags[again] = least[back] < np.repeat(ids, n_windows)[again]
+    return flags, n_windows
 
 
-def judged(distinct: DataFrame) -> DataFrame:
-    """From (shard, digest, segment, lo, hi): the segments with a repeated window; flags has a byte per window, for the document lo."""
+FOUND = "doc_id long, text_key long, start int, windows int, flags binary"
+
+
+def judged(cold: DataFrame) -> DataFrame:
+    """From (shard, doc_id, text_key, start, segment): the places with repeated windows.
+
+    flags has a byte per window; it is null where all windows are in a smaller document.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids = table["lo"].to_numpy()
-        flags, n = shard_flags(table["segment"].chunk(0), ids)
-        cut = np.cumsum(n)
+        coded = table["segment"].chunk(0).dictionary_encode()
+        code, docs = coded.indices.to_numpy(), table["doc_id"].to_numpy()
+        ids = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+        np.minimum.at(ids, code, docs)
+        flags, n = shard_flags(coded.dictionary, ids)
+        stop = np.cumsum(n)
+        some = np.add.reduceat(flags, stop - n) > 0
         raw = flags.astype(np.uint8).tobytes()
-        any_flag = np.add.reduceat(flags, cut - n) > 0
-        keep = np.flatnonzero(any_flag | (ids < table["hi"].to_numpy()))
-        digest = table["digest"].chunk(0).take(pa.array(keep))
-        return pa.table({"digest": digest, "lo": pa.array(ids[keep]), "flags": pa.array([raw[cut[i] - n[i] : cut[i]] for i in keep.tolist()], pa.binary())})
+        later = docs > ids[code]
+        keep = np.flatnonzero(later | some[code])
+        cells = [None if late else raw[z - k : z] for late, z, k in zip(later[keep].tolist(), stop[code[keep]].tolist(), n[code[keep]].tolist(), strict=True)]
+        kept = table.take(pa.array(keep))
+        cols = [kept["doc_id"], kept["text_key"], kept["start"], pa.array(n[code[keep]].astype(np.int32)), pa.array(cells, pa.binary())]
+        return pa.table(cols, names=[x.split()[0] for x in FOUND.split(", ")])
 
-    return distinct.groupBy("shard").applyInArrow(run, "digest binary, lo long, flags binary")
+    return cold.groupBy("shard").applyInArrow(run, FOUND)
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
@@ -351,18 +399,17 @@ def remove_repeats(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     known = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    counted = minimizers(known.select("doc_id", "text")).groupBy("v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).filter("lo < hi")
-    counted = staged(counted.select("v", "n"), "fm-minimizers")
+    counted = staged(minimizers(known.select("doc_id", "text")).groupBy("v").agg(F.sum("n").alias("n")).filter("n > 1"), "fm-minimizers")
     least, most = BITMAP_BITS
     bits = min(most, max(least, 1 << (16 * counted.count()).bit_length()))
     shared = spark.sparkContext.broadcast(bitmaps(counted, bits))
-    found = staged(places(known, shared), "fm-places")
-    distinct = found.groupBy("digest", "segment").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("deal").alias("deal"))
-    words = found.agg(F.sum(F.col("windows") + (WINDOW - 1))).first()[0] or 0
-    shards = max(1, -(-words // (2 * shard_words)))  # about half of the segments are repeats of others
-    distinct = distinct.select(F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), "digest", "segment", "lo", "hi")
-    result = staged(judged(distinct), "fm-judged")
-    on_place = found.select("doc_id", "text_key", "start", "windows", "digest").join(result, "digest").filter((F.col("doc_id") > F.col("lo")) | (F.col("doc_id") == F.col("lo")))
-    flags = F.when(F.col("doc_id") == F.col("lo"), F.col("flags"))
-    removal = on_place.select("doc_id", "text_key", F.struct("start", "windows", flags.alias("flags")).alias("f")).groupBy("doc_id", "text_key").agg(F.collect_list("f").alias("found"))
-    return cut_texts(texts.join(removal, ["doc_id", "text_key"], "left").select("doc_id", "text", "found"))
+    found = staged(places(known, shared), "fm-places", compression="zstd")
+    cold, hot = found.filter("segment IS NOT NULL"), found.filter("digest IS NOT NULL")
+    words = cold.agg(F.sum(F.col("windows") + (WINDOW - 1))).first()[0] or 0
+    shards = max(1, -(-words // shard_words))
+    by_shard = judged(cold.select(F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), "doc_id", "text_key", "start", "segment"))
+    lo = hot.groupBy("digest").agg(F.min("doc_id").alias("lo"))
+    one_by_one = hot.select("doc_id", "text_key", "start", "windows", "digest").join(lo, "digest").filter("doc_id > lo")
+    gone = by_shard.union(one_by_one.select("doc_id", "text_key", "start", "windows", F.lit(None).cast("binary")))
+    removal = staged(gone.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "windows", "flags")).alias("found")), "fm-found")
+    return cut_texts(texts.join(maybe_broadcast(removal, BROADCAST_FOUND), ["doc_id", "text_key"], "left").select("doc_id", "text", "found"))
