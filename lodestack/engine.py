@@ -196,10 +196,10 @@ class SearchEngine:
     def search_batch(self, name: str, queries: DataFrame, now: Column | None = None, **options) -> DataFrame:
         """hybrid_search over the index for queries(query_id, q)."""
         config, store = self.indexes[name].config, self.store(name)
-        docs = store.docs().withColumn("doc_id", F.xxhash64("external_id").bitwiseAND(F.lit((1 << 42) - 1)))
+        docs = store.docs().withColumn("doc_id", F.xxhash64("external_id"))
         published = F.get_json_object("metadata", "$.published_at")
         docs = docs.withColumn("published_at", published)
-        segments = store.segments().withColumn("doc_id", F.xxhash64("external_id").bitwiseAND(F.lit((1 << 42) - 1))).withColumnRenamed("segment", "body")
+        segments = store.segments().withColumn("doc_id", F.xxhash64("external_id")).withColumnRenamed("segment", "body")
         analyse = simple_tokens
         if config["text_search_config"] == "english":
             from lodestack.functions.english import english_tokens as analyse

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestack.functions.scores import RecencyRule, kind_weight, recency_multiplier, rrf
 from lodestack.functions.text import simple_tokens
 from lodestack.operators.lexical import POOL, lexical_scores, top
-from lodestack.operators.vector import vector_topk
+from lodestack.operators.vector import nearest_parts
 
 MODES = ("hybrid", "semantic", "lexical")
 
@@ -63,10 +63,9 @@ def candidates(segments: DataFrame, docs: DataFrame, queries: DataFrame, o: Sear
     lexical = top(lexical_scores(segments, docs, queries, o.title_weight, o.body_weight, analyse), "lexical_score") if o.mode != "semantic" else None
     vector = None
     if o.mode != "lexical":
-        placed = segments.filter("embedding IS NOT NULL").withColumn("vec_id", F.col("doc_id") * (1 << 20) + F.col("segment_index"))
-        best = vector_topk(placed.select("vec_id", "embedding"), queries.select("query_id", "embedding"), POOL)
-        at = F.col("vec_id")
-        vector = best.select("query_id", F.shiftright(at, 20).alias("doc_id"), (at % (1 << 20)).cast("int").alias("segment_index"), F.col("similarity").alias("vector_score"))
+        placed = segments.filter("embedding IS NOT NULL").select(F.col("doc_id").alias("vec_id"), F.col("segment_index").alias("part"), "embedding")
+        best = nearest_parts(placed, queries, POOL)
+        vector = best.select("query_id", F.col("vec_id").alias("doc_id"), F.col("part").alias("segment_index"), F.col("similarity").alias("vector_score"))
     if lexical is None:
         both = vector.withColumn("lexical_score", F.lit(0.0))
     elif vector is None:

@@ -36,6 +36,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 def _block(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int) -> DataFrame:
     queries = _unit(matrix)
+    names = ["query_id", "vec_id", "part", "similarity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -45,42 +46,50 @@ def _block(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int) -> DataFra
             if len(held) > 8:  # fold, so that a task never holds more than a few times k rows per query
                 held = [fold(held)]
         if held:
-            q, i, s = fold(held)
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64)[q]), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "similarity"])
+            q, i, p, s = fold(held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64)[q]), pa.array(i), pa.array(p), pa.array(s)], names=names)
 
     def best(b: pa.RecordBatch) -> tuple:
-        keys = b.column(0).to_numpy(zero_copy_only=False)
-        sim = np.round(queries @ _unit(_matrix(b.column(1))).T, DECIMALS)
+        keys, parts = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        sim = np.round(queries @ _unit(_matrix(b.column(2))).T, DECIMALS)
         q, c = np.nonzero(~np.isnan(sim))
-        return cut(q, keys[c], sim[q, c])
+        return cut(q, keys[c], parts[c], sim[q, c])
 
-    def fold(parts: list) -> tuple:
-        return cut(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    def fold(held: list) -> tuple:
+        return cut(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    def cut(q: np.ndarray, i: np.ndarray, s: np.ndarray) -> tuple:
-        order = np.lexsort((i, -s, q))
-        q, i, s = q[order], i[order], s[order]
-        nth = np.arange(len(q)) - np.searchsorted(q, q)
-        return q[nth < k], i[nth < k], s[nth < k]
+    def cut(q: np.ndarray, i: np.ndarray, p: np.ndarray, s: np.ndarray) -> tuple:
+        order = np.lexsort((p, i, -s, q))
+        q, i, p, s = q[order], i[order], p[order], s[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[first], i[first], p[first], s[first]
 
-    return vectors.select(F.col("vec_id").cast("long"), "embedding").filter("vec_id IS NOT NULL AND embedding IS NOT NULL").mapInArrow(run, "query_id long, vec_id long, similarity double")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("part").cast("int"), "embedding").filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    return rows.mapInArrow(run, "query_id long, vec_id long, part int, similarity double")
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, similarity, rank: the k vectors of vectors(vec_id, embedding) most similar to each of queries(query_id, embedding).
-
-    A zero vector is similar to nothing. The filter of a query's kinds belongs before this, on `vectors`.
-    """
+def nearest_parts(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, part, similarity, rank: as vector_topk, for vectors(vec_id, part, embedding)."""
     rows = queries.select("query_id", "embedding").filter("embedding IS NOT NULL").orderBy("query_id").toLocalIterator()
-    parts, ids, matrix = [], [], []
+    blocks, ids, matrix = [], [], []
     for r in rows:
         ids.append(r["query_id"])
         matrix.append(r["embedding"])
         if len(ids) == BLOCK:
-            parts.append(_block(vectors, ids, np.array(matrix, np.float64), k))
+            blocks.append(_block(vectors, ids, np.array(matrix, np.float64), k))
             ids, matrix = [], []
-    if ids or not parts:
-        parts.append(_block(vectors, ids, np.array(matrix, np.float64).reshape(len(ids), -1), k) if ids else vectors.limit(0).selectExpr("CAST(vec_id AS LONG) AS query_id", "CAST(vec_id AS LONG) AS vec_id", "0.0D AS similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    best = reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order))
+    if ids:
+        blocks.append(_block(vectors, ids, np.array(matrix, np.float64), k))
+    if not blocks:
+        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, part int, similarity double, rank int")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id", "part")
+    best = reduce(DataFrame.union, blocks).withColumn("rank", F.row_number().over(order))
     return best.filter(F.col("rank") <= k)
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, similarity, rank: the k vectors of vectors(vec_id, embedding) most similar to each of queries(query_id, embedding).
+
+    A zero vector is similar to nothing. The filter of a query's kinds belongs before this, on `vectors`.
+    """
+    return nearest_parts(vectors.withColumn("part", F.lit(0)), queries, k).drop("part")
