@@ -7,9 +7,9 @@ Sharding. Each window belongs to the least hash (minimizer) among its runs of GR
 wherever they stand. Neighbouring windows with one minimizer form a segment, about half a dozen windows long. Pass one counts
 the documents of each minimizer; a minimizer of one document holds no repeated window. Those of two documents or more pass as
 a bitmap of a fixed size, in which a false bit costs work, never a result. Pass two cuts the segments and deals them
-to shards by minimizer. Minimizers of very many documents (a second bitmap) would make hot shards: their windows are
-told apart one by one by the digest of the whole window, with the least identifier found by a map-side aggregation, however many
-documents share them.
+to shards by minimizer. Minimizers of very many documents (a second bitmap) would make hot shards: their equal segments are
+first joined by digest, on the map side, however many documents share them, and the windows of the distinct ones are then told
+apart by the digest of the whole window.
 
 In a shard. The distinct segments are the text of an FM-index: suffixes are sorted by prefix doubling as far as a window
 reaches, and the Burrows-Wheeler transform is a wavelet tree (by levels) of packed bits with block counts. The segments
@@ -197,13 +197,13 @@ def _has(bitmap: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (v & np.uint64(63))) & np.uint64(1) == 1
 
 
-PLACES = "doc_id long, text_key long, start int, windows int, deal long, segment binary, digest binary"
+PLACES = "doc_id long, text_key long, start int, windows int, deal long, segment binary, digest binary, each array<binary>"
 
 
 def places(docs: DataFrame, shared) -> DataFrame:
     """Every segment that may hold a repeated window, with its place; `shared` is the broadcast bitmaps.
 
-    A window of a frequent minimizer comes by itself, with its digest in place of its words.
+    A segment of a frequent minimizer comes with its digest and those of its windows in place of its words.
     """
     names = [x.split()[0] for x in PLACES.split(", ")]
 
@@ -218,18 +218,18 @@ def places(docs: DataFrame, shared) -> DataFrame:
                 keep = _has(some, v)
                 first, size, v = first[keep], size[keep], v[keep]
                 hot = _has(often, v)
-                each = np.repeat(first[hot], size[hot]) + (np.arange(size[hot].sum()) - np.repeat(np.cumsum(size[hot]) - size[hot], size[hot]))
-                first, size, v = first[~hot], size[~hot], v[~hot]
+                order = np.argsort(hot, kind="stable")
+                first, size, v, n = first[order], size[order], v[order], int((~hot).sum())
                 words = m.cut(first, size)
-                digests = [xxhash.xxh3_128_digest(w) for w in m.cut(each, np.ones(len(each), np.int64))]
-                at = np.concatenate([first, each])
-                doc = m.doc[at]
+                digests = [xxhash.xxh3_128_digest(w) for w in words[n:]]
+                upto = np.concatenate([[0], np.cumsum(size[n:])])
+                at = np.repeat(first[n:] - upto[:-1], size[n:]) + np.arange(upto[-1])
+                each = [xxhash.xxh3_128_digest(w) for w in m.cut(at, np.ones(len(at), np.int64))]
+                doc = m.doc[first]
                 ids, keys = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)[doc] for i in (0, 2))
-                windows = np.concatenate([size, np.ones(len(each), np.int64)]).astype(np.int32)
-                deal = np.concatenate([_mix(v), np.zeros(len(each), np.uint64)]).view(np.int64)
-                none = [None] * max(len(words), len(digests))
-                cols = [pa.array(ids), pa.array(keys), pa.array((at - m.starts[doc]).astype(np.int32)), pa.array(windows), pa.array(deal)]
-                cols += [pa.array(words + none[: len(digests)], pa.binary()), pa.array(none[: len(words)] + digests, pa.binary())]
+                lists = [each[x:y] for x, y in zip(upto.tolist(), upto[1:].tolist(), strict=False)]
+                cols = [pa.array(ids), pa.array(keys), pa.array((first - m.starts[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(_mix(v).view(np.int64))]
+                cols += [pa.array(words[:n] + [None] * len(digests), pa.binary()), pa.array([None] * n + digests, pa.binary()), pa.array([None] * n + lists, pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.mapInArrow(run, PLACES)
@@ -367,6 +367,18 @@ def judged(cold: DataFrame) -> DataFrame:
     return cold.groupBy("shard").applyInArrow(run, FOUND)
 
 
+def frequent(hot: DataFrame) -> DataFrame:
+    """As judged, for segments of frequent minimizers: distinct ones first, then their distinct windows."""
+    distinct = staged(hot.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.first("each").alias("each")), "fm-frequent")
+    windows = distinct.select("digest", "lo", F.posexplode("each").alias("at", "w"))
+    least = windows.groupBy("w").agg(F.min("lo").alias("least"))
+    byte = F.when(F.col("least") < F.col("lo"), "01").otherwise("00")
+    flags = windows.join(least, "w").groupBy("digest", "lo").agg(F.array_sort(F.collect_list(F.struct("at", byte.alias("byte")))).alias("f"))
+    flags = flags.select("digest", "lo", F.exists("f", lambda x: x["byte"] == "01").alias("some"), F.unhex(F.array_join(F.col("f.byte"), "")).alias("flags"))
+    on_place = hot.select("doc_id", "text_key", "start", "windows", "digest").join(flags, "digest").filter((F.col("doc_id") > F.col("lo")) | (F.col("doc_id") == F.col("lo")) & F.col("some"))
+    return on_place.select("doc_id", "text_key", "start", "windows", F.when(F.col("doc_id") == F.col("lo"), F.col("flags")).alias("flags"))
+
+
 def cut_texts(docs: DataFrame) -> DataFrame:
     """From doc_id, text, found (array of start, windows, flags): what is left of each text."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -408,8 +420,6 @@ def remove_repeats(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame
     words = cold.agg(F.sum(F.col("windows") + (WINDOW - 1))).first()[0] or 0
     shards = max(1, -(-words // shard_words))
     by_shard = judged(cold.select(F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), "doc_id", "text_key", "start", "segment"))
-    lo = hot.groupBy("digest").agg(F.min("doc_id").alias("lo"))
-    one_by_one = hot.select("doc_id", "text_key", "start", "windows", "digest").join(lo, "digest").filter("doc_id > lo")
-    gone = by_shard.union(one_by_one.select("doc_id", "text_key", "start", "windows", F.lit(None).cast("binary")))
+    gone = by_shard.union(frequent(hot))
     removal = staged(gone.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "windows", "flags")).alias("found")), "fm-found")
     return cut_texts(texts.join(maybe_broadcast(removal, BROADCAST_FOUND), ["doc_id", "text_key"], "left").select("doc_id", "text", "found"))
