@@ -71,10 +71,13 @@ def grams(host_: Column, path_: Column) -> Column:
     """Character n-grams of host and path, with marks at their ends."""
 
     def of(text: Column, prefix: str, n: int) -> Column:
-        marked = F.concat(F.lit("^"), text, F.lit("$"))
-        at = F.sequence(F.lit(1), F.char_length(marked) - (n - 1))
-        cut = F.transform(at, lambda i: F.concat(F.lit(prefix), F.substring(marked, i, F.lit(n))))
-        return F.when((F.char_length(text) > 0) & (F.char_length(marked) >= n), cut).otherwise(F.array().cast("array<string>"))
+        def cut(chars: Column) -> Column:  # from an array of characters, so that a long text takes linear time
+            at = F.sequence(F.lit(0), F.size(chars) - n)
+            return F.transform(at, lambda i: F.concat(F.lit(prefix), *[F.get(chars, i + k) for k in range(n)]))
+
+        chars = F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
+        long_enough = (F.char_length(text) > 0) & (F.char_length(text) + 2 >= n)
+        return F.when(long_enough, F.get(F.transform(F.array(chars), lambda c: cut(c)), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
     return F.concat(*[of(F.translate(t, *LETTERS), p, n) for t, p in ((host_, "h:"), (path_, "p:")) for n in SIZES])
 
