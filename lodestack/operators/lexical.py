@@ -71,21 +71,17 @@ def lexical_scores(
     terms = query_terms(queries, analyse)
     scale = max(title_weight, body_weight)
     titled = docs.select("doc_id", analyse(F.coalesce("title", F.lit(""))).alias("tokens"))
-    bodied = segments.select("doc_id", "segment_index", analyse(F.coalesce("body", F.lit(""))).alias("tokens"))
+    bodied = segments.select("doc_id", "segment_index", analyse(F.coalesce("body", F.lit(""))).alias("tokens")).withColumn("n_body", F.size("tokens"))
     in_title = _occurrences(titled, ["doc_id"], F.col("tokens"), terms)
-    in_body = _occurrences(bodied, ["doc_id", "segment_index"], F.col("tokens"), terms)
-    whole_title = in_title.filter("n_found = n_terms").select("query_id", "n_terms", "doc_id").join(segments.select("doc_id", "segment_index"), "doc_id")
-    keys = ["query_id", "n_terms", "doc_id", "segment_index"]
-    body_hits = in_body.filter("n_found = n_terms").select(*keys)
-    hits = body_hits.union(whole_title.select(*keys)).distinct()
+    in_body = _occurrences(bodied, ["doc_id", "segment_index", "n_body"], F.col("tokens"), terms)
+    # all segments of a document whose title matches; then the others whose body does
+    by_title = in_title.filter("n_found = n_terms").select("query_id", "n_terms", "doc_id").join(bodied.select("doc_id", "segment_index", "n_body"), "doc_id")
+    keys = ["query_id", "n_terms", "doc_id", "segment_index", "n_body"]
+    found = in_body.withColumn("whole", F.col("n_found") == F.col("n_terms")).select(*keys, F.col("occ").alias("body_occ"), "whole")
+    hits = found.join(by_title.select(*keys, F.lit(True).alias("titled")), keys, "full_outer").filter("whole OR titled")
+    title_occ = in_title.select("query_id", "doc_id", F.col("occ").alias("title_occ"))
     sizes = titled.select("doc_id", F.size("tokens").alias("n_title"))
-    body_sizes = bodied.select("doc_id", "segment_index", F.size("tokens").alias("n_body"))
-    joined = (
-        hits.join(in_body.select("query_id", "doc_id", "segment_index", F.col("occ").alias("body_occ")), ["query_id", "doc_id", "segment_index"], "left")
-        .join(in_title.select("query_id", "doc_id", F.col("occ").alias("title_occ")), ["query_id", "doc_id"], "left")
-        .join(sizes, "doc_id")
-        .join(body_sizes, ["doc_id", "segment_index"])
-    )
+    joined = hits.join(title_occ, ["query_id", "doc_id"], "left").join(sizes, "doc_id")
     none = F.array().cast("array<struct<pos:int,term_no:int>>")
     weigh = lambda occ, shift, w: F.transform(
         F.coalesce(occ, none), lambda o: F.struct((o["pos"] + shift).alias("pos"), o["term_no"].alias("term_no"), F.lit(w).alias("w"))

@@ -185,6 +185,33 @@ def citation_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", rag.citation_url(metadata).alias("source_url"))
 
 
+@query(
+    """SELECT conv_id, '[test] ' || coalesce(arg_max(text, turn) FILTER (role = 'user'), '') || ' [1] [2]' AS answer, CAST(sum(length(text)) FILTER (role <> 'system') AS BIGINT) AS input_chars,
+       count(*) FILTER (role <> 'system') AS messages FROM conversations GROUP BY conv_id"""
+)
+def echo_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    last = F.coalesce(F.max_by("text", F.when(F.col("role") == "user", F.col("turn"))), F.lit(""))
+    said = F.when(F.col("role") != "system", F.char_length("text"))
+    return c.groupBy("conv_id").agg(rag.echo_answer(last, 2).alias("answer"), F.sum(said).alias("input_chars"), F.count(said).alias("messages"))
+
+
+@query(
+    f"""SELECT doc_id, round(coalesce(1e0 / (60 + nullif(doc_id % 50, 0)), 0) + coalesce(2e0 / (60 + nullif(doc_id % 7, 0)), 0), 9) AS fused, CASE source WHEN 'src1' THEN 0.5e0 WHEN 'src2' THEN 0e0 ELSE 1e0 END AS weight,
+       round(CASE WHEN source IN ('src0', 'src2', 'src4', 'src6') THEN 0.85e0 + CAST({1 - 0.85!r} AS DOUBLE) * pow(2e0, -greatest((epoch(TIMESTAMP '{NOW}') - epoch(CAST(DATE '2020-01-01' + CAST(doc_id % 2000 AS INT) AS TIMESTAMP))) / 86400, 0) / 180e0) ELSE 1e0 END, 9) AS recency
+       FROM documents"""
+)
+def score_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = lambda n: F.nullif(F.col("doc_id") % n, F.lit(0))
+    d = docs(spark, sf_dir)
+    return d.select(
+        "doc_id",
+        F.round(scores.rrf(rank(50), rank(7), 60, 1.0, 2.0), 9).alias("fused"),
+        scores.kind_weight(F.col("kind"), {"src1": 0.5, "src2": 0.0}).alias("weight"),
+        F.round(scores.recency_multiplier(RULE, F.col("kind"), F.col("published_at"), _now()), 9).alias("recency"),
+    )
+
+
 # ---- text and segments -----------------------------------------------------------------------------------------------
 
 
@@ -281,6 +308,20 @@ def segment_limit_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("doc_id", F.col("n").cast("long"), F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("error")).union(bad.select("doc_id", F.col("n").cast("long"), F.lit(False), "error"))
 
 
+@query(_STATES + "SELECT n.doc_id, n.h AS content_hash, n.n AS segment_index, old.h IS NOT NULL AS embedded FROM new n LEFT JOIN old USING (doc_id, h) UNION ALL SELECT doc_id, h, n, true FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new)")
+def snapshot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _states(spark, sf_dir)
+    stored = old.withColumn("embedding", F.array(F.lit(1.0)))
+    merged = ingest.merge_segments(stored, new, ("doc_id",))
+    return merged.select("doc_id", "content_hash", "segment_index", F.col("embedding").isNotNull().alias("embedded"))
+
+
+@query("SELECT doc_id, source AS kind FROM documents WHERE doc_id NOT IN (SELECT page_id * 3 FROM pages)")
+def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = table(spark, sf_dir, "pages").select((F.col("page_id") * 3).alias("doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("kind")).join(gone, "doc_id", "left_anti")
+
+
 # ---- state -----------------------------------------------------------------------------------------------------------
 
 
