@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import re
 import tempfile
 import uuid
@@ -26,11 +25,13 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests in one JVM) a fresh local folder is taken.
+    Only where the session names none and all runs in one JVM (tests) a fresh local folder is taken.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lodestack-")
@@ -79,14 +80,3 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_count(text):
     """Words of a text column as a long; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def python_words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
-def in_local_mode(spark: SparkSession) -> bool:
-    return bool(re.match(r"local(\[|$)", spark.sparkContext.master))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["os"]
