@@ -2,8 +2,9 @@
 
 Features of a text: density and strength of lexicon words, lexicon words within NEAR words of a second-person word, capitals, punctuation,
 and obfuscated words (letters mixed with digits or symbols, and lexicon words found after undoing that). The
-lexicon is learned: words whose document frequency is far higher in toxic documents. Labelled rows are dealt by a hash of their
-identifier to three parts, for the lexicon, the trees and the calibration, so that none sees what another has fitted.
+lexicon is learned: words and word beginnings whose document frequency is far higher in toxic documents. Labelled rows are dealt by a
+hash of their identifier to three parts, for the lexicon, the trees and the calibration, so that none sees what another has
+fitted.
 At most MAX_LABELLED labelled rows (a documented bound, by hash) are used; everything is scored.
 
 Language, source and identifier are never inputs of a score. Rows whose crc32(doc_id as text) mod 4 is 2 are held
@@ -28,45 +29,48 @@ from lodestack.llm.common import maybe_broadcast, staged
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 MAX_LABELLED = 40_000
-LEXICON_WORDS = 200
-#: a lexicon word is in at least this share of the toxic documents
-MIN_SUPPORT = 0.02
+LEXICON_WORDS = 400
+#: a lexicon word is in at least this many toxic documents, and in at least this share of them
+MIN_DOCUMENTS, MIN_SUPPORT = 3, 0.004
+#: characters of a word's beginning that is an entry of its own, written with a star
+STEM = 7
 NEAR = 5
 SECOND_PERSON = frozenset(
-    "you your yours u ur yourself du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti usted ustedes su vosotros".encode().split()
+    "you your yours u ur yourself du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti usted ustedes su vosotros".split()
 )
 FEATURES = (
     "lexicon_density", "lexicon_strength", "lexicon_hits", "strongest", "near_person", "person_density", "capitals", "shouted_words",
     "marks", "exclamations", "mixed_words", "undone_density", "log_words",
 )
-_EDGE = b".,;:!?\"'()[]{}<>|*#$%&-_~`"
+_EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_~`"
 _MARKS = b".,;:!?"
-_UNDO = bytes.maketrans(b"013457@$!|", b"oleastasil")
+_UNDO = str.maketrans("013457@$!|", "oleastasil")
 _CAPITALS = bytes(range(65, 91))
-_LETTERS = bytes(range(97, 123))
-_SIGNS = bytes(x for x in range(33, 127) if not (65 <= x <= 90 or 97 <= x <= 122))
+_SIGNS = str.maketrans("", "", "".join(chr(x) for x in range(33, 127) if not chr(x).isalpha()))
 
 
-def features(text: str | None, lexicon: dict[bytes, float]) -> list[float]:
+def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     """FEATURES of one text."""
     raw = text.encode("utf-8", "surrogatepass") if text else b""
     words = raw.split()
     if not words:
         return [0.0] * len(FEATURES)
     n, size = len(words), sum(map(len, words))
-    plain = [w.strip(_EDGE) for w in raw.lower().split()]
-    hits = [i for i, w in enumerate(plain) if w in lexicon]
-    persons = [i for i, w in enumerate(plain) if w in SECOND_PERSON]
+    plain = [w.strip(_EDGE) for w in text.lower().split()]
+    strong = {w: max(lexicon.get(w, 0.0), lexicon.get(w[:STEM] + "*", 0.0)) for w in set(plain)}
+    bad = {w for w, x in strong.items() if x > 0}
+    hits = [i for i, w in enumerate(plain) if w in bad] if bad else []
+    persons = [i for i, w in enumerate(plain) if w in SECOND_PERSON] if hits else []
     # words with a digit or sign between letters
-    mixed = [w for w in set(plain) if len(w) > 3 and w[:1].isalpha() and w.translate(None, _SIGNS) != w]
-    undone = {w for w in mixed if w.translate(_UNDO) in lexicon or w.translate(None, _SIGNS) in lexicon}
-    n_mixed, n_undone = (sum(w in s for w in plain) if s else 0 for s in (set(mixed), undone))
+    mixed = {w for w in strong if len(w) > 3 and w[:1].isalpha() and w.translate(_SIGNS) != w}
+    undone = {w for w in mixed if w.translate(_UNDO) in lexicon or w.translate(_SIGNS) in lexicon}
+    n_mixed, n_undone = (sum(w in s for w in plain) if s else 0 for s in (mixed, undone))
     near = 0
     if hits and persons:
         at = np.searchsorted(persons, hits)
         p = np.array([-(10**9), *persons, 10**9])
         near = int((np.minimum(np.array(hits) - p[at], p[at + 1] - np.array(hits)) <= NEAR).sum())
-    strengths = [lexicon[plain[i]] for i in hits]
+    strengths = [strong[plain[i]] for i in hits]
     shouted = sum(w.isupper() for w in words if len(w) > 2)
     return [
         (len(hits) + n_undone) / n, sum(strengths) / n, math.log1p(len(hits)), max(strengths, default=0.0), near / n, len(persons) / n,
@@ -75,7 +79,7 @@ def features(text: str | None, lexicon: dict[bytes, float]) -> list[float]:
     ]
 
 
-def featured(docs: DataFrame, lexicon: dict[bytes, float]) -> DataFrame:
+def featured(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = np.array([features(t.as_py(), lexicon) for t in b.column(1)], np.float64).reshape(-1, len(FEATURES))
@@ -98,16 +102,21 @@ def training_labels(labels: DataFrame, column: str, folds: int, which: int, limi
     return known.filter(F.col("unit") < share * (1 << 20)).select("doc_id", "label", (F.col("unit") % 4).alias("part"))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, size: int = LEXICON_WORDS) -> dict[bytes, float]:
-    """Word -> log odds, for words in far more toxic than other documents of `labels` (doc_id, label)."""
+def learn_lexicon(docs: DataFrame, labels: DataFrame, size: int = LEXICON_WORDS) -> dict[str, float]:
+    """Entry -> log odds, for words and beginnings (with a star) in far more toxic than other documents of `labels` (doc_id, label).
+
+    The odds are shrunk towards 0 for entries of few documents.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]{2,})"), F.lit(1)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("label", F.explode(words).alias("word"))  # labels: MAX_LABELLED rows
+    stems = F.transform(F.filter(words, lambda w: F.char_length(w) >= STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
+    rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")  # labels: MAX_LABELLED rows
+    rows = rows.select("label", F.explode(F.concat(words, F.array_distinct(stems))).alias("word"))
     total = labels.agg(F.expr("count_if(label > 0)").alias("bad"), F.expr("count_if(label <= 0)").alias("good")).first()
     bad, good = total["bad"] or 0, total["good"] or 0
     odds = F.log((F.col("b") + 0.5) / (bad + 1)) - F.log((F.col("g") + 0.5) / (good + 1))
-    counted = rows.groupBy("word").agg(F.sum("label").alias("b"), F.sum(1 - F.col("label")).alias("g")).filter(F.col("b") >= max(5, MIN_SUPPORT * bad))
-    ranked = counted.withColumn("odds", odds).filter("odds > 1.5").orderBy(F.desc(F.col("odds") * F.sqrt("b")), "word").limit(size)
-    return {r["word"].encode(): r["odds"] for r in ranked.collect()}
+    counted = rows.groupBy("word").agg(F.sum("label").alias("b"), F.sum(1 - F.col("label")).alias("g")).filter(F.col("b") >= max(MIN_DOCUMENTS, MIN_SUPPORT * bad))
+    ranked = counted.withColumn("odds", odds).filter("odds > 1").withColumn("odds", F.col("odds") * F.col("b") / (F.col("b") + 5))
+    return {r["word"]: r["odds"] for r in ranked.orderBy(F.desc(F.col("odds") * F.sqrt("b")), "word").limit(size).collect()}
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -123,12 +132,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
     both = lambda df: {r["label"] for r in df.select("label").distinct().collect()} >= {0.0, 1.0}
     labelled = vectors.join(F.broadcast(known), "doc_id").select("features", "label", "part")
-    fit = labelled.filter("part >= 1 AND part < 3").coalesce(8).cache()
+    fit = labelled.filter("part = 2").coalesce(8).cache()
     if both(fit):
         trees = GBTClassifier(maxIter=15, maxDepth=3, stepSize=0.3, maxBins=64, seed=7).fit(fit)
         fit.unpersist()
         raw = lambda df: trees.transform(df).withColumn("raw", vector_to_array("probability")[1])
-        held = raw(labelled.filter("part = 3 OR part = 0")).select("raw", "label").cache()
+        held = raw(labelled.filter("part = 3")).select("raw", "label").cache()
         if both(held):
             curve = IsotonicRegression(featuresCol="raw", labelCol="label").fit(held)
             scored = _calibrated(curve, raw(vectors))
