@@ -54,13 +54,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+#: rows of a small table in one file, where a caller knows a bound of its rows
+FILE_ROWS = 500_000
+#: rows of one Arrow batch of texts
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower Arrow's batch size to what suits whole texts: buffers grow with a batch, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
-    It cuts the lineage: the files survive lost executors, and nothing before them is computed again.
+    It cuts the lineage: the files survive lost executors, and nothing before them is computed again. `rows`, a bound of
+    the table's rows, keeps a small table from becoming a file for each shuffle partition.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

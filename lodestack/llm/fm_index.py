@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import staged
+from lodestack.llm.common import small_batches, staged
 
 WINDOW = 13
 GRAM = 5
@@ -407,6 +407,7 @@ def cut_texts(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     known = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     counted = staged(minimizers(known.select("doc_id", "text")).groupBy("v").agg(F.sum("n").alias("n")).filter("n > 1"), "fm-minimizers")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm.common import small_batches
 from lodestack.llm.toxicity import held_out, training_labels
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.5
@@ -142,6 +143,7 @@ def bags_of(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.nd
             rows = [passages(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "label", "bag"])
 
+    small_batches(docs.sparkSession)
     some = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").join(F.broadcast(labels.select("doc_id", "label")), "doc_id")
     rows = some.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label double, bag binary").toPandas().sort_values(["doc_id", "label"])
     return [np.frombuffer(x, np.float32).reshape(-1, len(FEATURES)) for x in rows["bag"]], rows["label"].to_numpy(np.float32)

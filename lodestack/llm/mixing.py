@@ -73,6 +73,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE,
             F.coalesce((F.col("need") - F.col("before")) / F.col("bucket_size"), F.lit(0.0)).alias("share"),
         ),
         "mix-targets",
+        sums.count(),
     )
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WHITE_BYTES, maybe_broadcast, staged
+from lodestack.llm.common import WHITE_BYTES, maybe_broadcast, small_batches, staged
 
 WINDOW = 5
 MIN_GROUP = 100
@@ -101,6 +101,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             rows = np.array([counts(t.as_py()) for t in b.column(3)], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], names=["doc_id", "lang", "source", *COUNTS])
 
+    small_batches(docs.sparkSession)
     raw = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(lang AS STRING) AS lang", "CAST(source AS STRING) AS source", "text")
     counted = raw.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
     n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
@@ -202,12 +203,12 @@ def _named(stats: DataFrame, groups: DataFrame) -> DataFrame:
     return stats.join(maybe_broadcast(groups, 50_000), on, "left").drop("_lang", "_source")
 
 
-def estimate(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
+def estimate(vectors: DataFrame, n_groups: int, steps: int = STEPS) -> DataFrame:
     """One row (MODEL) per group g of `vectors` (g and STATS): the minimum covariance determinant estimate."""
     quart = vectors.groupBy("g").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in STATS])
     mid = F.array(*[F.col(x)[1] for x in STATS])
     scale = F.array(*[F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(f)) for x, f in zip(STATS, FLOORS, strict=True)])
-    centre = staged(quart.select("g", mid.alias("mid"), scale.alias("scale")), "mcd-centre")
+    centre = staged(quart.select("g", mid.alias("mid"), scale.alias("scale")), "mcd-centre", n_groups)
     # second start: the scatter of the directions from the centre
     z = [(F.col(x) - F.col("mid")[i]) / F.col("scale")[i] for i, x in enumerate(STATS)]
     norm = F.greatest(F.sqrt(sum((v * v for v in z[1:]), z[0] * z[0])), F.lit(1e-9))
@@ -226,13 +227,13 @@ def estimate(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
                     rows.append((r.g, start, list(r.mid), _packed(scatter), float(np.linalg.slogdet(scatter)[1])))
             yield pd.DataFrame(rows, columns=["g", "start", "mean", "precision", "logdet"])
 
-    model = staged(signs.mapInPandas(begin, MODEL), "mcd-start")
+    model = staged(signs.mapInPandas(begin, MODEL), "mcd-start", n_groups)
     last = None
     for _ in range(steps):
         far = vectors.join(maybe_broadcast(model, 20_000), "g").select("g", "start", *STATS, _distance().alias("d2"))
-        edge = staged(far.groupBy("g", "start").agg(F.percentile_approx("d2", H, 1000).alias("edge")), "mcd-edge")
+        edge = staged(far.groupBy("g", "start").agg(F.percentile_approx("d2", H, 1000).alias("edge")), "mcd-edge", n_groups)
         near = far.join(maybe_broadcast(edge, 50_000), ["g", "start"]).filter("d2 <= edge")
-        model = staged(_solve(near.groupBy("g", "start").agg(*_sums([], [F.col(x) for x in STATS]))), "mcd-step")
+        model = staged(_solve(near.groupBy("g", "start").agg(*_sums([], [F.col(x) for x in STATS]))), "mcd-step", n_groups)
         now = model.agg(F.avg("logdet").alias("all"), F.count(F.lit(1)).alias("n")).first()
         if not now["n"] or last is not None and abs(last - now["all"]) < 1e-3:
             break
@@ -247,7 +248,8 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, cutoff: float = C
     groups = _groups(stats, min_group)
     named = _named(stats, groups)
     vectors = staged(named.filter("not base_failed and g is not null").select("g", *STATS), "mcd-vectors")
-    model = staged(estimate(vectors), "mcd-model")
+    n_groups = groups.count()
+    model = staged(estimate(vectors, n_groups), "mcd-model", n_groups)
     judged = named.join(maybe_broadcast(model, 20_000), "g", "left")
     d2 = F.when(~F.col("base_failed") & F.col("mean").isNotNull(), _distance())
     judged = judged.withColumn("distance2", d2)

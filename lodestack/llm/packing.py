@@ -32,6 +32,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from lodestack.llm.common import small_batches
+
 TIERS = (1024, 512, 256, 128)
 BLOCK_TOKENS = 1_000_000
 STEP_TOKENS = 8 * 1024
@@ -231,4 +233,5 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, b
             _caches[tokenizer_path] = TokenCache(tokenizer_path)
         yield from pack_batches(batches, _caches[tokenizer_path], TaskContext.get().partitionId(), tiers, block_tokens)
 
+    small_batches(docs.sparkSession)
     return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, SCHEMA)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import maybe_broadcast, staged
+from lodestack.llm.common import FILE_ROWS, maybe_broadcast, small_batches, staged
 
 SHINGLE = 4
 RADIUS = 4
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
@@ -192,13 +193,14 @@ def links(distinct: DataFrame, n: int, shard_rows: int = SHARD_ROWS) -> DataFram
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """v, root: the least node that links reach, for every node of edges (a, b)."""
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-links")
-    labels = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "v"), "cc-labels")
+    n = both.count()
+    labels = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "v"), "cc-labels", n)
     for _ in range(max_rounds):
         near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("root").alias("near"))
         nearer = near.join(labels, near["a"] == labels["v"]).select("v", F.col("root").alias("old"), F.least("root", "near").alias("up"))
         up = labels.select(F.col("v").alias("u"), F.col("root").alias("above"))
         jumped = nearer.join(up, F.col("up") == F.col("u")).select("v", "old", F.least("up", "above").alias("root"))
-        labels = staged(jumped, "cc-labels")
+        labels = staged(jumped, "cc-labels", n)
         moved = labels.filter("root <> old").isEmpty()
         labels = labels.select("v", "root")
         if moved:
@@ -209,8 +211,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, fingerprint (16 hexadecimal digits), component_id for every row of docs(doc_id, text)."""
     prints = staged(fingerprints(docs), "simhash-prints")
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
-    found = staged(links(nodes.select("fp"), nodes.count()), "simhash-links")
+    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes", prints.count())
+    n = nodes.count()
+    # few links come from many shards: they are put together before they are written
+    found = staged(links(nodes.select("fp"), n).repartition(1 + n // FILE_ROWS), "simhash-links")
     linked = nodes if found.isEmpty() else None
     if linked is None:
         roots = components(found)
@@ -219,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         table = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     else:
         table = nodes.select("fp", F.col("least_id").alias("component_id"))
-    table = staged(table, "simhash-components")
+    table = staged(table, "simhash-components", n)
     return prints.join(maybe_broadcast(table), "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

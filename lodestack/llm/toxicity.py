@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import maybe_broadcast, staged
+from lodestack.llm.common import small_batches, staged
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 MAX_LABELLED = 40_000
@@ -86,6 +86,7 @@ def featured(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], names=["doc_id", *FEATURES])
 
     schema = "doc_id long, " + ", ".join(f"{x} double" for x in FEATURES)
+    small_batches(docs.sparkSession)
     return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, schema)
 
 

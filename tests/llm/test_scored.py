@@ -82,7 +82,7 @@ def test_mcd_estimate(spark):
     good = rng.normal(0, 2, (1000, outliers.P))
     bad = rng.normal(25, 1, (200, outliers.P))
     df = spark.createDataFrame([("g", *map(float, r)) for r in np.vstack([good, bad])], ["g", *outliers.STATS])
-    m = outliers.estimate(df).first()
+    m = outliers.estimate(df, 1).first()
     assert np.abs(np.array(m["mean"])).max() < 0.5
     assert outliers.chi2_cdf(outliers.chi2_quantile(0.9, 6), 6) == pytest.approx(0.9)
 
