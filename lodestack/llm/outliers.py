@@ -5,8 +5,9 @@ source the location and scatter of the tightest share H of its vectors are estim
 determinant), and documents far from it by Mahalanobis distance are rejected.
 
 The estimate covers all rows of a group and runs as aggregations: two deterministic starts (medians with quartile
-scales; spatial signs), then concentration steps, each of which finds the H quantile of the distances by a mergeable
-sketch and sums the moments of the rows below it. Only sums leave a task, so one group may hold any part of all rows.
+scales; spatial signs), then concentration steps, each of which finds the H quantile of the distances from counts in
+narrow bins and sums the moments of the rows up to it. Only counts and sums leave a task, so one group may hold any part of
+all rows, and reruns agree.
 The start with the smaller determinant wins. A floor of scale per statistic is added to the scatter, since statistics that
 are constant in most documents (no symbols, no equal lines) have no spread of their own.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import WHITE_BYTES, maybe_broadcast, small_batches, staged
@@ -35,6 +36,8 @@ MIN_GROUP = 100
 H = 0.75
 STEPS = 8
 TAIL = 1e-5
+#: bins in a doubling of the squared distance, and in a unit of a statistic
+DISTANCE_BINS, VALUE_BINS = 128, 256
 #: transformed statistics and the floor of each one's scale
 STATS = ("log_words", "log_word_length", "log_symbols", "dup_lines", "repeats", "log_capitals")
 FLOORS = (0.6, 0.1, 0.35, 0.2, 0.1, 0.4)
@@ -203,12 +206,27 @@ def _named(stats: DataFrame, groups: DataFrame) -> DataFrame:
     return stats.join(maybe_broadcast(groups, 50_000), on, "left").drop("_lang", "_source")
 
 
+def _quantiles(rows: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
+    """keys and, for each name, the least bin up to which that share of the key's rows lies; exact on bins."""
+    of = Window.partitionBy(*keys)
+    counts = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(of))
+    return upto.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))).alias(name) for name, q in wanted.items()])
+
+
+def _centre(vectors: DataFrame) -> DataFrame:
+    """g, mid, scale: medians, and quartile ranges as standard deviations, at least the floors."""
+    stats = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(x) * VALUE_BINS).alias("bin"), F.lit(f).alias("floor")) for i, (x, f) in enumerate(zip(STATS, FLOORS, strict=True))]))
+    rows = vectors.select("g", stats.alias("s")).select("g", "s.i", "s.floor", "s.bin")
+    q = _quantiles(rows, ["g", "i", "floor"], {"low": 0.25, "mid": 0.5, "high": 0.75})
+    scale = F.greatest((F.col("high") - F.col("low")) / (1.349 * VALUE_BINS), F.col("floor"))
+    each = q.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", ((F.col("mid") + 0.5) / VALUE_BINS).alias("mid"), scale.alias("scale")))).alias("s"))
+    return each.select("g", F.col("s.mid").alias("mid"), F.col("s.scale").alias("scale"))
+
+
 def estimate(vectors: DataFrame, n_groups: int, steps: int = STEPS) -> DataFrame:
     """One row (MODEL) per group g of `vectors` (g and STATS): the minimum covariance determinant estimate."""
-    quart = vectors.groupBy("g").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in STATS])
-    mid = F.array(*[F.col(x)[1] for x in STATS])
-    scale = F.array(*[F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(f)) for x, f in zip(STATS, FLOORS, strict=True)])
-    centre = staged(quart.select("g", mid.alias("mid"), scale.alias("scale")), "mcd-centre", n_groups)
+    centre = staged(_centre(vectors), "mcd-centre", n_groups)
     # second start: the scatter of the directions from the centre
     z = [(F.col(x) - F.col("mid")[i]) / F.col("scale")[i] for i, x in enumerate(STATS)]
     norm = F.greatest(F.sqrt(sum((v * v for v in z[1:]), z[0] * z[0])), F.lit(1e-9))
@@ -230,9 +248,10 @@ def estimate(vectors: DataFrame, n_groups: int, steps: int = STEPS) -> DataFrame
     model = staged(signs.mapInPandas(begin, MODEL), "mcd-start", n_groups)
     last = None
     for _ in range(steps):
-        far = vectors.join(maybe_broadcast(model, 20_000), "g").select("g", "start", *STATS, _distance().alias("d2"))
-        edge = staged(far.groupBy("g", "start").agg(F.percentile_approx("d2", H, 1000).alias("edge")), "mcd-edge", n_groups)
-        near = far.join(maybe_broadcast(edge, 50_000), ["g", "start"]).filter("d2 <= edge")
+        bin_ = F.floor(F.log2(F.greatest(_distance(), F.lit(1e-9))) * DISTANCE_BINS)
+        far = vectors.join(maybe_broadcast(model, 20_000), "g").select("g", "start", *STATS, bin_.alias("bin"))
+        edge = staged(_quantiles(far, ["g", "start"], {"edge": H}), "mcd-edge", n_groups)
+        near = far.join(maybe_broadcast(edge, 50_000), ["g", "start"]).filter("bin <= edge")
         model = staged(_solve(near.groupBy("g", "start").agg(*_sums([], [F.col(x) for x in STATS]))), "mcd-step", n_groups)
         now = model.agg(F.avg("logdet").alias("all"), F.count(F.lit(1)).alias("n")).first()
         if not now["n"] or last is not None and abs(last - now["all"]) < 1e-3:
