@@ -18,7 +18,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEAD = frozenset("title meta link base style script noscript".split())
 BLOCK = frozenset("address article aside blockquote body div dl dt dd fieldset figure footer form h1 h2 h3 h4 h5 h6 header html li main nav ol p pre section table tbody tfoot thead tr ul hr".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-SPACES = re.compile("[\\s ​‌‍﻿]+")
+SPACES = re.compile(r"[\s\u00a0\u200b\u200c\u200d\ufeff]+")
 #: Keys of page metadata that say nothing about its content (fixed patterns).
 EXCLUDED = re.compile(
     "^(viewport|charset|x_ua_compatible|format_detection|referrer|color_scheme|theme_color|mobile_web_app_capable|application_name|handheldfriendly|mobileoptimized"
