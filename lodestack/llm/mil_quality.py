@@ -16,6 +16,7 @@ out; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,13 +55,14 @@ def passages(text: str | None, size: int = PASSAGE) -> np.ndarray:
         some = words[a:b]
         joined, n = b" ".join(some), b - a
         chars = len(joined) - n + 1
-        kinds = set(some)
+        counts = Counter(some)
+        kinds = set(counts)
         pairs = set(zip(some, some[1:], strict=False))
         without = lambda drop: (len(joined) - len(joined.translate(None, drop))) / chars  # noqa: E731, B023
         lengths = [len(w) for w in some]
         out.append((
             math.log(n) / 5, chars / n / 8, without(_SYMBOLS), without(_MARKS), without(b"!"), joined.count(b"|") / n, without(_CAPITALS),
-            sum(map(bytes.isupper, some)) / n, without(_DIGITS), without(_HIGH), len(kinds) / n, max(map(some.count, list(kinds)[:8])) / n,
+            sum(map(bytes.isupper, some)) / n, without(_DIGITS), without(_HIGH), len(kinds) / n, max(counts.values()) / n,
             len(kinds & seen) / len(kinds), len(pairs & seen_pairs) / max(1, len(pairs)), breaks, sum(x > 14 for x in lengths) / n,
             sum(x < 3 for x in lengths) / n, sum(w[:1].isupper() for w in some) / n,
         ))

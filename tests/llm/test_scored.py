@@ -265,6 +265,15 @@ def test_quality_classifier(spark):
     assert [r["score"] for r in none] == [0.5] * 3
 
 
+def test_commonest_word():
+    """The share of the commonest word counts every word of the passage."""
+    at = mil_quality.FEATURES.index("commonest")
+    for k in range(20):
+        w = [f"w{k}x{i}" for i in range(60)] + ["stuffed"] * 40
+        random.Random(k).shuffle(w)
+        assert mil_quality.passages(" ".join(w))[0, at] == pytest.approx(0.4)
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     m = mil_quality.GatedAttention(4)
