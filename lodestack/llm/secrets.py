@@ -6,7 +6,9 @@ characters. The null hypothesis of each token is a uniform random string over it
 evidence against it: chi-squared uniformity over the alphabet, runs above and below the middle of the alphabet, and
 serial correlation of neighbours; Fisher's rule joins their p-values. Benjamini-Hochberg then finds the tokens that are not random,
 over the whole corpus, separately per encoding and band of length; short tokens, on which the tests have little power,
-are given up for random at a larger false-discovery rate. The others are reported.
+are given up for random at a larger false-discovery rate. In a corpus of mostly ordinary tokens that procedure alone would
+reject at p-values near its rate and so drop many random ones; hence no token is rejected whose p-value is above a small
+fixed level of its band, which bounds the share of random tokens lost whatever else the corpus holds. The others are reported.
 
 The p-values are counted in bins of their logarithm, so the procedure needs counts per (encoding, band, bin) and never a
 ranking of all tokens; at most len(ENCODINGS) * len(BANDS) thresholds come back. Texts are read once and are not shuffled.
@@ -17,6 +19,8 @@ long texts are scanned whole; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +51,8 @@ ENCODINGS = (
 )
 #: least length of a band, and the false-discovery rate in it
 BANDS = ((20, 0.4), (28, 0.2), (40, 0.1), (64, 0.05))
+#: least length of a band, and the largest p-value at which a token in it is rejected (about twice as many random ones are lost)
+LEVELS = {20: 0.01, 28: 0.01, 40: 0.005, 64: 0.002}
 BINS_PER_E = 20
 LAST_BIN = 600
 
@@ -172,7 +178,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def thresholds(scanned: DataFrame) -> dict[str, int]:
-    """family -> least bin at which the hypothesis of randomness is rejected (Benjamini-Hochberg on binned p-values)."""
+    """family -> least bin at which the hypothesis of randomness is rejected (Benjamini-Hochberg on binned p-values, up to LEVELS)."""
     counts = scanned.select(F.explode("tested").alias("t")).groupBy("t.family", "t.bin").agg(F.count(F.lit(1)).alias("n"))
     family = Window.partitionBy("family")
     least = family.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -180,7 +186,7 @@ def thresholds(scanned: DataFrame) -> dict[str, int]:
     edge = F.exp(-F.col("bin") / F.lit(float(BINS_PER_E)))
     cut = counts.withColumn("k", F.sum("n").over(least)).withColumn("all", F.sum("n").over(family)).filter(edge <= rate * F.col("k") / F.col("all"))
     rows = cut.groupBy("family").agg(F.min("bin").alias("bin")).collect()  # a row per encoding and band at most
-    return {r["family"]: r["bin"] for r in rows}
+    return {r["family"]: max(r["bin"], math.ceil(-math.log(LEVELS[int(r["family"].split("/")[1])]) * BINS_PER_E)) for r in rows}
 
 
 def _written(spans: Column) -> Column:

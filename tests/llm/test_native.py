@@ -138,3 +138,17 @@ def test_secrets(spark):
         elif r["doc_id"] < 900:
             assert r["n_random"] == 0
     assert found >= 0.9 * len(tokens)
+
+
+def test_short_secrets_among_ordinary_tokens(spark):
+    """What else the corpus holds does not drop random tokens of 20 to 27 characters."""
+    rnd = random.Random(10)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    fits = re.compile("(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])")
+    tokens = [t for t in ("".join(rnd.choices(alphabet, k=rnd.randint(20, 27))) for _ in range(150)) if fits.match(t)]
+    words = "get user name list file path config build test main service handler index cache parse query result".split()
+    plain = ["".join(w.capitalize() for w in rnd.choices(words, k=8))[: rnd.randint(19, 26)] + "2" for _ in range(9 * len(tokens))]
+    rows = [(i, f"see {t} there", "s") for i, t in enumerate(tokens)] + [(1000 + i, " ".join(plain[i::50]), "s") for i in range(50)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(frame(spark, rows)).collect()}
+    kept = sum(got[i] == f"random:4:{4 + len(t)}" for i, t in enumerate(tokens))
+    assert kept >= 0.93 * len(tokens)
