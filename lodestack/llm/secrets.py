@@ -10,6 +10,10 @@ are given up for random at a larger false-discovery rate. In a corpus of mostly
 reject at p-values near its rate and so drop many random ones; hence no token is rejected whose p-value is above a small
 fixed level of its band, which bounds the share of random tokens lost whatever else the corpus holds. The others are reported.
 
+A token that as a whole fits no encoding (a path with a hyphen, say) is cut at its separators in three ways (at + and /, at - and
+_, at all four), and every part of 20 or more characters that fits one is judged. Of nested random parts that of the first cut is
+reported; parts that cross are all reported, as any of them may be the secret.
+
 The p-values are counted in bins of their logarithm, so the procedure needs counts per (encoding, band, bin) and never a
 ranking of all tokens; at most len(ENCODINGS) * len(BANDS) thresholds come back. Texts are read once and are not shuffled.
 
@@ -37,6 +41,8 @@ ASSIGN_VALUE = "^" + NAMES + "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)$"
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{16,}"  # a run of fewer never holds one of more
 TOKEN = "[A-Za-z0-9+/_-]{20,}"
+#: parts of a token that fits no encoding, by what they are cut at; no encoding holds separators of both pairs
+PARTS = ("[A-Za-z0-9_-]{20,}", "[A-Za-z0-9+/]{20,}", "[A-Za-z0-9]{20,}")
 KINDS = ("assign", "access", "hex", "random")
 
 #: name, what a token must match, its alphabet; the first that fits is taken
@@ -155,31 +161,55 @@ def _band(length: Column) -> Column:
     return out
 
 
+def _fits(token: Column) -> Column:
+    out = F.lit(False)
+    for _, fits, _ in ENCODINGS:
+        out = out | token.rlike(fits)
+    return out
+
+
+def _candidates(token: Column) -> Column:
+    """The token itself if it fits an encoding, else its parts that do, in order of PARTS; empty if none."""
+
+    def parts(pattern: str) -> Column:
+        moved = lambda s: F.struct((token["start"] + s["start"]).alias("start"), s["kind"].alias("kind"), (token["start"] + s["end"]).alias("end"), s["token"].alias("token"))
+        return F.transform(_spans(token["token"], pattern, 3), moved)
+
+    cut = F.filter(F.array_distinct(F.concat(*map(parts, PARTS))), lambda t: _fits(t["token"]))
+    return F.when(_fits(token["token"]), F.array(token)).otherwise(cut)
+
+
+def _apart(spans: Column) -> Column:
+    """The spans of one token that neither hold one before them nor lie in one."""
+    within = lambda a, b: (b["start"] <= a["start"]) & (a["end"] <= b["end"])
+    add = lambda done, s: F.when(F.exists(done, lambda d: within(d, s) | within(s, d)), done).otherwise(F.concat(done, F.array(s)))
+    return F.aggregate(spans, F.slice(spans, 1, 0), add)
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base (spans), tested (candidate tokens with encoding, band and bin of the p-value); one row per document.
+    """doc_id, base (spans), tested (per token its candidates with encoding, band and bin of the p-value); one row per document.
 
     The texts are read once; what the patterns find in them is written before tokens are tested.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), base_spans(text).alias("base"), _spans(text, TOKEN, 3).alias("tokens")), "secrets-found")
-    free = F.filter("tokens", lambda t: t["token"].rlike("[0-9]") & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    judged = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), randomness(t["token"]).alias("r")))
+    free = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    judge = lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), randomness(t["token"]).alias("r"))
+    judged = F.transform(F.filter("tokens", lambda t: t["token"].rlike("[0-9]")), lambda t: F.transform(F.filter(_candidates(t), free), judge))
     base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
-    tested = F.transform(
-        F.filter("judged", lambda t: t["r"].isNotNull()),
-        lambda t: F.struct(
-            t["start"].alias("start"),
-            t["end"].alias("end"),
-            F.concat_ws("/", t["r"]["encoding"], _band(t["end"] - t["start"]).cast("string")).alias("family"),
-            F.least(F.floor(-F.log(t["r"]["p"]) * BINS_PER_E), F.lit(LAST_BIN)).cast("int").alias("bin"),
-        ),
+    test = lambda t: F.struct(
+        t["start"].alias("start"),
+        t["end"].alias("end"),
+        F.concat_ws("/", t["r"]["encoding"], _band(t["end"] - t["start"]).cast("string")).alias("family"),
+        F.least(F.floor(-F.log(t["r"]["p"]) * BINS_PER_E), F.lit(LAST_BIN)).cast("int").alias("bin"),
     )
+    tested = F.transform(F.filter("judged", lambda c: F.size(c) > 0), lambda c: F.transform(c, test))
     return found.select("doc_id", base.alias("base"), judged.alias("judged")).select("doc_id", "base", tested.alias("tested"))
 
 
 def thresholds(scanned: DataFrame) -> dict[str, int]:
     """family -> least bin at which the hypothesis of randomness is rejected (Benjamini-Hochberg on binned p-values, up to LEVELS)."""
-    counts = scanned.select(F.explode("tested").alias("t")).groupBy("t.family", "t.bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = scanned.select(F.explode(F.flatten("tested")).alias("t")).groupBy("t.family", "t.bin").agg(F.count(F.lit(1)).alias("n"))
     family = Window.partitionBy("family")
     least = family.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     rate = F.element_at(F.create_map(*[F.lit(x) for least_len, q in BANDS for x in (str(least_len), q)]), F.split("family", "/")[1])
@@ -199,8 +229,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     scanned = staged(scan(docs), "secrets-scan")
     cut = thresholds(scanned)
     limit = F.create_map(*[F.lit(x) for f, b in cut.items() for x in (f, b)]) if cut else F.create_map().cast("map<string,int>")
-    random = F.filter("tested", lambda t: t["bin"] < F.coalesce(F.element_at(limit, t["family"]), F.lit(LAST_BIN + 1)))
-    added = F.transform(random, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    random = lambda t: t["bin"] < F.coalesce(F.element_at(limit, t["family"]), F.lit(LAST_BIN + 1))
+    added = F.transform(F.flatten(F.transform("tested", lambda c: _apart(F.filter(c, random)))), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     number = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long")
     return scanned.select(
         "doc_id",

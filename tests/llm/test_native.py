@@ -152,3 +152,25 @@ def test_short_secrets_among_ordinary_tokens(spark):
     got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(frame(spark, rows)).collect()}
     kept = sum(got[i] == f"random:4:{4 + len(t)}" for i, t in enumerate(tokens))
     assert kept >= 0.93 * len(tokens)
+
+
+def test_secrets_in_paths(spark):
+    """A token that fits no encoding is judged by its parts, at their places."""
+    secret, url = "aB3dE5fG7hJ9kL1mN3pQ5rS7", "aB3dE-fG7hJ_kL1mN3pQ5rS7xZ0v"
+    texts = {
+        f"https://h.test/reset-link/{secret}": [secret],
+        f"é😀 /a_b/{url}/end-of+path": [url, "kL1mN3pQ5rS7xZ0v/end"],
+        "my-file_aB3+dE5fG7/hJ9kL1mN3pQ5rS7xZ0v-copy": ["aB3+dE5fG7/hJ9kL1mN3pQ5rS7xZ0v", "hJ9kL1mN3pQ5rS7xZ0v-copy"],
+        f"/x-y/{secret}/z_w/{secret[::-1]} {secret}": [secret, secret[::-1], secret],
+        "see /usr-local/share_files/of-2/some_package/with-no/secret_in/it": [],
+        f"/a-b/{secret}/deadbeefdeadbeef99": [secret],
+    }
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(frame(spark, rows)).collect()}
+    for i, (t, want) in enumerate(texts.items()):
+        spans, at = [], 0
+        for w in want:
+            at = t.index(w, at)
+            spans.append(f"random:{at}:{at + len(w)}")
+            at += 1
+        assert [s for s in got[i]["spans"].split(",") if s.startswith("random")] == spans and got[i]["n_random"] == len(want)
