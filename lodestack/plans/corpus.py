@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import content_hash, trim
@@ -32,14 +32,15 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, segment_index, body, content_hash, embedding: the distinct lines of each document, the first of equal ones kept.
 
-    A document's first segment has its vector.
+    A document's first segment has its vector, also where blank lines come before it.
     """
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = lines.withColumn("body", trim(F.col("line"))).filter("body <> ''").withColumn("content_hash", content_hash(F.col("body")))
     first = lines.groupBy("doc_id", "content_hash").agg(F.min(F.struct("at", "body")).alias("m"))
     cut = first.select("doc_id", F.col("m.at").alias("segment_index"), F.col("m.body").alias("body"), "content_hash")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("segment_index"), "embedding")
-    return cut.join(vectors, ["doc_id", "segment_index"], "left")
+    cut = cut.withColumn("_first", F.col("segment_index") == F.min("segment_index").over(Window.partitionBy("doc_id")))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("_first"), "embedding")
+    return cut.join(vectors, ["doc_id", "_first"], "left").drop("_first")
 
 
 def queries(spark: SparkSession, sf_dir: str, words: int = 2) -> DataFrame:

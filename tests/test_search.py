@@ -168,3 +168,12 @@ def test_captures(spark, tmp_path):
     pairs, missing = compare(read_capture(spark, f"{tmp_path}/a"), read_capture(spark, f"{tmp_path}/b"))
     assert [(r["q"], r["a"], r["b"]) for r in pairs.collect()] == [("q1", ["a", "b"], ["a", "b"])]
     assert [r["q"] for r in missing.collect()] == ["q2"]
+
+
+def test_first_segment_after_blank_lines_has_the_vector(spark, tmp_path):
+    from lodestack.plans import corpus
+
+    spark.createDataFrame([(1, "a\nb"), (2, " \n\nc\nd"), (3, "e")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["doc_id"], r["segment_index"]): r["embedding"] for r in corpus.segments(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): [1.0], (1, 1): None, (2, 2): [2.0], (2, 3): None, (3, 0): None}
