@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word rule, as a regular expression class for Java, Python and RE2.
@@ -89,6 +89,25 @@ def maybe_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """A top-level column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone (doc_id; null is a value like any other); every column stays as it is."""
+    name = fresh(docs, "gone")
+    return docs.join(maybe_broadcast(gone.select(F.col("doc_id").alias(name))), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

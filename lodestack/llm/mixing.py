@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WHITE, WORD, maybe_broadcast, staged, word_count
+from lodestack.llm.common import WHITE, WORD, column, maybe_broadcast, staged, word_count
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -35,7 +35,10 @@ def _hash(seed: int):
 
 
 def water_fill(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """source, source_size -> source, source_size, target. One row per source; null is a source."""
+    """source, source_size -> source, source_size, target. One row per source; null is a source.
+
+    The windows run over all sources in one task: a row of a few numbers per source, however many documents there are.
+    """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     named = sizes.select("source", "source_size", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).alias("weight"))
@@ -106,20 +109,21 @@ def repeat_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     The columns stay as they are; n_chars of a shortened text is counted again where that column exists.
     The texts themselves are never shuffled: a row needs no more than its source's small row of targets.
     """
-    columns = docs.columns
+    columns, row = docs.columns, F.struct(*map(column, docs.columns))
     sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     edges = targets(_seeded(sized, seed))
-    rows = docs.select(F.struct(*columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = docs.select(row.alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
     taken = _apply(_seeded(rows, seed), edges).filter("whole > 0 OR part > 0")
     out = taken.withColumn("turn", F.explode(F.expr("sequence(1, CAST(whole + IF(part > 0, 1, 0) AS INT))")))
     cut = (F.col("turn") > F.col("whole")) & (F.col("part") < F.col("size"))
     # words with the white space after them, put together again: the leading part as it stood in the text
     pieces = F.regexp_extract_all(F.col("row.text"), F.lit(f"({WORD}{WHITE}*)"), F.lit(1))
     text = F.when(cut, F.array_join(F.slice(pieces, F.lit(1), F.col("part").cast("int")), "")).otherwise(F.col("row.text"))
-    out = out.select("row.*", cut.alias("_cut"), text.alias("_text")).withColumn("text", F.col("_text"))
+    out = out.withColumn("row", F.col("row").withField("text", text))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+        counted = F.char_length(F.col("row.text")).cast(dict(docs.dtypes)["n_chars"])
+        out = out.withColumn("row", F.col("row").withField("n_chars", F.when(cut, counted).otherwise(F.col("row.n_chars"))))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
 ORACLE_SQL = f"""

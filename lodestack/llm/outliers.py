@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WHITE_BYTES, maybe_broadcast, small_batches, staged
+from lodestack.llm.common import WHITE_BYTES, maybe_broadcast, small_batches, staged, without
 
 WINDOW = 5
 MIN_GROUP = 100
@@ -280,5 +280,4 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, cutoff: float = C
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs without the rejected ones; columns stay as they are. Rows that share a doc_id go if any of them is rejected."""
-    gone = staged(quality_rules(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "mcd-gone")
-    return docs.join(maybe_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, staged(quality_rules(docs).filter("not kept").select("doc_id").distinct(), "mcd-gone"))

@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import FILE_ROWS, maybe_broadcast, small_batches, staged
+from lodestack.llm.common import FILE_ROWS, maybe_broadcast, small_batches, staged, without
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
 SHARD_ROWS = 20_000
+#: distinct fingerprints that one task turns into rows of shards
+SPREAD_ROWS = 100_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -144,6 +146,9 @@ def _masks(b: int) -> list[int]:
 def links(distinct: DataFrame, n: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """a, b: spanning links between distinct fingerprints (fp) that differ in at most RADIUS bits."""
     masks = F.array(*[F.lit(m) for m in _masks(blocks_for(n))])
+    # every fingerprint becomes a row per choice: its table is spread over all tasks before, however few files it has
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, n // SPREAD_ROWS)
+    distinct = distinct.repartition(tasks, "fp")
     keyed = distinct.select("fp", F.posexplode(masks).alias("choice", "mask")).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("part"))
     hot = staged(keyed.groupBy("choice", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_rows), "simhash-hot")
     salts = F.greatest(F.ceil(F.col("n") * 2 / shard_rows), F.lit(1)).cast("int")
@@ -232,6 +237,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id stay or go together; a null doc_id goes only if its component has another.
     """
-    gone = near_duplicates(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = staged(gone, "simhash-gone")
-    return docs.join(maybe_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = near_duplicates(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return without(docs, staged(gone, "simhash-gone"))
