@@ -4,8 +4,8 @@ A document is a bag of passages of PASSAGE words. Every passage is described by
 lengths, variety, repetition of earlier passages) and encoded by a learned layer. Gated attention (a tanh and a sigmoid branch) gives each passage
 a weight, learned from document labels alone, and the weighted sum of encodings is scored.
 
-The model is trained by Adam on at most MAX_LABELLED labelled documents (a documented bound, by hash; whole texts) and is a few
-kilobytes; scoring reads every whole text once where it lies, without a shuffle. Language, source and identifier are never
+The model is trained by Adam on at most MAX_LABELLED labelled documents of at most MAX_PASSAGES passages (documented bounds; the choice is
+by hash, the texts are whole, and of rows that share a doc_id one is taken) and is a few kilobytes; scoring reads every whole text once where it lies, without a shuffle. Language, source and identifier are never
 inputs. Rows whose crc32(doc_id as text) mod 3 is 1 are held out: their labels are not read.
 
 Defined results: null and empty texts are one passage of zeros and are scored; without labelled rows of both kinds every score is the
@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import small_batches
-from lodestack.llm.toxicity import held_out, training_labels
+from lodestack.llm.toxicity import held_out, labelled_texts, training_labels
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.5
 MAX_LABELLED = 8_000
+#: passages of the longest document that is learned from; every document is scored
+MAX_PASSAGES = 200
 PASSAGE = 100
 HIDDEN, GATE, EPOCHS, BATCH = 24, 12, 40, 64
 
@@ -138,16 +140,22 @@ class GatedAttention:
 
 
 def bags_of(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Passages of the labelled sample, in order of doc_id; at most MAX_LABELLED documents come to the driver, as numbers."""
+    """Passages of the labelled sample, in order of doc_id.
+
+    As numbers they come to the driver: one row of at most MAX_LABELLED documents, of at most MAX_PASSAGES passages each
+    (a longer document is not learned from).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [passages(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "label", "bag"])
+            few = pa.array([len(r) <= MAX_PASSAGES for r in rows], pa.bool_())
+            cells = pa.array([r.tobytes() if k else None for r, k in zip(rows, few.to_pylist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), cells], names=["doc_id", "label", "bag"]).filter(few)
 
     small_batches(docs.sparkSession)
-    some = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").join(F.broadcast(labels.select("doc_id", "label")), "doc_id")
-    rows = some.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label double, bag binary").toPandas().sort_values(["doc_id", "label"])
+    some = labelled_texts(docs, labels).select("doc_id", "text", "label")
+    rows = some.mapInArrow(run, "doc_id long, label double, bag binary").toPandas().sort_values("doc_id")
     return [np.frombuffer(x, np.float32).reshape(-1, len(FEATURES)) for x in rows["bag"]], rows["label"].to_numpy(np.float32)
 
 

@@ -5,7 +5,7 @@ and obfuscated words (letters mixed with digits or symbols, and lexicon words fo
 lexicon is learned: words and word beginnings whose document frequency is far higher in toxic documents. Labelled rows are dealt by a
 hash of their identifier to three parts, for the lexicon, the trees and the calibration, so that none sees what another has
 fitted.
-At most MAX_LABELLED labelled rows (a documented bound, by hash) are used; everything is scored.
+At most MAX_LABELLED labelled documents (a documented bound, by hash), one row of each, are learned from; everything is scored.
 
 Language, source and identifier are never inputs of a score. Rows whose crc32(doc_id as text) mod 4 is 2 are held
 out: their labels are not read.
@@ -103,16 +103,24 @@ def training_labels(labels: DataFrame, column: str, folds: int, which: int, limi
     return known.filter(F.col("unit") < share * (1 << 20)).select("doc_id", "label", (F.col("unit") % 4).alias("part"))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, size: int = LEXICON_WORDS) -> dict[str, float]:
-    """Entry -> log odds, for words and beginnings (with a star) in far more toxic than other documents of `labels` (doc_id, label).
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, label, part, text: one row for each of `labels` (of training_labels, so a bounded number) that docs has.
+
+    Of rows that share a doc_id the one with the least hash of its text is learned from, however many there are.
+    """
+    rows = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "coalesce(text, '') AS text").join(F.broadcast(labels), "doc_id")
+    return rows.groupBy("doc_id", "label", "part").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("m")).select("doc_id", "label", "part", "m.text")
+
+
+def learn_lexicon(texts: DataFrame, size: int = LEXICON_WORDS) -> dict[str, float]:
+    """Entry -> log odds, for words and beginnings (with a star) in far more toxic than other documents of `texts` (label, text).
 
     The odds are shrunk towards 0 for entries of few documents.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]{2,})"), F.lit(1)))
     stems = F.transform(F.filter(words, lambda w: F.char_length(w) >= STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
-    rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")  # labels: MAX_LABELLED rows
-    rows = rows.select("label", F.explode(F.concat(words, F.array_distinct(stems))).alias("word"))
-    total = labels.agg(F.expr("count_if(label > 0)").alias("bad"), F.expr("count_if(label <= 0)").alias("good")).first()
+    rows = texts.select("label", F.explode(F.concat(words, F.array_distinct(stems))).alias("word"))
+    total = texts.agg(F.expr("count_if(label > 0)").alias("bad"), F.expr("count_if(label <= 0)").alias("good")).first()
     bad, good = total["bad"] or 0, total["good"] or 0
     odds = F.log((F.col("b") + 0.5) / (bad + 1)) - F.log((F.col("g") + 0.5) / (good + 1))
     counted = rows.groupBy("word").agg(F.sum("label").alias("b"), F.sum(1 - F.col("label")).alias("g")).filter(F.col("b") >= max(MIN_DOCUMENTS, MIN_SUPPORT * bad))
@@ -125,33 +133,42 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import IsotonicRegression
 
     known = staged(training_labels(labels, "toxic", FOLDS, HELD_OUT, MAX_LABELLED), "toxic-labels")
-    lexicon = learn_lexicon(docs, known.filter("part < 2").select("doc_id", "label"))
+    texts = staged(labelled_texts(docs, known), "toxic-texts")
+    lexicon = learn_lexicon(texts.filter("part < 2"))
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     table = staged(featured(docs, lexicon), "toxic-features")
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
+    marked = staged(featured(texts, lexicon).join(F.broadcast(known), "doc_id"), "toxic-marked")
+    labelled = vectors.transform(marked).select("features", "label", "part")
     both = lambda df: {r["label"] for r in df.select("label").distinct().collect()} >= {0.0, 1.0}
-    labelled = vectors.join(F.broadcast(known), "doc_id").select("features", "label", "part")
     fit = labelled.filter("part = 2").coalesce(8).cache()
     if both(fit):
         trees = GBTClassifier(maxIter=15, maxDepth=3, stepSize=0.3, maxBins=64, seed=7).fit(fit)
-        fit.unpersist()
         raw = lambda df: trees.transform(df).withColumn("raw", vector_to_array("probability")[1])
-        held = raw(labelled.filter("part = 3")).select("raw", "label").cache()
-        if both(held):
-            curve = IsotonicRegression(featuresCol="raw", labelCol="label").fit(held)
-            scored = _calibrated(curve, raw(vectors))
-        else:
-            scored = raw(vectors).withColumn("score", F.col("raw"))
-        held.unpersist()
+        scored = calibrate(raw(labelled.filter("part = 3")).select("raw", "label")).transform(raw(vectors.transform(table)).select("doc_id", "raw"))
+        scored = scored.withColumn("score", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)))
     else:
         prior = known.agg(F.avg("label")).first()[0] or 0.0
         scored = table.withColumn("score", F.lit(float(prior)))
+    fit.unpersist()
     return scored.select("doc_id", held_out(FOLDS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def _calibrated(curve, scored: DataFrame) -> DataFrame:
-    """The isotonic curve applied to column raw; a little of raw breaks ties within its steps."""
-    done = curve.transform(scored.select("doc_id", "raw"))
-    return done.withColumn("score", F.least(F.greatest(0.98 * F.col("prediction") + 0.02 * F.col("raw"), F.lit(0.0)), F.lit(1.0)))
+def calibrate(held: DataFrame):
+    """The isotonic curve of label on raw, centred: a model with inputs raw and output prediction.
+
+    Equal raw scores are joined before the fit, so no task holds more than the distinct ones. Each step of the curve becomes
+    one point in the middle of its raw scores, at its share of labels with half a row of each kind added; (0, 0) and (1, 1)
+    close it. Between the points it is linear, so that a higher raw score is a higher calibrated one (centred isotonic regression).
+    """
+    from pyspark.ml.regression import IsotonicRegression
+
+    regression = lambda: IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="n", predictionCol="prediction")
+    rows = staged(held.groupBy("raw").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("n")), "toxic-held")
+    ends = rows.sparkSession.createDataFrame([(0.0, 0.0, 1.0), (1.0, 1.0, 1.0)], "raw double, label double, n double")
+    if rows.isEmpty():
+        return regression().fit(ends)
+    steps = regression().fit(rows).transform(rows).groupBy("prediction").agg(F.sum(F.col("raw") * F.col("n")).alias("raw"), F.sum(F.col("label") * F.col("n")).alias("bad"), F.sum("n").alias("n"))
+    points = steps.select((F.col("raw") / F.col("n")).alias("raw"), ((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("label"), "n")
+    return regression().fit(points.union(ends).coalesce(1))
