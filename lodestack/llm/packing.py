@@ -3,14 +3,14 @@
 Every task packs the documents it reads in blocks of a bounded number of tokens, so nothing is shuffled and no
 task sees more than its share. In a block:
 
-1. Route: a document goes to the largest tier that it fills at least once (tiers are powers of two, the largest
-   is the context size); shorter ones go to the smallest tier.
-2. Pack each tier: whole windows of the tier are cut off a document and stand alone without padding. What is
-   left is shorter than its tier and opens a long window, or waits as a filler of the longest tier below it.
-3. Fill: a long window's gap takes the longest waiting piece that fits, from tier to shorter tier; when none
-   fits, the gap is closed by cutting a waiting piece. Whatever is left at the end of a block waits for the
-   next block of the task; at the end of the task it is cut at tier sizes, and only a last window below the
-   smallest tier is padded.
+1. Route: whole windows of the context size are cut off a document and stand alone; what is left goes to the smallest
+   tier (a power of two) that holds it.
+2. Pack each tier, the longest first: its longest piece opens a window of its size, and further pieces of the tier
+   follow while they fit.
+3. Fill: a window's gap takes the longest waiting piece that fits, from tier to shorter tier; when none
+   fits, the gap is closed by cutting a waiting piece, whose rest waits in the tier of its new length. Pieces too few to
+   fill a window of their tier wait for the next block of the task; at the end of the task they are cut at powers of two, so no
+   sequence is padded.
 4. Balance: sequences are dealt to step groups of equal token totals (largest first, to the emptiest group of
    the block).
 
@@ -128,52 +128,60 @@ class TokenCache:
 
 
 class TierPacker:
-    """Packs pieces of one task; a piece is (doc number, start, length)."""
+    """Packs pieces of one task; a piece is (length, doc number, start) and waits in the queue of its tier, sorted."""
 
     def __init__(self, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS):
         self.tiers, self.step_tokens = tuple(sorted(tiers, reverse=True)), step_tokens
-        self.size = self.tiers[0]
-        self.waiting: list[tuple[int, int, int]] = []  # (length, doc, start), sorted
+        self.waiting: dict[int, list[tuple[int, int, int]]] = {t: [] for t in self.tiers}
         self.done: list[list[tuple[int, int, int]]] = []
 
     def route(self, doc: int, tokens: int) -> None:
-        """Cut a document's whole windows of its tier; the rest waits."""
-        tier = next((t for t in self.tiers if t <= tokens), self.tiers[-1])
-        whole = tokens // tier if tokens >= tier else 0
-        self.done += [[(doc, k * tier, tier)] for k in range(whole)]
-        start = whole * tier
-        # the rest may itself fill a window of a shorter tier; kept together it fills gaps better
-        if tokens > start:
-            insort(self.waiting, (tokens - start, doc, start))
-
-    def _take_fit(self, gap: int) -> tuple[int, int, int] | None:
-        at = bisect_right(self.waiting, (gap, float("inf"), 0))
-        return self.waiting.pop(at - 1) if at else None
-
-    def fill(self, last: bool) -> None:
-        """Open long windows with the longest waiting pieces and fill their gaps from shorter ones."""
-        total = sum(w[0] for w in self.waiting)
-        while total >= self.size or last and total:
-            window, gap = [], min(self.size, self._tier_of(total))
-            total -= min(gap, total)
-            while gap and self.waiting:
-                got = self._take_fit(gap)
-                if got is None:  # all are longer than the gap: cut one
-                    n, doc, start = self.waiting.pop(0)
-                    insort(self.waiting, (n - gap, doc, start + gap))
-                    got = (gap, doc, start)
-                window.append((got[1], got[2], got[0]))
-                gap -= got[0]
-            self.done.append(window)
-
-    def _tier_of(self, total: int) -> int:
-        """The largest tier that the waiting tokens fill, else the largest window of all."""
-        return next((t for t in self.tiers if t <= total), self.size)
+        """Whole windows of the context size stand alone; what is left goes to the smallest tier that holds it."""
+        whole = tokens // self.tiers[0]
+        self.done += [[(self.tiers[0], doc, k * self.tiers[0])] for k in range(whole)]
+        self._wait(tokens - whole * self.tiers[0], doc, whole * self.tiers[0])
+
+    def _wait(self, length: int, doc: int, start: int) -> None:
+        if length:
+            insort(self.waiting[next(t for t in reversed(self.tiers) if length <= t)], (length, doc, start))
+
+    def pack(self, last: bool) -> None:
+        """Fill windows of every tier, the longest first, as far as waiting pieces fill them; at the last, all that is left."""
+        for k, tier in enumerate(self.tiers):
+            queues = [self.waiting[t] for t in self.tiers[k:]]
+            tokens = sum(p[0] for q in queues for p in q)
+            while queues[0] and tokens >= tier:
+                self.done.append(self._window(queues, tier))
+                tokens -= tier
+        if last:
+            every = [self.waiting[t] for t in self.tiers]
+            tokens = sum(p[0] for q in every for p in q)
+            while tokens:  # powers of two need no padding
+                size = min(self.tiers[0], 1 << tokens.bit_length() - 1)
+                self.done.append(self._window(every, size))
+                tokens -= size
+
+    def _window(self, queues: list[list], size: int) -> list[tuple[int, int, int]]:
+        """A full window: the longest piece that fits the gap, from the window's own tier to shorter ones; if none fits, one is cut."""
+        window, gap = [], size
+        while gap:
+            for q in queues:
+                at = bisect_right(q, (gap, float("inf"), 0))
+                if at:
+                    piece = q.pop(at - 1)
+                    break
+            else:
+                n, doc, start = next(q for q in reversed(queues) if q).pop(0)
+                self._wait(n - gap, doc, start + gap)
+                piece = (gap, doc, start)
+            window.append(piece)
+            gap -= piece[0]
+        return window
 
     def take(self) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
         """The packed sequences with the number of their step group, balanced over the groups."""
         done, self.done = self.done, []
-        sizes = [sum(p[2] for p in s) for s in done]
+        sizes = [sum(p[0] for p in s) for s in done]
         groups = max(1, -(-sum(sizes) // self.step_tokens))
         load = [(0, g) for g in range(groups)]
         for i in sorted(range(len(done)), key=lambda i: (-sizes[i], i)):
@@ -190,17 +198,17 @@ def pack_batches(batches: Iterable[pa.RecordBatch], cache: TokenCache, partition
 
     def block(last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal n_seq, n_group, held
-        packer.fill(last)
+        packer.pack(last)
         rows, groups = [], 0
         for g, seq in packer.take():
             at = 0
-            for doc, start, length in seq:
+            for length, doc, start in seq:
                 doc_id, ids = held[doc]
                 rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, n_seq, at, n_group + g))
                 at += length
             groups, n_seq = max(groups, g + 1), n_seq + 1
         n_group += groups
-        left = {w[1] for w in packer.waiting}
+        left = {p[1] for q in packer.waiting.values() for p in q}
         held = {d: v for d, v in held.items() if d in left}
         for i in range(0, len(rows), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 50_000], strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
