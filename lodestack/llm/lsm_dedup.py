@@ -1,13 +1,15 @@
 """Exact deduplication through a log-structured merge index, in DataFrame operations only.
 
-* A memtable is what one task reads. It is flushed as one sorted run: a Parquet file of
-  (digest, doc_id, n_points, sha256) sorted by a 64-bit digest, with a Bloom filter on the digest and
-  the digest's range in the footer. Runs hold no text and flushing shuffles nothing.
-* Compaction merges runs by digest and keeps the best identifier of each: most code points, then the
-  smallest doc_id. Only digests that occur twice or more are hits.
-* Hits are verified byte by byte: over the rows of a SHA-256 the smallest and the largest normalised
-  text have to be the same bytes. Both are aggregated on the map side first, so a group with a third
-  of all rows sends one row per task.
+* A memtable is what one task reads. It is flushed as one sorted run of level 0: a Parquet file of
+  (digest, doc_id, n_points, row_no, sha) sorted by a 64-bit digest. Runs hold no text and flushing shuffles nothing.
+* Compaction merges runs into level 1: one row for each digest with the number of its entries and the best identifier (most code
+  points, then the smallest doc_id). Runs are combined on the map side first, so a digest with a third of all rows sends one row per task.
+* A filter (a Bloom filter in blocks, one row per block) holds the digests that a compacted level marks as hits. It is at most
+  MAX_BLOCKS * 512 bytes whatever the index holds, so it is broadcast; beyond that size more rows pass it by chance,
+  which costs work and changes nothing.
+* Probing reads entries and texts through the filter: only rows that pass go on. Of their texts and entries those of one SHA-256
+  form a class. Hits are verified byte by byte: over the rows of a class the smallest and the largest normalised text have to
+  be the same bytes. Both are aggregated on the map side first, too. Other texts are never shuffled.
 
 Defined results: null texts count as empty; all texts without a word fall in one group; a null doc_id
 comes after every other; rows that repeat one (doc_id, text) count separately in group_size and exactly
@@ -16,12 +18,16 @@ one of them has kept = true; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WHITE, maybe_broadcast, new_path, staged
+from lodestack.llm.common import WHITE, fresh, maybe_broadcast, new_path, staged
 
 RUN_SCHEMA = "digest long, doc_id long, n_points int, row_no long, sha binary"
+#: bits of one block of the filter, bits set for each digest, and the most blocks (64 MB)
+BLOCK_BITS, BITS_EACH, MAX_BLOCKS = 4096, 4, 1 << 17
 
 
 def normalised(text):
@@ -33,24 +39,17 @@ def _best():
     return F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("none"), "doc_id", "row_no"))
 
 
-def flush(docs: DataFrame, path: str, runs_ndv: int = 1_000_000) -> None:
+def flush(docs: DataFrame, path: str) -> None:
     """Append one sorted run per task to the index at `path`."""
     norm = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("norm", normalised(F.col("text")))
-    (
-        norm.select(
-            F.xxhash64("norm").alias("digest"),
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.char_length("text").alias("n_points"),
-            F.monotonically_increasing_id().alias("row_no"),
-            F.unhex(F.sha2("norm", 256)).alias("sha"),
-        )
-        .sortWithinPartitions("digest", "doc_id")
-        .write.mode("append")
-        .option("parquet.bloom.filter.enabled#digest", "true")
-        .option("parquet.bloom.filter.expected.ndv#digest", str(runs_ndv))
-        .option("parquet.bloom.filter.adaptive.enabled", "true")
-        .parquet(path)
+    entries = norm.select(
+        F.xxhash64("norm").alias("digest"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.char_length("text").alias("n_points"),
+        F.monotonically_increasing_id().alias("row_no"),
+        F.unhex(F.sha2("norm", 256)).alias("sha"),
     )
+    entries.sortWithinPartitions("digest", "doc_id").write.mode("append").parquet(path)
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
@@ -58,23 +57,50 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact(all_runs: DataFrame) -> DataFrame:
-    """Merge runs: one row per digest with its best identifier and the number of entries."""
-    return all_runs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), _best().alias("best"))
+    """Merge runs: one row per digest with its best identifier and the number of entries, in order of digest within each file."""
+    return all_runs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), _best().alias("best")).sortWithinPartitions("digest")
+
+
+def _block(n_blocks: int) -> Column:
+    return F.pmod(F.shiftrightunsigned("digest", 47), F.lit(n_blocks)).cast("int")
+
+
+def _bits() -> list[Column]:
+    """BITS_EACH places within a block, from parts of the digest that the block's number does not use."""
+    return [F.shiftrightunsigned("digest", 12 * k).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for k in range(BITS_EACH)]
+
 
+def build_filter(hits: DataFrame, n_hits: int) -> DataFrame:
+    """block, words: the Bloom filter of hits(digest), at least 12 bits for each as long as MAX_BLOCKS allows."""
+    n_blocks = min(MAX_BLOCKS, 1 << max(0, (12 * n_hits // BLOCK_BITS).bit_length()))
+    marks = hits.select(_block(n_blocks).alias("block"), F.explode(F.array(*_bits())).alias("bit"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64)
+    words = marks.groupBy("block", F.shiftright("bit", 6).alias("w")).agg(F.bit_or(one).alias("bits"))
+    whole = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long")))
+    return whole.select("block", F.lit(n_blocks).alias("n_blocks"), each.alias("words"))
 
-def probe(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows of `docs` whose digest is in `index` (digest); a hit is not yet verified."""
-    rows = docs.withColumn("norm", normalised(F.col("text"))).withColumn("digest", F.xxhash64("norm"))
-    return rows.join(maybe_broadcast(index.select("digest"), 2_000_000), "digest", "left_semi")
+
+def through(rows: DataFrame, filter_: DataFrame) -> DataFrame:
+    """The rows whose digest the filter may hold: all that it holds and, below its largest size, about one in a hundred others."""
+    first = filter_.select("n_blocks").first()
+    if first is None:
+        return rows.limit(0)
+    blocks = filter_.select(F.col("block").alias("of_block"), "words")
+    found = rows.join(F.broadcast(blocks), _block(first["n_blocks"]) == F.col("of_block"))  # at most MAX_BLOCKS rows of 512 bytes
+    inside = [F.call_function("shiftright", F.get("words", F.shiftright(b, 6)), b % 64).bitwiseAND(F.lit(1)) == 1 for b in _bits()]
+    return found.filter(reduce(Column.__and__, inside)).drop("of_block", "words")
+
+
+def probe(docs: DataFrame, filter_: DataFrame) -> DataFrame:
+    """digest, sha and normalised text of the rows of docs(text) that pass the filter; a hit is not yet verified."""
+    rows = docs.select(normalised(F.col("text")).alias("norm")).withColumn("digest", F.xxhash64("norm"))
+    return through(rows, filter_).select("digest", F.unhex(F.sha2("norm", 256)).alias("sha"), "norm")
 
 
 def verify(hits: DataFrame) -> DataFrame:
     """One row per (digest, SHA-256) of the hits, after comparing the bytes; a SHA-256 shared by two texts is an error."""
-    groups = (
-        hits.select("digest", F.unhex(F.sha2("norm", 256)).alias("sha"), "norm")
-        .groupBy("digest", "sha")
-        .agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
-    )
+    groups = hits.groupBy("digest", "sha").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
     same = F.when(F.col("least") == F.col("most"), True).otherwise(F.raise_error(F.lit("two texts share one SHA-256")).cast("boolean"))
     return groups.select("digest", "sha", same.alias("verified"))
 
@@ -85,13 +111,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     path = new_path(spark, "lsm-runs")
     flush(docs, path)
     entries = runs(spark, path)
-    hits = staged(compact(entries).filter("n > 1").select("digest"), "lsm-hits")
-    hit_set = maybe_broadcast(hits, 2_000_000)
-    verified = verify(probe(docs.select("doc_id", "text"), hits))
+    level = staged(compact(entries), "lsm-level")
+    hits = level.filter("n > 1").select("digest")
+    filter_ = staged(build_filter(hits, hits.count()), "lsm-filter", MAX_BLOCKS)
+    verified = verify(probe(docs, filter_))
     classes = (
-        entries.join(hit_set, "digest", "left_semi")
+        through(entries, filter_)
         .groupBy("digest", "sha")
         .agg(F.count(F.lit(1)).alias("n"), _best().alias("best"))
+        .filter("n > 1")
         .join(verified, ["digest", "sha"])
         .filter("verified")
         .select("digest", "sha", "n", F.col("best.doc_id").alias("best_id"), F.col("best.row_no").alias("best_row"))
@@ -109,19 +137,19 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def keep_unique(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops; the columns stay as they are."""
     result = staged(exact_dedup(docs).select("doc_id", "kept", "text_sha256"), "lsm-result")
-    gone = result.filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"))
-    again = result.groupBy("doc_id", "text_sha256").agg(F.count_if("kept").alias("k"), F.count(F.lit(1)).alias("n"))
+    doc, sha = fresh(docs, "gone_id"), fresh(docs, "gone_sha")
+    again = result.groupBy("doc_id", "text_sha256").agg(F.count_if("kept").alias("k"), F.count(F.lit(1)).alias("n")).filter("k < n")
+    again = staged(again.select(F.col("doc_id").alias(doc), F.col("text_sha256").alias(sha), (F.col("k") > 0).alias("repeated")), "lsm-gone")
+    text_sha = F.sha2(normalised(F.col("text")), 256)
+    gone = again.filter("not repeated").drop("repeated")
+    kept = docs.join(maybe_broadcast(gone), F.col("doc_id").eqNullSafe(F.col(doc)) & (text_sha == F.col(sha)), "left_anti")
     # a repeated (doc_id, text) whose group keeps one of its rows
-    repeated = staged(again.filter("k > 0 and n > 1").select(F.col("doc_id").alias("_again"), F.col("text_sha256").alias("_sha")), "lsm-repeats")
-    sha = F.sha2(normalised(F.col("text")), 256)
-    gone = staged(gone.join(repeated, gone["_gone"].eqNullSafe(repeated["_again"]) & (gone["_sha"] == repeated["_sha"]), "left_anti").distinct(), "lsm-gone")
-    kept = docs.join(maybe_broadcast(gone), docs["doc_id"].eqNullSafe(F.col("_gone")) & (sha == F.col("_sha")), "left_anti")
-    if repeated.isEmpty():
+    twice = again.filter("repeated").select(doc).distinct()
+    if twice.isEmpty():
         return kept
-    twice = repeated.select("_again").distinct()
-    rest = kept.join(twice, kept["doc_id"].eqNullSafe(twice["_again"]), "left_anti")
-    once = kept.join(twice, kept["doc_id"].eqNullSafe(twice["_again"]), "left_semi").withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
-    return rest.unionByName(once)
+    on = F.col("doc_id").eqNullSafe(F.col(doc))
+    rest, some = kept.join(twice, on, "left_anti"), kept.join(twice, on, "left_semi")
+    return rest.unionByName(some.withColumn(sha, text_sha).dropDuplicates(["doc_id", sha]).drop(sha))
 
 
 ORACLE_SQL = """
