@@ -82,21 +82,33 @@ def grams(host_: Column, path_: Column) -> Column:
     return F.concat(*[of(F.translate(t, *LETTERS), p, n) for t, p in ((host_, "h:"), (path_, "p:")) for n in SIZES])
 
 
-def judge(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (the model's probability of block) for every row of pages(page_id, url)."""
-    from pyspark.ml.classification import LogisticRegression
+def _hashing():
     from pyspark.ml.feature import HashingTF
-    from pyspark.ml.functions import vector_to_array
 
-    hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=BUCKETS, binary=True)
+    return HashingTF(inputCol="grams", outputCol="features", numFeatures=BUCKETS, binary=True)
+
+
+def featured(df: DataFrame) -> DataFrame:
+    """df(url) with host, path, grams and features."""
+    split = df.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
+    return _hashing().transform(split.withColumn("grams", grams(F.col("host"), F.col("path"))))
+
 
-    def featured(df: DataFrame) -> DataFrame:
-        split = df.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
-        return hashing.transform(split.withColumn("grams", grams(F.col("host"), F.col("path"))))
+def fit(labelled: DataFrame):
+    """The model of a small labelled table (url, label)."""
+    from pyspark.ml.classification import LogisticRegression
 
-    table = featured(labelled_urls(pages.sparkSession)).select("features", "label").coalesce(1).cache()
+    table = featured(labelled).select("features", "label").coalesce(1).cache()
     model = LogisticRegression(maxIter=30, regParam=0.01).fit(table)
     table.unpersist()
+    return model
+
+
+def judge(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (the model's probability of block) for every row of pages(page_id, url)."""
+    from pyspark.ml.functions import vector_to_array
+
+    model = fit(labelled_urls(pages.sparkSession) if labelled is None else labelled)
     scored = model.transform(featured(pages.select("page_id", "url")))
     scored = scored.withColumn("score", vector_to_array("probability")[1]).withColumn("fits", rule_of(F.col("host"), F.col("path")))
     verdict = F.coalesce(F.col("fits.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
