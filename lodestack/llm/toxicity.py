@@ -160,7 +160,7 @@ def calibrate(held: DataFrame):
 
     Equal raw scores are joined before the fit, so no task holds more than the distinct ones. Each step of the curve becomes
     one point in the middle of its raw scores, at its share of labels with half a row of each kind added; (0, 0) and (1, 1)
-    close it. Between the points it is linear, so that a higher raw score is a higher calibrated one (centred isotonic regression).
+    close it. Between the points it is linear, so that raw scores keep their order and few become equal (centred isotonic regression).
     """
     from pyspark.ml.regression import IsotonicRegression
 

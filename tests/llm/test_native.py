@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from lodestack.llm import lsm_dedup, mixing, secrets
+from lodestack.llm import lsm_dedup, mixing, outliers, secrets, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, norm string, n long"
 
@@ -61,6 +61,43 @@ def test_empty_tables(spark):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_filter_of_hits(spark):
+    """All digests of the filter pass, about one in a hundred others does, and entries that no digest marks are pruned."""
+    rows = spark.range(40_000).selectExpr("xxhash64(id) AS digest", "id")
+    filter_ = lsm_dedup.build_filter(rows.filter("id < 5000").select("digest"), 5000).cache()
+    passed = [r["id"] for r in lsm_dedup.through(rows, filter_).collect()]
+    assert set(range(5000)) <= set(passed) and len(passed) == len(set(passed)) < 5000 + 0.03 * 35_000
+    assert lsm_dedup.through(rows, filter_.limit(0)).count() == 0
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 2900) AS text")
+    norm = docs.selectExpr("xxhash64(replace(text, ' ', '')) AS digest").groupBy("digest").count().filter("count > 1").select("digest")
+    hits = lsm_dedup.probe(docs, lsm_dedup.build_filter(norm, 100))
+    assert 200 <= hits.count() < 400
+
+
+def test_level_is_sorted(spark, tmp_path):
+    rows = [(i, f"t{i % 50}", "s") for i in range(200)]
+    lsm_dedup.flush(frame(spark, rows).repartition(3), f"{tmp_path}/runs")
+    level = lsm_dedup.compact(lsm_dedup.runs(spark, f"{tmp_path}/runs"))
+    parts = [[r["digest"] for r in p] for p in level.rdd.glom().collect()]
+    assert all(p == sorted(p) for p in parts) and sum(map(len, parts)) == 50
+    assert all(r["n"] == 4 and r["best"]["doc_id"] < 50 for r in level.collect())
+
+
+CLASHING = ("gone", "gone_id", "gone_sha", "_gone", "_sha", "_cut", "_text", "row", "cut", "of", "a.b", "size", "hash", "part", "turn", "Gone_")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(i, f"word{i % 40} " + "alpha beta gamma delta " * (1 + i % 5), "s1" if i % 3 else None) for i in range(60)]
+    docs = frame(spark, rows)
+    for k, c in enumerate(CLASHING):
+        docs = docs.withColumn(c, docs["doc_id"] * 100 + k)
+    for stage in (lsm_dedup.keep_unique, mixing.repeat_documents, outliers.keep_good, simhash.keep_one):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        for r in out.collect():
+            assert all(r[len(DOCS.split(", ")) + k] == r["doc_id"] * 100 + k for k in range(len(CLASHING)))
+
+
 def fill(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}
@@ -152,8 +189,33 @@ def test_short_secrets_among_ordinary_tokens(spark):
     got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(frame(spark, rows)).collect()}
     kept = sum(got[i] == f"random:4:{4 + len(t)}" for i, t in enumerate(tokens))
     assert kept >= 0.93 * len(tokens)
+    false = sum(len([s for s in got[1000 + i].split(",") if s]) for i in range(50))
+    assert false <= 0.2 * (kept + false)
 
 
+def test_many_spans_in_one_text(spark):
+    rnd = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    parts = []
+    for k in range(3000):
+        parts += [f"{rnd.getrandbits(80):020x}", "".join(rnd.choices(alphabet, k=24)), f"token: {'v' * 12}{k}"]
+    text = " é".join(parts)
+    r = secrets.find_secrets(frame(spark, [(1, text, "s")])).first()
+    spans = sorted((m.start(), k, m.end()) for k, rx, ok in SPANS for m in rx.finditer(text) if ok(m))
+    assert r["base_sha256"] == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+    found = [s.split(":") for s in r["spans"].split(",") if s.startswith("random")]
+    assert len(found) == r["n_random"] >= 0.9 * 3000
+    assert all(text[int(a) - 1] == "é" and text[int(b) : int(b) + 1] in ("", " ") for _, a, b in found)
+    assert not any(a < int(z) and int(x) < b for a, _, b in spans[:300] for _, x, z in found)
+
+
+def test_random_letters_are_tested_too(spark):
+    rnd = random.Random(12)
+    lower = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=40)) for _ in range(20)]
+    plain = ["donaudampfschifffahrtsgesellschaft", "internationalizationandmoreofthesame"]
+    got = {r["doc_id"]: r["n_random"] for r in secrets.find_secrets(frame(spark, [(i, t, "s") for i, t in enumerate(lower + plain)])).collect()}
+    assert sum(got[i] for i in range(20)) >= 17 and got[21] == 0
+
 def test_secrets_in_paths(spark):
     """A token that fits no encoding is judged by its parts, at their places."""
     secret, url = "aB3dE5fG7hJ9kL1mN3pQ5rS7", "aB3dE-fG7hJ_kL1mN3pQ5rS7xZ0v"
