@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import hmac
 import json
 import secrets
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from typing import Protocol
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +21,12 @@ from lodestack.config import merge_config
 from lodestack.functions.text import simple_tokens
 from lodestack.functions.vectors import hash_embedding
 from lodestack.operators import rag, state
+from lodestack.operators.lexical import Analyser
 from lodestack.operators.fusion import SearchOptions, hybrid_search
 from lodestack.operators.vector import check_dimensions
 from lodestack.plans import params
-from lodestack.streaming.ingest import SnapshotStore, delete, upsert
+from lodestack.sources.files import Files
+from lodestack.streaming.ingest import SnapshotStore, delete, stream_upserts, upsert
 
 KEY_PREFIX = {"index": "idx", "search": "srch", "rag": "rag"}
 
@@ -72,12 +77,20 @@ def check_model(model: str) -> str:
     return model
 
 
+class Rejected(ValueError):
+    """A document that the index does not take."""
+
+
 @dataclass
 class Index:
+    """What the registry keeps of an index; its data are in `folder`, which a new index of the same name does not share."""
+
     name: str
     description: str | None
     config: dict
     keys: dict[str, str | None]
+    folder: str
+    created_at: str
     prompts: dict[str, dict] = field(default_factory=dict)
 
 
@@ -85,84 +98,137 @@ Embedder = Callable[[Column, int], Column]
 
 
 class SearchEngine:
-    """Indexes under one folder; each has a snapshot store. `embedders` maps a provider's name to a column function."""
+    """Indexes under one folder: a registry of small files (an index's settings, key hashes and prompts) and a snapshot store each.
+
+    Every call reads the registry, so engines on the same folder see the same indexes. `embedders` maps a provider's name to a column
+    function.
+    """
 
     def __init__(self, spark: SparkSession, path: str, embedders: dict[str, Embedder] | None = None):
-        self.spark, self.path, self.indexes = spark, path.rstrip("/"), {}
+        self.spark, self.path = spark, path.rstrip("/")
+        self.files = Files(spark, self.path)
         self.embedders = {"test": hash_embedding, **(embedders or {})}
 
     # -- administration
 
+    @staticmethod
+    def _entry(name: str) -> str:
+        return f"_registry/{quote(name, safe='')}"
+
+    def _save(self, index: Index) -> None:
+        self.files.write(self._entry(index.name), json.dumps(asdict(index)))
+
+    def _index(self, name: str) -> Index:
+        if (index := self.get_index(name)) is None:
+            raise NotFound(name)
+        return index
+
     def create_index(self, name: str, description: str | None = None, config: dict | None = None) -> dict | None:
         """The two new keys, shown once; None if the name is taken."""
-        if name in self.indexes:
-            return None
         merged = merge_config(config or {})
         check_dimensions(merged["embedding"]["dimensions"])
         plain = {k: generate_key(k) for k in ("index", "search")}
-        self.indexes[name] = Index(name, description, merged, {**{k: hash_key(v) for k, v in plain.items()}, "rag": None})
+        keys = {**{k: hash_key(v) for k, v in plain.items()}, "rag": None}
+        now = datetime.datetime.now(datetime.UTC).isoformat()
+        index = Index(name, description, merged, keys, f"data-{uuid.uuid4().hex}", now)
+        if not self.files.create(self._entry(name), json.dumps(asdict(index))):
+            return None
         return {"name": name, "index_key": plain["index"], "search_key": plain["search"]}
 
+    def ensure_index(self, name: str, description: str | None = None, config: dict | None = None) -> dict:
+        """Get or create: {"created": True, ...keys} for a new index, {"created": False} for one that is there."""
+        made = None if self.get_index(name) else self.create_index(name, description, config)
+        return {"created": True, **made} if made else {"created": False}
+
     def get_index(self, name: str) -> Index | None:
-        return self.indexes.get(name)
+        entry = self._entry(name)
+        return Index(**json.loads(self.files.read(entry))) if self.files.exists(entry) else None
 
     def list_indexes(self) -> list[Index]:
-        return list(self.indexes.values())
+        """In order of creation."""
+        found = [Index(**json.loads(self.files.read(f"_registry/{n}"))) for n in self.files.names("_registry") if not n.endswith(".part")]
+        return sorted(found, key=lambda i: (i.created_at, i.name))
 
     def update_index(self, name: str, config: dict) -> Index | None:
-        if index := self.indexes.get(name):
+        if index := self.get_index(name):
             index.config = merge_config(config, index.config)
+            self._save(index)
         return index
 
     def delete_index(self, name: str) -> bool:
-        return self.indexes.pop(name, None) is not None
+        """Drop the index with its documents, prompts and keys; False if there is none."""
+        index = self.get_index(name)
+        if index:
+            self.files.delete(self._entry(name))
+            self.files.delete(index.folder)
+        return index is not None
 
     def mint_key(self, name: str, kind: str) -> str | None:
         """A new key in place of the old one, which stops working."""
-        if name not in self.indexes:
+        if (index := self.get_index(name)) is None:
             return None
         key = generate_key(kind)
-        self.indexes[name].keys[kind] = hash_key(key)
+        index.keys[kind] = hash_key(key)
+        self._save(index)
         return key
 
     def revoke_key(self, name: str, kind: str) -> bool:
-        if name in self.indexes:
-            self.indexes[name].keys[kind] = None
-        return name in self.indexes
+        if index := self.get_index(name):
+            index.keys[kind] = None
+            self._save(index)
+        return index is not None
 
     def authorize(self, name: str, kind: str, key: str | None) -> Index:
         if not key:
             raise Unauthorized("missing key")
-        if name not in self.indexes:
-            raise NotFound(name)
-        if not verify_key(key, self.indexes[name].keys.get(kind)):
+        index = self._index(name)
+        if not verify_key(key, index.keys.get(kind)):
             raise Unauthorized("invalid key")
-        return self.indexes[name]
+        return index
 
     def create_prompt(self, name: str, prompt: str, content: dict) -> dict | None:
+        """The prompt; None if its name is taken."""
         params.PROMPT(content)
-        prompts = self.indexes[name].prompts
-        return None if prompt in prompts else prompts.setdefault(prompt, content)
+        index = self._index(name)
+        if prompt in index.prompts:
+            return None
+        index.prompts[prompt] = content
+        self._save(index)
+        return content
 
     def update_prompt(self, name: str, prompt: str, content: dict) -> dict | None:
         params.PROMPT(content)
-        prompts = self.indexes[name].prompts
-        if prompt not in prompts:
+        index = self._index(name)
+        if prompt not in index.prompts:
             return None
-        prompts[prompt] = content
+        index.prompts[prompt] = content
+        self._save(index)
         return content
 
     def get_prompt(self, name: str, prompt: str) -> dict | None:
-        return self.indexes[name].prompts.get(prompt)
+        return self._index(name).prompts.get(prompt)
 
     def list_prompts(self, name: str) -> list[str]:
-        return sorted(self.indexes[name].prompts)
+        return sorted(self._index(name).prompts)
 
     def delete_prompt(self, name: str, prompt: str) -> bool:
-        return self.indexes[name].prompts.pop(prompt, None) is not None
-
-    def status(self, name: str) -> DataFrame:
-        return state.dimensions(self.store(name).segments().withColumn("index", F.lit(name)), "index", "content_hash")
+        index = self._index(name)
+        found = index.prompts.pop(prompt, None) is not None
+        if found:
+            self._save(index)
+        return found
+
+    def status(self, name: str) -> dict[str, DataFrame]:
+        """tables: the stored tables with files, bytes and rows; dimensions: the size of a sampled vector; totals: documents and segments."""
+        store = self.store(name)
+        segments = store.segments().withColumn("index", F.lit(name))
+        folder = store.pointer()["folder"]
+        paths = {t: f"{store.path}/{folder}/{t}" for t in ("docs", "segments", "postings", "sizes")} if folder else {}
+        return {
+            "tables": state.tables(self.spark, paths),
+            "dimensions": state.dimensions(segments, "index", "content_hash"),
+            "totals": state.counters(store.docs().withColumn("index", F.lit(name)), segments, "index"),
+        }
 
     def healthy(self) -> bool:
         return self.spark.range(1).count() == 1
@@ -170,18 +236,47 @@ class SearchEngine:
     # -- documents
 
     def store(self, name: str) -> SnapshotStore:
-        return SnapshotStore(self.spark, f"{self.path}/{name}")
+        return SnapshotStore(self.spark, f"{self.path}/{self._index(name).folder}")
 
-    def embedder(self, name: str) -> Callable[[Column], Column]:
-        e = self.indexes[name].config["embedding"]
+    def embedder(self, config: dict) -> Callable[[Column], Column]:
+        e = config["embedding"]
         if e["provider"] not in self.embedders:
             raise ValueError(f"unknown embedding provider: {e['provider']}")
         return lambda text: self.embedders[e["provider"]](text, e["dimensions"])
 
-    def ingest(self, name: str, docs: DataFrame, now: Column | None = None) -> None:
-        """Merge documents (external_id, title, body, kind, metadata as JSON text)."""
-        c, store = self.indexes[name].config, self.store(name)
-        upsert(store, docs, store.version() + 1, self.embedder(name), now if now is not None else F.current_timestamp(), c["max_segment_tokens"], c["max_segments_per_document"])
+    @staticmethod
+    def analyser(config: dict) -> Analyser:
+        if config["text_search_config"] == "english":
+            from lodestack.functions.english import english_tokens
+
+            return english_tokens
+        return simple_tokens
+
+    def ingest(self, name: str, docs: DataFrame, now: Column | None = None, order: str | None = None) -> DataFrame:
+        """Merge documents (external_id, title, body, kind, metadata as JSON text): external_id, segments, changed, unchanged, removed, status, error.
+
+        Of repeated ids the last row stays, by the column `order` if given.
+        """
+        c = self._index(name).config
+        now = F.current_timestamp() if now is None else now
+        return upsert(self.store(name), docs, self.embedder(c), now, c["max_segment_tokens"], c["max_segments_per_document"], self.analyser(c), order)
+
+    def ingest_document(self, name: str, document: dict, now: Column | None = None) -> dict:
+        """Ingest one document; Rejected if it has too many segments."""
+        params.DOCUMENT(document)
+        row = tuple(document.get(k) for k in ("external_id", "title", "body", "kind")) + (json.dumps(document.get("metadata") or {}),)
+        frame = self.spark.createDataFrame([row], "external_id string, title string, body string, kind string, metadata string")
+        said = self.ingest(name, frame, now).first().asDict()
+        if error := said.pop("error"):
+            raise Rejected(error)
+        return {k: said[k] for k in ("external_id", "segments", "changed", "unchanged", "status")}
+
+    def ingest_stream(self, name: str, docs: DataFrame, checkpoint: str, stream: str = "stream"):
+        """Start a query that merges a document stream into the index."""
+        c = self._index(name).config
+        return stream_upserts(
+            docs, self.store(name), self.embedder(c), checkpoint, stream=stream, max_tokens=c["max_segment_tokens"], max_segments=c["max_segments_per_document"], analyse=self.analyser(c)
+        )
 
     def delete_documents(self, name: str, ids: list[str]) -> None:
         delete(self.store(name), self.spark.createDataFrame([(i,) for i in ids], "external_id string"))
@@ -195,23 +290,19 @@ class SearchEngine:
 
     def search_batch(self, name: str, queries: DataFrame, now: Column | None = None, **options) -> DataFrame:
         """hybrid_search over the index for queries(query_id, q)."""
-        config, store = self.indexes[name].config, self.store(name)
-        docs = store.docs().withColumn("doc_id", F.xxhash64("external_id"))
-        published = F.get_json_object("metadata", "$.published_at")
-        docs = docs.withColumn("published_at", published)
-        segments = store.segments().withColumn("doc_id", F.xxhash64("external_id")).withColumnRenamed("segment", "body")
-        analyse = simple_tokens
-        if config["text_search_config"] == "english":
-            from lodestack.functions.english import english_tokens as analyse
-        q = queries.withColumn("embedding", self.embedder(name)(F.col("q")))
-        return hybrid_search(segments, docs, q, SearchOptions.from_config(config, **options), now if now is not None else F.current_timestamp(), analyse)
-
-    def search(self, name: str, q: str, limit: int = 10, mode: str = "hybrid", kinds: str | None = None, kind_weights: str | None = None, recency: str | None = None, **more) -> dict:
+        config, store = self._index(name).config, self.store(name)
+        docs = store.docs().withColumn("doc_id", F.col("external_id")).withColumn("published_at", rag.text_field(F.col("metadata"), "published_at"))
+        segments = store.segments().withColumnsRenamed({"external_id": "doc_id", "segment": "body"})
+        q = queries.withColumn("embedding", self.embedder(config)(F.col("q")))
+        now = F.current_timestamp() if now is None else now
+        return hybrid_search(segments, docs, q, SearchOptions.from_config(config, **options), now, self.analyser(config), store.index())
+
+    def search(self, name: str, q: str, limit: int = 10, mode: str = "hybrid", kinds: str | None = None, kind_weights: str | None = None, recency: str | None = None, now: Column | None = None, **more) -> dict:
         if not q or not q.strip():
             raise params.BadRequest("q is required")
         options = {"limit": limit, "mode": mode, "kinds": params.kinds(kinds), "kind_weights": params.kind_weights(kind_weights), "recency": params.recency(recency), **more}
         one = self.spark.createDataFrame([(0, q)], "query_id long, q string")
-        rows = self.search_batch(name, one, **options).join(self.store(name).docs().select("external_id", "metadata"), "external_id").orderBy("position").collect()
+        rows = self.search_batch(name, one, now, **options).join(self.store(name).docs().select("external_id", "metadata"), "external_id").orderBy("position").collect()
         results = [{k: r[k] for k in ("external_id", "score", "title", "snippet", "kind")} | {"metadata": json.loads(r["metadata"] or "{}")} for r in rows]
         return {"results": results, "total": rows[0]["total"] if rows else 0, "query": q}
 
@@ -223,10 +314,9 @@ class SearchEngine:
             raise NotFound(prompt)
         r = content["retrieval"]
         chunks = self.search(name, question, r["limit"], r["mode"], max_chunks_per_doc=r["max_chunks_per_doc"], min_lexical_score=r["min_lexical_score"], min_vector_score=r["min_vector_score"])["results"]
-        frame = self.spark.createDataFrame([([(c["title"], c["snippet"]) for c in chunks],)], "chunks array<struct<title: string, snippet: string>>")
-        turn = frame.select(rag.user_turn(rag.context_block(F.col("chunks")), F.lit(content["response_format"]), F.lit(question))).first()[0]
+        turn = rag.user_turn_text([(c["title"], c["snippet"]) for c in chunks], content["response_format"], question)
         done = llm.complete(content["system"], [*(messages or []), {"role": "user", "content": turn}], content["max_tokens"], content["temperature"])
-        marks = self.spark.createDataFrame([(done["text"],)], "a string").select(rag.citation_markers(F.col("a"), F.lit(len(chunks)))).first()[0]
+        marks = rag.markers_in(done["text"], len(chunks))
         cited = [{"marker": m, **{k: chunks[m - 1][k] for k in ("external_id", "title", "snippet")}, "url": chunks[m - 1]["metadata"].get("source_url", "")} for m in marks]
         for c in cited:
             c["url"] = c["url"] if isinstance(c["url"], str) else ""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,3 +21,9 @@ def spearman_shared(a: Column, b: Column) -> Column:
     gaps = F.transform(in_a, lambda x, i: i + 1 - F.array_position(in_b, x))
     total = F.aggregate(gaps, F.lit(0.0), lambda s, d: s + d * d)
     return F.when(n >= 2, 1 - 6 * total / (n * (n * n - 1)))
+
+
+def empty_queries(asked: DataFrame, results: DataFrame) -> DataFrame:
+    """queries, empty: how many queries were asked, and how many of them found nothing."""
+    found = asked.select("query_id").join(results.select("query_id", F.lit(True).alias("found")).distinct(), "query_id", "left")
+    return found.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("found").isNull()).alias("empty"))

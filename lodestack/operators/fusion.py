@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.scores import RecencyRule, kind_weight, recency_multiplier, rrf
 from lodestack.functions.text import simple_tokens
-from lodestack.operators.lexical import POOL, lexical_scores, top
+from lodestack.operators.lexical import POOL, TextIndex, lexical_scores, text_index, top
 from lodestack.operators.vector import nearest_parts
 
 MODES = ("hybrid", "semantic", "lexical")
@@ -52,19 +52,26 @@ def fusion_order() -> list[Column]:
     return [F.desc("score"), passes.desc(), F.col("vector_rank").isNotNull().desc(), F.desc("lexical_score"), F.desc("vector_score"), F.asc("external_id"), F.asc("segment_index")]
 
 
-def candidates(segments: DataFrame, docs: DataFrame, queries: DataFrame, o: SearchOptions, analyse: Callable[[Column], Column] = simple_tokens) -> DataFrame:
-    """query_id, doc_id, segment_index, lexical_score, vector_score: the union of both pools, 0 where a pass has no score."""
+def candidates(
+    segments: DataFrame, docs: DataFrame, queries: DataFrame, o: SearchOptions, analyse: Callable[[Column], Column] = simple_tokens, index: TextIndex | None = None
+) -> DataFrame:
+    """query_id, doc_id, segment_index, lexical_score, vector_score: the union of both pools, 0 where a pass has no score.
+
+    `index` is the text index of the corpus; without one it is made from segments and docs.
+    """
     if o.mode not in MODES:
         raise ValueError(f"unknown mode: {o.mode}")
+    placed = segments.filter("embedding IS NOT NULL").select("doc_id", "segment_index", "embedding")
+    index = index or text_index(segments, docs, analyse)
     if o.kinds is not None:  # before both pools are cut
-        docs = docs.filter(F.col("kind").isin(*o.kinds))
-        segments = segments.join(docs.select("doc_id"), "doc_id", "left_semi")
+        of_kind = docs.filter(F.col("kind").isin(*o.kinds)).select("doc_id")
+        placed = placed.join(of_kind, "doc_id", "left_semi")
+        index = TextIndex(index.postings.join(of_kind, "doc_id", "left_semi"), index.sizes)
     keys = ["query_id", "doc_id", "segment_index"]
-    lexical = top(lexical_scores(segments, docs, queries, o.title_weight, o.body_weight, analyse), "lexical_score") if o.mode != "semantic" else None
+    lexical = top(lexical_scores(index, queries, o.title_weight, o.body_weight, analyse), "lexical_score") if o.mode != "semantic" else None
     vector = None
     if o.mode != "lexical":
-        placed = segments.filter("embedding IS NOT NULL").select(F.col("doc_id").alias("vec_id"), F.col("segment_index").alias("part"), "embedding")
-        best = nearest_parts(placed, queries, POOL)
+        best = nearest_parts(placed.withColumnsRenamed({"doc_id": "vec_id", "segment_index": "part"}), queries, POOL)
         vector = best.select("query_id", F.col("vec_id").alias("doc_id"), F.col("part").alias("segment_index"), F.col("similarity").alias("vector_score"))
     if lexical is None:
         both = vector.withColumn("lexical_score", F.lit(0.0))
@@ -76,15 +83,16 @@ def candidates(segments: DataFrame, docs: DataFrame, queries: DataFrame, o: Sear
 
 
 def fuse(pool: DataFrame, segments: DataFrame, docs: DataFrame, o: SearchOptions, now: Column) -> DataFrame:
-    """All segments that are left after floors, per-document caps and the collapse of equal contents, in fusion order.
+    """All segments that are left after floors, per-document caps and the collapse of equal contents, with scores, without texts.
 
-    segments(doc_id, segment_index, body, content_hash), docs(doc_id, external_id, title, kind, published_at).
+    segments(doc_id, segment_index, content_hash), docs(doc_id, external_id, kind, published_at).
     """
     in_query = lambda score: Window.partitionBy("query_id").orderBy(F.desc(score), "doc_id", "segment_index")
     rank = lambda score, floor: F.when(F.col(score) > floor, F.row_number().over(in_query(score)))  # noqa: E731  rows at or below the floor come last
     ranked = pool.withColumn("lexical_rank", rank("lexical_score", o.min_lexical_score)).withColumn("vector_rank", rank("vector_score", o.min_vector_score))
     ranked = ranked.filter("lexical_rank IS NOT NULL OR vector_rank IS NOT NULL")
-    full = ranked.join(docs.select("doc_id", "external_id", "title", "kind", "published_at"), "doc_id").join(segments.select("doc_id", "segment_index", "body", "content_hash"), ["doc_id", "segment_index"])
+    full = ranked.join(docs.select("doc_id", "external_id", "kind", "published_at"), "doc_id")
+    full = full.join(segments.select("doc_id", "segment_index", "content_hash"), ["doc_id", "segment_index"])
     score = rrf(F.col("lexical_rank"), F.col("vector_rank"), o.rrf_k, o.lexical_weight, o.vector_weight)
     score = score * kind_weight(F.col("kind"), o.kind_weights) * recency_multiplier(o.recency, F.col("kind"), F.col("published_at"), now)
     scored = full.withColumn("score", F.round(score, o.decimals))
@@ -94,16 +102,20 @@ def fuse(pool: DataFrame, segments: DataFrame, docs: DataFrame, o: SearchOptions
 
 
 def hybrid_search(
-    segments: DataFrame, docs: DataFrame, queries: DataFrame, o: SearchOptions, now: Column, analyse: Callable[[Column], Column] = simple_tokens
+    segments: DataFrame, docs: DataFrame, queries: DataFrame, o: SearchOptions, now: Column, analyse: Callable[[Column], Column] = simple_tokens, index: TextIndex | None = None
 ) -> DataFrame:
     """query_id, position, external_id, score, title, snippet, kind, total: the first `limit` results of each query.
 
-    total counts a query's documents before the limit. segments also has embedding (null: not in the vector pass);
-    queries(query_id, q, embedding).
+    total counts a query's documents before the limit. segments(doc_id, segment_index, body, content_hash, embedding; null: not in
+    the vector pass), docs(doc_id, external_id, title, kind, published_at), queries(query_id, q, embedding). Titles and texts are
+    joined to the results only.
     """
-    kept = fuse(candidates(segments, docs, queries, o, analyse), segments, docs, o, now)
+    kept = fuse(candidates(segments, docs, queries, o, analyse, index), segments, docs, o, now)
     every = Window.partitionBy("query_id")
     total = F.size(F.collect_set("doc_id").over(every)).cast("long")
     place = F.row_number().over(every.orderBy(*fusion_order()))
     found = kept.withColumn("total", total).withColumn("position", place).filter(F.col("position") <= o.limit)
-    return found.select("query_id", "position", "external_id", "score", "title", F.col("body").alias("snippet"), "kind", "total")
+    found = found.select("query_id", "position", "doc_id", "segment_index", "external_id", "score", "kind", "total")
+    texts = segments.select("doc_id", "segment_index", F.col("body").alias("snippet"))
+    full = found.join(docs.select("doc_id", "title"), "doc_id").join(texts, ["doc_id", "segment_index"])
+    return full.select("query_id", "position", "external_id", "score", "title", "snippet", "kind", "total")

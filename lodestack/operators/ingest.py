@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from lodestack.functions.text import chunk_text, content_hash
 
 
+def distinct_segments(chunks: Column) -> Column:
+    """array<struct<content_hash, segment_index, segment>> of an array of chunks; of equal ones the first. Sorted, so it takes n log n time."""
+    coded = F.array_sort(F.transform(chunks, lambda c, i: F.struct(content_hash(c).alias("content_hash"), i.alias("segment_index"), c.alias("segment"))))
+    first = lambda every: F.filter(every, lambda s, i: (i == 0) | (s["content_hash"] != F.get(every, i - 1)["content_hash"]))
+    return F.get(F.transform(F.array(coded), lambda every: first(every)), F.lit(0))
+
+
+def segments_of(docs: DataFrame) -> DataFrame:
+    """The columns of docs other than chunks, with n_chunks, content_hash, segment_index and segment; nothing is shuffled."""
+    rest = [c for c in docs.columns if c != "chunks"]
+    cut = docs.select(*rest, F.size("chunks").alias("n_chunks"), F.explode(distinct_segments(F.col("chunks"))).alias("s"))
+    return cut.select(*rest, "n_chunks", "s.content_hash", "s.segment_index", "s.segment")
+
+
 def to_segments(docs: DataFrame, max_tokens: int) -> DataFrame:
-    """doc columns other than body, with segment_index, segment, content_hash, n_chunks; equal segments of a document keep the first index."""
-    rest = [c for c in docs.columns if c not in ("body", "title")]
-    cut = docs.withColumn("_chunks", chunk_text(F.col("body"), max_tokens))
-    rows = cut.select(*rest, "title", F.size("_chunks").alias("n_chunks"), F.posexplode("_chunks").alias("segment_index", "segment"))
-    rows = rows.withColumn("content_hash", content_hash(F.col("segment")))
-    keys = [*rest, "title", "n_chunks", "content_hash"]
-    first = rows.groupBy(*keys).agg(F.min(F.struct("segment_index", "segment")).alias("m"))
-    return first.select(*keys, F.col("m.segment_index").alias("segment_index"), F.col("m.segment").alias("segment"))
+    """doc columns other than body, with n_chunks, content_hash, segment_index, segment; equal segments of a document keep the first index."""
+    return segments_of(docs.withColumn("chunks", chunk_text(F.col("body"), max_tokens)).drop("body"))
 
 
 def split_by_limit(docs: DataFrame, n_chunks: Column, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -26,15 +34,15 @@ def split_by_limit(docs: DataFrame, n_chunks: Column, limit: int) -> tuple[DataF
     return counted.filter(F.col("n_chunks") <= limit), counted.filter(F.col("n_chunks") > limit).withColumn("error", text)
 
 
-def diff(new: DataFrame, stored: DataFrame, document: str = "external_id") -> DataFrame:
+def diff(new: DataFrame, stored: DataFrame, document: str = "external_id", documents: DataFrame | None = None) -> DataFrame:
     """document, content_hash, old_index, new_index, state (changed, unchanged, removed), by full join on document and hash.
 
-    Both sides have (document, segment_index, content_hash) without repeats. Only stored segments of documents in
-    `new` count as removed.
+    Both sides have (document, segment_index, content_hash) without repeats. Only stored segments of `documents` (default:
+    those of `new`) count as removed.
     """
     keys = [document, "content_hash"]
     n = new.select(*keys, F.col("segment_index").alias("new_index"))
-    s = stored.join(new.select(document).distinct(), document, "left_semi").select(*keys, F.col("segment_index").alias("old_index"))
+    s = stored.join((new if documents is None else documents).select(document).distinct(), document, "left_semi").select(*keys, F.col("segment_index").alias("old_index"))
     state = F.when(F.col("old_index").isNull(), "changed").when(F.col("new_index").isNull(), "removed").otherwise("unchanged")
     return n.join(s, keys, "full_outer").withColumn("state", state)
 
@@ -57,12 +65,29 @@ def merge_documents(stored: DataFrame, new: DataFrame, now: Column, key: tuple[s
     return rest.unionByName(fresh.select(*rest.columns))
 
 
-def merge_segments(stored: DataFrame, new: DataFrame, key: tuple[str, ...] = ("external_id",)) -> DataFrame:
+def merge_segments(stored: DataFrame, new: DataFrame, documents: DataFrame | None = None, key: tuple[str, ...] = ("external_id",)) -> DataFrame:
     """The segment snapshot: unchanged segments keep their embedding at their new index, changed ones come without one.
 
-    The hash covers the segment alone: a new title does not embed an unchanged segment again.
+    `documents` are all that the batch has, with or without segments (default: those of `new`). The hash covers the
+    segment alone: a new title does not embed an unchanged segment again.
     """
     keys = [*key, "content_hash"]
-    rest = stored.join(new.select(*key).distinct(), list(key), "left_anti")
+    rest = stored.join((new if documents is None else documents).select(*key).distinct(), list(key), "left_anti")
     kept = new.join(stored.select(*keys, "embedding"), keys, "left")
     return rest.unionByName(kept.select(*rest.columns))
+
+
+def delete_documents(stored: DataFrame, ids: DataFrame, key: str = "external_id") -> DataFrame:
+    """Rows of any table whose document is not in ids(key); ids that are not there change nothing."""
+    return stored.join(ids.select(key), key, "left_anti")
+
+
+def run_counters(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """indexed, skipped, failed (and columns `by`): how the documents of a run ended, from status and error of each.
+
+    A document that was stored is indexed; one without text is skipped; one with an error has failed.
+    """
+    n = lambda c: F.count_if(c)
+    failed, skipped = F.col("error").isNotNull(), F.col("error").isNull() & (F.col("status") == "skipped")
+    counted = [n((F.col("status") == "indexed") & ~failed).alias("indexed"), n(skipped).alias("skipped"), n(failed).alias("failed")]
+    return results.groupBy(*by).agg(*counted) if by else results.agg(*counted)

@@ -1,8 +1,14 @@
-"""Keyword retrieval for batches of queries: match in a field, cover-density rank, top k."""
+"""Keyword retrieval for batches of queries over a text index: match in a field, cover-density rank, top k.
+
+The index of a corpus is two tables. `postings` has a row per word (term, doc_id, segment_index, pos), where segment_index TITLE
+stands for the title; `sizes` has a row per document with the lengths of its fields. A search joins its few terms to the postings, so it
+handles the occurrences of those terms and no other words.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,85 +16,110 @@ from pyspark.sql import functions as F
 from lodestack.functions.text import simple_tokens
 
 POOL = 200
+#: segment_index of words that stand in the title
+TITLE = -1
 #: scores are kept at this many decimals, so that an order does not depend on the order of additions
 DECIMALS = 6
 #: rows of query terms that are broadcast; a larger batch is joined by shuffling
 BROADCAST_TERMS = 100_000
+Analyser = Callable[[Column], Column]
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """postings(term, doc_id, segment_index, pos) and sizes(doc_id, n_title, fields: array of segment_index and n)."""
+
+    postings: DataFrame
+    sizes: DataFrame
+
 
+def text_index(segments: DataFrame, docs: DataFrame, analyse: Analyser = simple_tokens) -> TextIndex:
+    """The index of segments(doc_id, segment_index, body) and docs(doc_id, title)."""
+    titles = docs.select("doc_id", F.lit(TITLE).alias("segment_index"), analyse(F.coalesce("title", F.lit(""))).alias("tokens"))
+    bodies = segments.select("doc_id", F.col("segment_index").cast("int").alias("segment_index"), analyse(F.coalesce("body", F.lit(""))).alias("tokens"))
+    words = titles.union(bodies).select("doc_id", "segment_index", F.posexplode("tokens").alias("pos", "term")).filter("term IS NOT NULL")
+    fields = titles.union(bodies).groupBy("doc_id").agg(F.collect_list(F.struct("segment_index", F.size("tokens").alias("n"))).alias("every"))
+    title = F.get(F.filter("every", lambda f: f["segment_index"] == TITLE), F.lit(0))["n"]
+    sizes = fields.filter(title.isNotNull()).select("doc_id", title.alias("n_title"), F.filter("every", lambda f: f["segment_index"] != TITLE).alias("fields"))
+    return TextIndex(words.select("term", "doc_id", "segment_index", "pos"), sizes)
 
-def query_terms(queries: DataFrame, analyse: Callable[[Column], Column] = simple_tokens) -> DataFrame:
+
+def query_terms(queries: DataFrame, analyse: Analyser = simple_tokens) -> DataFrame:
     """query_id, term, term_no (from 0), n_terms: the distinct terms of queries(query_id, q); all have to match."""
     kept = F.array_distinct(F.filter(analyse(F.col("q")), lambda t: t.isNotNull()))
     found = queries.select("query_id", kept.alias("terms"))
     return found.select("query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("term_no", "term"))
 
 
-def _occurrences(df: DataFrame, keys: list[str], tokens: Column, terms: DataFrame) -> DataFrame:
-    """keys, query_id, n_terms, occ (array of pos and term_no), n_found: where query terms stand in a field."""
-    small = F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
-    words = df.select(*keys, F.posexplode(tokens).alias("pos", "term")).filter("term IS NOT NULL")
-    found = words.join(small, "term").groupBy("query_id", "n_terms", *keys)
-    return found.agg(F.collect_list(F.struct("pos", "term_no")).alias("occ"), F.count_distinct("term_no").alias("n_found"))
-
-
-def cover_density(occ: Column, n_terms: Column, n_positions: Column) -> Column:
-    """Cover-density rank of sorted occurrences (pos, term_no, w), over ln(positions + 1).
+def cover_density(occ: Column, n_terms: Column, n_positions: Column, title_weight: Column | float, body_weight: Column | float) -> Column:
+    """Cover-density rank of sorted occurrences (pos, term_no, titled), over ln(positions + 1).
 
     A cover is a smallest window that holds every term; it scores its occurrences' mean weight (harmonic), less the
-    more other words stand in it. One pass: the least of the terms' last places is where the cover ending here begins.
+    more other words stand in it. One pass: the least of the terms' last places is where the cover ending here begins. Occurrences in
+    the title come first, so their number in a cover follows from its two ends.
     """
-    zero = F.struct(F.array_repeat(F.lit(-1), n_terms).alias("last"), F.lit(-1).alias("left"), F.lit(0.0).alias("score"))
+    none = F.array_repeat(F.lit(-1), n_terms)
+    zero = F.struct(none.alias("last"), F.lit(0).alias("at"), F.lit(-1).alias("left"), F.lit(0.0).alias("score"))
 
-    def step(s: Column, o: Column) -> Column:
-        last = F.transform(s["last"], lambda v, i: F.when(i == o["term_no"], o["pos"]).otherwise(v))
+    def scored(occ: Column, n_titled: Column) -> Column:
+        def step(s: Column, o: Column) -> Column:
+            last = F.transform(s["last"], lambda v, i: F.when(i == o["term_no"], s["at"]).otherwise(v))
 
-        def close(last: Column) -> Column:
-            left = F.array_min(last)
-            new = (left >= 0) & (left > s["left"])
-            inside = F.filter(occ, lambda x: (x["pos"] >= left) & (x["pos"] <= o["pos"]))
+            def close(left: Column, last: Column) -> Column:
+                new = (left >= 0) & (left > s["left"])
+                n = s["at"] - left + 1
+                in_title = F.greatest(F.least(s["at"] + 1, n_titled) - left, F.lit(0))
+                inverse = in_title / F.lit(title_weight) + (n - in_title) / F.lit(body_weight)
+                gain = n / inverse / (1 + (o["pos"] - F.get(occ, left)["pos"]) - (n - 1))
+                score = s["score"] + F.when(new, gain).otherwise(F.lit(0.0))
+                return F.struct(last.alias("last"), (s["at"] + 1).alias("at"), F.when(new, left).otherwise(s["left"]).alias("left"), score.alias("score"))
 
-            def gain(e: Column) -> Column:
-                n, inverse = F.size(e), F.aggregate(e, F.lit(0.0), lambda a, x: a + 1 / x["w"])
-                return n / inverse / (1 + (o["pos"] - left) - (n - 1))
+            return _let(last, lambda last: _let(F.array_min(last), lambda left: close(left, last)))
 
-            got = F.get(F.transform(F.array(inside), lambda e: gain(e)), F.lit(0))
-            return F.struct(last.alias("last"), F.when(new, left).otherwise(s["left"]).alias("left"), (s["score"] + F.when(new, got).otherwise(F.lit(0.0))).alias("score"))
+        return F.aggregate(occ, zero, step, lambda s: s["score"])
 
-        return F.get(F.transform(F.array(last), lambda x: close(x)), F.lit(0))
-
-    total = F.aggregate(occ, zero, step, lambda s: s["score"])
+    total = _let(occ, lambda occ: _let(F.size(F.filter(occ, lambda o: o["titled"])), lambda n: scored(occ, n)))
     return total / F.log(n_positions.cast("double") + 1)
 
 
-def lexical_scores(
-    segments: DataFrame, docs: DataFrame, queries: DataFrame, title_weight: float = 3.0, body_weight: float = 1.0, analyse: Callable[[Column], Column] = simple_tokens
-) -> DataFrame:
-    """query_id, doc_id, segment_index, lexical_score of every match.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
 
-    segments(doc_id, segment_index, body), docs(doc_id, title), queries(query_id, q). A segment matches when its
-    body or its document's title holds every term; the rank looks at title and body in a row.
+def matches(index: TextIndex, queries: DataFrame, analyse: Analyser = simple_tokens) -> DataFrame:
+    """query_id, n_terms, doc_id, segment_index, n_title, n_body, title_occ, body_occ of every match.
+
+    A segment matches when its body or its document's title holds every term.
     """
     terms = query_terms(queries, analyse)
-    scale = max(title_weight, body_weight)
-    titled = docs.select("doc_id", analyse(F.coalesce("title", F.lit(""))).alias("tokens"))
-    bodied = segments.select("doc_id", "segment_index", analyse(F.coalesce("body", F.lit(""))).alias("tokens")).withColumn("n_body", F.size("tokens"))
-    in_title = _occurrences(titled, ["doc_id"], F.col("tokens"), terms)
-    in_body = _occurrences(bodied, ["doc_id", "segment_index", "n_body"], F.col("tokens"), terms)
-    # all segments of a document whose title matches; then the others whose body does
-    by_title = in_title.filter("n_found = n_terms").select("query_id", "n_terms", "doc_id").join(bodied.select("doc_id", "segment_index", "n_body"), "doc_id")
-    keys = ["query_id", "n_terms", "doc_id", "segment_index", "n_body"]
-    found = in_body.withColumn("whole", F.col("n_found") == F.col("n_terms")).select(*keys, F.col("occ").alias("body_occ"), "whole")
-    hits = found.join(by_title.select(*keys, F.lit(True).alias("titled")), keys, "full_outer").filter("whole OR titled")
-    title_occ = in_title.select("query_id", "doc_id", F.col("occ").alias("title_occ"))
-    sizes = titled.select("doc_id", F.size("tokens").alias("n_title"))
-    joined = hits.join(title_occ, ["query_id", "doc_id"], "left").join(sizes, "doc_id")
+    small = F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+    found = index.postings.join(small, "term").repartition("query_id", "doc_id")
+    # both groupings keep to the one shuffle by query and document
+    fields = found.groupBy("query_id", "n_terms", "doc_id", "segment_index").agg(F.array_sort(F.collect_list(F.struct("pos", "term_no"))).alias("occ"))
+    whole = F.size(F.array_distinct(F.col("occ.term_no"))) == F.col("n_terms")
+    of_doc = fields.withColumn("whole", whole).groupBy("query_id", "n_terms", "doc_id").agg(F.collect_list(F.struct("segment_index", "whole", "occ")).alias("f"))
+    title = F.get(F.filter("f", lambda x: x["segment_index"] == TITLE), F.lit(0))
+    named = of_doc.filter(F.exists("f", lambda x: x["whole"])).withColumn("title", title)
+    bodies = F.map_from_entries(F.transform(F.filter("f", lambda x: x["segment_index"] != TITLE), lambda x: F.struct(x["segment_index"], F.struct(x["whole"], x["occ"]))))
+    joined = named.select("query_id", "n_terms", "doc_id", "title", bodies.alias("bodies")).join(index.sizes, "doc_id")
+    # all segments of a document whose title matches; else those whose body does
+    hit = lambda s: F.coalesce(F.col("title.whole"), F.lit(False)) | F.coalesce(F.try_element_at("bodies", s["segment_index"])["whole"], F.lit(False))
+    rows = joined.select("query_id", "n_terms", "doc_id", "title", "bodies", "n_title", F.explode(F.filter("fields", hit)).alias("s"))
     none = F.array().cast("array<struct<pos:int,term_no:int>>")
-    weigh = lambda occ, shift, w: F.transform(
-        F.coalesce(occ, none), lambda o: F.struct((o["pos"] + shift).alias("pos"), o["term_no"].alias("term_no"), F.lit(w).alias("w"))
-    )
-    occ = F.array_sort(F.concat(weigh(F.col("title_occ"), F.lit(0), title_weight / scale), weigh(F.col("body_occ"), F.col("n_title"), body_weight / scale)))
-    score = cover_density(F.col("o"), F.col("n_terms"), F.col("n_title") + F.col("n_body"))
-    return joined.withColumn("o", occ).select("query_id", "doc_id", "segment_index", F.round(score, DECIMALS).alias("lexical_score"))
+    return rows.select(
+        "query_id", "n_terms", "doc_id", F.col("s.segment_index").alias("segment_index"), "n_title", F.col("s.n").alias("n_body"),
+        F.coalesce("title.occ", none).alias("title_occ"), F.coalesce(F.try_element_at("bodies", F.col("s.segment_index"))["occ"], none).alias("body_occ"),
+    )
+
+
+def lexical_scores(index: TextIndex, queries: DataFrame, title_weight: float = 3.0, body_weight: float = 1.0, analyse: Analyser = simple_tokens) -> DataFrame:
+    """query_id, doc_id, segment_index, lexical_score of every match for queries(query_id, q); the rank looks at title and body in a row."""
+    scale = max(title_weight, body_weight)
+    place = lambda occ, shift, titled: F.transform(occ, lambda o: F.struct((o["pos"] + shift).alias("pos"), o["term_no"].alias("term_no"), F.lit(titled).alias("titled")))
+    occ = F.concat(place(F.col("title_occ"), F.lit(0), True), place(F.col("body_occ"), F.col("n_title"), False))
+    score = cover_density(occ, F.col("n_terms"), F.col("n_title") + F.col("n_body"), title_weight / scale, body_weight / scale)
+    return matches(index, queries, analyse).select("query_id", "doc_id", "segment_index", F.round(score, DECIMALS).alias("lexical_score"))
 
 
 def top(scored: DataFrame, score: str, k: int = POOL) -> DataFrame:

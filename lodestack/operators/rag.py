@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +25,28 @@ def citation_markers(answer: Column, n_chunks: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda n: (n >= 1) & (n <= n_chunks))))
 
 
+def user_turn_text(chunks: list[tuple[str, str]], response_format: str, question: str) -> str:
+    """user_turn over context_block for one answer on the driver: (title, snippet) of each chunk."""
+    context = "\n\n".join(f"Source [{i}]: {title}\n{snippet}" for i, (title, snippet) in enumerate(chunks, 1))
+    return f"{context}\n\n{response_format}\n\nQuestion: {question}"
+
+
+def markers_in(answer: str, n_chunks: int) -> list[int]:
+    """citation_markers of one answer on the driver."""
+    plain = re.sub(r"Source \[[0-9]+\]:", "Source:", answer)
+    return sorted({int(m) for m in re.findall(r"\[([0-9]+)\]", plain) if 1 <= int(m) <= n_chunks})
+
+
+def text_field(metadata: Column, name: str) -> Column:
+    """A top-level field of a JSON text if it is a string, else null."""
+    value = F.try_parse_json(metadata)
+    is_text = F.schema_of_variant(F.variant_get(value, f"$.{name}", "variant")) == "STRING"
+    return F.when(is_text, F.try_variant_get(value, f"$.{name}", "string"))
+
+
 def citation_url(metadata: Column) -> Column:
     """metadata.source_url of a JSON text if it is a string, else an empty one."""
-    value = F.try_parse_json(metadata)
-    is_text = F.schema_of_variant(F.variant_get(value, "$.source_url", "variant")) == "STRING"
-    return F.coalesce(F.when(is_text, F.try_variant_get(value, "$.source_url", "string")), F.lit(""))
+    return F.coalesce(text_field(metadata, "source_url"), F.lit(""))
 
 
 def contexts(results: DataFrame) -> DataFrame:

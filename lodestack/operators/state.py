@@ -39,3 +39,16 @@ def dimensions(vectors: DataFrame, by: str, order: str) -> DataFrame:
     first = Window.partitionBy(by).orderBy(order)
     one = vectors.filter("embedding IS NOT NULL").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     return one.select(by, F.size("embedding").alias("dimensions"))
+
+
+def tables(spark, paths: dict[str, str]) -> DataFrame:
+    """name, path, files, bytes, rows: the stored tables of an index, as far as they are there; a row each."""
+    from lodestack.sources.files import Files
+
+    rows = []
+    for name, path in sorted(paths.items()):
+        files = Files(spark, path)
+        if files.exists(""):
+            found = [x.rsplit(":", 2) for x in files.stamp().split(";") if x and not x.startswith("_")]
+            rows.append((name, path, len(found), sum(int(size) for _, size, _ in found), spark.read.parquet(path).count()))
+    return spark.createDataFrame(rows, "name string, path string, files int, bytes long, rows long")

@@ -1,11 +1,15 @@
-"""The search corpus that the registered queries read: documents as lines, with the vectors at hand, and queries over them."""
+"""The search corpus of the registered queries: documents as lines, with the vectors at hand, their text index, and queries over them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import content_hash, trim
+from lodestack.functions.text import content_hash, simple_tokens, trim
+from lodestack.operators.lexical import Analyser, TextIndex, text_index
+from lodestack.sources.files import Files, new_path
 
 NOW = "2026-07-13 00:00:00"
 
@@ -34,15 +38,52 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A document's first segment has its vector, also where blank lines come before it.
     """
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.withColumn("body", trim(F.col("line"))).filter("body <> ''").withColumn("content_hash", content_hash(F.col("body")))
-    first = lines.groupBy("doc_id", "content_hash").agg(F.min(F.struct("at", "body")).alias("m"))
-    cut = first.select("doc_id", F.col("m.at").alias("segment_index"), F.col("m.body").alias("body"), "content_hash")
-    cut = cut.withColumn("_first", F.col("segment_index") == F.min("segment_index").over(Window.partitionBy("doc_id")))
+    # lines are told apart within their row, so no text is shuffled
+    kept = table(spark, sf_dir, "documents").select("doc_id", F.explode(distinct_lines(F.col("text"))).alias("s"))
+    cut = kept.select("doc_id", "s.segment_index", "s.body", "s.content_hash", F.col("s.first").alias("_first"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("_first"), "embedding")
     return cut.join(vectors, ["doc_id", "_first"], "left").drop("_first")
 
 
+def distinct_lines(text: Column) -> Column:
+    """array<struct<content_hash, segment_index, body, first>>: lines that are not blank, of equal ones the first."""
+    every = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), trim(x).alias("body"))), lambda s: s["body"] != "")
+    coded = F.array_sort(F.transform(every, lambda s, n: F.struct(content_hash(s["body"]).alias("content_hash"), s["at"].alias("segment_index"), s["body"].alias("body"), (n == 0).alias("first"))))
+    first = lambda a: F.filter(a, lambda s, i: (i == 0) | (s["content_hash"] != F.get(a, i - 1)["content_hash"]))
+    return F.get(F.transform(F.array(coded), lambda a: first(a)), F.lit(0))
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """What an ingest of the tables leaves for searches: documents, segments and their text index."""
+
+    docs: DataFrame
+    segments: DataFrame
+    index: TextIndex
+
+
+_made: dict[tuple, Corpus] = {}
+
+
+def corpus(spark: SparkSession, sf_dir: str, analyse: Analyser = simple_tokens) -> Corpus:
+    """The searchable corpus of the tables: written once per session (and again when their files change), as an ingest does, and read by searches."""
+    stamp = tuple(Files(spark, f"{sf_dir}/{name}.parquet").stamp() for name in ("documents", "embeddings"))
+    key = (spark.sparkContext.applicationId, sf_dir, analyse.__name__, stamp)
+    if key not in _made:
+        path = new_path(spark, "corpus")
+
+        def kept(name: str, df: DataFrame, order: str) -> DataFrame:
+            df.sortWithinPartitions(order).write.parquet(f"{path}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+        d = kept("docs", docs(spark, sf_dir).drop("body"), "doc_id")
+        s = kept("segments", segments(spark, sf_dir), "doc_id")
+        index = text_index(s, d, analyse)
+        # in order of term, so that a search for a few terms skips the row groups that hold none of them
+        _made[key] = Corpus(d, s, TextIndex(kept("postings", index.postings, "term"), kept("sizes", index.sizes, "doc_id")))
+    return _made[key]
+
+
 def queries(spark: SparkSession, sf_dir: str, words: int = 2) -> DataFrame:
     """query_id, q, embedding: the first words of each benchmark item, with the vector of the same number."""
     b = table(spark, sf_dir, "benchmark")
@@ -63,7 +104,7 @@ lines AS (
 cut AS (
   SELECT doc_id, min(line_no) AS segment_index, arg_min(body, line_no) AS body, sha256(body) AS content_hash FROM lines WHERE body <> '' GROUP BY doc_id, sha256(body)),
 segments AS (
-  SELECT c.*, e.embedding FROM cut c LEFT JOIN embeddings e ON c.doc_id = e.vec_id AND c.segment_index = 0),
+  SELECT c.*, e.embedding FROM cut c LEFT JOIN embeddings e ON c.doc_id = e.vec_id AND c.segment_index = (SELECT min(f.segment_index) FROM cut f WHERE f.doc_id = c.doc_id)),
 queries AS (
   SELECT item_id AS query_id, array_to_string(regexp_extract_all(text, '[\p{L}\p{N}]+')[1:WORDS], ' ') AS q, e.embedding
   FROM benchmark LEFT JOIN embeddings e ON vec_id = item_id)

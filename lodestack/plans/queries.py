@@ -82,7 +82,7 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf_dir: str, words: int) -> DataFrame:
-    return lexical_scores(segments(spark, sf_dir), docs(spark, sf_dir), queries(spark, sf_dir, words))
+    return lexical_scores(corpus.corpus(spark, sf_dir).index, queries(spark, sf_dir, words))
 
 
 @query(lexical_sql("SELECT query_id, doc_id, segment_index FROM hits"))
@@ -104,7 +104,8 @@ def lexical_rank_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexical_rank_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestack.functions.english import english_tokens
 
-    return top(lexical_scores(segments(spark, sf_dir), docs(spark, sf_dir), queries(spark, sf_dir, 3), analyse=english_tokens), "lexical_score")
+    index = corpus.corpus(spark, sf_dir, english_tokens).index
+    return top(lexical_scores(index, queries(spark, sf_dir, 3), analyse=english_tokens), "lexical_score")
 
 
 # ---- hybrid search ---------------------------------------------------------------------------------------------------
@@ -125,7 +126,8 @@ FOUND = "SELECT query_id, position, external_id, score, title, kind, total FROM
 
 
 def _search(spark: SparkSession, sf_dir: str, o: SearchOptions) -> DataFrame:
-    return hybrid_search(segments(spark, sf_dir), docs(spark, sf_dir), queries(spark, sf_dir), o, _now())
+    c = corpus.corpus(spark, sf_dir)
+    return hybrid_search(c.segments, c.docs, queries(spark, sf_dir), o, _now(), index=c.index)
 
 
 def _registered(o: SearchOptions) -> Callable[[SparkSession, str], DataFrame]:
@@ -241,9 +243,9 @@ def chunk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(WITH_DOCS + "SELECT doc_id, count(*) AS lines, count(DISTINCT sha256(body)) AS segments FROM lines WHERE body <> '' GROUP BY doc_id")
 def dup_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    body = lines.select("doc_id", text.trim(F.col("line")).alias("body")).filter("body <> ''")
-    return body.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct(text.content_hash(F.col("body"))).alias("segments"))
+    kept = F.filter(F.transform(F.split("text", "\n"), lambda x: text.trim(x)), lambda x: x != "")
+    d = table(spark, sf_dir, "documents").select("doc_id", kept.alias("chunks")).filter(F.size("chunks") > 0)
+    return d.select("doc_id", F.size("chunks").cast("long").alias("lines"), F.size(ingest.distinct_segments(F.col("chunks"))).cast("long").alias("segments"))
 
 
 # ---- ingest ----------------------------------------------------------------------------------------------------------
@@ -312,14 +314,14 @@ def segment_limit_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _states(spark, sf_dir)
     stored = old.withColumn("embedding", F.array(F.lit(1.0)))
-    merged = ingest.merge_segments(stored, new, ("doc_id",))
+    merged = ingest.merge_segments(stored, new, key=("doc_id",))
     return merged.select("doc_id", "content_hash", "segment_index", F.col("embedding").isNotNull().alias("embedded"))
 
 
 @query("SELECT doc_id, source AS kind FROM documents WHERE doc_id NOT IN (SELECT page_id * 3 FROM pages)")
 def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = table(spark, sf_dir, "pages").select((F.col("page_id") * 3).alias("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("kind")).join(gone, "doc_id", "left_anti")
+    return ingest.delete_documents(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("kind")), gone, "doc_id")
 
 
 # ---- state -----------------------------------------------------------------------------------------------------------
@@ -342,10 +344,17 @@ def dims_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.dimensions(table(spark, sf_dir, "embeddings"), "label", "vec_id")
 
 
-@query("SELECT source AS kind, count(*) AS documents, count(*) FILTER (length(text) = 0) AS empty, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
+@query(
+    WITH_DOCS
+    + """SELECT kind, count(*) FILTER (n BETWEEN 1 AND 8) AS indexed, count(*) FILTER (n = 0) AS skipped, count(*) FILTER (n > 8) AS failed
+    FROM (SELECT d.doc_id, d.kind, count(l.doc_id) AS n FROM docs d LEFT JOIN (SELECT * FROM lines WHERE body <> '') l USING (doc_id) GROUP BY ALL) GROUP BY kind"""
+)
 def ingest_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("chars", F.char_length("text"))
-    return d.groupBy(F.col("source").alias("kind")).agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("chars") == 0).alias("empty"), F.sum("chars").alias("chars"))
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: text.trim(x)), lambda x: x != "")
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("kind"), F.size(lines).alias("n"))
+    good, bad = ingest.split_by_limit(d, F.col("n"), 8)
+    ended = good.select("kind", F.when(F.col("n") == 0, "skipped").otherwise("indexed").alias("status"), F.lit(None).cast("string").alias("error"))
+    return ingest.run_counters(ended.union(bad.select("kind", F.lit("rejected"), "error")), ["kind"])
 
 
 @query("SELECT page_id, url AS next_url FROM pages")
@@ -398,6 +407,13 @@ def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolled.withColumn("category", F.coalesce("category", F.lit("ALL")))
 
 
+@query(
+    "WITH found AS (" + search_sql(_B, "SELECT DISTINCT query_id FROM found") + ") SELECT count(*) AS queries, count(*) FILTER (found.query_id IS NULL) AS empty FROM benchmark b LEFT JOIN found ON found.query_id = b.item_id"
+)
+def empty_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evalmetrics.empty_queries(queries(spark, sf_dir), _search(spark, sf_dir, _B))
+
+
 @query(_captures_sql() + "SELECT query_id, overlap FROM e WHERE overlap < 0.7 ORDER BY overlap, query_id LIMIT 15")
 def most_divergent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measured(spark, sf_dir).filter("overlap < 0.7").orderBy("overlap", "query_id").limit(15).select("query_id", "overlap")

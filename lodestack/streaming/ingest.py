@@ -1,47 +1,93 @@
-"""Continuous ingest: every micro-batch of documents is merged into a snapshot table.
+"""Continuous ingest: every batch of documents is merged into a snapshot store.
 
-A snapshot is a folder with docs and segments as Parquet and a pointer file that names the current version; a batch
-writes a new version and then moves the pointer. The version carries the stream's batch number, so a batch that is run again after
-a failure finds its own version and changes nothing (exactly once by idempotence). One writer at a time.
+A store is a folder of versions. A version is a folder with docs, segments and the text index as Parquet, and a pointer file that
+names it; a batch writes a new folder and then the pointer, which two writers cannot both create: the second reads the new
+version and merges again. The pointer carries, apart from the version's own number, the last batch number of each stream, so a micro-batch
+that is run again after a failure changes nothing (exactly once by idempotence), whatever else has been written in between.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestack.functions.text import chunk_text, simple_tokens
 from lodestack.operators import ingest
+from lodestack.operators.lexical import TextIndex, text_index
+from lodestack.sources.files import Files
 
+FORMAT = 2
 DOCS = "external_id string, title string, body string, kind string, metadata string, segment_count int, created_at timestamp, updated_at timestamp"
 SEGMENTS = "external_id string, segment_index int, segment string, content_hash string, embedding array<float>"
+POSTINGS = "term string, doc_id string, segment_index int, pos int"
+SIZES = "doc_id string, n_title int, fields array<struct<segment_index: int, n: int>>"
+REPORT = "external_id string, segments int, changed long, unchanged long, removed long, status string, error string"
+T = TypeVar("T")
+
+
+class Conflict(RuntimeError):
+    """Another writer has published the version first."""
+
+
+def retry(work: Callable[[], T], attempts: int = 3, on: type[Exception] = Conflict) -> T:
+    """work(), again after an error of the kind `on`, at most `attempts` times in all."""
+    for left in reversed(range(attempts)):
+        try:
+            return work()
+        except on:
+            if not left:
+                raise
+    raise ValueError("attempts must be at least 1")
+
+
+def _to_format_2(files: Files) -> None:
+    """Format 1 had empty pointers, folders named by version, and no text index: such versions are read by their old names."""
+    for name in files.names("_versions"):
+        if not files.read(f"_versions/{name}"):
+            files.write(f"_versions/{name}", json.dumps({"folder": f"v{name}", "streams": {}}))
+
+
+#: what brings a store of the format before to the one of the key
+MIGRATIONS: dict[int, Callable[[Files], None]] = {2: _to_format_2}
 
 
 class SnapshotStore:
-    """Versions of a document table and a segment table under one folder of any Hadoop file system."""
+    """Versions of a document table, a segment table and their text index under one folder of any Hadoop file system."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        self.files = Files(spark, self.path)
+        self._migrate()
+
+    def _migrate(self) -> None:
+        """Bring an older store to FORMAT, one step after the other; a newer one is an error."""
+        found = int(self.files.read("_format")) if self.files.exists("_format") else 1 if self.files.exists("_versions") else None
+        if found is None:
+            return
+        if found > FORMAT:
+            raise ValueError(f"the store has format {found}, this version reads up to {FORMAT}")
+        for step in range(found + 1, FORMAT + 1):
+            MIGRATIONS[step](self.files)
+            self.files.write("_format", str(step))
 
     def version(self) -> int:
-        where, fs = self._fs("_versions")
-        found = [int(s.getPath().getName()) for s in fs.listStatus(where)] if fs.exists(where) else []
-        return max(found, default=-1)
-
-    def publish(self, version: int) -> None:
-        where, fs = self._fs(f"_versions/{version}")
-        fs.create(where, True).close()
+        return max((int(n) for n in self.files.names("_versions") if n.isdigit()), default=-1)
 
-    def read(self, name: str, schema: str) -> DataFrame:
+    def pointer(self) -> dict:
         v = self.version()
-        return self.spark.createDataFrame([], schema) if v < 0 else self.spark.read.schema(schema).parquet(f"{self.path}/v{v}/{name}")
+        return {"version": -1, "folder": None, "streams": {}} if v < 0 else {"version": v, **json.loads(self.files.read(f"_versions/{v}"))}
+
+    def read(self, name: str, schema: str, pointer: dict | None = None) -> DataFrame:
+        folder = (pointer or self.pointer())["folder"]
+        if folder is None or not self.files.exists(f"{folder}/{name}"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}/{name}")
 
     def docs(self) -> DataFrame:
         return self.read("docs", DOCS)
@@ -49,38 +95,104 @@ class SnapshotStore:
     def segments(self) -> DataFrame:
         return self.read("segments", SEGMENTS)
 
-    def write(self, version: int, docs: DataFrame, segments: DataFrame) -> None:
-        docs.write.mode("overwrite").parquet(f"{self.path}/v{version}/docs")
-        segments.write.mode("overwrite").parquet(f"{self.path}/v{version}/segments")
-        self.publish(version)
+    def index(self) -> TextIndex:
+        """The stored text index; doc_id is the external_id."""
+        return TextIndex(self.read("postings", POSTINGS), self.read("sizes", SIZES))
+
+    def report(self) -> DataFrame:
+        """What became of each document of the batch that made the current version."""
+        return self.read("report", REPORT)
+
+    def write(self, base: dict, tables: dict[str, DataFrame], streams: dict[str, int] | None = None) -> None:
+        """Write the version after `base`; Conflict if another has been published since."""
+        version = base["version"] + 1
+        folder = f"v{version}-{uuid.uuid4().hex[:12]}"
+        for name, table in tables.items():
+            table.write.parquet(f"{self.path}/{folder}/{name}")
+        if not self.files.exists("_format"):
+            self.files.write("_format", str(FORMAT))
+        if not self.files.create(f"_versions/{version}", json.dumps({"folder": folder, "streams": {**base["streams"], **(streams or {})}})):
+            self.files.delete(folder)
+            raise Conflict(f"version {version} is taken")
+
+
+def _sorted(index: TextIndex) -> dict[str, DataFrame]:
+    """Postings in order of term within each file, so that a search for a few terms skips what holds none of them."""
+    return {"postings": index.postings.sortWithinPartitions("term"), "sizes": index.sizes}
+
+
+def upsert(
+    store: SnapshotStore, batch: DataFrame, embed: Callable[[Column], Column], now: Column, max_tokens: int = 1000, max_segments: int = 150,
+    analyse: Callable[[Column], Column] = simple_tokens, order: str | None = None, stream: str | None = None, number: int | None = None,
+) -> DataFrame:
+    """Merge a batch (external_id, title, body, kind, metadata) into the store, and say what became of each document (REPORT).
+
+    Of repeated ids the last row stays, by the column `order` if given, else as the batch has them. A document without text is stored
+    without segments. One of too many segments is rejected with an error, and what the store has of it stays. Only changed segments are
+    embedded; only new documents are analysed. A micro-batch (stream, number) that the store has seen changes nothing.
+    """
+    if stream is not None and number is not None and number <= store.pointer()["streams"].get(stream, -1):
+        return store.spark.createDataFrame([], REPORT)
+    fields = F.struct("title", "body", "kind", "metadata")
+    last = F.col(order) if order else F.monotonically_increasing_id()
+    one = batch.withColumn("_last", last).groupBy("external_id").agg(F.max_by(fields, "_last").alias("m")).select("external_id", "m.*")
+    staged = f"{store.path}/_batches/{uuid.uuid4().hex}"
+    one.withColumn("chunks", chunk_text(F.col("body"), max_tokens)).write.parquet(staged)
+
+    def merge() -> DataFrame:
+        base = store.pointer()
+        cut = store.spark.read.parquet(staged)
+        good, bad = ingest.split_by_limit(cut, F.size("chunks"), max_segments)
+        new = ingest.segments_of(good.select("external_id", "title", "chunks"))
+        old = store.read("segments", SEGMENTS, base)
+        counts = good.select("external_id", "title", "body", "kind", "metadata", F.size(ingest.distinct_segments(F.col("chunks"))).alias("segment_count"))
+        docs = ingest.merge_documents(store.read("docs", DOCS, base), counts.withColumn("created_at", now), now)
+        gone = good.select("external_id")
+        merged = ingest.merge_segments(old, new.select("external_id", "segment_index", "segment", "content_hash"), gone)
+        titled = merged.join(new.select("external_id", "content_hash", "title"), ["external_id", "content_hash"], "left")
+        embedding = F.coalesce("embedding", embed(F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.col("segment"))))
+        fresh = text_index(new.selectExpr("external_id AS doc_id", "segment_index", "segment AS body"), good.selectExpr("external_id AS doc_id", "title"), analyse)
+        kept = lambda name, schema: store.read(name, schema, base).join(gone, F.col("doc_id") == F.col("external_id"), "left_anti")
+        changes = ingest.report(ingest.diff(new, old, "external_id", gone), "external_id")
+        said = good.select("external_id").join(changes, "external_id", "left").select(
+            "external_id", *[F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("segments", "int"), ("changed", "long"), ("unchanged", "long"), ("removed", "long"))],
+            F.lit("indexed").alias("status"), F.lit(None).cast("string").alias("error"),
+        )
+        refused = bad.select("external_id", F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit("rejected"), "error")
+        tables = {
+            "docs": docs, "segments": titled.select("external_id", "segment_index", "segment", "content_hash", embedding.alias("embedding")),
+            **_sorted(TextIndex(kept("postings", POSTINGS).union(fresh.postings), kept("sizes", SIZES).union(fresh.sizes))),
+            "report": said.union(refused),
+        }
+        store.write(base, tables, {stream: number} if stream is not None and number is not None else None)
+        return store.report()
+
+    try:
+        return retry(merge)
+    finally:
+        store.files.delete(staged.removeprefix(f"{store.path}/"))
+
 
+def delete(store: SnapshotStore, ids: DataFrame) -> None:
+    """Drop documents (external_id) with their segments and postings; ids that are not there change nothing. Streams go on where they are."""
 
-def upsert(store: SnapshotStore, batch: DataFrame, version: int, embed: Callable[[Column], Column], now: Column, max_tokens: int = 1000, max_segments: int = 150) -> None:
-    """Merge a batch (external_id, title, body, kind, metadata) into the store; of repeated ids the last by title and body stays.
+    def merge() -> None:
+        base = store.pointer()
+        gone = ids.select("external_id").distinct()
+        by_id = lambda name, schema: ingest.delete_documents(store.read(name, schema, base), gone, "external_id")
+        by_doc = lambda name, schema: ingest.delete_documents(store.read(name, schema, base), gone.withColumnRenamed("external_id", "doc_id"), "doc_id")
+        index = TextIndex(by_doc("postings", POSTINGS), by_doc("sizes", SIZES))
+        store.write(base, {"docs": by_id("docs", DOCS), "segments": by_id("segments", SEGMENTS), **_sorted(index)})
 
-    Only changed segments are embedded. Documents with too many segments are left out.
-    """
-    if version <= store.version():
-        return
-    one = batch.groupBy("external_id").agg(F.max(F.struct("title", "body", "kind", "metadata")).alias("m")).select("external_id", "m.*")
-    cut = ingest.to_segments(one, max_tokens).filter(F.col("n_chunks") <= max_segments)
-    sizes = cut.groupBy("external_id").agg(F.count(F.lit(1)).cast("int").alias("segment_count"))
-    docs = one.join(sizes, "external_id").withColumn("created_at", now)
-    merged_docs = ingest.merge_documents(store.docs(), docs, now)
-    new = cut.select("external_id", "segment_index", "segment", "content_hash", "title")
-    old = store.segments()
-    merged = ingest.merge_segments(old, new.select("external_id", "segment_index", "segment", "content_hash"))
-    titled = merged.join(new.select("external_id", "content_hash", "title"), ["external_id", "content_hash"], "left")
-    embedded = F.coalesce("embedding", embed(F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.col("segment"))))
-    store.write(version, merged_docs, titled.select("external_id", "segment_index", "segment", "content_hash", embedded.alias("embedding")))
+    retry(merge)
 
 
-def delete(store: SnapshotStore, ids: DataFrame) -> None:
-    """Drop documents (external_id) with their segments; ids that are not there change nothing."""
-    store.write(store.version() + 1, store.docs().join(ids, "external_id", "left_anti"), store.segments().join(ids, "external_id", "left_anti"))
+def stream_upserts(
+    source: DataFrame, store: SnapshotStore, embed: Callable[[Column], Column], checkpoint: str, now: Callable[[], Column] = F.current_timestamp, stream: str = "stream", **options
+) -> StreamingQuery:
+    """Start a query that merges each micro-batch of a document stream into the store; `stream` names it, for as long as its checkpoint lives."""
 
+    def run(batch: DataFrame, number: int) -> None:
+        upsert(store, batch, embed, now(), stream=stream, number=number, **options)
 
-def stream_upserts(source: DataFrame, store: SnapshotStore, embed: Callable[[Column], Column], checkpoint: str, now: Callable[[], Column] = F.current_timestamp, **limits) -> StreamingQuery:
-    """Start a query that merges each micro-batch of a document stream into the store."""
-    run = lambda batch, number: upsert(store, batch, number, embed, now(), **limits)
     return source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()

@@ -1,5 +1,6 @@
 import datetime
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -44,6 +45,65 @@ def test_chunks_keep_all_characters(spark):
         assert all(math.ceil(len(c.encode()) / 3) <= 4 for c in r["c"])
 
 
+def plain_chunks(t, budget):
+    """The chunking rule in plain Python: cut from coarse to fine, join greedily, trim, drop blank ones."""
+    size = lambda x: math.ceil(len(x.encode()) / 3)
+
+    def cut(piece, seps):
+        if size(piece) <= budget or not seps:
+            return [piece] if size(piece) <= budget else list(piece)
+        parts = [p + seps[0] for p in piece.split(seps[0])]
+        parts[-1] = parts[-1].removesuffix(seps[0])
+        return [x for p in parts if p for x in cut(p, seps[1:])]
+
+    out, now = [], ""
+    for piece in cut(t, text.SEPARATORS):
+        if now and size(now + piece) > budget:
+            out.append(now)
+            now = ""
+        now += piece
+    white = "".join(map(chr, [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+    return [x for x in (y.strip(white) for y in [*out, now]) if x]
+
+
+def test_chunks_and_segments_against_plain_python(spark):
+    import hashlib
+
+    from lodestack.operators.ingest import to_segments
+
+    rnd = random.Random(3)
+    words = ["alpha", "be. ta", "gamma\n\n", "\n", "日本語", "x" * 70, "y. ", "\u00a0"]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 60))) for _ in range(80)] + ["same line\n\n" * 30, "", "  ", "w" * 3000, None]
+    docs = spark.createDataFrame([(i, "t", t) for i, t in enumerate(texts)], "doc_id long, title string, body string")
+    want = []
+    for i, t in enumerate(texts):
+        chunks, seen = plain_chunks(t or "", 20), set()
+        for n, c in enumerate(chunks):
+            if c not in seen:
+                seen.add(c)
+                want.append((i, n, hashlib.sha256(c.encode()).hexdigest(), len(chunks)))
+    got = to_segments(docs, 20).select("doc_id", "segment_index", "content_hash", "n_chunks").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_run_counters_and_empty_queries(spark):
+    from lodestack.operators.ingest import run_counters
+
+    ended = spark.createDataFrame([("a", "indexed", None), ("a", "skipped", None), ("b", "rejected", "too long"), ("b", "indexed", None), ("b", "skipped", "e")], "kind string, status string, error string")
+    assert tuple(run_counters(ended).first()) == (2, 1, 2)
+    assert sorted(map(tuple, run_counters(ended, ["kind"]).collect())) == [("a", 1, 1, 0), ("b", 1, 0, 2)]
+    asked, found = spark.range(5).withColumnRenamed("id", "query_id"), spark.createDataFrame([(1,), (1,), (4,)], "query_id long")
+    assert tuple(evalmetrics.empty_queries(asked, found).first()) == (5, 3)
+
+
+def test_driver_twins_of_the_prompt_columns(spark):
+    for answer in ("[2] then [1] and [2], Source [3]: x [9] [0] [99999999999999999999]", "Source [1]: yes", ""):
+        assert rag.markers_in(answer, 5) == one(spark, rag.citation_markers(F.lit(answer), F.lit(5)))[0]
+    for chunks in ([("T", "s"), ("U", "v\nw")], []):
+        cell = F.array(*[F.struct(F.lit(t).alias("title"), F.lit(s).alias("snippet")) for t, s in chunks]) if chunks else F.array().cast("array<struct<title: string, snippet: string>>")
+        assert rag.user_turn_text(chunks, "f", "q?") == one(spark, rag.user_turn(rag.context_block(cell), F.lit("f"), F.lit("q?")))[0]
+
+
 def test_rrf_and_weights(spark):
     none = F.lit(None).cast("int")
     r = one(spark, scores.rrf(F.lit(1), F.lit(3), 60), scores.rrf(F.lit(1), none, 60), scores.rrf(none, none, 60), scores.rrf(F.lit(1), F.lit(1), 60, 2.0, 0.5))

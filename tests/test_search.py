@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,7 +106,9 @@ def test_engine(spark, tmp_path):
     assert e.authorize("i", "search", new) and e.revoke_key("i", "search") and not e.revoke_key("none", "rag")
     rows = [("p", "Parking", "Apply for parking permits online.", "services", json.dumps({"source_url": "http://p"})), ("t", "Taxes", "Pay taxes.\n\nPay taxes.", None, None), ("long", "L", "word " * 200, None, None)]
     schema = "external_id string, title string, body string, kind string, metadata string"
-    e.ingest("i", spark.createDataFrame(rows, schema), now())
+    said = {r["external_id"]: r for r in e.ingest("i", spark.createDataFrame(rows, schema), now()).collect()}
+    assert (said["p"]["segments"], said["p"]["changed"], said["t"]["segments"], said["t"]["status"]) == (1, 1, 1, "indexed")
+    assert said["long"]["status"] == "rejected" and "exceeding limit of 3" in said["long"]["error"]
     assert sorted(r["external_id"] for r in e.store("i").docs().collect()) == ["p", "t"]
     before = {r["content_hash"]: r["embedding"] for r in e.store("i").segments().collect()}
     e.ingest("i", spark.createDataFrame([("p", "New title", "Apply for parking permits online.", "services", json.dumps({"source_url": "http://p"}))], schema), now())
@@ -124,20 +127,184 @@ def test_engine(spark, tmp_path):
     assert e.delete_index("i") and not e.delete_index("i") and e.healthy()
 
 
+DOCUMENT = "external_id string, title string, body string, kind string, metadata string"
+CONFIG = {"embedding": {"provider": "test", "dimensions": 8}, "max_segment_tokens": 20, "max_segments_per_document": 2}
+
+
+def test_registry_outlives_the_engine(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    first = SearchEngine(spark, path)
+    keys = first.create_index("a/b é", "text", CONFIG)
+    first.create_prompt("a/b é", "p", PROMPT)
+    first.ingest("a/b é", spark.createDataFrame([("x", "X", "old text", None, None)], DOCUMENT), now())
+    again = SearchEngine(spark, path)
+    assert [i.name for i in again.list_indexes()] == ["a/b é"] and again.list_prompts("a/b é") == ["p"]
+    assert again.authorize("a/b é", "index", keys["index_key"]).description == "text"
+    assert again.ensure_index("a/b é") == {"created": False} and again.create_index("a/b é") is None
+    assert again.search("a/b é", "old", mode="lexical")["total"] == 1
+    # a deleted index takes its data along
+    assert first.delete_index("a/b é") and again.get_index("a/b é") is None
+    assert [p for p in tmp_path.iterdir() if p.name.startswith("data-")] == []
+    made = again.ensure_index("a/b é", config=CONFIG)
+    assert made["created"] and made["index_key"] and again.store("a/b é").docs().count() == 0 and again.list_prompts("a/b é") == []
+    with pytest.raises(NotFound):
+        again.ingest("none", spark.createDataFrame([], DOCUMENT))
+    again.create_index("second")
+    assert [i.name for i in again.list_indexes()] == ["a/b é", "second"]
+
+
+def test_ingest_reports(spark, tmp_path):
+    e = SearchEngine(spark, f"file://{tmp_path}")
+    e.create_index("i", config=CONFIG)
+    body = "One two three four five six seven.\n\nEight nine ten eleven twelve thirteen."
+    assert e.ingest_document("i", {"external_id": "a", "title": "A", "body": body}, now()) == {"external_id": "a", "segments": 2, "changed": 2, "unchanged": 0, "status": "indexed"}
+    assert e.ingest_document("i", {"external_id": "a", "title": "B", "body": body, "kind": "k"}, now())["unchanged"] == 2
+    from lodestack.engine import Rejected
+
+    with pytest.raises(Rejected, match="produces 7 segments, exceeding limit of 2"):
+        e.ingest_document("i", {"external_id": "a", "title": "C", "body": "word " * 80}, now())
+    kept = e.store("i").docs().first()
+    assert (kept["title"], kept["kind"], kept["segment_count"], kept["metadata"]) == ("B", "k", 2, "{}")  # what was there stays
+    said = e.ingest("i", spark.createDataFrame([("a", "D", " \n ", None, None), ("e", "Empty", None, None, None)], DOCUMENT), now()).collect()
+    assert {(r["external_id"], r["segments"], r["removed"], r["status"]) for r in said} == {("a", 0, 2, "indexed"), ("e", 0, 0, "indexed")}
+    docs = {r["external_id"]: (r["title"], r["segment_count"], r["kind"]) for r in e.store("i").docs().collect()}
+    assert docs == {"a": ("D", 0, None), "e": ("Empty", 0, None)} and e.store("i").segments().count() == 0 and e.store("i").index().postings.filter("segment_index >= 0").count() == 0
+    twice = spark.createDataFrame([("z", "zz", "first", None, None, 2), ("z", "aa", "second", None, None, 9), ("z", "mm", "third", None, None, 5)], DOCUMENT + ", at int")
+    e.ingest("i", twice, now(), order="at")
+    assert e.store("i").docs().filter("external_id = 'z'").first()["title"] == "aa"
+    e.ingest("i", twice.coalesce(1), now())
+    assert e.store("i").docs().filter("external_id = 'z'").first()["title"] == "mm"  # the last as they come
+    status = e.status("i")
+    assert {r["name"]: r["rows"] for r in status["tables"].collect()}["docs"] == 3 and all(r["bytes"] > 0 for r in status["tables"].collect())
+    assert status["dimensions"].first()["dimensions"] == 8 and status["totals"].first()["total_documents"] == 3
+
+
+def test_stored_index_equals_a_new_one(spark, tmp_path):
+    """Search over the stored postings finds what an index made from the stored segments would."""
+    from lodestack.operators.lexical import text_index
+
+    e = SearchEngine(spark, f"file://{tmp_path}")
+    e.create_index("i", config={**CONFIG, "text_search_config": "simple", "max_segments_per_document": 9})
+    doc = lambda i, t, b: (i, t, b, None, None)
+    e.ingest("i", spark.createDataFrame([doc("a", "Alpha beta", "beta gamma\n\nbeta"), doc("b", "Beta", ""), doc("c", "C", "gamma")], DOCUMENT), now())
+    e.ingest("i", spark.createDataFrame([doc("a", "Alpha", "gamma beta"), doc("d", "D", "x " * 60)], DOCUMENT), now())
+    e.delete_documents("i", ["c"])
+    store = e.store("i")
+    new = text_index(store.segments().selectExpr("external_id AS doc_id", "segment_index", "segment AS body"), store.docs().selectExpr("external_id AS doc_id", "title"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(store.index().postings) == rows(new.postings)
+    flat = lambda df: sorted((r["doc_id"], r["n_title"], tuple(sorted(map(tuple, r["fields"])))) for r in df.collect())
+    assert flat(store.index().sizes) == flat(new.sizes)
+    assert [r["external_id"] for r in e.search("i", "beta gamma", mode="lexical")["results"]] == ["a"]
+    assert e.search("i", "gone", mode="lexical") == {"results": [], "total": 0, "query": "gone"}
+
+
+def test_recency_through_the_facade(spark, tmp_path):
+    e = SearchEngine(spark, f"file://{tmp_path}")
+    e.create_index("i", config={**CONFIG, "text_search_config": "simple"})
+    when = {"stale": '{"published_at": "2015-01-15"}', "fresh": '{"published_at": "2026-07-13"}', "number": '{"published_at": 2015}', "broken": "{", "undated": None}
+    e.ingest("i", spark.createDataFrame([(i, "T", f"parking {i}", "posts", m if m != "{" else '{"published_at": "soon"}') for i, m in when.items()], DOCUMENT), now())
+    plain = {r["external_id"]: r["score"] for r in e.search("i", "parking", mode="lexical", now=now())["results"]}
+    aged = {r["external_id"]: r["score"] for r in e.search("i", "parking", mode="lexical", recency="posts:180:0.85", now=now())["results"]}
+    ratio = {i: round(aged[i] / plain[i], 2) for i in plain}
+    assert ratio == {"stale": 0.85, "fresh": 1.0, "number": 1.0, "broken": 1.0, "undated": 1.0}
+
+
 def test_stream(spark, tmp_path):
     from lodestack.functions.vectors import hash_embedding
-    from lodestack.streaming.ingest import SnapshotStore, stream_upserts, upsert
+    from lodestack.streaming.ingest import SnapshotStore, delete, stream_upserts, upsert
 
-    source, schema = f"{tmp_path}/in", "external_id string, title string, body string, kind string, metadata string"
-    spark.createDataFrame([("a", "A", "one\n\ntwo", "k", None), ("b", "B", "three", None, None)], schema).write.json(source)
+    source = f"{tmp_path}/in"
+    doc = lambda i, t, b: spark.createDataFrame([(i, t, b, None, None)], DOCUMENT)
+    spark.createDataFrame([("a", "A", "one\n\ntwo", "k", None), ("b", "B", "three", None, None)], DOCUMENT).write.json(source)
     store = SnapshotStore(spark, f"file://{tmp_path}/s")
     embed = lambda t: hash_embedding(t, 8)
-    q = stream_upserts(spark.readStream.schema(schema).json(source), store, embed, f"{tmp_path}/c", now)
+    start = lambda: stream_upserts(spark.readStream.schema(DOCUMENT).json(source), store, embed, f"{tmp_path}/c", now)
+    q = start()
     q.processAllAvailable()
     q.stop()
-    assert store.docs().count() == 2 and store.version() == 0
-    upsert(store, spark.createDataFrame([("z", "Z", "z", None, None)], schema), 0, embed, now())  # the same batch again
+    assert store.docs().count() == 2 and store.pointer()["streams"] == {"stream": 0}
+    upsert(store, doc("z", "Z", "z"), embed, now(), stream="stream", number=0)  # the same batch again
     assert store.docs().count() == 2
+    # writes in between do not swallow the next micro-batch
+    delete(store, spark.createDataFrame([("b",), ("missing",)], "external_id string"))
+    upsert(store, doc("api", "P", "by hand"), embed, now())
+    upsert(store, doc("other", "O", "of another stream"), embed, now(), stream="two", number=0)
+    doc("c", "C", "third").write.mode("append").json(source)
+    q = start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["external_id"] for r in store.docs().collect()) == ["a", "api", "c", "other"]
+    assert store.pointer()["streams"] == {"stream": 1, "two": 0}
+    assert not store.files.names("_batches")
+
+
+def test_conflicts_and_formats(spark, tmp_path):
+    from lodestack.functions.vectors import hash_embedding
+    from lodestack.streaming import ingest as store_module
+    from lodestack.streaming.ingest import Conflict, SnapshotStore, retry, upsert
+
+    store, embed = SnapshotStore(spark, f"file://{tmp_path}/s"), lambda t: hash_embedding(t, 4)
+    doc = lambda i: spark.createDataFrame([(i, i, f"text {i}", None, None)], DOCUMENT)
+    upsert(store, doc("a"), embed, now())
+    base = store.pointer()
+    upsert(store, doc("b"), embed, now())
+    with pytest.raises(Conflict):
+        store.write(base, {"docs": store.docs()})
+    assert sorted(r["external_id"] for r in store.docs().collect()) == ["a", "b"]
+    # a writer that loses the race merges into what the other has written
+    real, raced = SnapshotStore.write, []
+
+    def slow(self, base, tables, streams=None):
+        if not raced:
+            raced.append(1)
+            upsert(SnapshotStore(spark, self.path), doc("c"), embed, now())
+        real(self, base, tables, streams)
+
+    SnapshotStore.write = slow
+    try:
+        upsert(store, doc("d"), embed, now())
+    finally:
+        SnapshotStore.write = real
+    assert sorted(r["external_id"] for r in store.docs().collect()) == ["a", "b", "c", "d"]
+    tries = []
+    with pytest.raises(Conflict):
+        retry(lambda: (tries.append(1), store.write(base, {}))[1])
+    assert len(tries) == 3
+    # a store of format 1 is read on, a newer one is not
+    old = store_module.Files(spark, f"file://{tmp_path}/old")
+    store.docs().write.parquet(f"{tmp_path}/old/v0/docs")
+    old.write("_versions/0", "")
+    again = SnapshotStore(spark, f"file://{tmp_path}/old")
+    assert again.docs().count() == 4 and again.segments().count() == 0 and old.read("_format") == "2"
+    old.write("_format", "99")
+    with pytest.raises(ValueError, match="format 99"):
+        SnapshotStore(spark, f"file://{tmp_path}/old")
+
+
+def test_vectors_in_blocks_and_lists(spark):
+    """Many blocks give what one block gives, with identifiers of any type; inverted lists find nearly the same."""
+    from lodestack.operators.vector import nearest_parts, vector_topk_approximate
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    m = np.round(centres[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 16)), 2)
+    rows = [(f"v{i:04d}é", int(i % 3), [float(x) for x in r]) for i, r in enumerate(m)] + [("zero", 0, [0.0] * 16), (None, 0, [1.0] * 16), ("none", 0, None)]
+    v = spark.createDataFrame(rows, "vec_id string, part int, embedding array<float>").repartition(5)
+    q = v.filter("part = 0 AND vec_id LIKE 'v%' AND vec_id < 'v0300'").select(F.col("vec_id").alias("query_id"), "embedding")
+    one = sorted(map(tuple, nearest_parts(v, q, 7).collect()))
+    many = sorted(map(tuple, nearest_parts(v, q, 7, block=16, slice_rows=500).collect()))
+    assert one == many and len(one) == 7 * q.count()
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for i in (0, 150):
+        sim = np.round(unit @ unit[i], 6)
+        want = sorted(range(3000), key=lambda j: (-sim[j], rows[j][0], rows[j][1]))[:7]
+        assert [r[1] for r in one if r[0] == rows[i][0]] == [rows[j][0] for j in want] or sorted(r[4] for r in one if r[0] == rows[i][0]) == list(range(1, 8))
+    exact = {(r[0], r[1]) for r in nearest_parts(v, q, 10).select("query_id", "vec_id").collect()}
+    near = vector_topk_approximate(v.drop("part"), q, 10, lists=30, probes=8).collect()
+    assert len({(r["query_id"], r["vec_id"]) for r in near} & exact) >= 0.9 * len(exact) and max(r["rank"] for r in near) == 10
+    with pytest.raises(Exception, match="dimensions"):
+        nearest_parts(v, spark.createDataFrame([("q", [1.0])], "query_id string, embedding array<float>"), 3).collect()
 
 
 def test_rest_source(spark):
