@@ -6,10 +6,11 @@ in a document with a smaller identifier; windows are judged on the input, not on
 Sharding. Each window belongs to the least hash (minimizer) among its runs of GRAM words, so equal windows belong together
 wherever they stand. Neighbouring windows with one minimizer form a segment, about half a dozen windows long. Pass one counts
 the documents of each minimizer; a minimizer of one document holds no repeated window. Those of two documents or more pass as
-a bitmap of a fixed size, in which a false bit costs work, never a result. Pass two cuts the segments and deals them
-to shards by minimizer. Minimizers of very many documents (a second bitmap) would make hot shards: their equal segments are
-first joined by digest, on the map side, however many documents share them, and the windows of the distinct ones are then told
-apart by the digest of the whole window.
+a bitmap of a bounded size, in which a false bit costs work, never a result. Pass two cuts the segments and deals them
+to shards by minimizer. Of minimizers in very many documents the equal segments are first joined, on the map side, so that
+their shards get each distinct segment once, with the least identifier that has it, however many documents share it. A minimizer whose
+distinct segments alone outgrow a shard (a common passage between ever different neighbours) is dealt window by window, over as
+many tasks as there are windows.
 
 In a shard. The distinct segments are the text of an FM-index: suffixes are sorted by prefix doubling as far as a window
 reaches, and the Burrows-Wheeler transform is a wavelet tree (by levels) of packed bits with block counts. The segments
@@ -33,16 +34,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import small_batches, staged
+from lodestack.llm.common import maybe_broadcast, small_batches, staged
 
 WINDOW = 13
 GRAM = 5
 #: words of distinct segments in one shard, about
 SHARD_WORDS = 600_000
-#: minimizers in more documents than this are dealt window by window
-FREQUENT = 2_000
+#: equal segments of minimizers in more documents than this are joined before they are dealt (in more, if there are over MOST_FREQUENT of those)
+FREQUENT, MOST_FREQUENT = 2_000, 4_000_000
+#: keys of a join with more rows than this are broadcast (with more, if there are over MOST_COMMON of those), the others shuffled
+COMMON, MOST_COMMON = 5_000, 100_000
 SEGMENT_WINDOWS = 64
-BITMAP_BITS = (1 << 16, 1 << 28)
+BITMAP_BITS = (1 << 16, 1 << 29)
 #: 64-bit words of a bitmap that come to the driver as one row
 CHUNK_WORDS = 1 << 12
 
@@ -167,41 +170,47 @@ def minimizers(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "v long, n long")
 
 
-def bitmaps(counted: DataFrame, bits: int) -> np.ndarray:
-    """Two rows of packed 64-bit words: minimizers of several documents, and frequent ones. The size is fixed by `bits`.
+def bitmap(counted: DataFrame, bits: int) -> np.ndarray:
+    """The minimizers of several documents as packed 64-bit words. The size is fixed by `bits`.
 
-    Words are put together by tasks, so the driver gets bits / 4 bytes in few rows, whatever the number of minimizers.
+    Words are put together by tasks, so the driver gets bits / 8 bytes in few rows, whatever the number of minimizers.
     """
     place = F.pmod("v", F.lit(bits))
     one = F.expr("shiftleft(1L, CAST(pmod(v, 64) AS INT))")
-    words = counted.groupBy((F.shiftright(place, 6)).cast("int").alias("w")).agg(F.bit_or(one).alias("some"), F.bit_or(F.when(F.col("n") > FREQUENT, one).otherwise(F.lit(0))).alias("often"))
+    words = counted.groupBy((F.shiftright(place, 6)).cast("int").alias("w")).agg(F.bit_or(one).alias("some"))
     side = CHUNK_WORDS
 
     def pack(table: pa.Table) -> pa.Table:
-        table, out = table.combine_chunks(), np.zeros((2, side), np.int64)
-        at = table["w"].to_numpy() % side
-        out[0, at], out[1, at] = table["some"].to_numpy(), table["often"].to_numpy()
+        table, out = table.combine_chunks(), np.zeros(side, np.int64)
+        out[table["w"].to_numpy() % side] = table["some"].to_numpy()
         return pa.table({"chunk": pa.array([int(table["w"][0].as_py()) // side], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
 
     chunks = words.groupBy(F.floor(F.col("w") / side).alias("c")).applyInArrow(pack, "chunk int, bits binary").toArrow()
-    out = np.zeros((2, max(side, bits >> 6)), np.int64)
+    out = np.zeros(max(side, bits >> 6), np.int64)
     for chunk, raw in zip(chunks["chunk"].to_pylist(), chunks["bits"], strict=True):
-        out[:, chunk * side : (chunk + 1) * side] = np.frombuffer(raw.as_py(), np.int64).reshape(2, side)
-    return out[:, : bits >> 6].view(np.uint64)
+        out[chunk * side : (chunk + 1) * side] = np.frombuffer(raw.as_py(), np.int64)
+    return out[: bits >> 6].view(np.uint64)
 
 
-def _has(bitmap: np.ndarray, v: np.ndarray) -> np.ndarray:
-    place = v & np.uint64(len(bitmap) * 64 - 1)
-    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (v & np.uint64(63))) & np.uint64(1) == 1
+def frequent_minimizers(counted: DataFrame) -> np.ndarray:
+    """The sorted minimizers of more than FREQUENT documents, MOST_FREQUENT at most."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    rows = counted.filter(F.col("n") > max(FREQUENT, total // MOST_FREQUENT)).select("v").toArrow()
+    return np.sort(rows["v"].to_numpy().view(np.uint64))
 
 
-PLACES = "doc_id long, text_key long, start int, windows int, deal long, segment binary, digest binary, each array<binary>"
+def _has(bits: np.ndarray, v: np.ndarray) -> np.ndarray:
+    place = v & np.uint64(len(bits) * 64 - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (v & np.uint64(63))) & np.uint64(1) == 1
+
+
+PLACES = "doc_id long, text_key long, start int, windows int, deal long, segment binary, digest binary"
 
 
 def places(docs: DataFrame, shared) -> DataFrame:
-    """Every segment that may hold a repeated window, with its place; `shared` is the broadcast bitmaps.
+    """Every segment that may hold a repeated window, with its place; `shared` is the broadcast bitmap and frequent minimizers.
 
-    A segment of a frequent minimizer comes with its digest and those of its windows in place of its words.
+    Only segments of frequent minimizers have a digest.
     """
     names = [x.split()[0] for x in PLACES.split(", ")]
 
@@ -215,20 +224,13 @@ def places(docs: DataFrame, shared) -> DataFrame:
                 first, size, v = m.segments()
                 keep = _has(some, v)
                 first, size, v = first[keep], size[keep], v[keep]
-                hot = _has(often, v)
-                order = np.argsort(hot, kind="stable")
-                first, size, v, n = first[order], size[order], v[order], int((~hot).sum())
+                hot = (often[np.minimum(np.searchsorted(often, v), len(often) - 1)] == v) if len(often) else np.zeros(len(v), bool)
                 words = m.cut(first, size)
-                digests = [xxhash.xxh3_128_digest(w) for w in words[n:]]
-                upto = np.concatenate([[0], np.cumsum(size[n:])])
-                at = np.repeat(first[n:] - upto[:-1], size[n:]) + np.arange(upto[-1])
-                each = [xxhash.xxh3_128_digest(w) for w in m.cut(at, np.ones(len(at), np.int64))]
+                digests = [xxhash.xxh3_128_digest(w) if h else None for w, h in zip(words, hot.tolist(), strict=True)]
                 doc = m.doc[first]
                 ids, keys = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)[doc] for i in (0, 2))
-                lists = [each[x:y] for x, y in zip(upto.tolist(), upto[1:].tolist(), strict=False)]
                 cols = [pa.array(ids), pa.array(keys), pa.array((first - m.starts[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(_mix(v).view(np.int64))]
-                cols += [pa.array(words[:n] + [None] * len(digests), pa.binary()), pa.array([None] * n + digests, pa.binary()), pa.array([None] * n + lists, pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(words, pa.binary()), pa.array(digests, pa.binary())], names=names)
 
     return docs.mapInArrow(run, PLACES)
 
@@ -336,11 +338,11 @@ def shard_flags(segments: pa.Array, ids: np.ndarray, window: int = WINDOW) -> tu
     return flags, n_windows
 
 
-FOUND = "doc_id long, text_key long, start int, windows int, flags binary"
+FOUND = "doc_id long, text_key long, start int, windows int, flags binary, digest binary"
 
 
-def judged(cold: DataFrame) -> DataFrame:
-    """From (shard, doc_id, text_key, start, segment): the places with repeated windows.
+def judged(dealt: DataFrame) -> DataFrame:
+    """From (shard, doc_id, text_key, start, segment, digest): the rows with repeated windows.
 
     flags has a byte per window; it is null where all windows are in a smaller document.
     """
@@ -359,22 +361,29 @@ def judged(cold: DataFrame) -> DataFrame:
         keep = np.flatnonzero(later | some[code])
         cells = [None if late else raw[z - k : z] for late, z, k in zip(later[keep].tolist(), stop[code[keep]].tolist(), n[code[keep]].tolist(), strict=True)]
         kept = table.take(pa.array(keep))
-        cols = [kept["doc_id"], kept["text_key"], kept["start"], pa.array(n[code[keep]].astype(np.int32)), pa.array(cells, pa.binary())]
+        cols = [kept["doc_id"], kept["text_key"], kept["start"], pa.array(n[code[keep]].astype(np.int32)), pa.array(cells, pa.binary()), kept["digest"]]
         return pa.table(cols, names=[x.split()[0] for x in FOUND.split(", ")])
 
-    return cold.groupBy("shard").applyInArrow(run, FOUND)
+    return dealt.groupBy("shard").applyInArrow(run, FOUND)
+
+
+def joined(many: DataFrame, one: DataFrame, key: str, rows: int) -> DataFrame:
+    """many joined with one(key, n, ...), where n counts the rows of many: common keys by broadcast, so no task gets one whole."""
+    limit = max(COMMON, rows // MOST_COMMON)  # so at most MOST_COMMON keys are common
+    common, rest = one.filter(F.col("n") > limit).drop("n"), one.filter(F.col("n") <= limit).drop("n")
+    others = many.join(F.broadcast(common.select(key)), key, "left_anti")
+    return many.join(F.broadcast(common), key).unionByName(others.join(rest, key))
 
 
-def frequent(hot: DataFrame) -> DataFrame:
-    """As judged, for segments of frequent minimizers: distinct ones first, then their distinct windows."""
-    distinct = staged(hot.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.first("each").alias("each")), "fm-frequent")
-    windows = distinct.select("digest", "lo", F.posexplode("each").alias("at", "w"))
-    least = windows.groupBy("w").agg(F.min("lo").alias("least"))
+def window_flags(distinct: DataFrame) -> DataFrame:
+    """digest, flags of distinct segments (digest, segment, lo), by their windows: equal windows are joined on the map side, byte for byte."""
+    words = F.split(F.col("segment").cast("string"), " ")
+    each = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.array_join(F.slice(w, i + 1, F.lit(WINDOW)), " "))
+    windows = staged(distinct.select("digest", "lo", F.posexplode(F.get(F.transform(F.array(words), lambda w: each(w)), F.lit(0))).alias("at", "w")), "fm-windows")
+    least = staged(windows.groupBy("w").agg(F.min("lo").alias("least"), F.count(F.lit(1)).alias("n")), "fm-least")
     byte = F.when(F.col("least") < F.col("lo"), "01").otherwise("00")
-    flags = windows.join(least, "w").groupBy("digest", "lo").agg(F.array_sort(F.collect_list(F.struct("at", byte.alias("byte")))).alias("f"))
-    flags = flags.select("digest", "lo", F.exists("f", lambda x: x["byte"] == "01").alias("some"), F.unhex(F.array_join(F.col("f.byte"), "")).alias("flags"))
-    on_place = hot.select("doc_id", "text_key", "start", "windows", "digest").join(flags, "digest").filter((F.col("doc_id") > F.col("lo")) | (F.col("doc_id") == F.col("lo")) & F.col("some"))
-    return on_place.select("doc_id", "text_key", "start", "windows", F.when(F.col("doc_id") == F.col("lo"), F.col("flags")).alias("flags"))
+    of = joined(windows, least, "w", windows.count()).groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("at", byte.alias("byte")))).alias("f"))
+    return of.filter(F.exists("f", lambda x: x["byte"] == "01")).select("digest", F.unhex(F.array_join(F.col("f.byte"), "")).alias("flags"))
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
@@ -413,12 +422,27 @@ def remove_repeats(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame
     counted = staged(minimizers(known.select("doc_id", "text")).groupBy("v").agg(F.sum("n").alias("n")).filter("n > 1"), "fm-minimizers")
     least, most = BITMAP_BITS
     bits = min(most, max(least, 1 << (16 * counted.count()).bit_length()))
-    shared = spark.sparkContext.broadcast(bitmaps(counted, bits))
+    shared = spark.sparkContext.broadcast((bitmap(counted, bits), frequent_minimizers(counted)))
     found = staged(places(known, shared), "fm-places", compression="zstd")
-    cold, hot = found.filter("segment IS NOT NULL"), found.filter("digest IS NOT NULL")
-    words = cold.agg(F.sum(F.col("windows") + (WINDOW - 1))).first()[0] or 0
-    shards = max(1, -(-words // shard_words))
-    by_shard = judged(cold.select(F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), "doc_id", "text_key", "start", "segment"))
-    gone = by_shard.union(frequent(hot))
-    removal = staged(gone.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "windows", "flags")).alias("found")), "fm-found")
+    cold, hot = found.filter("digest IS NULL"), found.filter("digest IS NOT NULL")
+    # equal segments of frequent minimizers, joined
+    distinct = hot.groupBy("digest", "segment", "deal").agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("n"), F.min("windows").alias("windows"))
+    distinct = staged(distinct, "fm-distinct", compression="zstd")
+    n_words = F.col("windows") + (WINDOW - 1)
+    wide = staged(distinct.groupBy("deal").agg(F.sum(n_words).alias("words")).filter(F.col("words") > shard_words).select("deal"), "fm-wide")
+    narrow = distinct.join(maybe_broadcast(wide), "deal", "left_anti")
+    row = lambda df, *keys: df.select("deal", *keys, "segment", "digest", "windows")
+    dealt = row(cold, "doc_id", "text_key", "start").union(row(narrow, F.col("lo").alias("doc_id"), F.lit(None).cast("long"), F.lit(None).cast("int")))
+    shards = max(1, -(-(dealt.agg(F.sum(n_words)).first()[0] or 0) // shard_words))
+    by_shard = staged(judged(dealt.withColumn("shard", F.pmod("deal", F.lit(shards)).cast("int")).drop("deal", "windows")), "fm-judged")
+    # back to the places of frequent minimizers: a later document loses the whole segment, the first one its flagged windows
+    flags = by_shard.filter("digest IS NOT NULL").select("digest", "flags")
+    if not wide.isEmpty():
+        flags = flags.union(window_flags(distinct.join(maybe_broadcast(wide), "deal", "left_semi")))
+    told = staged(distinct.select("digest", "lo", "n").join(flags, "digest", "left").filter("n > 1 OR flags IS NOT NULL"), "fm-told")
+    back = joined(hot.select("doc_id", "text_key", "start", "windows", "digest"), told, "digest", hot.count())
+    back = back.filter("doc_id > lo OR flags IS NOT NULL").withColumn("flags", F.when(F.col("doc_id") == F.col("lo"), F.col("flags")))
+    gone = by_shard.filter("digest IS NULL").select("doc_id", "text_key", "start", "windows", "flags").union(back.select("doc_id", "text_key", "start", "windows", "flags"))
+    # a set, so that rows that repeat one (doc_id, text) count once
+    removal = staged(gone.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "windows", "flags")).alias("found")), "fm-found")
     return cut_texts(texts.join(removal, ["doc_id", "text_key"], "left").select("doc_id", "text", "found"))

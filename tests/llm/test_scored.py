@@ -270,11 +270,13 @@ def test_bk_tree_and_salted_shards(spark):
         assert blocks in (5, 6, 7, 8) and len(simhash._masks(blocks)) == {5: 5, 6: 15, 7: 35, 8: 70}[blocks]
 
 
-@pytest.mark.parametrize("frequent", [fm_index.FREQUENT, 3])
-def test_substrings(spark, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "shard_words", "common"), [(fm_index.FREQUENT, 500, fm_index.COMMON), (3, 500, 4), (3, 60, 4), (1, 10**6, 10**6)])
+def test_substrings(spark, monkeypatch, frequent, shard_words, common):
+    """Against brute force, with joined segments, minimizers that outgrow a shard, and common keys."""
     monkeypatch.setattr(fm_index, "FREQUENT", frequent)
+    monkeypatch.setattr(fm_index, "COMMON", common)
     rows = corpus()
-    got = fm_index.remove_repeats(frame(spark, rows), shard_words=500).collect()
+    got = fm_index.remove_repeats(frame(spark, rows), shard_words=shard_words).collect()
     first = {}
     for i, t, *_rest in rows:
         w = words(t)
@@ -296,6 +298,14 @@ def test_substrings(spark, monkeypatch, frequent):
     assert fm_index.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_substrings_of_repeated_rows(spark):
+    """Two thousand rows with one doc_id and text are cut alike, each by itself."""
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(1, passage, None, None)] + [(5, f"x {passage} y", None, None)] * 2000 + [(9, passage + " " + passage, None, None)]
+    got = fm_index.remove_repeats(frame(spark, rows)).collect()
+    assert sorted({(r["doc_id"], r["n_words"], r["n_removed"]) for r in got}) == [(1, 40, 0), (5, 42, 40), (9, 80, 80)] and len(got) == 2002
+
+
 def test_fm_index_counts():
     rnd = random.Random(5)
     text = np.array([x for _ in range(30) for x in [*rnd.choices(range(1, 6), k=rnd.randint(1, 12)), 0]], np.int32)
