@@ -19,12 +19,13 @@ HEAD = frozenset("title meta link base style script noscript".split())
 BLOCK = frozenset("address article aside blockquote body div dl dt dd fieldset figure footer form h1 h2 h3 h4 h5 h6 header html li main nav ol p pre section table tbody tfoot thead tr ul hr".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 SPACES = re.compile(r"[\s\u00a0\u200b\u200c\u200d\ufeff]+")
-#: Keys of page metadata that say nothing about its content (fixed patterns).
-EXCLUDED = re.compile(
-    "^(viewport|charset|x_ua_compatible|format_detection|referrer|color_scheme|theme_color|mobile_web_app_capable|application_name|handheldfriendly|mobileoptimized"
-    "|robots|googlebot|bingbot|google_site_verification|yandex_verification|facebook_domain_verification|fb_app_id|p_domain_verify|norton_safeweb_site_verification|generator)$"
-    "|^(apple_mobile_web_app_|msapplication_|msvalidate|twitter_)"
+#: Keys of page metadata that say nothing about its content (fixed values), and how others of that sort begin.
+EXCLUDED_KEYS = frozenset(
+    """viewport charset x_ua_compatible format_detection referrer color_scheme theme_color mobile_web_app_capable application_name
+    handheldfriendly mobileoptimized robots googlebot bingbot google_site_verification yandex_verification
+    facebook_domain_verification fb_app_id p_domain_verify norton_safeweb_site_verification generator""".split()
 )
+EXCLUDED_STARTS = ("apple_mobile_web_app_", "msapplication_", "msvalidate", "twitter_")
 
 
 class Node:
@@ -41,12 +42,15 @@ class Node:
             self.parent.children.remove(self)
 
     def walk(self) -> Iterator[Node]:
-        for c in list(self.children):
-            yield c
-            yield from c.walk()
+        """Everything below, in the page's order; a page may be nested to any depth."""
+        todo = self.children[::-1]
+        while todo:
+            n = todo.pop()
+            yield n
+            todo += n.children[::-1]
 
     def text(self) -> str:
-        return self.data + "".join(c.text() for c in self.children)
+        return self.data + "".join(c.data for c in self.walk())
 
 
 class _Builder(HTMLParser):
@@ -168,7 +172,7 @@ def extract_meta(only: list[str] | None = None, exclude: list[str] | None = None
 
     def step(p: Page) -> Page:
         def put(key: str, value: str) -> None:
-            if value and (only is None or key in only) and not EXCLUDED.search(key) and not any(x.search(key) for x in barred):
+            if value and (only is None or key in only) and key not in EXCLUDED_KEYS and not key.startswith(EXCLUDED_STARTS) and not any(x.search(key) for x in barred):
                 p.metadata[key] = value
 
         for m in select(p.root, "meta"):
@@ -262,19 +266,37 @@ def inject_into_body(key: str, position: str = "append") -> Step:
     return step
 
 
-def markdown(n: Node, raw: bool = False) -> str:
-    """Markdown of a node: ATX headings, '-' items, fenced code, inline links, GFM tables and strikethrough."""
+def markdown(root: Node) -> str:
+    """Markdown of a node: ATX headings, '-' items, fenced code, inline links, GFM tables and strikethrough.
+
+    Nodes are written after what is in them, from a list and not by calls, so a page may be nested to any depth.
+    """
+    order, todo = [], [(root, False)]
+    while todo:
+        n, raw = todo.pop()
+        order.append((n, raw))
+        if n.tag not in ("head", "title", "meta", "link", "pre"):
+            todo += [(c, raw or n.tag == "code") for c in n.children]
+    done: dict[int, str] = {}
+    for n, raw in reversed(order):
+        done[id(n)] = _written(n, raw, done)
+    return done[id(root)]
+
+
+def _written(n: Node, raw: bool, done: dict[int, str]) -> str:
+    """Markdown of one node, from that of its children."""
     if n.tag == "#text":
         return n.data if raw else re.sub(r"([\\`*_\[\]])", r"\\\1", re.sub(r"[ \t\r\n]+", " ", n.data))
     if n.tag in ("head", "title", "meta", "link"):
         return ""
     if n.tag == "pre":
         return f"\n\n```\n{n.text().strip(chr(10))}\n```\n\n"
-    inner = "".join(markdown(c, raw or n.tag == "code") for c in n.children)
+    inside = lambda x: "".join(done[id(c)] for c in x.children)
     if n.tag in ("ul", "ol"):
-        return _list(n)
+        return _list(n, inside)
     if n.tag == "table":
-        return _table(n)
+        return _table(n, inside)
+    inner = inside(n)
     flat = re.sub(r"\n{3,}", "\n\n", inner)
     text = flat.strip()
     if re.fullmatch("h[1-6]", n.tag):
@@ -299,20 +321,20 @@ def markdown(n: Node, raw: bool = False) -> str:
     return inner
 
 
-def _list(n: Node) -> str:
+def _list(n: Node, inside: Callable[[Node], str]) -> str:
     items = [c for c in n.children if c.tag == "li"]
     start = n.attrs.get("start", "")
     lines = []
     for i, item in enumerate(items):
         mark = f"{(int(start) if start.lstrip('-').isdigit() else 1) + i}. " if n.tag == "ol" else "- "
-        body = re.sub(r"\n{3,}", "\n\n", "".join(markdown(c) for c in item.children)).strip()
+        body = re.sub(r"\n{3,}", "\n\n", inside(item)).strip()
         lines.append(mark + body.replace("\n", "\n" + " " * len(mark)))
     nested = n.parent is not None and n.parent.tag == "li"
     return ("\n" if nested else "\n\n") + "\n".join(lines) + ("\n" if nested else "\n\n")
 
 
-def _table(n: Node) -> str:
-    rows = [[re.sub(r"\s+", " ", "".join(markdown(x) for x in c.children)).strip().replace("|", r"\|") for c in r.children if c.tag in ("td", "th")] for r in select(n, "tr")]
+def _table(n: Node, inside: Callable[[Node], str]) -> str:
+    rows = [[re.sub(r"\s+", " ", inside(c)).strip().replace("|", r"\|") for c in r.children if c.tag in ("td", "th")] for r in select(n, "tr")]
     rows = [r for r in rows if r]
     if not rows:
         return ""
@@ -351,8 +373,11 @@ def pipeline(*steps: Step) -> Callable[[Column], Column]:
 
 
 def kb_transform(articles, base_url: str, source: str):
-    """id, title, url, last_published_at, content -> external_id, title, body, metadata; blank articles and tables are left out."""
+    """id, title, url, last_published_at, content -> external_id, title, body, metadata, error; blank articles and tables are left out.
+
+    An article that could not be parsed stays, with its error and no body, so that a run can count it as failed.
+    """
     parsed = articles.withColumn("_p", pipeline(clean_whitespace(), remove("table"), to_markdown())(F.col("content")))
     meta = F.to_json(F.struct(F.lit(source).alias("source"), F.col("url").alias("source_slug"), F.concat(F.lit(base_url), "url").alias("source_url"), "last_published_at"))
-    out = parsed.select(F.col("id").alias("external_id"), "title", F.col("_p.body").alias("body"), meta.alias("metadata"))
-    return out.filter("body IS NOT NULL AND body <> ''")
+    out = parsed.select(F.col("id").alias("external_id"), "title", F.col("_p.body").alias("body"), meta.alias("metadata"), F.col("_p.error").alias("error"))
+    return out.filter("body <> '' OR error IS NOT NULL")

@@ -198,3 +198,18 @@ def test_html():
     with pytest.raises(ValueError):
         html.run("<p>b</p>", (html.extract_title(required=True),))
     assert html.run(None, (html.to_markdown(),))[1] == ""
+
+
+def test_deeply_nested_page_and_error_rows(spark):
+    deep = "<div>" * 5000 + "<p>core <b>x</b></p>" + "</div>" * 5000
+    assert html.run(deep, (html.clean_whitespace(), html.to_markdown()))[1] == "core **x**"
+    quoted = html.run("<blockquote><p>a</p><ul><li>b<ol><li>c</li></ol></li></ul></blockquote><p><code>x_y</code> z_</p>", (html.to_markdown(),))[1]
+    assert quoted == "> a\n>\n> - b\n>   1. c\n\n`x_y` z\\_"
+
+    def broken(p):
+        raise ValueError("no such page")
+
+    pages = spark.createDataFrame([("<p>x</p>",), (None,)], "html string")
+    assert [(r["p"]["body"], r["p"]["error"]) for r in pages.select(html.pipeline(broken)(F.col("html")).alias("p")).collect()] == [(None, "no such page")] * 2
+    articles = spark.createDataFrame([("1", "T", "u", "d", "<p>x</p>"), ("2", "B", "u", "d", " <table><tr><td>t</td></tr></table>"), ("3", "N", "u", "d", None)], "id string, title string, url string, last_published_at string, content string")
+    assert [(r["external_id"], r["body"], r["error"]) for r in html.kb_transform(articles, "b/", "kb").collect()] == [("1", "x", None)]
