@@ -446,3 +446,16 @@ def remove_repeats(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame
     # a set, so that rows that repeat one (doc_id, text) count once
     removal = staged(gone.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "windows", "flags")).alias("found")), "fm-found")
     return cut_texts(texts.join(removal, ["doc_id", "text_key"], "left").select("doc_id", "text", "found"))
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+w AS (SELECT row_no, doc_id, pos, array_to_string(words[pos:pos + {WINDOW - 1}], ' ') AS window_words
+      FROM (SELECT *, unnest(range(1, len(words) - {WINDOW - 2})) AS pos FROM d WHERE doc_id IS NOT NULL AND len(words) >= {WINDOW})),
+least AS (SELECT window_words, min(doc_id) AS first_id FROM w GROUP BY ALL),
+gone AS (SELECT DISTINCT row_no, unnest(range(pos, pos + {WINDOW})) AS pos FROM w JOIN least USING (window_words) WHERE first_id < doc_id),
+kept AS (SELECT row_no, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n
+         FROM (SELECT row_no, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d) ANTI JOIN gone USING (row_no, pos) GROUP BY ALL)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row_no)
+"""

@@ -82,4 +82,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_lsm_exact_dedup": lsm_dedup.ORACLE_SQL,
     "op3_water_filling_mix": mixing.ORACLE_SQL,
+    "op5_fm_index_substrings": fm_index.ORACLE_SQL,
 }
