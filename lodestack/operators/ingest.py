@@ -18,7 +18,9 @@ def distinct_segments(chunks: Column) -> Column:
 def segments_of(docs: DataFrame) -> DataFrame:
     """The columns of docs other than chunks, with n_chunks, content_hash, segment_index and segment; nothing is shuffled."""
     rest = [c for c in docs.columns if c != "chunks"]
-    cut = docs.select(*rest, F.size("chunks").alias("n_chunks"), F.explode(distinct_segments(F.col("chunks"))).alias("s"))
+    # generated, so that chunks are computed once however often they are used after
+    told = F.transform(F.array("chunks"), lambda c: F.struct(F.size(c).alias("n_chunks"), distinct_segments(c).alias("s")))
+    cut = docs.select(*rest, F.inline(told)).select(*rest, "n_chunks", F.explode("s").alias("s"))
     return cut.select(*rest, "n_chunks", "s.content_hash", "s.segment_index", "s.segment")
 
 
