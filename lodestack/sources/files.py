@@ -88,7 +88,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path, if the session is still there."""
     try:
         Files(spark, path).delete()
     except Exception:  # noqa: BLE001  the session may be gone; the folder is scratch
@@ -98,5 +99,5 @@ def _delete(spark: SparkSession, path: str) -> None:
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    atexit.register(delete_path, spark, path)
     return path
