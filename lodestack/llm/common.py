@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.sources.files import delete_path, new_path
+
+__all__ = ["new_path"]
+
 #: ASCII white space of the word rule, as a regular expression class for Java, Python and RE2.
 WHITE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,41 +18,6 @@ WHITE_BYTES = b" \t\n\x0b\x0c\r"
 #: A side of a join is broadcast up to this many (small, fixed-width) rows; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none and all runs in one JVM (tests) a fresh local folder is taken.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lodestack-")
-    return _own_dirs[app]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may be gone; the folder is scratch
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
 #: rows of a small table in one file, where a caller knows a bound of its rows
 FILE_ROWS = 500_000
 #: rows of one Arrow batch of texts
@@ -78,7 +42,16 @@ def staged(df: DataFrame, name: str, rows: int | None = None, **options: str) ->
     if rows is not None:
         df = df.coalesce(1 + rows // FILE_ROWS)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables as `staged` returned them, once all that comes from them is staged too; a long session keeps no more than it needs."""
+    for t in tables:
+        if path := getattr(t, "_staged_at", None):
+            delete_path(t.sparkSession, path)
 
 
 def maybe_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

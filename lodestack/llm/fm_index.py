@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import maybe_broadcast, small_batches, staged
+from lodestack.llm.common import dropped, maybe_broadcast, small_batches, staged
 
 WINDOW = 13
 GRAM = 5
@@ -445,6 +445,7 @@ def remove_repeats(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame
     gone = by_shard.filter("digest IS NULL").select("doc_id", "text_key", "start", "windows", "flags").union(back.select("doc_id", "text_key", "start", "windows", "flags"))
     # a set, so that rows that repeat one (doc_id, text) count once
     removal = staged(gone.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "windows", "flags")).alias("found")), "fm-found")
+    dropped(counted, found, distinct, wide, by_shard, told)
     return cut_texts(texts.join(removal, ["doc_id", "text_key"], "left").select("doc_id", "text", "found"))
 
 

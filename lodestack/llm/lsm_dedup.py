@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WHITE, fresh, maybe_broadcast, new_path, staged
+from lodestack.llm.common import WHITE, dropped, fresh, maybe_broadcast, new_path, staged
 
 RUN_SCHEMA = "digest long, doc_id long, n_points int, row_no long, sha binary"
 #: bits of one block of the filter, bits set for each digest, and the most blocks (64 MB)
@@ -125,6 +125,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         .select("digest", "sha", "n", F.col("best.doc_id").alias("best_id"), F.col("best.row_no").alias("best_row"))
     )
     classes = staged(classes, "lsm-classes")
+    dropped(level, filter_)
     return entries.join(maybe_broadcast(classes), ["digest", "sha"], "left").select(
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best_id")).alias("keep_id"),

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WHITE_BYTES, maybe_broadcast, small_batches, staged, without
+from lodestack.llm.common import WHITE_BYTES, dropped, maybe_broadcast, small_batches, staged, without
 
 WINDOW = 5
 H = 0.75
@@ -252,6 +252,7 @@ def estimate(vectors: DataFrame, n_groups: int) -> DataFrame:
         if step == BOTH_STARTS - 1:
             after = least(after)
         after = staged(after.join(before.select("g", "start", "was"), ["g", "start"]), "mcd-step", n_groups)
+        dropped(edge)
         falls = F.col("was") - F.col("logdet") > TOLERANCE if step >= BOTH_STARTS else F.lit(True)
         done, moving = after.filter(~falls).select(columns), after.filter(falls).select(columns)
         settled = done if settled is None else settled.union(done)
@@ -288,7 +289,9 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     groups = staged(good.select(*LEVELS).distinct(), "mcd-groups")
     n_groups = 2 * groups.count() + 2  # all levels together have at most so many
     vectors = good.select(F.explode(F.array(*LEVELS)).alias("g"), *STATS)
-    model = staged(borrow(staged(estimate(vectors, 2 * n_groups), "mcd-models", n_groups), groups), "mcd-model", n_groups)
+    models = staged(estimate(vectors, 2 * n_groups), "mcd-models", n_groups)
+    model = staged(borrow(models, groups), "mcd-model", n_groups)
+    dropped(models, groups)
     judged = stats.join(maybe_broadcast(model, 20_000), "of_source", "left")
     judged = judged.withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.col("distance2").isNull() | (F.col("distance2") <= cutoff))

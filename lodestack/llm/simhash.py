@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import FILE_ROWS, maybe_broadcast, small_batches, staged, without
+from lodestack.llm.common import FILE_ROWS, dropped, maybe_broadcast, small_batches, staged, without
 
 SHINGLE = 4
 RADIUS = 4
@@ -201,15 +201,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     n = both.count()
     labels = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "v"), "cc-labels", n)
     for _ in range(max_rounds):
-        near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("root").alias("near"))
-        nearer = near.join(labels, near["a"] == labels["v"]).select("v", F.col("root").alias("old"), F.least("root", "near").alias("up"))
+        # a node with very many links is one key here: adaptive execution splits its rows, as the other side has one row for it
+        near = both.join(labels.select("v", "root"), F.col("b") == F.col("v")).groupBy("a").agg(F.min("root").alias("near"))
+        nearer = near.join(labels.select("v", "root"), F.col("a") == F.col("v")).select("v", F.col("root").alias("old"), F.least("root", "near").alias("up"))
         up = labels.select(F.col("v").alias("u"), F.col("root").alias("above"))
         jumped = nearer.join(up, F.col("up") == F.col("u")).select("v", "old", F.least("up", "above").alias("root"))
-        labels = staged(jumped, "cc-labels", n)
-        moved = labels.filter("root <> old").isEmpty()
-        labels = labels.select("v", "root")
-        if moved:
-            return labels
+        last, labels = labels, staged(jumped, "cc-labels", n)
+        dropped(last)
+        if labels.filter("root <> old").isEmpty():
+            dropped(both)
+            return labels.select("v", "root")
     raise RuntimeError("components did not settle; raise max_rounds")
 
 
@@ -229,6 +230,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     else:
         table = nodes.select("fp", F.col("least_id").alias("component_id"))
     table = staged(table, "simhash-components", n)
+    dropped(nodes, found)
     return prints.join(maybe_broadcast(table), "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
