@@ -20,8 +20,10 @@ POOL = 200
 TITLE = -1
 #: scores are kept at this many decimals, so that an order does not depend on the order of additions
 DECIMALS = 6
+#: distinct terms that are named to the scan, and that are looked at for it
+PUSHED_TERMS, BROADCAST_TERMS = 1_000, 100_000
 #: rows of query terms that are broadcast; a larger batch is joined by shuffling
-BROADCAST_TERMS = 100_000
+BROADCAST_ROWS = 200_000
 Analyser = Callable[[Column], Column]
 
 
@@ -33,17 +35,26 @@ class TextIndex:
     sizes: DataFrame
 
 
-def text_index(segments: DataFrame, docs: DataFrame, analyse: Analyser = simple_tokens) -> TextIndex:
-    """The index of segments(doc_id, segment_index, body) and docs(doc_id, title)."""
+def analysed(segments: DataFrame, docs: DataFrame, analyse: Analyser = simple_tokens) -> DataFrame:
+    """doc_id, segment_index, tokens of every field of segments(doc_id, segment_index, body) and docs(doc_id, title)."""
     titles = docs.select("doc_id", F.lit(TITLE).alias("segment_index"), analyse(F.coalesce("title", F.lit(""))).alias("tokens"))
-    bodies = segments.select("doc_id", F.col("segment_index").cast("int").alias("segment_index"), analyse(F.coalesce("body", F.lit(""))).alias("tokens"))
-    words = titles.union(bodies).select("doc_id", "segment_index", F.posexplode("tokens").alias("pos", "term")).filter("term IS NOT NULL")
-    fields = titles.union(bodies).groupBy("doc_id").agg(F.collect_list(F.struct("segment_index", F.size("tokens").alias("n"))).alias("every"))
+    return titles.union(segments.select("doc_id", F.col("segment_index").cast("int").alias("segment_index"), analyse(F.coalesce("body", F.lit(""))).alias("tokens")))
+
+
+def index_of(fields: DataFrame) -> TextIndex:
+    """The index of analysed fields, which are best written before: both tables are made from them."""
+    words = fields.select("doc_id", "segment_index", F.posexplode("tokens").alias("pos", "term")).filter("term IS NOT NULL")
+    every = fields.groupBy("doc_id").agg(F.collect_list(F.struct("segment_index", F.size("tokens").alias("n"))).alias("every"))
     title = F.get(F.filter("every", lambda f: f["segment_index"] == TITLE), F.lit(0))["n"]
-    sizes = fields.filter(title.isNotNull()).select("doc_id", title.alias("n_title"), F.filter("every", lambda f: f["segment_index"] != TITLE).alias("fields"))
+    sizes = every.filter(title.isNotNull()).select("doc_id", title.alias("n_title"), F.filter("every", lambda f: f["segment_index"] != TITLE).alias("fields"))
     return TextIndex(words.select("term", "doc_id", "segment_index", "pos"), sizes)
 
 
+def text_index(segments: DataFrame, docs: DataFrame, analyse: Analyser = simple_tokens) -> TextIndex:
+    """The index of segments(doc_id, segment_index, body) and docs(doc_id, title)."""
+    return index_of(analysed(segments, docs, analyse))
+
+
 def query_terms(queries: DataFrame, analyse: Analyser = simple_tokens) -> DataFrame:
     """query_id, term, term_no (from 0), n_terms: the distinct terms of queries(query_id, q); all have to match."""
     kept = F.array_distinct(F.filter(analyse(F.col("q")), lambda t: t.isNotNull()))
@@ -93,8 +104,12 @@ def matches(index: TextIndex, queries: DataFrame, analyse: Analyser = simple_tok
     A segment matches when its body or its document's title holds every term.
     """
     terms = query_terms(queries, analyse)
-    small = F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
-    found = index.postings.join(small, "term").repartition("query_id", "doc_id")
+    words = [r["term"] for r in terms.select("term").distinct().limit(BROADCAST_TERMS + 1).collect()]
+    postings = index.postings
+    if len(words) <= PUSHED_TERMS:  # the scan skips row groups that hold none of them
+        postings = postings.filter(F.col("term").isin(words))
+    small = F.broadcast(terms) if len(words) <= BROADCAST_TERMS and terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else terms
+    found = postings.join(small, "term").repartition("query_id", "doc_id")
     # both groupings keep to the one shuffle by query and document
     fields = found.groupBy("query_id", "n_terms", "doc_id", "segment_index").agg(F.array_sort(F.collect_list(F.struct("pos", "term_no"))).alias("occ"))
     whole = F.size(F.array_distinct(F.col("occ.term_no"))) == F.col("n_terms")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import content_hash, simple_tokens, trim
-from lodestack.operators.lexical import Analyser, TextIndex, text_index
+from lodestack.operators.lexical import Analyser, TextIndex, analysed, index_of
 from lodestack.sources.files import Files, new_path
 
 NOW = "2026-07-13 00:00:00"
@@ -78,7 +78,7 @@ def corpus(spark: SparkSession, sf_dir: str, analyse: Analyser = simple_tokens)
 
         d = kept("docs", docs(spark, sf_dir).drop("body"), "doc_id")
         s = kept("segments", segments(spark, sf_dir), "doc_id")
-        index = text_index(s, d, analyse)
+        index = index_of(kept("fields", analysed(s, d, analyse), "doc_id"))
         # in order of term, so that a search for a few terms skips the row groups that hold none of them
         _made[key] = Corpus(d, s, TextIndex(kept("postings", index.postings, "term"), kept("sizes", index.sizes, "doc_id")))
     return _made[key]

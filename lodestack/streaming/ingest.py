@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestack.functions.text import chunk_text, simple_tokens
 from lodestack.operators import ingest
-from lodestack.operators.lexical import TextIndex, text_index
+from lodestack.operators.lexical import TextIndex, analysed, index_of
 from lodestack.sources.files import Files
 
 FORMAT = 2
@@ -151,7 +151,9 @@ def upsert(
         merged = ingest.merge_segments(old, new.select("external_id", "segment_index", "segment", "content_hash"), gone)
         titled = merged.join(new.select("external_id", "content_hash", "title"), ["external_id", "content_hash"], "left")
         embedding = F.coalesce("embedding", embed(F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.col("segment"))))
-        fresh = text_index(new.selectExpr("external_id AS doc_id", "segment_index", "segment AS body"), good.selectExpr("external_id AS doc_id", "title"), analyse)
+        fields = analysed(new.selectExpr("external_id AS doc_id", "segment_index", "segment AS body"), good.selectExpr("external_id AS doc_id", "title"), analyse)
+        fields.write.mode("overwrite").parquet(f"{staged}-fields")
+        fresh = index_of(store.spark.read.schema(fields.schema).parquet(f"{staged}-fields"))
         kept = lambda name, schema: store.read(name, schema, base).join(gone, F.col("doc_id") == F.col("external_id"), "left_anti")
         changes = ingest.report(ingest.diff(new, old, "external_id", gone), "external_id")
         said = good.select("external_id").join(changes, "external_id", "left").select(
@@ -170,7 +172,8 @@ def upsert(
     try:
         return retry(merge)
     finally:
-        store.files.delete(staged.removeprefix(f"{store.path}/"))
+        for name in ("", "-fields"):
+            store.files.delete(staged.removeprefix(f"{store.path}/") + name)
 
 
 def delete(store: SnapshotStore, ids: DataFrame) -> None:

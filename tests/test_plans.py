@@ -34,6 +34,26 @@ def test_columns_and_filters_reach_the_scan(spark):
     assert "TakeOrderedAndProject" in plan(spark, "keyset_page")
 
 
+def test_a_search_reads_its_index_and_not_the_documents(spark):
+    for name in ("lexical_rank_multi", "hybrid_search", "rag_context"):
+        p = plan(spark, name)
+        assert "documents.parquet" not in p  # texts are analysed once, at ingest
+    bodies = lambda name: len(re.findall(r"ReadSchema: struct<[^>]*\bbody:string", plan(spark, name)))
+    assert (bodies("hybrid_search"), bodies("rag_context")) == (0, 1)  # texts are joined to results that show them
+    p = plan(spark, "lexical_rank_multi")
+    assert len(re.findall(r"ReadSchema: struct<term:string", p)) == 1 and re.search(r"PushedFilters: \[[^\]]*In\(term", p)
+
+
+def test_segments_are_cut_without_a_shuffle(spark):
+    from lodestack.operators.ingest import to_segments
+    from lodestack.plans import corpus
+
+    cut = to_segments(corpus.docs(spark, SF).select("doc_id", "title", "body"), 200)
+    assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+    lines = corpus.segments(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("HashAggregate|SortAggregate|Window", lines)
+
+
 def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 

@@ -82,6 +82,30 @@ def test_vectors(spark):
             check_dimensions(bad)
 
 
+def test_english_matches_by_stems_at_their_places(spark):
+    """Matches and positions of the English index against plain Python; a stop word takes a place and matches nothing."""
+    import re
+
+    from lodestack.functions.english import STOP_WORDS, english_tokens, stem
+    from lodestack.operators.lexical import matches, text_index
+
+    rows = [("Running the permits", "He was running, and parked the parking permits"), ("The", "of and the"), ("Permit", "nothing here"), ("", "Permitted runs. RUN!")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, title string")
+    segs = spark.createDataFrame([(i, 0, b) for i, (_, b) in enumerate(rows)], "doc_id long, segment_index int, body string")
+    queries = ["run permit", "the permits", "of the", "parking"]
+    q = spark.createDataFrame(list(enumerate(queries)), "query_id int, q string")
+    terms = lambda t: [None if w in STOP_WORDS else stem(w) for w in re.findall(r"\w+", t.lower())]
+    want = set()
+    for k, text in enumerate(queries):
+        asked = {t for t in terms(text) if t}
+        for i, (title, body) in enumerate(rows):
+            if asked and any(asked <= set(terms(field)) for field in (title, body)):
+                places = lambda f: tuple(p for p, t in enumerate(terms(f)) if t in asked)  # noqa: E731, B023
+                want.add((k, i, len(terms(title)), len(terms(body)), places(title), places(body)))
+    got = matches(text_index(segs, docs, english_tokens), q, english_tokens).collect()
+    assert {(r["query_id"], r["doc_id"], r["n_title"], r["n_body"], tuple(o["pos"] for o in r["title_occ"]), tuple(o["pos"] for o in r["body_occ"])) for r in got} == want and len(want) >= 4
+
+
 def test_diff(spark):
     new = spark.createDataFrame([("a", 0, "h1"), ("a", 1, "h2")], "external_id string, segment_index int, content_hash string")
     old = spark.createDataFrame([("a", 0, "h2"), ("a", 1, "h3"), ("b", 0, "h9")], "external_id string, segment_index int, content_hash string")
