@@ -43,8 +43,9 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     syllables = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "ti", "ble", "ing", "tion")
     for k in range(104):
         good = GOOD_HOSTS[k % 24] if k % 2 else "".join(syllables[(k * m + m) % 14] for m in (1, 3, 5))
-        rows.append((FORMS[k % 4].format(host=good, path=GOOD_PATHS[k % 6]), 0.0))
-        rows.append((FORMS[(k + k // 4) % 4].format(host=BAD_HOSTS[k % 26], path=(BAD_PATHS if k % 3 else GOOD_PATHS)[k % 6]), 1.0))
+        # a path of ordinary pages comes as often per ordinary page as per unwanted one that has such a path
+        rows.append((FORMS[(k + k // 4) % 4].format(host=good, path=GOOD_PATHS[(k // 2 + k // 12) % 6]), 0.0))
+        rows.append((FORMS[(k + k // 4) % 4].format(host=BAD_HOSTS[k % 26], path=(BAD_PATHS if k % 3 else GOOD_PATHS)[(k // 3 + k // 18) % 6]), 1.0))
     return spark.createDataFrame(rows, "url string, label double")
 
 
@@ -99,7 +100,7 @@ def fit(labelled: DataFrame):
     from pyspark.ml.classification import LogisticRegression
 
     table = featured(labelled).select("features", "label").coalesce(1).cache()
-    model = LogisticRegression(maxIter=30, regParam=0.01).fit(table)
+    model = LogisticRegression(maxIter=30, regParam=0.1).fit(table)
     table.unpersist()
     return model
 
