@@ -39,16 +39,20 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     A document's first segment has its vector, also where blank lines come before it.
     """
     # lines are told apart within their row, so no text is shuffled
-    kept = table(spark, sf_dir, "documents").select("doc_id", F.explode(distinct_lines(F.col("text"))).alias("s"))
+    kept = table(spark, sf_dir, "documents").select("doc_id", F.explode(distinct_lines(numbered_lines(F.col("text")))).alias("s"))
     cut = kept.select("doc_id", "s.segment_index", "s.body", "s.content_hash", F.col("s.first").alias("_first"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("_first"), "embedding")
     return cut.join(vectors, ["doc_id", "_first"], "left").drop("_first")
 
 
-def distinct_lines(text: Column) -> Column:
-    """array<struct<content_hash, segment_index, body, first>>: lines that are not blank, of equal ones the first."""
-    every = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), trim(x).alias("body"))), lambda s: s["body"] != "")
-    coded = F.array_sort(F.transform(every, lambda s, n: F.struct(content_hash(s["body"]).alias("content_hash"), s["at"].alias("segment_index"), s["body"].alias("body"), (n == 0).alias("first"))))
+def numbered_lines(text: Column) -> Column:
+    """array<struct<at, body>>: the trimmed lines that are not blank, with their numbers."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), trim(x).alias("body"))), lambda s: s["body"] != "")
+
+
+def distinct_lines(lines: Column) -> Column:
+    """array<struct<content_hash, segment_index, body, first>> of numbered lines: of equal ones the first; sorted, so n log n time."""
+    coded = F.array_sort(F.transform(lines, lambda s, n: F.struct(content_hash(s["body"]).alias("content_hash"), s["at"].alias("segment_index"), s["body"].alias("body"), (n == 0).alias("first"))))
     first = lambda a: F.filter(a, lambda s, i: (i == 0) | (s["content_hash"] != F.get(a, i - 1)["content_hash"]))
     return F.get(F.transform(F.array(coded), lambda a: first(a)), F.lit(0))
 

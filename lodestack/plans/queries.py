@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import evalmetrics, scores, text, vectors
@@ -260,11 +260,13 @@ d AS (SELECT doc_id, h, old.n AS old_index, new.n AS new_index FROM new FULL JOI
 
 
 def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
-    rows = lines.select("doc_id", F.size("l").alias("n"), F.posexplode("l").alias("at", "line")).withColumn("body", text.trim(F.col("line"))).filter("body <> ''")
-    rows = rows.withColumn("content_hash", text.content_hash(F.col("body")))
-    first = lambda d: d.groupBy("doc_id", "content_hash").agg(F.min("at").alias("segment_index"))
-    return first(rows.filter("at < n - 1")), first(rows.filter("at > 0"))
+    lines, last = corpus.numbered_lines(F.col("text")), F.size(F.split("text", "\n")) - 1
+
+    def side(keep: Callable[[Column], Column]) -> DataFrame:
+        every = corpus.distinct_lines(F.filter(lines, lambda s: keep(s["at"])))
+        return table(spark, sf_dir, "documents").select("doc_id", F.explode(every).alias("s")).select("doc_id", "s.content_hash", "s.segment_index")
+
+    return side(lambda at: at < last), side(lambda at: at > 0)
 
 
 @query(_STATES + "SELECT doc_id, h AS content_hash, old_index, new_index, CASE WHEN old_index IS NULL THEN 'changed' WHEN new_index IS NULL THEN 'removed' ELSE 'unchanged' END AS state FROM d")
