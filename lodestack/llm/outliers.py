@@ -3,7 +3,7 @@
 Every document has counts (base rules judge those) and a vector of transformed statistics. For each group of language and
 source the location and scatter of the tightest share H of its vectors are estimated (minimum covariance
 determinant), and documents far from it by Mahalanobis distance are rejected. The statistics vary in ordinary text
-too (rates of marks and capitals, word and line lengths, variety), so the scatter is estimated on every axis. PSEUDO words of a common text
+too (rates of marks and capitals, word lengths, variety), so the scatter is estimated on every axis. PSEUDO words of a common text
 are added to each document, since rates of a few words say little.
 
 The estimate covers all rows of a group and runs as aggregations: two deterministic starts (medians with quartile
@@ -41,16 +41,18 @@ BOTH_STARTS = 2
 #: a group's steps end when the logarithm of its determinant falls by less than this; exact steps never raise it, and those over bins by
 #: a row or two at the edge, so MAX_STEPS is not met
 TOLERANCE, MAX_STEPS = 0.005, 40
-#: Chi-squared tail beyond which a document is rejected; at sf0.1 it rejects 0.2 % of the documents labelled good.
-TAIL = 1e-8
+#: Chi-squared tail beyond which a document is rejected; at sf0.1 it rejects 0.1 % of the documents labelled good.
+TAIL = 1e-7
 #: bins in a doubling of the squared distance, and in a unit of a statistic
 DISTANCE_BINS, VALUE_BINS = 128, 256
 #: deviations are summed as whole numbers of 1 / UNIT
 UNIT = 4096.0
 PSEUDO = 50
 #: transformed statistics, and the scale of each that stands behind the smallest tables
-STATS = ("log_words", "log_word_length", "log_marks", "log_capitals", "log_variety", "log_line_words")
-PRIOR = (1.0, 0.15, 0.4, 0.4, 0.3, 0.6)
+STATS = ("log_words", "log_word_length", "log_marks", "log_capitals", "log_variety")
+PRIOR = (1.0, 0.15, 0.4, 0.4, 0.3)
+#: scales added to every group's, for statistics that follow from the others in most of its texts (no capitals at all, say); small beside ordinary ones
+RIDGE = (0.2, 0.015, 0.1, 0.1, 0.05)
 P = len(STATS)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
@@ -127,19 +129,22 @@ def statistics(docs: DataFrame) -> DataFrame:
         "log_marks": F.log((F.col("n_marks") + 3.0) / (chars + 100)),
         "log_capitals": F.log((F.col("n_capitals") + 3.0) / (chars + 100)),
         "log_variety": F.log((F.col("n_distinct") + float(PSEUDO)) / (n + PSEUDO)),
-        "log_line_words": F.log((n + 40.0) / (F.greatest("n_lines", F.lit(1)) + 4)),
     }
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumns(vector)
 
 
 def chi2_cdf(x: float, dof: int) -> float:
-    """For an even number of degrees of freedom."""
-    term, total = 1.0, 1.0
-    for k in range(1, dof // 2):
-        term *= x / 2 / k
+    """By the series of the incomplete gamma function."""
+    a, h, k = dof / 2, x / 2, 0
+    if h <= 0:
+        return 0.0
+    term = total = 1 / a
+    while term > 1e-17 * total:
+        k += 1
+        term *= h / (a + k)
         total += term
-    return 1 - math.exp(-x / 2) * total
+    return min(1.0, total * math.exp(a * math.log(h) - h - math.lgamma(a)))
 
 
 def chi2_quantile(q: float, dof: int) -> float:
@@ -277,7 +282,7 @@ def borrow(models: DataFrame, groups: DataFrame, prior=PRIOR) -> DataFrame:
             own = np.array(own)
             mean = own if mean is None else (n * own + BORROW * mean) / (n + BORROW)
             scatter = (n * _full(around) + BORROW * scatter) / (n + BORROW)
-        return [_row(r.of_source, 0, n, mean, scatter)]
+        return [_row(r.of_source, 0, n, mean, scatter + np.diag(np.square(RIDGE)))]
 
     return _models(joined, mix).select(F.col("g").alias("of_source"), "mean", "precision")
 

@@ -148,7 +148,7 @@ def test_verdict_is_the_borrowed_estimates(spark):
             mean = own if mean is None else (n * own + outliers.BORROW * mean) / (n + outliers.BORROW)
             scatter = (n * outliers._full(m["scatter"]) + outliers.BORROW * scatter) / (n + outliers.BORROW)
         x = np.array([r[c] for c in outliers.STATS]) - mean
-        d = x @ np.linalg.inv(scatter + 1e-8 * np.eye(outliers.P)) @ x
+        d = x @ np.linalg.inv(scatter + np.diag(np.square(outliers.RIDGE)) + 1e-8 * np.eye(outliers.P)) @ x
         assert got[r["doc_id"]]["distance2"] == pytest.approx(d, rel=1e-6) and got[r["doc_id"]]["kept"] == (d <= outliers.CUTOFF)
     assert not any(got[300 + i]["kept"] for i in range(4)) and got[310]["kept"]
     share = np.mean([got[r["doc_id"]]["kept"] for r in good if r["doc_id"] < 300])
