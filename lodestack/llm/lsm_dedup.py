@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WHITE, dropped, fresh, maybe_broadcast, new_path, staged
+from lodestack.llm.common import WHITE, column, dropped, fresh, maybe_broadcast, new_path, staged
 
 RUN_SCHEMA = "digest long, doc_id long, n_points int, row_no long, sha binary"
 #: bits of one block of the filter, bits set for each digest, and the most blocks (64 MB)
@@ -136,7 +136,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_unique(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup drops; the columns stay as they are."""
+    """docs without the rows that exact_dedup drops; the columns stay as they are.
+
+    Of rows that repeat one doc_id and normalised text the one with the most code points stays; among those, one of least row hash.
+    """
     result = staged(exact_dedup(docs).select("doc_id", "kept", "text_sha256"), "lsm-result")
     doc, sha = fresh(docs, "gone_id"), fresh(docs, "gone_sha")
     again = result.groupBy("doc_id", "text_sha256").agg(F.count_if("kept").alias("k"), F.count(F.lit(1)).alias("n")).filter("k < n")
@@ -145,12 +148,20 @@ def keep_unique(docs: DataFrame) -> DataFrame:
     gone = again.filter("not repeated").drop("repeated")
     kept = docs.join(maybe_broadcast(gone), F.col("doc_id").eqNullSafe(F.col(doc)) & (text_sha == F.col(sha)), "left_anti")
     # a repeated (doc_id, text) whose group keeps one of its rows
-    twice = again.filter("repeated").select(doc).distinct()
+    twice = again.filter("repeated").select(doc, sha)
     if twice.isEmpty():
         return kept
-    on = F.col("doc_id").eqNullSafe(F.col(doc))
-    rest, some = kept.join(twice, on, "left_anti"), kept.join(twice, on, "left_semi")
-    return rest.unionByName(some.withColumn(sha, text_sha).dropDuplicates(["doc_id", sha]).drop(sha))
+    on = F.col("doc_id").eqNullSafe(F.col(doc)) & (text_sha == F.col(sha))
+    rest, some = kept.join(maybe_broadcast(twice), on, "left_anti"), kept.join(maybe_broadcast(twice), on, "left_semi")
+    rank, best = fresh(docs, "row_rank"), fresh(docs, "best_rank")
+    hashed = [column(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    points = F.char_length(F.coalesce("text", F.lit("")))
+    some = some.withColumn(sha, text_sha).withColumn(rank, F.struct((-points).alias("p"), F.xxhash64("text", *hashed).alias("h")))
+    # one small row for each (doc_id, text), combined on the map side, then the rows of that rank: equal but for a map column
+    first = some.groupBy(F.col("doc_id").alias(doc), F.col(sha).alias(f"{sha}_")).agg(F.min(rank).alias(best))
+    on = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(sha) == F.col(f"{sha}_")) & (F.col(rank) == F.col(best))
+    some = some.join(first, on).dropDuplicates(["doc_id", sha])
+    return rest.unionByName(some.select(*[column(c) for c in docs.columns]))
 
 
 ORACLE_SQL = """

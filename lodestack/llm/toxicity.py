@@ -35,6 +35,8 @@ MIN_DOCUMENTS, MIN_SUPPORT = 3, 0.004
 #: characters of a word's beginning that is an entry of its own, written with a star
 STEM = 7
 NEAR = 5
+#: a step of the calibration nearer than this to raw score 0 or 1 lies at that end
+END = 1e-9
 SECOND_PERSON = frozenset(
     "you your yours u ur yourself du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti usted ustedes su vosotros".split()
 )
@@ -160,7 +162,7 @@ def calibrate(held: DataFrame):
 
     Equal raw scores are joined before the fit, so no task holds more than the distinct ones. Each step of the curve becomes
     one point in the middle of its raw scores, at its share of labels with half a row of each kind added; (0, 0) and (1, 1)
-    close it. Between the points it is linear, so that raw scores keep their order and few become equal (centred isotonic regression).
+    close it, and stand for a step that lies at raw score 0 or 1 itself. Between the points it is linear, so that raw scores keep their order and few become equal (centred isotonic regression).
     """
     from pyspark.ml.regression import IsotonicRegression
 
@@ -171,4 +173,5 @@ def calibrate(held: DataFrame):
         return regression().fit(ends)
     steps = regression().fit(rows).transform(rows).groupBy("prediction").agg(F.sum(F.col("raw") * F.col("n")).alias("raw"), F.sum(F.col("label") * F.col("n")).alias("bad"), F.sum("n").alias("n"))
     points = steps.select((F.col("raw") / F.col("n")).alias("raw"), ((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("label"), "n")
-    return regression().fit(points.union(ends).coalesce(1))
+    inner = points.filter(f"raw > {END} AND raw < 1 - {END}")
+    return regression().fit(inner.union(ends).coalesce(1))

@@ -54,6 +54,15 @@ def test_keep_unique(spark):
     assert sorted(texts) == sorted({strip(t) for _, t, _ in rows})
 
 
+def test_keep_unique_of_repeated_rows(spark):
+    """Of rows with one doc_id and equal normalised text the one with the most code points stays, and only one."""
+    rows = [(1, "ab", "s"), (1, "a   b", "s"), (1, "ab", "s"), (1, "other", "s"), (2, "a b", "s"), (3, "x y", "s"), (3, "x y", "s"), (3, "x\ty", "s"), (None, "n n", "s"), (None, "nn", "s"), (None, "nn", "s")]
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in lsm_dedup.keep_unique(frame(spark, rows)).collect())
+    assert left[:3] == [(0, "n n"), (1, "a   b"), (1, "other")] and len(left) == 4 and left[3][0] == 3 and left[3][1] in ("x y", "x\ty")
+    again = sorted((r["doc_id"] or 0, r["text"]) for r in lsm_dedup.keep_unique(frame(spark, rows[::-1])).collect())
+    assert again == left
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert lsm_dedup.exact_dedup(none).count() == 0 and lsm_dedup.keep_unique(none).count() == 0
