@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import fm_index, lsm_dedup, mil_quality, mixing, outliers, packing, secrets, simhash, toxicity, url_filter
+from lodestack.llm import fm_index, lsm_dedup, mil_quality, minhash, mixing, outliers, packing, secrets, simhash, toxicity, url_filter
 from lodestack.llm.common import documents
 
 
@@ -56,6 +56,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op13_fast_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_bk_trees,
         op9_attention_mil_quality,
         op10_url_rules,
+        op13_fast_sketch_minhash,
         pipeline,
     )
 }
@@ -83,4 +88,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_lsm_exact_dedup": lsm_dedup.ORACLE_SQL,
     "op3_water_filling_mix": mixing.ORACLE_SQL,
     "op5_fm_index_substrings": fm_index.ORACLE_SQL,
+    "op13_fast_sketch_minhash": minhash.ORACLE_SQL,
 }
