@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import fm_index, lsm_dedup, mil_quality, minhash, mixing, outliers, packing, secrets, simhash, toxicity, url_filter
+from lodestack.llm import conversations, fm_index, lsm_dedup, mil_quality, minhash, mixing, outliers, packing, secrets, simhash, spelling, toxicity, url_filter
 from lodestack.llm.common import documents
 
 
@@ -56,6 +56,14 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op11_gram_index_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
+def op12_lattice_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_fast_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -79,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_bk_trees,
         op9_attention_mil_quality,
         op10_url_rules,
+        op11_gram_index_spelling,
+        op12_lattice_repair,
         op13_fast_sketch_minhash,
         pipeline,
     )
