@@ -8,10 +8,13 @@
 * Equal sets are one node, however many documents have them. In each bucket of several nodes every node is compared with the
   bucket's leader, in LEADER_ROUNDS rounds with other leaders; that is linear in the bucket, and links nearly all of a group
   of near copies. Each confirmed link joins two components.
-* Buckets that still hold several components are settled exactly, in blocks: the nodes of a bucket are cut in blocks of at most
-  BLOCK_HASHES shingles, a task gets two blocks with their full sets, looks up every node outside its largest component in the inverted shingles
-  of the others, and returns links that span what it joined. No pair in a bucket is left out, and no list of all pairs is ever written.
-  Of buckets with the same nodes one is looked at.
+* Buckets that still hold several components are settled in blocks of at most BLOCK_ROWS nodes: a task gets two blocks and compares every
+  node outside its largest component with all others. Of buckets with the same nodes one is looked at.
+* Before full sets are fetched, pairs are compared by sizes and by one byte of each place: by the sketch's concentration a pair of similarity 0.85
+  agrees at less than MIN_MATCHES places with a probability of 1e-10. Full sets are hashed again from the texts of what is left.
+* A task with more than PAIRS_EACH such pairs a node (a dense group just below the threshold) returns its bucket instead, which is settled with full
+  sets: blocks of at most BLOCK_HASHES shingles, every node outside the largest component looked up in the inverted shingles of the others. So no pair in
+  a bucket is left out, and no list of all pairs is ever written.
 
 A link is confirmed by the sizes of the full sets and of their intersection. Components come from repeated minimum labels.
 
@@ -23,13 +26,14 @@ rows are kept); rows that repeat a doc_id are nodes of their own texts and are k
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import FILE_ROWS, WHITE, dropped, maybe_broadcast, small_batches, staged
+from lodestack.llm.common import dropped, maybe_broadcast, small_batches, staged
 from lodestack.llm.simhash import components
 
 SHINGLE = 3
@@ -38,6 +42,8 @@ PERCENT = 85
 BANDS, BAND_ROWS = 32, 5
 COORDINATES = BANDS * BAND_ROWS
 LEADER_ROUNDS = 2
+#: agreeing places of a pair that is worth its full sets; nodes of one block; such pairs of one block for each of its nodes
+MIN_MATCHES, BLOCK_ROWS, PAIRS_EACH = 100, 4_000, 8
 #: shingles of one block of nodes (8 bytes each)
 BLOCK_HASHES = 2_000_000
 #: pairs that share one copy of their leader's set
@@ -101,23 +107,25 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), keys (of its bands; null for an empty set)."""
+    """doc_id, n_shingles, digest (of the set), keys (of its bands), lanes (a byte of each place); null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for b in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, lanes = [], [], [], []
             for text in b.column(1):
                 h = shingles(text.as_py())
                 sizes.append(len(h))
                 digests.append(xxh3_128_digest(h.tobytes()))
-                keys.append(band_keys(sketch(h)).view(np.int64) if len(h) else None)
-            columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "keys"])
+                places = sketch(h) if len(h) else None
+                keys.append(None if places is None else band_keys(places).view(np.int64))
+                lanes.append(None if places is None else places.astype(np.uint8).tobytes())
+            columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(lanes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "keys", "lanes"])
 
     small_batches(docs.sparkSession)
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<bigint>")
+    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<bigint>, lanes binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -150,17 +158,87 @@ def linked(common: Column, a: Column, b: Column) -> Column:
     return 100 * common >= PERCENT * (a + b - common)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: the pairs (leader, node) whose full sets link."""
-    wanted = sets.join(maybe_broadcast(staged(pairs.select("leader").distinct(), "minhash-leaders")), F.col("leader") == F.col("node"), "left_semi")
+def similar(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    """Whether rows of lanes and sizes may link; the two sides may be broadcast against each other."""
+    sizes = 100 * np.minimum(n_left, n_right) >= PERCENT * np.maximum(n_left, n_right)
+    return sizes & ((left == right).sum(axis=-1) >= MIN_MATCHES)
+
+
+def _lanes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), COORDINATES)
+
+
+def promising(pairs: DataFrame) -> DataFrame:
+    """a, b: the pairs of (a, b, n_a, n_b, lanes_a, lanes_b) that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keep = similar(_lanes(b.column(4)), _lanes(b.column(5)), b.column(2).to_numpy(), b.column(3).to_numpy())
+                yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.select("a", "b", "n_a", "n_b", "lanes_a", "lanes_b").mapInArrow(run, "a long, b long").distinct()
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, n, hashes for wanted(node)."""
+    wanted = staged(wanted.distinct(), "minhash-wanted")
+    named = staged(nodes.join(maybe_broadcast(wanted), "node", "left_semi").select("node", "least_id", "digest"), "minhash-named")
+    return staged(full_sets(docs, named), "minhash-sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: the pairs (a, b) whose full sets link."""
+    pairs = staged(pairs, "minhash-pairs")
+    if pairs.isEmpty():
+        return pairs
+    sets = sets_of(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    pairs = pairs.withColumnsRenamed({"a": "leader", "b": "node"})
+    known = maybe_broadcast(staged(pairs.select("leader").distinct(), "minhash-leaders"))
+    wanted = sets.join(known, F.col("leader") == F.col("node"), "left_semi")
     leaders = wanted.select(F.col("node").alias("leader"), F.col("n").alias("n_leader"), F.col("hashes").alias("of_leader"))
     if (leaders.agg(F.sum("n_leader")).first()[0] or 0) <= BROADCAST_HASHES:
         joined = pairs.join(sets, "node").join(F.broadcast(leaders), "leader")
     else:
         p, d = _salted(pairs, leaders)
         joined = p.join(sets, "node").join(d, ["leader", "salt"])
-    near = joined.filter((100 * F.least("n", "n_leader") >= PERCENT * F.greatest("n", "n_leader")))
-    return near.filter(linked(F.size(F.array_intersect("hashes", "of_leader")), F.col("n"), F.col("n_leader"))).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    near = joined.filter(linked(F.size(F.array_intersect("hashes", "of_leader")), F.col("n"), F.col("n_leader")))
+    return staged(near.select(F.col("leader").alias("a"), F.col("node").alias("b")), "minhash-links")
+
+
+def block_pairs(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, lanes: np.ndarray, most: int) -> list[tuple[int, int]] | None:
+    """Pairs of nodes of different components that may link; None if they are more than `most`."""
+    kinds, counts = np.unique(comps, return_counts=True)
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(comps != kinds[counts.argmax()]).tolist():
+        near = (comps != comps[i]) & (100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i]))
+        near = np.flatnonzero(near)
+        near = near[similar(lanes[near], lanes[i], sizes[near], sizes[i])]
+        out += [(min(int(nodes[i]), x), max(int(nodes[i]), x)) for x in nodes[near].tolist()]
+        if len(out) > 2 * most:
+            return None
+    out = sorted(set(out))
+    return out if len(out) <= most else None
+
+
+def _blocks(members: DataFrame, salts: Column) -> DataFrame:
+    """Members with i and j: every two blocks of a bucket meet in one task, a block with itself too."""
+    salted = members.withColumn("salts", salts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.least("own", s).alias("i"), F.greatest("own", s).alias("j")))
+    return salted.withColumn("p", F.explode(pairs)).withColumn("i", F.col("p.i")).withColumn("j", F.col("p.j")).drop("p", "own", "salts")
+
+
+def open_pairs(members: DataFrame, block_rows: int = BLOCK_ROWS, each: int = PAIRS_EACH) -> DataFrame:
+    """a, b, dense: pairs that may link within each bucket of members(key, node, comp, n, lanes), or the key of a dense bucket."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        found = block_pairs(t["node"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy(), _lanes(t["lanes"]), each * t.num_rows)
+        rows = [(None, None, key[0].as_py())] if found is None else [(x, y, None) for x, y in found]
+        return pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("a", "b", "dense"))})
+
+    sizes = staged(members.groupBy("key").agg(F.ceil(2 * F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")).filter("blocks > 1"), "minhash-weights")
+    dealt = _blocks(members.join(maybe_broadcast(sizes), "key", "left"), F.coalesce("blocks", F.lit(1)))
+    return dealt.select("key", "i", "j", "node", "comp", "n", "lanes").groupBy("key", "i", "j").applyInArrow(run, "a long, b long, dense long")
 
 
 def block_links(nodes: np.ndarray, comps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -196,11 +274,8 @@ def block_links(nodes: np.ndarray, comps: np.ndarray, sets: list[np.ndarray]) ->
 
 def settle(members: DataFrame, sets: DataFrame, block_hashes: int = BLOCK_HASHES) -> DataFrame:
     """a, b: links that span what links within each bucket of members(key, node, comp), all pairs of different components decided."""
-    sized = sets.select("node", "n")
-    weights = staged(members.join(sized, "node").groupBy("key").agg(F.greatest(F.ceil(2 * F.sum("n") / block_hashes), F.lit(1)).cast("int").alias("salts")), "minhash-weights")
-    salted = members.join(maybe_broadcast(weights), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.least("own", s).alias("i"), F.greatest("own", s).alias("j")))
-    dealt = salted.select("key", "node", "comp", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "node", "comp").join(sets, "node")
+    weights = members.join(sets.select("node", "n"), "node").groupBy("key").agg(F.greatest(F.ceil(2 * F.sum("n") / block_hashes), F.lit(1)).cast("int").alias("blocks"))
+    dealt = _blocks(members.join(maybe_broadcast(staged(weights, "minhash-weights")), "key"), F.col("blocks")).select("key", "i", "j", "node", "comp").join(sets, "node")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:  # noqa: ARG001
         t = table.combine_chunks()
@@ -211,61 +286,67 @@ def settle(members: DataFrame, sets: DataFrame, block_hashes: int = BLOCK_HASHES
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def node_links(buckets: DataFrame, sets: DataFrame, block_hashes: int = BLOCK_HASHES) -> DataFrame:
-    """v, root: the component of every linked node of buckets(key, node)."""
-    spark, found, roots = buckets.sparkSession, None, None
-    left = buckets.withColumn("comp", F.col("node"))
-    for turn in range(LEADER_ROUNDS + 1):
-        if turn < LEADER_ROUNDS:
-            leaders = left.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("leader"), F.min_by("comp", F.xxhash64("node", F.lit(turn))).alias("leader_comp"))
-            pairs = left.join(leaders, "key").filter("comp <> leader_comp").select("leader", "node").distinct()
-            new = confirmed(staged(pairs, "minhash-pairs"), sets)
-        else:
-            new = settle(left, sets, block_hashes)
-        new = staged(new.repartition(max(1, spark.sparkContext.defaultParallelism)), "minhash-links")
+def node_links(buckets: DataFrame, docs: DataFrame, nodes: DataFrame, block_rows: int = BLOCK_ROWS, each: int = PAIRS_EACH) -> DataFrame:
+    """v, root: the component of every linked node of buckets(key, node, n, lanes)."""
+    found, roots = [], None
+
+    def add(new: DataFrame) -> None:
+        nonlocal roots
         if not new.isEmpty():
-            found = new if found is None else found.union(new)
-            roots = components(found)
-        if turn < LEADER_ROUNDS:
-            left = unsettled(buckets, roots)
-            if left.isEmpty():
-                break
-    return roots if roots is not None else spark.createDataFrame([], "v long, root long")
+            found.append(new)
+            roots = components(reduce(DataFrame.union, found))
+
+    left = buckets.withColumn("comp", F.col("node"))
+    for turn in range(LEADER_ROUNDS):
+        first = F.min_by(F.struct("node", "comp", "n", "lanes"), F.xxhash64("node", F.lit(turn))).alias("o")
+        pairs = left.join(left.groupBy("key").agg(first), "key").filter("comp <> o.comp")
+        sides = [F.col("o.node").alias("a"), F.col("node").alias("b"), F.col("o.n").alias("n_a"), F.col("n").alias("n_b"), F.col("o.lanes").alias("lanes_a"), F.col("lanes").alias("lanes_b")]
+        add(confirmed(promising(pairs.select(*sides)), docs, nodes))
+        left = unsettled(buckets, roots)
+        if left.isEmpty():
+            break
+    else:
+        rest = staged(open_pairs(left, block_rows, each), "minhash-rest")
+        add(confirmed(rest.filter("a IS NOT NULL").select("a", "b").distinct(), docs, nodes))
+        dense = staged(rest.filter("dense IS NOT NULL").select(F.col("dense").alias("key")).distinct(), "minhash-dense")
+        if not dense.isEmpty():
+            left = unsettled(buckets.join(maybe_broadcast(dense), "key", "left_semi"), roots)
+            add(staged(settle(left.select("key", "node", "comp"), sets_of(docs, nodes, left.select("node"))), "minhash-links"))
+    return roots if roots is not None else docs.sparkSession.createDataFrame([], "v long, root long")
 
 
 def unsettled(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """key, node, comp of the buckets that hold several components; of buckets with the same nodes one stays."""
+    """buckets(key, node) and comp, of those that hold several components; of buckets with the same nodes one stays."""
     placed = buckets.withColumn("comp", F.col("node"))
     if roots is not None:
-        placed = buckets.join(maybe_broadcast(roots), F.col("node") == F.col("v"), "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+        placed = buckets.join(maybe_broadcast(roots), F.col("node") == F.col("v"), "left").withColumn("comp", F.coalesce("root", "node")).drop("v", "root")
     marks = [F.bit_xor(F.xxhash64("node", F.lit(s))).alias(f"m{s}") for s in (1, 2)]
     open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), *marks).filter("lo <> hi")
     one = staged(open_.groupBy("n", "m1", "m2").agg(F.min("key").alias("key")).select("key"), "minhash-open")
     return staged(placed.join(maybe_broadcast(one), "key"), "minhash-left")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, block_rows: int = BLOCK_ROWS, each: int = PAIRS_EACH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
     rows = staged(sketched(docs), "minhash-sketches")
     # equal sets have equal keys, so any of them stands for the node
-    nodes = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+    alike = [F.first(c).alias(c) for c in ("n_shingles", "keys", "lanes")]
+    nodes = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), *alike)
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "minhash-shared")
     buckets = staged(keyed.join(maybe_broadcast(shared), "key").select("key", "node"), "minhash-buckets")
-    # of buckets with the same nodes one is enough from the start
     first = unsettled(buckets, None)
-    wanted = staged(first.select("node").distinct(), "minhash-wanted")
-    wanted = staged(nodes.join(maybe_broadcast(wanted), "node").select("node", "least_id", "digest"), "minhash-candidates")
-    sets = staged(full_sets(docs, wanted), "minhash-sets")
-    roots = node_links(first.select("key", "node"), sets)
+    sized = nodes.select("node", F.col("n_shingles").alias("n"), "lanes")
+    members = staged(first.select("key", "node").join(sized, "node"), "minhash-members")
+    roots = node_links(members, docs, nodes, block_rows, each)
     named = nodes.select("node", "digest", "least_id", "copies").join(maybe_broadcast(roots), F.col("node") == F.col("v"), "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     # a node alone of one document is its own component: only the others are joined to the documents
     linked_roots = staged(named.filter("v IS NOT NULL").groupBy("root").agg(F.min("least_id").alias("least")), "minhash-least")
     several = named.filter("v IS NOT NULL OR copies > 1").join(maybe_broadcast(linked_roots), "root", "left")
     several = staged(several.select("digest", F.coalesce("least", "least_id").alias("least")), "minhash-components", 1 + nodes.count())
-    dropped(shared, buckets, first, wanted, sets)
+    dropped(shared, buckets, first, members)
     joined = rows.select("doc_id", "n_shingles", "digest").join(maybe_broadcast(several), "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -278,8 +359,9 @@ s AS (SELECT doc_id, CASE WHEN len(ws) = 0 OR ws IS NULL THEN [] WHEN len(ws) <
 n AS (SELECT doc_id, len(sh) AS n FROM s),
 x AS (SELECT doc_id, unnest(sh) AS g FROM s),
 rare AS (SELECT g FROM x GROUP BY g HAVING count(*) > 1),
-y AS (SELECT doc_id, g FROM x SEMI JOIN rare USING (g)),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM y a JOIN y b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+y AS (SELECT doc_id, g, n.n FROM x SEMI JOIN rare USING (g) JOIN n USING (doc_id)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM y a JOIN y b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id),
 e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= {PERCENT} * (na.n + nb.n - c)),
 r AS (SELECT doc_id AS v, doc_id AS u FROM documents UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u),
 m AS (SELECT v, min(u) AS component_id FROM r GROUP BY v)

@@ -73,9 +73,9 @@ def cases(seed):
 
 
 def test_against_brute_force(spark):
-    for seed in (1, 2):
+    for seed, blocks in ((1, {}), (2, {"block_rows": 6, "each": 0})):  # small blocks, every open bucket dense
         rows = cases(seed)
-        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows)).collect()), key=str)
+        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows), **blocks).collect()), key=str)
         assert got == sorted(brute(rows), key=str)
     kept = minhash.near_duplicates(frame(spark, rows)).filter("kept").select("doc_id").collect()
     assert {r[0] for r in kept} == {d for d, _, c in brute(rows) if d == c}
