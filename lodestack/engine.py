@@ -26,7 +26,7 @@ from lodestack.operators.fusion import SearchOptions, hybrid_search
 from lodestack.operators.vector import check_dimensions
 from lodestack.plans import params
 from lodestack.sources.files import Files
-from lodestack.streaming.ingest import SnapshotStore, delete, stream_upserts, upsert
+from lodestack.streaming.ingest import TABLES, SnapshotStore, delete, stream_upserts, upsert
 
 KEY_PREFIX = {"index": "idx", "search": "srch", "rag": "rag"}
 
@@ -221,13 +221,13 @@ class SearchEngine:
     def status(self, name: str) -> dict[str, DataFrame]:
         """tables: the stored tables with files, bytes and rows; dimensions: the size of a sampled vector; totals: documents and segments."""
         store = self.store(name)
-        segments = store.segments().withColumn("index", F.lit(name))
-        folder = store.pointer()["folder"]
-        paths = {t: f"{store.path}/{folder}/{t}" for t in ("docs", "segments", "postings", "sizes")} if folder else {}
+        p = store.pointer()
+        stored = {t: ([f"{store.path}/{x['folder']}/{t}" for x in p["layers"] if t in x["tables"]], store.read(t, p)) for t in TABLES} if p["layers"] else {}
+        total = (name, p["counters"].get("docs", 0), p["counters"].get("segments", 0))
         return {
-            "tables": state.tables(self.spark, paths),
-            "dimensions": state.dimensions(segments, "index", "content_hash"),
-            "totals": state.counters(store.docs().withColumn("index", F.lit(name)), segments, "index"),
+            "tables": state.tables(self.spark, stored),
+            "dimensions": state.dimensions(store.segments(p).withColumn("index", F.lit(name)), "index", "content_hash"),
+            "totals": self.spark.createDataFrame([total] if total[1] else [], "index string, total_documents long, total_segments long"),
         }
 
     def healthy(self) -> bool:
@@ -236,7 +236,8 @@ class SearchEngine:
     # -- documents
 
     def store(self, name: str) -> SnapshotStore:
-        return SnapshotStore(self.spark, f"{self.path}/{self._index(name).folder}")
+        index = self._index(name)
+        return SnapshotStore(self.spark, f"{self.path}/{index.folder}", self.analyser(index.config))
 
     def embedder(self, config: dict) -> Callable[[Column], Column]:
         e = config["embedding"]
@@ -283,7 +284,7 @@ class SearchEngine:
 
     def documents(self, name: str, limit: object = None, after: str | None = None) -> dict:
         n = state.clamp_limit(limit)
-        rows = state.page(self.store(name).docs(), n, after).collect()
+        rows = state.page(self.store(name).after("docs", after, n), n, after).collect()
         return {"documents": [{**r.asDict(), "metadata": json.loads(r["metadata"])} for r in rows], "next_cursor": state.next_cursor(rows, n)}
 
     # -- retrieval

@@ -66,7 +66,8 @@ def candidates(
     if o.kinds is not None:  # before both pools are cut
         of_kind = docs.filter(F.col("kind").isin(*o.kinds)).select("doc_id")
         placed = placed.join(of_kind, "doc_id", "left_semi")
-        index = TextIndex(index.postings.join(of_kind, "doc_id", "left_semi"), index.sizes)
+        of = lambda postings: postings.join(of_kind, "doc_id", "left_semi")
+        index = TextIndex(of(index.postings), index.sizes, (lambda terms, find=index.find: of(find(terms))) if index.find else None)
     keys = ["query_id", "doc_id", "segment_index"]
     lexical = top(lexical_scores(index, queries, o.title_weight, o.body_weight, analyse), "lexical_score") if o.mode != "semantic" else None
     vector = None

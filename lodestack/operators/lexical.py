@@ -29,10 +29,14 @@ Analyser = Callable[[Column], Column]
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings(term, doc_id, segment_index, pos) and sizes(doc_id, n_title, fields: array of segment_index and n)."""
+    """postings(term, doc_id, segment_index, pos) and sizes(doc_id, n_title, fields: array of segment_index and n).
+
+    `find` gives the postings of some terms, where a store knows which files hold them.
+    """
 
     postings: DataFrame
     sizes: DataFrame
+    find: Callable[[list[str]], DataFrame] | None = None
 
 
 def analysed(segments: DataFrame, docs: DataFrame, analyse: Analyser = simple_tokens) -> DataFrame:
@@ -106,8 +110,8 @@ def matches(index: TextIndex, queries: DataFrame, analyse: Analyser = simple_tok
     terms = query_terms(queries, analyse)
     words = [r["term"] for r in terms.select("term").distinct().limit(BROADCAST_TERMS + 1).collect()]
     postings = index.postings
-    if len(words) <= PUSHED_TERMS:  # the scan skips row groups that hold none of them
-        postings = postings.filter(F.col("term").isin(words))
+    if len(words) <= PUSHED_TERMS:  # the scan skips files and row groups that hold none of them
+        postings = (index.find(words) if index.find else postings).filter(F.col("term").isin(words))
     small = F.broadcast(terms) if len(words) <= BROADCAST_TERMS and terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else terms
     found = postings.join(small, "term").repartition("query_id", "doc_id")
     # both groupings keep to the one shuffle by query and document

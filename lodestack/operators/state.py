@@ -41,14 +41,12 @@ def dimensions(vectors: DataFrame, by: str, order: str) -> DataFrame:
     return one.select(by, F.size("embedding").alias("dimensions"))
 
 
-def tables(spark, paths: dict[str, str]) -> DataFrame:
-    """name, path, files, bytes, rows: the stored tables of an index, as far as they are there; a row each."""
+def tables(spark, stored: dict[str, tuple[list[str], DataFrame]]) -> DataFrame:
+    """name, folders, files, bytes, rows: the stored tables of an index, by name the folders of each and its visible rows; a row each."""
     from lodestack.sources.files import Files
 
     rows = []
-    for name, path in sorted(paths.items()):
-        files = Files(spark, path)
-        if files.exists(""):
-            found = [x.rsplit(":", 2) for x in files.stamp().split(";") if x and not x.startswith("_")]
-            rows.append((name, path, len(found), sum(int(size) for _, size, _ in found), spark.read.parquet(path).count()))
-    return spark.createDataFrame(rows, "name string, path string, files int, bytes long, rows long")
+    for name, (folders, table) in sorted(stored.items()):
+        files = [x.rsplit(":", 2) for f in folders for x in Files(spark, f).stamp().split(";") if x and not x.startswith("_")]
+        rows.append((name, folders, len(files), sum(int(size) for _, size, _ in files), table.count()))
+    return spark.createDataFrame(rows, "name string, folders array<string>, files int, bytes long, rows long")

@@ -64,6 +64,16 @@ class Files:
         where, fs = self._at(name)
         fs.delete(where, True)
 
+    def modified(self, name: str) -> float:
+        """When a file or folder was last written, in seconds."""
+        where, fs = self._at(name)
+        return fs.getFileStatus(where).getModificationTime() / 1000
+
+    def size(self, name: str = "") -> int:
+        """Bytes of a file, or of all files under a folder."""
+        where, fs = self._at(name)
+        return fs.getContentSummary(where).getLength()
+
     def stamp(self) -> str:
         """Names, lengths and times of the files of this path: changes when they do."""
         where, fs = self._at("")

@@ -1,9 +1,9 @@
-"""Continuous ingest: every batch of documents is merged into a snapshot store.
+"""Continuous ingest: every batch of documents becomes a layer of a store.
 
-A store is a folder of versions. A version is a folder with docs, segments and the text index as Parquet, and a pointer file that
-names it; a batch writes a new folder and then the pointer, which two writers cannot both create: the second reads the new
-version and merges again. The pointer carries, apart from the version's own number, the last batch number of each stream, so a micro-batch
-that is run again after a failure changes nothing (exactly once by idempotence), whatever else has been written in between.
+A store (sources.layers) has documents, segments and their text index. A batch reads what is stored of its own documents, writes a layer with these
+documents only, and publishes a pointer that lists the layer. The pointer carries, apart from the version's own number, counters of
+documents and segments, and the last batch number of each stream, so a micro-batch that is run again after a failure changes nothing
+(exactly once by idempotence), whatever else has been written in between. Layers are written together when there are many.
 """
 
 from __future__ import annotations
@@ -19,22 +19,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestack.functions.text import chunk_text, simple_tokens
 from lodestack.operators import ingest
-from lodestack.operators.lexical import TextIndex, analysed, index_of
+from lodestack.operators.lexical import Analyser, TextIndex, analysed, index_of, text_index
 from lodestack.sources.files import Files
+from lodestack.sources.layers import Conflict, LayeredStore, Table
 
-FORMAT = 2
+__all__ = ["Conflict", "Files", "SnapshotStore", "delete", "retry", "stream_upserts", "upsert"]
+
+FORMAT = 3
 DOCS = "external_id string, title string, body string, kind string, metadata string, segment_count int, created_at timestamp, updated_at timestamp"
 SEGMENTS = "external_id string, segment_index int, segment string, content_hash string, embedding array<float>"
 POSTINGS = "term string, doc_id string, segment_index int, pos int"
 SIZES = "doc_id string, n_title int, fields array<struct<segment_index: int, n: int>>"
 REPORT = "external_id string, segments int, changed long, unchanged long, removed long, status string, error string"
+TABLES = {
+    "docs": Table(DOCS, "external_id", ("external_id",)), "segments": Table(SEGMENTS, "external_id", ("external_id", "segment_index")),
+    "postings": Table(POSTINGS, "doc_id", ("term", "doc_id")), "sizes": Table(SIZES, "doc_id", ("doc_id",)),
+}
+NO_ID = "document has no external_id"
 T = TypeVar("T")
 
 
-class Conflict(RuntimeError):
-    """Another writer has published the version first."""
-
-
 def retry(work: Callable[[], T], attempts: int = 3, on: type[Exception] = Conflict) -> T:
     """work(), again after an error of the kind `on`, at most `attempts` times in all."""
     for left in reversed(range(attempts)):
@@ -46,23 +50,50 @@ def retry(work: Callable[[], T], attempts: int = 3, on: type[Exception] = Confli
     raise ValueError("attempts must be at least 1")
 
 
-def _to_format_2(files: Files) -> None:
-    """Format 1 had empty pointers, folders named by version, and no text index: such versions are read by their old names."""
-    for name in files.names("_versions"):
-        if not files.read(f"_versions/{name}"):
-            files.write(f"_versions/{name}", json.dumps({"folder": f"v{name}", "streams": {}}))
+def _to_format_2(store: SnapshotStore) -> None:
+    """Format 1 had empty pointers, folders named by version, and no text index: it is made here, for the last version."""
+    files = store.files
+    for v in store.versions():
+        if not files.read(f"_versions/{v}"):
+            files.write(f"_versions/{v}", json.dumps({"folder": f"v{v}", "streams": {}}))
+    folder = json.loads(files.read(f"_versions/{store.version()}"))["folder"]
+    table = lambda name: store.spark.read.schema(TABLES[name].schema).parquet(f"{store.path}/{folder}/{name}")
+    if not files.exists(f"{folder}/segments"):  # an index of documents without text
+        store.spark.createDataFrame([], SEGMENTS).write.parquet(f"{store.path}/{folder}/segments")
+    if not files.exists(f"{folder}/sizes/_SUCCESS"):
+        made = text_index(table("segments").selectExpr("external_id AS doc_id", "segment_index", "segment AS body"), table("docs").selectExpr("external_id AS doc_id", "title"), store.analyse)
+        made.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{store.path}/{folder}/postings")
+        made.sizes.write.mode("overwrite").parquet(f"{store.path}/{folder}/sizes")
+
+
+def _to_format_3(store: SnapshotStore) -> None:
+    """Format 2 had one folder for each version: the last one becomes the base, those before it go."""
+    v = store.version()
+    told = json.loads(store.files.read(f"_versions/{v}"))
+    if "layers" not in told:
+        folder = told["folder"]
+        rows = {n: store.spark.read.parquet(f"{store.path}/{folder}/{n}").count() for n in TABLES}
+        layer = {"folder": folder, "tables": list(TABLES), "ranged": [], "rows": rows}
+        report = folder if store.files.exists(f"{folder}/report") else None
+        told = {"layers": [layer], "streams": told["streams"], "counters": {n: rows[n] for n in ("docs", "segments")}, "report": report}
+        store.files.write(f"_versions/{v}", json.dumps(told))
+    for old in store.versions()[:-1]:
+        before = json.loads(store.files.read(f"_versions/{old}"))
+        store.files.delete(f"_versions/{old}")
+        if before.get("folder") not in (None, told["layers"][0]["folder"]):
+            store.files.delete(before["folder"])
 
 
 #: what brings a store of the format before to the one of the key
-MIGRATIONS: dict[int, Callable[[Files], None]] = {2: _to_format_2}
+MIGRATIONS: dict[int, Callable[[SnapshotStore], None]] = {2: _to_format_2, 3: _to_format_3}
 
 
-class SnapshotStore:
-    """Versions of a document table, a segment table and their text index under one folder of any Hadoop file system."""
+class SnapshotStore(LayeredStore):
+    """Versions of a document table, a segment table and their text index."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.files = Files(spark, self.path)
+    def __init__(self, spark: SparkSession, path: str, analyse: Analyser = simple_tokens, **layout):
+        super().__init__(spark, path, TABLES, **layout)
+        self.analyse = analyse
         self._migrate()
 
     def _migrate(self) -> None:
@@ -73,121 +104,128 @@ class SnapshotStore:
         if found > FORMAT:
             raise ValueError(f"the store has format {found}, this version reads up to {FORMAT}")
         for step in range(found + 1, FORMAT + 1):
-            MIGRATIONS[step](self.files)
+            if self.versions():
+                MIGRATIONS[step](self)
             self.files.write("_format", str(step))
 
-    def version(self) -> int:
-        return max((int(n) for n in self.files.names("_versions") if n.isdigit()), default=-1)
-
-    def pointer(self) -> dict:
-        v = self.version()
-        return {"version": -1, "folder": None, "streams": {}} if v < 0 else {"version": v, **json.loads(self.files.read(f"_versions/{v}"))}
-
-    def read(self, name: str, schema: str, pointer: dict | None = None) -> DataFrame:
-        folder = (pointer or self.pointer())["folder"]
-        if folder is None or not self.files.exists(f"{folder}/{name}"):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}/{name}")
+    def docs(self, pointer: dict | None = None) -> DataFrame:
+        return self.read("docs", pointer)
 
-    def docs(self) -> DataFrame:
-        return self.read("docs", DOCS)
+    def segments(self, pointer: dict | None = None) -> DataFrame:
+        return self.read("segments", pointer)
 
-    def segments(self) -> DataFrame:
-        return self.read("segments", SEGMENTS)
-
-    def index(self) -> TextIndex:
+    def index(self, pointer: dict | None = None) -> TextIndex:
         """The stored text index; doc_id is the external_id."""
-        return TextIndex(self.read("postings", POSTINGS), self.read("sizes", SIZES))
+        p = pointer or self.pointer()
+        return TextIndex(self.read("postings", p), self.read("sizes", p), lambda terms: self.find("postings", terms, p))
 
     def report(self) -> DataFrame:
         """What became of each document of the batch that made the current version."""
-        return self.read("report", REPORT)
+        folder = self.pointer()["report"]
+        return self.spark.read.schema(REPORT).parquet(f"{self.path}/{folder}/report") if folder else self.spark.createDataFrame([], REPORT)
 
     def write(self, base: dict, tables: dict[str, DataFrame], streams: dict[str, int] | None = None) -> None:
-        """Write the version after `base`; Conflict if another has been published since."""
-        version = base["version"] + 1
-        folder = f"v{version}-{uuid.uuid4().hex[:12]}"
-        for name, table in tables.items():
-            table.write.parquet(f"{self.path}/{folder}/{name}")
+        """Write a layer over `base`, a pointer whose counters are already those of the new version; Conflict if another version has been published since.
+
+        base["rows"], if there, has about how many rows the tables have.
+        """
         if not self.files.exists("_format"):
             self.files.write("_format", str(FORMAT))
-        if not self.files.create(f"_versions/{version}", json.dumps({"folder": folder, "streams": {**base["streams"], **(streams or {})}})):
-            self.files.delete(folder)
-            raise Conflict(f"version {version} is taken")
-
-
-def _sorted(index: TextIndex) -> dict[str, DataFrame]:
-    """Postings in order of term within each file, so that a search for a few terms skips what holds none of them."""
-    return {"postings": index.postings.sortWithinPartitions("term"), "sizes": index.sizes}
+        self.add_layer(base, tables, base.get("rows", {}), streams)
 
 
 def upsert(
     store: SnapshotStore, batch: DataFrame, embed: Callable[[Column], Column], now: Column, max_tokens: int = 1000, max_segments: int = 150,
-    analyse: Callable[[Column], Column] = simple_tokens, order: str | None = None, stream: str | None = None, number: int | None = None,
+    analyse: Analyser = simple_tokens, order: str | None = None, stream: str | None = None, number: int | None = None,
 ) -> DataFrame:
     """Merge a batch (external_id, title, body, kind, metadata) into the store, and say what became of each document (REPORT).
 
-    Of repeated ids the last row stays, by the column `order` if given, else as the batch has them. A document without text is stored
-    without segments. One of too many segments is rejected with an error, and what the store has of it stays. Only changed segments are
-    embedded; only new documents are analysed. A micro-batch (stream, number) that the store has seen changes nothing.
+    Of repeated ids the last row stays, by the column `order` if given, else by the batch's own partitions and rows, which says something only for a batch
+    that has not been shuffled. A document without text is stored without segments. One of too many segments, or without an id, is rejected with an
+    error, and what the store has of it stays. Only changed segments are embedded; only new documents are analysed. What is written and
+    read grows with the batch, not with the store, until layers are written together. A micro-batch (stream, number) that the store has seen changes nothing.
     """
     if stream is not None and number is not None and number <= store.pointer()["streams"].get(stream, -1):
         return store.spark.createDataFrame([], REPORT)
     fields = F.struct("title", "body", "kind", "metadata")
     last = F.col(order) if order else F.monotonically_increasing_id()
-    one = batch.withColumn("_last", last).groupBy("external_id").agg(F.max_by(fields, "_last").alias("m")).select("external_id", "m.*")
+    one = batch.withColumn("_last", last).groupBy("external_id").agg(F.max_by(fields, "_last").alias("m"), F.count(F.lit(1)).alias("n")).select("external_id", "n", "m.*")
     staged = f"{store.path}/_batches/{uuid.uuid4().hex}"
-    one.withColumn("chunks", chunk_text(F.col("body"), max_tokens)).write.parquet(staged)
+    one.withColumn("chunks", chunk_text(F.col("body"), max_tokens)).write.parquet(f"{staged}/batch")
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{staged}/{name}")
+        return store.spark.read.schema(df.schema).parquet(f"{staged}/{name}")
 
     def merge() -> DataFrame:
         base = store.pointer()
-        cut = store.spark.read.parquet(staged)
-        good, bad = ingest.split_by_limit(cut, F.size("chunks"), max_segments)
+        every = store.spark.read.schema("external_id string, n long, title string, body string, kind string, metadata string, chunks array<string>").parquet(f"{staged}/batch")
+        good, bad = ingest.split_by_limit(every.filter("external_id IS NOT NULL"), F.size("chunks"), max_segments)
+        gone = good.select("external_id")
         new = ingest.segments_of(good.select("external_id", "title", "chunks"))
-        old = store.read("segments", SEGMENTS, base)
+        old_docs, old = (kept(f"old-{name}", store.find_all(name, gone, base)) for name in ("docs", "segments"))
         counts = good.select("external_id", "title", "body", "kind", "metadata", F.size(ingest.distinct_segments(F.col("chunks"))).alias("segment_count"))
-        docs = ingest.merge_documents(store.read("docs", DOCS, base), counts.withColumn("created_at", now), now)
-        gone = good.select("external_id")
+        docs = kept("docs", ingest.merge_documents(old_docs, counts.withColumn("created_at", now), now))
         merged = ingest.merge_segments(old, new.select("external_id", "segment_index", "segment", "content_hash"), gone)
         titled = merged.join(new.select("external_id", "content_hash", "title"), ["external_id", "content_hash"], "left")
         embedding = F.coalesce("embedding", embed(F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.col("segment"))))
-        fields = analysed(new.selectExpr("external_id AS doc_id", "segment_index", "segment AS body"), good.selectExpr("external_id AS doc_id", "title"), analyse)
-        fields.write.mode("overwrite").parquet(f"{staged}-fields")
-        fresh = index_of(store.spark.read.schema(fields.schema).parquet(f"{staged}-fields"))
-        kept = lambda name, schema: store.read(name, schema, base).join(gone, F.col("doc_id") == F.col("external_id"), "left_anti")
+        fields = kept("fields", analysed(new.selectExpr("external_id AS doc_id", "segment_index", "segment AS body"), good.selectExpr("external_id AS doc_id", "title"), analyse))
+        fresh = index_of(fields)
         changes = ingest.report(ingest.diff(new, old, "external_id", gone), "external_id")
         said = good.select("external_id").join(changes, "external_id", "left").select(
             "external_id", *[F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("segments", "int"), ("changed", "long"), ("unchanged", "long"), ("removed", "long"))],
             F.lit("indexed").alias("status"), F.lit(None).cast("string").alias("error"),
         )
-        refused = bad.select("external_id", F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit("rejected"), "error")
+        nameless = every.filter("external_id IS NULL").select("external_id", F.explode(F.array_repeat(F.lit(NO_ID), F.col("n").cast("int"))).alias("error"))
+        refused = bad.select("external_id", "error").union(nameless)
+        refused = refused.select("external_id", F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit("rejected"), "error")
+        size = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("segment_count"), F.lit(0)).alias("segments")).first().asDict()
+        words = fields.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+        before = {"docs": old_docs.count(), "segments": old.count()}
+        counters = {n: base["counters"].get(n, 0) + size[n] - before[n] for n in before}
+        rows = {**size, "postings": words, "sizes": size["docs"], "gone": size["docs"]}
         tables = {
             "docs": docs, "segments": titled.select("external_id", "segment_index", "segment", "content_hash", embedding.alias("embedding")),
-            **_sorted(TextIndex(kept("postings", POSTINGS).union(fresh.postings), kept("sizes", SIZES).union(fresh.sizes))),
-            "report": said.union(refused),
+            "postings": fresh.postings, "sizes": fresh.sizes, "gone": gone, "report": said.union(refused),
         }
-        store.write(base, tables, {stream: number} if stream is not None and number is not None else None)
+        store.write({**base, "counters": counters, "rows": rows}, tables, {stream: number} if stream is not None and number is not None else None)
         return store.report()
 
     try:
-        return retry(merge)
+        said = retry(merge)
     finally:
-        for name in ("", "-fields"):
-            store.files.delete(staged.removeprefix(f"{store.path}/") + name)
+        store.files.delete(staged.removeprefix(f"{store.path}/"))
+        if store.files.names("_batches") == []:
+            store.files.delete("_batches")
+    compact_if_wanted(store)
+    return said
+
+
+def compact_if_wanted(store: SnapshotStore) -> None:
+    """Write layers together if there are many; if another writer is faster, it is left to the next batch."""
+    if which := store.wants(store.pointer()):
+        try:
+            store.compact(which)
+        except Conflict:
+            pass
 
 
 def delete(store: SnapshotStore, ids: DataFrame) -> None:
-    """Drop documents (external_id) with their segments and postings; ids that are not there change nothing. Streams go on where they are."""
+    """Drop documents (external_id) with their segments and postings; ids that are not there change nothing. Streams go on where they are.
+
+    Only the ids are written; the rows are hidden from then on, and go when layers are written together.
+    """
 
     def merge() -> None:
         base = store.pointer()
-        gone = ids.select("external_id").distinct()
-        by_id = lambda name, schema: ingest.delete_documents(store.read(name, schema, base), gone, "external_id")
-        by_doc = lambda name, schema: ingest.delete_documents(store.read(name, schema, base), gone.withColumnRenamed("external_id", "doc_id"), "doc_id")
-        index = TextIndex(by_doc("postings", POSTINGS), by_doc("sizes", SIZES))
-        store.write(base, {"docs": by_id("docs", DOCS), "segments": by_id("segments", SEGMENTS), **_sorted(index)})
+        found = store.find_all("docs", ids.select("external_id"), base).select("external_id", "segment_count")
+        n, segments = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("segment_count"), F.lit(0))).first()
+        if n:
+            counters = {"docs": base["counters"].get("docs", n) - n, "segments": base["counters"].get("segments", segments) - segments}
+            store.write({**base, "counters": counters, "rows": {"gone": n}}, {"gone": found.select("external_id")})
 
     retry(merge)
+    compact_if_wanted(store)
 
 
 def stream_upserts(

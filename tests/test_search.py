@@ -300,7 +300,7 @@ def test_conflicts_and_formats(spark, tmp_path):
     store.docs().write.parquet(f"{tmp_path}/old/v0/docs")
     old.write("_versions/0", "")
     again = SnapshotStore(spark, f"file://{tmp_path}/old")
-    assert again.docs().count() == 4 and again.segments().count() == 0 and old.read("_format") == "2"
+    assert again.docs().count() == 4 and again.segments().count() == 0 and old.read("_format") == str(store_module.FORMAT)
     old.write("_format", "99")
     with pytest.raises(ValueError, match="format 99"):
         SnapshotStore(spark, f"file://{tmp_path}/old")
