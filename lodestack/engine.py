@@ -22,10 +22,11 @@ from lodestack.functions.text import simple_tokens
 from lodestack.functions.vectors import hash_embedding
 from lodestack.operators import rag, state
 from lodestack.operators.lexical import Analyser
-from lodestack.operators.fusion import SearchOptions, hybrid_search
+from lodestack.operators.fusion import SearchOptions, Stored, hybrid_search
 from lodestack.operators.vector import check_dimensions
+from lodestack.operators.vector_index import nearest_in_lists
 from lodestack.plans import params
-from lodestack.sources.files import Files
+from lodestack.sources.files import Files, forget, kept
 from lodestack.streaming.ingest import TABLES, SnapshotStore, delete, stream_upserts, upsert
 
 KEY_PREFIX = {"index": "idx", "search": "srch", "rag": "rag"}
@@ -291,19 +292,38 @@ class SearchEngine:
 
     def search_batch(self, name: str, queries: DataFrame, now: Column | None = None, **options) -> DataFrame:
         """hybrid_search over the index for queries(query_id, q)."""
-        config, store = self._index(name).config, self.store(name)
-        docs = store.docs().withColumn("doc_id", F.col("external_id")).withColumn("published_at", rag.text_field(F.col("metadata"), "published_at"))
-        segments = store.segments().withColumnsRenamed({"external_id": "doc_id", "segment": "body"})
+        return self._search(self._index(name).config, self.store(name), None, queries, now, **options)
+
+    def _search(self, config: dict, store: SnapshotStore, pointer: dict | None, queries: DataFrame, now: Column | None, held: list | None = None, **options) -> DataFrame:
+        """`held` takes the small tables that the result reads."""
+        p = pointer or store.pointer()  # one version for all that a search reads
+        held = [] if held is None else held
+        keep = lambda df: held.append(kept(df, "search")) or held[-1]
+        docs = lambda d: d.withColumn("doc_id", F.col("external_id")).withColumn("published_at", rag.text_field(F.col("metadata"), "published_at"))
+        segments = lambda s: s.withColumnsRenamed({"external_id": "doc_id", "segment": "body"})
+        ids = lambda found: found.select(F.col("doc_id").alias("external_id"))
+        lists = store.lists(p)
+        stored = Stored(
+            lambda found: docs(store.find_all("docs", ids(found), p)), lambda found: segments(store.find_all("segments", ids(found), p)), keep,
+            (lambda q, k: nearest_in_lists(lambda some: store.vectors(some, p), lists, q, k)) if lists else None,
+        )
         q = queries.withColumn("embedding", self.embedder(config)(F.col("q")))
         now = F.current_timestamp() if now is None else now
-        return hybrid_search(segments, docs, q, SearchOptions.from_config(config, **options), now, self.analyser(config), store.index())
+        o = SearchOptions.from_config(config, **options)
+        return hybrid_search(segments(store.segments(p)), docs(store.docs(p)), q, o, now, self.analyser(config), store.index(p), stored)
 
     def search(self, name: str, q: str, limit: int = 10, mode: str = "hybrid", kinds: str | None = None, kind_weights: str | None = None, recency: str | None = None, now: Column | None = None, **more) -> dict:
         if not q or not q.strip():
             raise params.BadRequest("q is required")
         options = {"limit": limit, "mode": mode, "kinds": params.kinds(kinds), "kind_weights": params.kind_weights(kind_weights), "recency": params.recency(recency), **more}
         one = self.spark.createDataFrame([(0, q)], "query_id long, q string")
-        rows = self.search_batch(name, one, now, **options).join(self.store(name).docs().select("external_id", "metadata"), "external_id").orderBy("position").collect()
+        store = self.store(name)
+        p = store.pointer()
+        held: list[DataFrame] = []
+        rows = self._search(self._index(name).config, store, p, one, now, held, **options).orderBy("position").collect()
+        forget(*held)
+        found = {r["external_id"]: r["metadata"] for r in store.find("docs", [r["external_id"] for r in rows], p).select("external_id", "metadata").collect()} if rows else {}
+        rows = [{**r.asDict(), "metadata": found[r["external_id"]]} for r in rows]
         results = [{k: r[k] for k in ("external_id", "score", "title", "snippet", "kind")} | {"metadata": json.loads(r["metadata"] or "{}")} for r in rows]
         return {"results": results, "total": rows[0]["total"] if rows else 0, "query": q}
 

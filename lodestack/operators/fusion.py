@@ -16,6 +16,20 @@ from lodestack.operators.vector import nearest_parts
 MODES = ("hybrid", "semantic", "lexical")
 
 
+@dataclass(frozen=True)
+class Stored:
+    """How a search reads a corpus that is stored by keys.
+
+    docs(ids) and segments(ids) are the rows of ids(doc_id), from the files that can hold them; nearest(queries, k), if there is an index of the
+    vectors, is query_id, vec_id, part, similarity, rank. keep(df) writes a small table between two steps.
+    """
+
+    docs: Callable[[DataFrame], DataFrame]
+    segments: Callable[[DataFrame], DataFrame]
+    keep: Callable[[DataFrame], DataFrame]
+    nearest: Callable[[DataFrame, int], DataFrame] | None = None
+
+
 @dataclass(frozen=True)
 class SearchOptions:
     mode: str = "hybrid"
@@ -53,11 +67,12 @@ def fusion_order() -> list[Column]:
 
 
 def candidates(
-    segments: DataFrame, docs: DataFrame, queries: DataFrame, o: SearchOptions, analyse: Callable[[Column], Column] = simple_tokens, index: TextIndex | None = None
-) -> DataFrame:
+    segments: DataFrame, docs: DataFrame, queries: DataFrame, o: SearchOptions, analyse: Callable[[Column], Column] = simple_tokens, index: TextIndex | None = None,
+    stored: Stored | None = None,
+) -> DataFrame:
     """query_id, doc_id, segment_index, lexical_score, vector_score: the union of both pools, 0 where a pass has no score.
 
-    `index` is the text index of the corpus; without one it is made from segments and docs.
+    `index` is the text index of the corpus; without one it is made from segments and docs. A search within some kinds looks at all vectors of those.
     """
     if o.mode not in MODES:
         raise ValueError(f"unknown mode: {o.mode}")
@@ -72,7 +87,10 @@ def candidates(
     lexical = top(lexical_scores(index, queries, o.title_weight, o.body_weight, analyse), "lexical_score") if o.mode != "semantic" else None
     vector = None
     if o.mode != "lexical":
-        best = nearest_parts(placed.withColumnsRenamed({"doc_id": "vec_id", "segment_index": "part"}), queries, POOL)
+        if stored and stored.nearest and o.kinds is None:
+            best = stored.nearest(queries, POOL)
+        else:
+            best = nearest_parts(placed.withColumnsRenamed({"doc_id": "vec_id", "segment_index": "part"}), queries, POOL)
         vector = best.select("query_id", F.col("vec_id").alias("doc_id"), F.col("part").alias("segment_index"), F.col("similarity").alias("vector_score"))
     if lexical is None:
         both = vector.withColumn("lexical_score", F.lit(0.0))
@@ -103,20 +121,31 @@ def fuse(pool: DataFrame, segments: DataFrame, docs: DataFrame, o: SearchOptions
 
 
 def hybrid_search(
-    segments: DataFrame, docs: DataFrame, queries: DataFrame, o: SearchOptions, now: Column, analyse: Callable[[Column], Column] = simple_tokens, index: TextIndex | None = None
-) -> DataFrame:
+    segments: DataFrame, docs: DataFrame, queries: DataFrame, o: SearchOptions, now: Column, analyse: Callable[[Column], Column] = simple_tokens, index: TextIndex | None = None,
+    stored: Stored | None = None,
+) -> DataFrame:
     """query_id, position, external_id, score, title, snippet, kind, total: the first `limit` results of each query.
 
     total counts a query's documents before the limit. segments(doc_id, segment_index, body, content_hash, embedding; null: not in
     the vector pass), docs(doc_id, external_id, title, kind, published_at), queries(query_id, q, embedding). Titles and texts are
-    joined to the results only.
+    joined to the results only. With `stored` the pools are written first, and rows are looked up by the documents in them.
     """
-    kept = fuse(candidates(segments, docs, queries, o, analyse, index), segments, docs, o, now)
+    pool = candidates(segments, docs, queries, o, analyse, index, stored)
+    of_pool = (segments, docs)
+    if stored:
+        pool = stored.keep(pool)
+        ids = pool.select("doc_id").distinct()
+        of_pool = (stored.segments(ids), stored.docs(ids))
+    kept = fuse(pool, *of_pool, o, now)
     every = Window.partitionBy("query_id")
     total = F.size(F.collect_set("doc_id").over(every)).cast("long")
     place = F.row_number().over(every.orderBy(*fusion_order()))
     found = kept.withColumn("total", total).withColumn("position", place).filter(F.col("position") <= o.limit)
     found = found.select("query_id", "position", "doc_id", "segment_index", "external_id", "score", "kind", "total")
+    if stored:
+        found = stored.keep(found)
+        ids = found.select("doc_id").distinct()
+        segments, docs = stored.segments(ids), stored.docs(ids)
     texts = segments.select("doc_id", "segment_index", F.col("body").alias("snippet"))
     full = found.join(docs.select("doc_id", "title"), "doc_id").join(texts, ["doc_id", "segment_index"])
     return full.select("query_id", "position", "external_id", "score", "title", "snippet", "kind", "total")

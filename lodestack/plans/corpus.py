@@ -6,10 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestack.functions.text import content_hash, simple_tokens, trim
+from lodestack.operators.fusion import Stored
 from lodestack.operators.lexical import Analyser, TextIndex, analysed, index_of
-from lodestack.sources.files import Files, new_path
+from lodestack.sources.files import Files, delete_path, forget, kept, new_path
+from lodestack.sources.layers import LayeredStore, Table
 
 NOW = "2026-07-13 00:00:00"
 
@@ -59,33 +62,58 @@ def distinct_lines(lines: Column) -> Column:
 
 @dataclass(frozen=True)
 class Corpus:
-    """What an ingest of the tables leaves for searches: documents, segments and their text index."""
+    """What an ingest of the tables leaves for searches: documents, segments and their text index, and how to look them up."""
 
     docs: DataFrame
     segments: DataFrame
     index: TextIndex
+    stored: Stored
 
 
-_made: dict[tuple, Corpus] = {}
+TABLES = {
+    "docs": Table("doc_id long, external_id string, title string, kind string, lang string, published_at string", "doc_id", ("doc_id",)),
+    "segments": Table("doc_id long, segment_index int, content_hash string, body string, embedding array<float>", "doc_id", ("doc_id", "segment_index")),
+    "postings": Table("term string, doc_id long, segment_index int, pos int", "doc_id", ("term", "doc_id")),
+    "sizes": Table("doc_id long, n_title int, fields array<struct<segment_index: int, n: int>>", "doc_id", ("doc_id",)),
+}
+#: rows of one file; segments are whole lines, postings are small
+FILE_ROWS = 100_000
+_made: dict[tuple, _Made] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str, analyse: Analyser = simple_tokens) -> Corpus:
-    """The searchable corpus of the tables: written once per session (and again when their files change), as an ingest does, and read by searches."""
+    """The searchable corpus of the tables: stored once per session (and again when their files change), as an ingest does, and read by searches."""
     stamp = tuple(Files(spark, f"{sf_dir}/{name}.parquet").stamp() for name in ("documents", "embeddings"))
     key = (spark.sparkContext.applicationId, sf_dir, analyse.__name__, stamp)
     if key not in _made:
-        path = new_path(spark, "corpus")
-
-        def kept(name: str, df: DataFrame, order: str) -> DataFrame:
-            df.sortWithinPartitions(order).write.parquet(f"{path}/{name}")
-            return spark.read.schema(df.schema).parquet(f"{path}/{name}")
-
-        d = kept("docs", docs(spark, sf_dir).drop("body"), "doc_id")
-        s = kept("segments", segments(spark, sf_dir), "doc_id")
-        index = index_of(kept("fields", analysed(s, d, analyse), "doc_id"))
-        # in order of term, so that a search for a few terms skips the row groups that hold none of them
-        _made[key] = Corpus(d, s, TextIndex(kept("postings", index.postings, "term"), kept("sizes", index.sizes, "doc_id")))
-    return _made[key]
+        for old in [k for k in _made if k[:3] == key[:3]]:  # of files that have changed since
+            delete_path(spark, _made.pop(old).path)
+        _made[key] = _store(spark, sf_dir, analyse)
+    return _made[key].corpus
+
+
+@dataclass(frozen=True)
+class _Made:
+    path: str
+    corpus: Corpus
+
+
+def _store(spark: SparkSession, sf_dir: str, analyse: Analyser) -> _Made:
+    store = LayeredStore(spark, new_path(spark, "corpus"), TABLES, FILE_ROWS)
+    in_order = lambda name, df: df.select(*[c.name for c in StructType.fromDDL(TABLES[name].schema)])
+    d = kept(in_order("docs", docs(spark, sf_dir)), "corpus-docs")
+    s = kept(in_order("segments", segments(spark, sf_dir)), "corpus-segments")
+    fields = kept(analysed(s, d, analyse), "corpus-fields")
+    index = index_of(fields)
+    n, words = d.count(), fields.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    rows = {"docs": n, "segments": s.count(), "postings": words, "sizes": n}
+    tables = {"docs": d, "segments": s, "postings": index.postings, "sizes": index.sizes}
+    p = store.add_layer(store.pointer(), {k: in_order(k, t) for k, t in tables.items()}, rows)
+    forget(d, s, fields)
+    ids = lambda found: found.select(F.col("doc_id").alias("external_id"))
+    stored = Stored(lambda found: store.find_all("docs", ids(found), p), lambda found: store.find_all("segments", ids(found), p), lambda df: kept(df, "search"))
+    text = TextIndex(store.read("postings", p), store.read("sizes", p), lambda terms: store.find("postings", terms, p))
+    return _Made(store.path, Corpus(store.read("docs", p), store.read("segments", p), text, stored))
 
 
 def queries(spark: SparkSession, sf_dir: str, words: int = 2) -> DataFrame:

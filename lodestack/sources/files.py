@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
 
@@ -111,3 +111,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
     atexit.register(delete_path, spark, path)
     return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a new path in the shared folder and read from there."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._kept_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables as `kept` returned them, once nothing reads them any more."""
+    for t in tables:
+        delete_path(t.sparkSession, t._kept_at)

@@ -5,7 +5,7 @@ layer above its own names its key. A batch writes one layer, so it writes what i
 two writers cannot both create the pointer of a version. Compaction writes layers together into one, as another version. Versions that
 nobody needs are dropped, with the layers that only they list.
 
-Tables of more than one file are laid out in ranges of a key, and a layer's `manifest` has the first and last key of every file, so a few
+Tables of more than one file are laid out in ranges of a key, and a layer's manifest of it has the first and last key of every file, so a few
 keys, or a page of them, are read from the files that can hold them and no others.
 """
 
@@ -15,18 +15,19 @@ import json
 import math
 import time
 import uuid
+from bisect import bisect_right
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestack.sources.files import Files
 
-MANIFEST = "name string, file string, first string, last string, rows long"
-#: keys that a look-up names to the scan; more of them are joined
-NAMED_KEYS = 10_000
+#: keys that are looked up by their files (more are joined to the whole table), and that are named to the scan of these
+LOOKED_UP, NAMED = 100_000, 1_000
 #: replaced keys that are broadcast; beyond it the merge shuffles
 BROADCAST_KEYS = 1_000_000
 
@@ -37,11 +38,16 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Table:
-    """A stored table: its schema, the column that names a row's document, and the column whose ranges its files are."""
+    """A stored table: its schema, the column that names a row's document, and the columns whose ranges its files are."""
 
     schema: str
     key: str
     range: tuple[str, ...]
+    #: folders of their own for the values of a column, which has few
+    parted: str | None = None
+
+    def type_of(self, column: str) -> str:
+        return StructType.fromDDL(self.schema)[column].dataType.simpleString()
 
 
 @dataclass
@@ -73,15 +79,15 @@ class LayeredStore:
         return max(self.versions(), default=-1)
 
     def pointer(self, version: int | None = None) -> dict:
-        """version, layers, streams, counters and the folder of the report, of the current version unless another is named."""
+        """version, layers, streams, counters and the folders of the report and of an index, of the current version unless another is named."""
         v = self.version() if version is None else version
-        none = {"version": -1, "layers": [], "streams": {}, "counters": {}, "report": None}
+        none = {"version": -1, "layers": [], "streams": {}, "counters": {}, "report": None, "index": None}
         return none if v < 0 else {**none, "version": v, **json.loads(self.files.read(f"_versions/{v}"))}
 
     def publish(self, base: dict, layers: list[dict], new: str | None, streams: dict[str, int] | None = None, report: str | None = None) -> dict:
         """Create the pointer after `base`; Conflict if another has, and the new folder is dropped then."""
         version = base["version"] + 1
-        told = {"layers": layers, "streams": {**base["streams"], **(streams or {})}, "counters": base["counters"], "report": report}
+        told = {"layers": layers, "streams": {**base["streams"], **(streams or {})}, "counters": base["counters"], "report": report, "index": base.get("index")}
         if not self.files.create(f"_versions/{version}", json.dumps(told)):
             if new:
                 self.files.delete(new)
@@ -100,7 +106,7 @@ class LayeredStore:
         old = [v for v in every if v < kept[0] and now - self.files.modified(f"_versions/{v}") >= older_than] if kept else []
         if not old:
             return []
-        listed = lambda vs: {f for v in vs for p in [self.pointer(v)] for f in [*(x["folder"] for x in p["layers"]), p["report"]] if f}
+        listed = lambda vs: {f for v in vs for p in [self.pointer(v)] for f in [*(x["folder"] for x in p["layers"]), p["report"], p["index"]] if f}
         dead = sorted(listed(old) - listed(v for v in every if v not in old))
         lost = [n for n in self.files.names("") if n.startswith("layer-") and n not in listed(every) and now - self.files.modified(n) > 86_400]
         for v in old:  # pointers first: nobody can find a folder that is being dropped
@@ -118,18 +124,21 @@ class LayeredStore:
         """Write one table in ranges of its key, `rows` being about how many it has; returns the number of files asked for."""
         t = self.tables[name]
         n = max(1, math.ceil(rows / self.file_rows))
+        if t.parted:  # a large value is several files
+            spread = table.coalesce(1) if n == 1 else table.repartition(n, t.parted, F.pmod(F.xxhash64(*t.range), F.lit(4)))
+            spread.write.partitionBy(t.parted).parquet(f"{self.path}/{folder}/{name}")
+            return 1
         spread = table.coalesce(1) if n == 1 else table.repartitionByRange(n, *t.range)
         spread.sortWithinPartitions(*t.range).write.parquet(f"{self.path}/{folder}/{name}")
         return n
 
     def describe(self, folder: str, names: list[str]) -> None:
-        """Write the manifest of a layer's tables from their key columns."""
-        parts = []
+        """Write the manifests of a layer's tables from their key columns: file, first, last, rows."""
         for name in names:
             t = self.tables[name]
             kept = self.spark.read.schema(t.schema).parquet(f"{self.path}/{folder}/{name}").select(F.col(t.range[0]).alias("k"), F.input_file_name().alias("file"))
-            parts.append(kept.groupBy("file").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "file", "first", "last", "rows"))
-        reduce(DataFrame.union, parts).coalesce(1).write.parquet(f"{self.path}/{folder}/manifest")
+            files = kept.groupBy("file").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("rows"))
+            files.coalesce(1).write.parquet(f"{self.path}/{folder}/manifest-{name}")
 
     def add_layer(self, base: dict, tables: dict[str, DataFrame], rows: dict[str, int], streams: dict[str, int] | None = None) -> dict:
         """Write tables (and `gone`, `report`) as a layer over `base` and publish it."""
@@ -151,7 +160,7 @@ class LayeredStore:
 
     # -- reading
 
-    def _gone(self, pointer: dict, keys: list[str] | None = None) -> DataFrame | None:
+    def _gone(self, pointer: dict, keys: list | None = None) -> DataFrame | None:
         """key, at: the highest layer that names a key as gone; none if no layer above the base does."""
         found = [self.spark.read.schema("external_id string").parquet(f"{self.path}/{x['folder']}/gone").withColumn("_at", F.lit(i)) for i, x in enumerate(pointer["layers"]) if i and "gone" in x["tables"]]
         if not found:
@@ -162,7 +171,7 @@ class LayeredStore:
         n = sum(x["rows"].get("gone", 0) for x in pointer["layers"][1:])
         return F.broadcast(one) if keys is not None or n <= BROADCAST_KEYS else one
 
-    def merged(self, name: str, parts: list[DataFrame | None], pointer: dict, keys: list[str] | None = None) -> DataFrame:
+    def merged(self, name: str, parts: list[DataFrame | None], pointer: dict, keys: list | None = None) -> DataFrame:
         """The visible rows of a table's parts, one for each layer (None: none)."""
         t = self.tables[name]
         found = [p.withColumn("_layer", F.lit(i)) for i, p in enumerate(parts) if p is not None]
@@ -184,28 +193,44 @@ class LayeredStore:
         return self.merged(name, [self._scan(x, name) for x in p["layers"]], p)
 
     def manifest(self, layer: dict, name: str) -> DataFrame:
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/{layer['folder']}/manifest").filter(F.col("name") == name)
+        t = self.tables[name]
+        k = t.type_of(t.range[0])
+        return self.spark.read.schema(f"file string, first {k}, last {k}, rows long").parquet(f"{self.path}/{layer['folder']}/manifest-{name}")
+
+    def files_with(self, layer: dict, name: str, keys: list) -> list[str] | None:
+        """The files of a layer's table that can hold some of the keys, one or a few for each at most; None: all, there is no manifest.
 
-    def files_with(self, layer: dict, name: str, keys: list[str]) -> list[str] | None:
-        """The files of a layer's table that can hold some of the keys, at most one or a few for each; None: all, there is no manifest."""
+        The manifest has a row for each file of the table, which is no more than Spark's own listing of them on the driver.
+        """
         if name not in layer["ranged"]:
             return None
-        asked = self.spark.createDataFrame([(k,) for k in keys], "k string")
-        found = self.manifest(layer, name).join(F.broadcast(asked), F.col("k").between(F.col("first"), F.col("last")), "left_semi")
-        return [r["file"] for r in found.select("file").collect()]
-
-    def find(self, name: str, keys: list[str], pointer: dict | None = None, by: str | None = None) -> DataFrame:
+        files = sorted((r["first"], r["last"], r["file"]) for r in self.manifest(layer, name).filter("first IS NOT NULL").collect())
+        firsts, asked, found = [f for f, _, _ in files], sorted(k for k in keys if k is not None), set()
+        for k in asked:
+            i = bisect_right(firsts, k) - 1
+            while i >= 0 and files[i][1] >= k:  # ranges overlap in a key at most
+                found.add(files[i][2])
+                i -= 1
+        return sorted(found)
+
+    def _named(self, df: DataFrame, column: str, keys: list) -> DataFrame:
+        if len(keys) <= NAMED:
+            return df.filter(F.col(column).isin(keys))
+        asked = self.spark.createDataFrame([(k,) for k in keys], f"_k {df.schema[column].dataType.simpleString()}")
+        return df.join(F.broadcast(asked), F.col(column) == F.col("_k"), "left_semi")  # LOOKED_UP keys at most
+
+    def find(self, name: str, keys: list, pointer: dict | None = None, by: str | None = None) -> DataFrame:
         """The visible rows of a table with one of the keys, read from the files that can hold them."""
-        p, column = pointer or self.pointer(), by or self.tables[name].range[0]
-        own = column == self.tables[name].key
-        parts = [self._scan(x, name, self.files_with(x, name, keys) if column == self.tables[name].range[0] else None) for x in p["layers"]]
-        named = [None if d is None else d.filter(F.col(column).isin(keys)) for d in parts]
-        return self.merged(name, named, p, keys if own else None)
+        p, ranged = pointer or self.pointer(), self.tables[name].range[0]
+        column = by or ranged
+        parts = [self._scan(x, name, self.files_with(x, name, keys) if column == ranged else None) for x in p["layers"]]
+        named = [None if d is None else self._named(d, column, keys) for d in parts]
+        return self.merged(name, named, p, keys if column == self.tables[name].key and len(keys) <= NAMED else None)
 
     def find_all(self, name: str, ids: DataFrame, pointer: dict | None = None) -> DataFrame:
         """The visible rows of a table whose key is in ids(external_id), however many those are."""
-        few = [r[0] for r in ids.select("external_id").distinct().limit(NAMED_KEYS + 1).collect()]
-        if len(few) <= NAMED_KEYS:
+        few = [r[0] for r in ids.select("external_id").distinct().limit(LOOKED_UP + 1).collect()]
+        if len(few) <= LOOKED_UP:
             return self.find(name, few, pointer, self.tables[name].key)
         return self.read(name, pointer).join(ids.select(F.col("external_id").alias("_id")).distinct(), F.col(self.tables[name].key) == F.col("_id"), "left_semi")
 
@@ -250,7 +275,7 @@ class LayeredStore:
         base = self.pointer()
         first = 0 if which == "all" else 1
         under, over = base["layers"][:first], base["layers"][first:]
-        if len(over) < 2 and not (over and "gone" in over[0]["tables"] and first == 0):
+        if not over or first and len(over) < 2:
             return base
         view = {**base, "layers": [{**x, "tables": [n for n in x["tables"] if i or n != "gone"]} for i, x in enumerate(over)]}
         names = [n for n in self.tables if any(n in x["tables"] for x in over)]
@@ -264,5 +289,10 @@ class LayeredStore:
             rows["docs"] = base["counters"].get("docs", rows.get("docs", 0))
             rows["segments"] = base["counters"].get("segments", rows.get("segments", 0))
         folder = self.new_folder()
+        base = self.prepare(base, which, tables, rows)
         layer = self._write(folder, tables, rows)
         return self.publish(base, [*under, layer], folder, report=base["report"])
+
+    def prepare(self, base: dict, which: str, tables: dict[str, DataFrame], rows: dict[str, int]) -> dict:  # noqa: ARG002
+        """Add to the tables that a compaction writes; returns the pointer to go on from."""
+        return base

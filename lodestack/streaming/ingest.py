@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestack.functions.text import chunk_text, simple_tokens
-from lodestack.operators import ingest
+from lodestack.operators import ingest, vector_index
 from lodestack.operators.lexical import Analyser, TextIndex, analysed, index_of, text_index
 from lodestack.sources.files import Files
 from lodestack.sources.layers import Conflict, LayeredStore, Table
@@ -30,10 +30,12 @@ DOCS = "external_id string, title string, body string, kind string, metadata str
 SEGMENTS = "external_id string, segment_index int, segment string, content_hash string, embedding array<float>"
 POSTINGS = "term string, doc_id string, segment_index int, pos int"
 SIZES = "doc_id string, n_title int, fields array<struct<segment_index: int, n: int>>"
+VECTORS = "external_id string, segment_index int, embedding array<float>, list int"
 REPORT = "external_id string, segments int, changed long, unchanged long, removed long, status string, error string"
 TABLES = {
     "docs": Table(DOCS, "external_id", ("external_id",)), "segments": Table(SEGMENTS, "external_id", ("external_id", "segment_index")),
     "postings": Table(POSTINGS, "doc_id", ("term", "doc_id")), "sizes": Table(SIZES, "doc_id", ("doc_id",)),
+    "vectors": Table(VECTORS, "external_id", ("external_id", "segment_index"), "list"),
 }
 NO_ID = "document has no external_id"
 T = TypeVar("T")
@@ -72,8 +74,8 @@ def _to_format_3(store: SnapshotStore) -> None:
     told = json.loads(store.files.read(f"_versions/{v}"))
     if "layers" not in told:
         folder = told["folder"]
-        rows = {n: store.spark.read.parquet(f"{store.path}/{folder}/{n}").count() for n in TABLES}
-        layer = {"folder": folder, "tables": list(TABLES), "ranged": [], "rows": rows}
+        rows = {n: store.spark.read.parquet(f"{store.path}/{folder}/{n}").count() for n in ("docs", "segments", "postings", "sizes")}
+        layer = {"folder": folder, "tables": list(rows), "ranged": [], "rows": rows}
         report = folder if store.files.exists(f"{folder}/report") else None
         told = {"layers": [layer], "streams": told["streams"], "counters": {n: rows[n] for n in ("docs", "segments")}, "report": report}
         store.files.write(f"_versions/{v}", json.dumps(told))
@@ -89,11 +91,14 @@ MIGRATIONS: dict[int, Callable[[SnapshotStore], None]] = {2: _to_format_2, 3: _t
 
 
 class SnapshotStore(LayeredStore):
-    """Versions of a document table, a segment table and their text index."""
+    """Versions of a document table, a segment table, their text index and, from `index_from` segments, an index of the vectors.
 
-    def __init__(self, spark: SparkSession, path: str, analyse: Analyser = simple_tokens, **layout):
+    The vector index is fitted when all layers are written together; the vectors of later batches go to its lists.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, analyse: Analyser = simple_tokens, index_from: int = 50_000, **layout):
         super().__init__(spark, path, TABLES, **layout)
-        self.analyse = analyse
+        self.analyse, self.index_from = analyse, index_from
         self._migrate()
 
     def _migrate(self) -> None:
@@ -119,6 +124,30 @@ class SnapshotStore(LayeredStore):
         p = pointer or self.pointer()
         return TextIndex(self.read("postings", p), self.read("sizes", p), lambda terms: self.find("postings", terms, p))
 
+    def prepare(self, base: dict, which: str, tables: dict[str, DataFrame], rows: dict[str, int]) -> dict:
+        """A new base gets new lists, if it has enough vectors."""
+        if which != "all":
+            return base
+        tables.pop("vectors", None)
+        n, lists = rows.get("segments", 0), None
+        if n >= self.index_from:
+            lists = vector_index.fit(tables["segments"], n)
+        if lists is None:
+            return {**base, "index": None}
+        folder = f"lists-{uuid.uuid4().hex}"
+        lists.write(self.spark, f"{self.path}/{folder}")
+        tables["vectors"], rows["vectors"] = vector_index.assign(tables["segments"].select("external_id", "segment_index", "embedding"), lists), n
+        return {**base, "index": folder}
+
+    def lists(self, pointer: dict) -> vector_index.Lists | None:
+        return vector_index.Lists.read(self.spark, f"{self.path}/{pointer['index']}") if pointer["index"] else None
+
+    def vectors(self, lists: list[int] | None, pointer: dict) -> DataFrame:
+        """vec_id, part, embedding, list of the visible vectors in some lists (None: all)."""
+        parts = [self._scan(x, "vectors") for x in pointer["layers"]]
+        named = [d if d is None or lists is None else d.filter(F.col("list").isin(lists)) for d in parts]
+        return self.merged("vectors", named, pointer).withColumnsRenamed({"external_id": "vec_id", "segment_index": "part"})
+
     def report(self) -> DataFrame:
         """What became of each document of the batch that made the current version."""
         folder = self.pointer()["report"]
@@ -188,6 +217,9 @@ def upsert(
             "docs": docs, "segments": titled.select("external_id", "segment_index", "segment", "content_hash", embedding.alias("embedding")),
             "postings": fresh.postings, "sizes": fresh.sizes, "gone": gone, "report": said.union(refused),
         }
+        if (lists := store.lists(base)) is not None:
+            tables["segments"] = kept("segments", tables["segments"])  # embedded once
+            tables["vectors"], rows["vectors"] = vector_index.assign(tables["segments"].select("external_id", "segment_index", "embedding"), lists), size["segments"]
         store.write({**base, "counters": counters, "rows": rows}, tables, {stream: number} if stream is not None and number is not None else None)
         return store.report()
 
