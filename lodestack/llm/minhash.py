@@ -5,16 +5,14 @@
   COORDINATES rounds of random places, round COORDINATES + j sends every shingle to place j, so every place fills. Two sketches
   agree at a place with a probability of the sets' Jaccard similarity, concentrated at least as well as independent coordinates.
 * BANDS bands of BAND_ROWS places are bucket keys. A pair of similarity 0.85 shares none of them with a probability of 7e-9.
-* Equal sets are one node, however many documents have them. In each bucket of several nodes every node is compared with the
-  bucket's leader, in LEADER_ROUNDS rounds with other leaders; that is linear in the bucket, and links nearly all of a group
-  of near copies. Each confirmed link joins two components.
-* Buckets that still hold several components are settled in blocks of at most BLOCK_ROWS nodes: a task gets two blocks and compares every
-  node outside its largest component with all others. Of buckets with the same nodes one is looked at.
-* Before full sets are fetched, pairs are compared by sizes and by one byte of each place: by the sketch's concentration a pair of similarity 0.85
-  agrees at less than MIN_MATCHES places with a probability of 1e-10. Full sets are hashed again from the texts of what is left.
-* A task with more than PAIRS_EACH such pairs a node (a dense group just below the threshold) returns its bucket instead, which is settled with full
-  sets: blocks of at most BLOCK_HASHES shingles, every node outside the largest component looked up in the inverted shingles of the others. So no pair in
-  a bucket is left out, and no list of all pairs is ever written.
+* Equal sets are one node, however many documents have them; of buckets with the same nodes one is looked at. A bucket is cut in blocks of at most
+  BLOCK_ROWS nodes and a task gets two of them. It compares nodes by size and by one byte of each place, those of different candidate groups only, and
+  returns what spans its groups: at most one candidate a node. By the sketch's concentration a pair of similarity 0.85 agrees at less than
+  MIN_MATCHES places with a probability of 1e-10.
+* The candidates' components are groups that no link leaves. A group is cut in blocks of at most BLOCK_HASHES shingles, and a task gets two blocks with
+  the full sets of their nodes, hashed again from the texts. It looks up nodes in the inverted shingles of all others, always one outside
+  the largest component found so far, until every pair of different components is decided, and returns links that span its components. So no
+  pair is left out, no list of all pairs is ever written, and a set is sent once for each block of its group.
 
 A link is confirmed by the sizes of the full sets and of their intersection. Components come from repeated minimum labels.
 
@@ -26,10 +24,10 @@ rows are kept); rows that repeat a doc_id are nodes of their own texts and are k
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +39,10 @@ SHINGLE = 3
 PERCENT = 85
 BANDS, BAND_ROWS = 32, 5
 COORDINATES = BANDS * BAND_ROWS
-LEADER_ROUNDS = 2
-#: agreeing places of a pair that is worth its full sets; nodes of one block; such pairs of one block for each of its nodes
-MIN_MATCHES, BLOCK_ROWS, PAIRS_EACH = 100, 4_000, 8
-#: shingles of one block of nodes (8 bytes each)
+#: agreeing places of a candidate, and nodes of one block of a bucket
+MIN_MATCHES, BLOCK_ROWS = 100, 4_000
+#: shingles of one block of a group (8 bytes each)
 BLOCK_HASHES = 2_000_000
-#: pairs that share one copy of their leader's set
-PAIRS_PER_COPY = 2_000
-#: shingles of all leaders that are broadcast (8 bytes each); beyond it the join shuffles
-BROADCAST_HASHES = 4_000_000
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,188 +138,117 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "node long, n long, hashes array<bigint>").dropDuplicates(["node"])
 
 
-def _salted(pairs: DataFrame, leaders: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs and their leaders' sets with a salt: a leader of very many pairs is copied, and its pairs are dealt to the copies."""
-    counted = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("copies"))
-    hot = maybe_broadcast(staged(counted.filter("copies > 1"), "minhash-hot"))
-    p = pairs.join(hot, "leader", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
-    d = leaders.join(hot, "leader", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
-    return p, d
+class _Components:
+    """Components of the positions of some nodes, as labels that every join rewrites."""
 
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.links: list[tuple[int, int]] = []
 
-def linked(common: Column, a: Column, b: Column) -> Column:
-    return 100 * common >= PERCENT * (a + b - common)
-
-
-def similar(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
-    """Whether rows of lanes and sizes may link; the two sides may be broadcast against each other."""
-    sizes = 100 * np.minimum(n_left, n_right) >= PERCENT * np.maximum(n_left, n_right)
-    return sizes & ((left == right).sum(axis=-1) >= MIN_MATCHES)
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Link position i with others; of each other component the first link is kept."""
+        found, first = np.unique(self.label[others], return_index=True)
+        new = found != self.label[i]
+        self.links += [(i, int(others[k])) for k in first[new]]
+        self.label[np.isin(self.label, found[new])] = self.label[i]
 
 
 def _lanes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), COORDINATES)
 
 
-def promising(pairs: DataFrame) -> DataFrame:
-    """a, b: the pairs of (a, b, n_a, n_b, lanes_a, lanes_b) that may link."""
+def block_candidates(sizes: np.ndarray, lanes: np.ndarray) -> list[tuple[int, int]]:
+    """Positions of pairs that may link and span all such pairs."""
+    c = _Components(len(sizes))
+    for i in range(len(sizes) - 1):
+        rest = i + 1 + np.flatnonzero(c.label[i + 1 :] != c.label[i])
+        rest = rest[100 * np.minimum(sizes[rest], sizes[i]) >= PERCENT * np.maximum(sizes[rest], sizes[i])]
+        if len(rest):
+            c.join(i, rest[(lanes[rest] == lanes[i]).sum(axis=1) >= MIN_MATCHES])
+    return c.links
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                keep = similar(_lanes(b.column(4)), _lanes(b.column(5)), b.column(2).to_numpy(), b.column(3).to_numpy())
-                yield b.select(["a", "b"]).filter(pa.array(keep))
-
-    return pairs.select("a", "b", "n_a", "n_b", "lanes_a", "lanes_b").mapInArrow(run, "a long, b long").distinct()
-
-
-def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, n, hashes for wanted(node)."""
-    wanted = staged(wanted.distinct(), "minhash-wanted")
-    named = staged(nodes.join(maybe_broadcast(wanted), "node", "left_semi").select("node", "least_id", "digest"), "minhash-named")
-    return staged(full_sets(docs, named), "minhash-sets")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: the pairs (a, b) whose full sets link."""
-    pairs = staged(pairs, "minhash-pairs")
-    if pairs.isEmpty():
-        return pairs
-    sets = sets_of(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    pairs = pairs.withColumnsRenamed({"a": "leader", "b": "node"})
-    known = maybe_broadcast(staged(pairs.select("leader").distinct(), "minhash-leaders"))
-    wanted = sets.join(known, F.col("leader") == F.col("node"), "left_semi")
-    leaders = wanted.select(F.col("node").alias("leader"), F.col("n").alias("n_leader"), F.col("hashes").alias("of_leader"))
-    if (leaders.agg(F.sum("n_leader")).first()[0] or 0) <= BROADCAST_HASHES:
-        joined = pairs.join(sets, "node").join(F.broadcast(leaders), "leader")
-    else:
-        p, d = _salted(pairs, leaders)
-        joined = p.join(sets, "node").join(d, ["leader", "salt"])
-    near = joined.filter(linked(F.size(F.array_intersect("hashes", "of_leader")), F.col("n"), F.col("n_leader")))
-    return staged(near.select(F.col("leader").alias("a"), F.col("node").alias("b")), "minhash-links")
-
-
-def block_pairs(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, lanes: np.ndarray, most: int) -> list[tuple[int, int]] | None:
-    """Pairs of nodes of different components that may link; None if they are more than `most`."""
-    kinds, counts = np.unique(comps, return_counts=True)
-    out: list[tuple[int, int]] = []
-    for i in np.flatnonzero(comps != kinds[counts.argmax()]).tolist():
-        near = (comps != comps[i]) & (100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i]))
-        near = np.flatnonzero(near)
-        near = near[similar(lanes[near], lanes[i], sizes[near], sizes[i])]
-        out += [(min(int(nodes[i]), x), max(int(nodes[i]), x)) for x in nodes[near].tolist()]
-        if len(out) > 2 * most:
-            return None
-    out = sorted(set(out))
-    return out if len(out) <= most else None
-
-
-def _blocks(members: DataFrame, salts: Column) -> DataFrame:
-    """Members with i and j: every two blocks of a bucket meet in one task, a block with itself too."""
-    salted = members.withColumn("salts", salts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+
+def block_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Positions of linked pairs that span the components of all links among some sorted sets."""
+    c, asked = _Components(len(sets)), np.zeros(len(sets), bool)
+    sizes = np.array([len(s) for s in sets])
+    owner, every = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    owner, every = owner[order], every[order]
+    while True:
+        labels, counts = np.unique(c.label, return_counts=True)
+        left = np.flatnonzero(~asked & (c.label != labels[counts.argmax()]))
+        if not len(left):
+            return c.links
+        for i in left[:64].tolist():  # the largest component is sought again from time to time
+            asked[i] = True
+            lo, hi = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+            # members of the slices lo:hi, one after the other
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            c.join(i, np.flatnonzero(100 * common >= PERCENT * (sizes + sizes[i] - common)))
+
+
+def _blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """Members with i and j: every two blocks of a key meet in one task, a block with itself too."""
+    salted = members.withColumn("salts", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.least("own", s).alias("i"), F.greatest("own", s).alias("j")))
     return salted.withColumn("p", F.explode(pairs)).withColumn("i", F.col("p.i")).withColumn("j", F.col("p.j")).drop("p", "own", "salts")
 
 
-def open_pairs(members: DataFrame, block_rows: int = BLOCK_ROWS, each: int = PAIRS_EACH) -> DataFrame:
-    """a, b, dense: pairs that may link within each bucket of members(key, node, comp, n, lanes), or the key of a dense bucket."""
+def _table(nodes: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
+    at = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(nodes[at[:, 0]]), "b": pa.array(nodes[at[:, 1]])})
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        found = block_pairs(t["node"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy(), _lanes(t["lanes"]), each * t.num_rows)
-        rows = [(None, None, key[0].as_py())] if found is None else [(x, y, None) for x, y in found]
-        return pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("a", "b", "dense"))})
 
-    sizes = staged(members.groupBy("key").agg(F.ceil(2 * F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")).filter("blocks > 1"), "minhash-weights")
-    dealt = _blocks(members.join(maybe_broadcast(sizes), "key", "left"), F.coalesce("blocks", F.lit(1)))
-    return dealt.select("key", "i", "j", "node", "comp", "n", "lanes").groupBy("key", "i", "j").applyInArrow(run, "a long, b long, dense long")
+def candidates(members: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """a, b: candidates that span the groups within each bucket of members(key, node, n, lanes)."""
 
+    def run(t: pa.Table) -> pa.Table:
+        return _table(t["node"].to_numpy(), block_candidates(t["n"].to_numpy(), _lanes(t["lanes"])))
 
-def block_links(nodes: np.ndarray, comps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join all that link among some nodes: every pair of different components is decided by its full sets."""
-    root = {int(c): int(c) for c in np.unique(comps)}
+    large = staged(members.groupBy("key").agg(F.ceil(2 * F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")).filter("blocks > 1"), "minhash-large")
+    dealt = _blocks(members.join(maybe_broadcast(large), "key", "left"), F.coalesce("blocks", F.lit(1)))
+    return dealt.select("key", "i", "j", "node", "n", "lanes").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    kinds, counts = np.unique(comps, return_counts=True)
-    if len(kinds) < 2:
-        return []
-    sizes = np.array([len(s) for s in sets])
-    owner, every = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
-    order = np.argsort(every, kind="stable")
-    owner, every = owner[order], every[order]
-    out = []
-    for i in np.flatnonzero(comps != kinds[counts.argmax()]).tolist():
-        lo, hi = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
-        # members of the slices lo:hi, one after the other
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
-        common = np.bincount(owner[at], minlength=len(sets))
-        for j in np.flatnonzero(100 * common >= PERCENT * (sizes + sizes[i] - common)).tolist():
-            x, y = find(int(comps[i])), find(int(comps[j]))
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out.append((int(nodes[i]), int(nodes[j])))
-    return out
 
+def links(groups: DataFrame, sets: DataFrame, block_hashes: int = BLOCK_HASHES) -> DataFrame:
+    """a, b: links that span the components within each group of groups(key, node, n), by the full sets of sets(node, hashes)."""
 
-def settle(members: DataFrame, sets: DataFrame, block_hashes: int = BLOCK_HASHES) -> DataFrame:
-    """a, b: links that span what links within each bucket of members(key, node, comp), all pairs of different components decided."""
-    weights = members.join(sets.select("node", "n"), "node").groupBy("key").agg(F.greatest(F.ceil(2 * F.sum("n") / block_hashes), F.lit(1)).cast("int").alias("blocks"))
-    dealt = _blocks(members.join(maybe_broadcast(staged(weights, "minhash-weights")), "key"), F.col("blocks")).select("key", "i", "j", "node", "comp").join(sets, "node")
+    def run(t: pa.Table) -> pa.Table:
+        hashes = t["hashes"].combine_chunks()
+        flat, ends = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(pa.compute.list_value_length(hashes).to_numpy())
+        # sets are sorted as unsigned hashes
+        return _table(t["node"].to_numpy(), block_links(np.split(flat, ends[:-1])))
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:  # noqa: ARG001
-        t = table.combine_chunks()
-        flat, ends = t["hashes"].chunk(0).flatten().to_numpy(zero_copy_only=False), np.cumsum(t["n"].to_numpy())
-        found = block_links(t["node"].to_numpy(), t["comp"].to_numpy(), [s.view(np.uint64) for s in np.split(flat, ends[:-1])])
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+    weights = groups.groupBy("key").agg(F.greatest(F.ceil(2 * F.sum("n") / block_hashes), F.lit(1)).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = _blocks(groups.join(maybe_broadcast(staged(weights, "minhash-weights")), "key", "left"), F.coalesce("blocks", F.lit(1)))
+    return dealt.select("key", "i", "j", "node").join(sets.select("node", "hashes"), "node").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
+def node_links(members: DataFrame, docs: DataFrame, nodes: DataFrame, block_rows: int = BLOCK_ROWS, block_hashes: int = BLOCK_HASHES) -> DataFrame | None:
+    """v, root: the component of every linked node of the buckets members(key, node, n, lanes); none if nothing links."""
+    maybe = staged(candidates(members, block_rows), "minhash-maybe")
+    if maybe.isEmpty():
+        return None
+    groups = components(maybe).select(F.col("v").alias("node"), F.col("root").alias("key"))
+    known = nodes.select("node", "least_id", "digest", F.col("n_shingles").alias("n"))
+    groups = staged(known.join(maybe_broadcast(groups), "node"), "minhash-groups")
+    sets = staged(full_sets(docs, groups.select("node", "least_id", "digest")), "minhash-sets")
+    found = staged(links(groups.select("key", "node", "n"), sets, block_hashes), "minhash-links")
+    dropped(maybe, groups, sets)
+    return None if found.isEmpty() else components(found)
 
-def node_links(buckets: DataFrame, docs: DataFrame, nodes: DataFrame, block_rows: int = BLOCK_ROWS, each: int = PAIRS_EACH) -> DataFrame:
-    """v, root: the component of every linked node of buckets(key, node, n, lanes)."""
-    found, roots = [], None
 
-    def add(new: DataFrame) -> None:
-        nonlocal roots
-        if not new.isEmpty():
-            found.append(new)
-            roots = components(reduce(DataFrame.union, found))
-
-    left = buckets.withColumn("comp", F.col("node"))
-    for turn in range(LEADER_ROUNDS):
-        first = F.min_by(F.struct("node", "comp", "n", "lanes"), F.xxhash64("node", F.lit(turn))).alias("o")
-        pairs = left.join(left.groupBy("key").agg(first), "key").filter("comp <> o.comp")
-        sides = [F.col("o.node").alias("a"), F.col("node").alias("b"), F.col("o.n").alias("n_a"), F.col("n").alias("n_b"), F.col("o.lanes").alias("lanes_a"), F.col("lanes").alias("lanes_b")]
-        add(confirmed(promising(pairs.select(*sides)), docs, nodes))
-        left = unsettled(buckets, roots)
-        if left.isEmpty():
-            break
-    else:
-        rest = staged(open_pairs(left, block_rows, each), "minhash-rest")
-        add(confirmed(rest.filter("a IS NOT NULL").select("a", "b").distinct(), docs, nodes))
-        dense = staged(rest.filter("dense IS NOT NULL").select(F.col("dense").alias("key")).distinct(), "minhash-dense")
-        if not dense.isEmpty():
-            left = unsettled(buckets.join(maybe_broadcast(dense), "key", "left_semi"), roots)
-            add(staged(settle(left.select("key", "node", "comp"), sets_of(docs, nodes, left.select("node"))), "minhash-links"))
-    return roots if roots is not None else docs.sparkSession.createDataFrame([], "v long, root long")
-
-
-def unsettled(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """buckets(key, node) and comp, of those that hold several components; of buckets with the same nodes one stays."""
-    placed = buckets.withColumn("comp", F.col("node"))
-    if roots is not None:
-        placed = buckets.join(maybe_broadcast(roots), F.col("node") == F.col("v"), "left").withColumn("comp", F.coalesce("root", "node")).drop("v", "root")
+def one_of_each(buckets: DataFrame) -> DataFrame:
+    """buckets(key, node) of several nodes; of buckets with the same nodes one."""
     marks = [F.bit_xor(F.xxhash64("node", F.lit(s))).alias(f"m{s}") for s in (1, 2)]
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), *marks).filter("lo <> hi")
-    one = staged(open_.groupBy("n", "m1", "m2").agg(F.min("key").alias("key")).select("key"), "minhash-open")
-    return staged(placed.join(maybe_broadcast(one), "key"), "minhash-left")
+    sums = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks).filter("n > 1")
+    one = staged(sums.groupBy("n", "m1", "m2").agg(F.min("key").alias("key")).select("key"), "minhash-keys")
+    return buckets.join(maybe_broadcast(one), "key", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, block_rows: int = BLOCK_ROWS, each: int = PAIRS_EACH) -> DataFrame:
+def near_duplicates(docs: DataFrame, block_rows: int = BLOCK_ROWS, block_hashes: int = BLOCK_HASHES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
     rows = staged(sketched(docs), "minhash-sketches")
     # equal sets have equal keys, so any of them stands for the node
@@ -334,19 +256,18 @@ def near_duplicates(docs: DataFrame, block_rows: int = BLOCK_ROWS, each: int = P
     nodes = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), *alike)
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "minhash-shared")
-    buckets = staged(keyed.join(maybe_broadcast(shared), "key").select("key", "node"), "minhash-buckets")
-    first = unsettled(buckets, None)
     sized = nodes.select("node", F.col("n_shingles").alias("n"), "lanes")
-    members = staged(first.select("key", "node").join(sized, "node"), "minhash-members")
-    roots = node_links(members, docs, nodes, block_rows, each)
+    members = staged(one_of_each(keyed).join(sized, "node"), "minhash-members")
+    roots = node_links(members, docs, nodes, block_rows, block_hashes)
+    if roots is None:
+        roots = docs.sparkSession.createDataFrame([], "v long, root long")
     named = nodes.select("node", "digest", "least_id", "copies").join(maybe_broadcast(roots), F.col("node") == F.col("v"), "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     # a node alone of one document is its own component: only the others are joined to the documents
     linked_roots = staged(named.filter("v IS NOT NULL").groupBy("root").agg(F.min("least_id").alias("least")), "minhash-least")
     several = named.filter("v IS NOT NULL OR copies > 1").join(maybe_broadcast(linked_roots), "root", "left")
     several = staged(several.select("digest", F.coalesce("least", "least_id").alias("least")), "minhash-components", 1 + nodes.count())
-    dropped(shared, buckets, first, members)
+    dropped(members)
     joined = rows.select("doc_id", "n_shingles", "digest").join(maybe_broadcast(several), "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

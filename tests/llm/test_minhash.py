@@ -73,7 +73,7 @@ def cases(seed):
 
 
 def test_against_brute_force(spark):
-    for seed, blocks in ((1, {}), (2, {"block_rows": 6, "each": 0})):  # small blocks, every open bucket dense
+    for seed, blocks in ((1, {}), (2, {"block_rows": 6, "block_hashes": 400})):  # small blocks
         rows = cases(seed)
         got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows), **blocks).collect()), key=str)
         assert got == sorted(brute(rows), key=str)
@@ -84,7 +84,7 @@ def test_against_brute_force(spark):
 
 
 def test_blocks_lose_no_link(spark):
-    """A hot bucket of nodes that leaders do not link, cut in small blocks: every pair is decided, and the links span the components."""
+    """Groups in which many pairs link only through others, whole and cut in small blocks: the links span the components, and are true."""
     rnd = random.Random(3)
     texts = []
     for _ in range(12):
@@ -95,13 +95,23 @@ def test_blocks_lose_no_link(spark):
             texts.append(" ".join(copy))
     rows = list(enumerate(texts))
     sets = [minhash.shingles(t) for t in texts]
-    table = spark.createDataFrame([(i, len(s), [int(x) for x in s.view(np.int64)]) for i, s in enumerate(sets)], "node long, n long, hashes array<bigint>")
-    members = spark.createDataFrame([(k, i, i) for i in range(len(texts)) for k in (10, 11)], "key long, node long, comp long")
+    table = spark.createDataFrame([(i, [int(x) for x in s.view(np.int64)]) for i, s in enumerate(sets)], "node long, hashes array<bigint>")
+    groups = spark.createDataFrame([(10, i, len(s)) for i, s in enumerate(sets)], "key long, node long, n long")
+    lanes = [minhash.sketch(s).astype(np.uint8).tobytes() for s in sets]
+    members = spark.createDataFrame([(k, i, len(s), bytearray(lanes[i])) for i, s in enumerate(sets) for k in (10, 11)], "key long, node long, n long, lanes binary")
+
+    def roots(links):
+        return {r["v"]: r["root"] for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+
+    want = [c for _, _, c in brute(rows)]
     for block in (300, 10**6):
-        links = [(r["a"], r["b"]) for r in minhash.settle(members, table, block).collect()]
+        links = [(r["a"], r["b"]) for r in minhash.links(groups, table, block).collect()]
         assert all(100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b])) for a, b in links)
-        roots = {r["v"]: r["root"] for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
-        assert [roots.get(i, i) for i in range(len(texts))] == [c for _, _, c in brute(rows)]
+        found = roots(links)
+        assert [found.get(i, i) for i in range(len(texts))] == want
+    for block in (8, 10**6):  # no link leaves a group of candidates
+        found = roots([(r["a"], r["b"]) for r in minhash.candidates(members, block).collect()])
+        assert all(found.get(i, i) == found.get(want[i], want[i]) for i in range(len(texts)))
 
 
 def test_sketch():
