@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,9 +52,23 @@ def split_to_fit(text: Column, max_tokens: int) -> Column:
     return _finer(pieces, "", max_tokens)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def rows_of(items: Column) -> Column:
+    """An array cut in about as many arrays as each has items. An array that grows item by item is copied each time: over rows that takes n^1.5, not n^2."""
+
+    def cut(every: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(every))), F.lit(1)).cast("int")
+        return let(width, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(every) / w).cast("int") - 1, F.lit(0))), lambda i: F.slice(every, i * w + 1, w)))
+
+    return let(items, cut)
+
+
 def pack(pieces: Column, max_tokens: int) -> Column:
     """Join neighbours greedily up to the budget; segments are trimmed and blank ones dropped."""
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
 
     def step(s: Column, piece: Column) -> Column:
         full = (s["now"] != "") & (estimate_tokens(F.concat(s["now"], piece)) > max_tokens)
@@ -61,7 +77,13 @@ def pack(pieces: Column, max_tokens: int) -> Column:
             F.when(full, piece).otherwise(F.concat(s["now"], piece)).alias("now"),
         )
 
-    joined = F.aggregate(pieces, state, step, lambda s: F.concat(s["out"], F.array(s["now"])))
+    def row(s: Column, pieces: Column) -> Column:
+        none = F.struct(F.array().cast("array<string>").alias("out"), s["now"].alias("now"))
+        done = F.aggregate(pieces, none, step)
+        return let(done, lambda d: F.struct(F.when(F.size(d["out"]) > 0, F.concat(s["rows"], F.array(d["out"]))).otherwise(s["rows"]).alias("rows"), d["now"].alias("now")))
+
+    state = F.struct(F.array().cast("array<array<string>>").alias("rows"), F.lit("").alias("now"))
+    joined = F.aggregate(rows_of(pieces), state, row, lambda s: F.concat(F.flatten(s["rows"]), F.array(s["now"])))
     return F.filter(F.transform(joined, lambda x: trim(x)), lambda x: x != "")
 
 

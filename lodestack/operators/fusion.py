@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.scores import RecencyRule, kind_weight, recency_multiplier, rrf
 from lodestack.functions.text import simple_tokens
-from lodestack.operators.lexical import POOL, TextIndex, lexical_scores, text_index, top
+from lodestack.operators.lexical import POOL, TextIndex, lexical_top, text_index
 from lodestack.operators.vector import nearest_parts
 
 MODES = ("hybrid", "semantic", "lexical")
@@ -82,9 +82,10 @@ def candidates(
         of_kind = docs.filter(F.col("kind").isin(*o.kinds)).select("doc_id")
         placed = placed.join(of_kind, "doc_id", "left_semi")
         of = lambda postings: postings.join(of_kind, "doc_id", "left_semi")
-        index = TextIndex(of(index.postings), index.sizes, (lambda terms, find=index.find: of(find(terms))) if index.find else None)
+        # counts of all kinds bound those of some
+        index = TextIndex(of(index.postings), index.sizes, (lambda terms, find=index.find: of(find(terms))) if index.find else None, index.blocks)
     keys = ["query_id", "doc_id", "segment_index"]
-    lexical = top(lexical_scores(index, queries, o.title_weight, o.body_weight, analyse), "lexical_score") if o.mode != "semantic" else None
+    lexical = lexical_top(index, queries, o.title_weight, o.body_weight, analyse) if o.mode != "semantic" else None
     vector = None
     if o.mode != "lexical":
         if stored and stored.nearest and o.kinds is None:

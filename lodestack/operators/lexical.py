@@ -1,19 +1,25 @@
 """Keyword retrieval for batches of queries over a text index: match in a field, cover-density rank, top k.
 
-The index of a corpus is two tables. `postings` has a row per word (term, doc_id, segment_index, pos), where segment_index TITLE
-stands for the title; `sizes` has a row per document with the lengths of its fields. A search joins its few terms to the postings, so it
-handles the occurrences of those terms and no other words.
+The index of a corpus is three tables. `postings` has a row per word and field (term, doc_id, segment_index, level, at: its places), where segment_index TITLE
+stands for the title; `sizes` has a row per document with the lengths of its fields; `blocks` counts the postings of a term by level. A search
+joins its few terms to the postings, so it handles the occurrences of those terms and no other words.
+
+A level bounds what a word can add to a rank in that field: a cover needs an occurrence of its own to end at and gains one at most, so no rank is above
+the sum of its words' occurrences over ln(positions + 1). Postings are stored in order of term and level. For a query of frequent words the best
+levels are ranked first; the k-th rank found is a threshold, and levels that cannot reach it with the best of all other words are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import simple_tokens
+from lodestack.functions.text import let, simple_tokens
 
 POOL = 200
 #: segment_index of words that stand in the title
@@ -24,19 +30,26 @@ DECIMALS = 6
 PUSHED_TERMS, BROADCAST_TERMS = 1_000, 100_000
 #: rows of query terms that are broadcast; a larger batch is joined by shuffling
 BROADCAST_ROWS = 200_000
+#: levels of one unit of rank
+LEVELS = 16
+#: postings of a query's words from which its best levels are ranked first, and postings of a word that are ranked then
+HEAVY_ROWS, SAMPLE_ROWS = 200_000, 10_000
 Analyser = Callable[[Column], Column]
+#: query_id, term, and the least levels of titles and segments that are looked at
+Cuts = list[tuple[object, str, int, int]]
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings(term, doc_id, segment_index, pos) and sizes(doc_id, n_title, fields: array of segment_index and n).
+    """postings(term, doc_id, segment_index, level, at) and sizes(doc_id, n_title, fields: array of segment_index and n).
 
-    `find` gives the postings of some terms, where a store knows which files hold them.
+    `find` and `blocks` give the postings and the counts (term, titled, level, n) of some terms, where a store knows which files hold them.
     """
 
     postings: DataFrame
     sizes: DataFrame
     find: Callable[[list[str]], DataFrame] | None = None
+    blocks: Callable[[list[str]], DataFrame] | None = None
 
 
 def analysed(segments: DataFrame, docs: DataFrame, analyse: Analyser = simple_tokens) -> DataFrame:
@@ -45,13 +58,32 @@ def analysed(segments: DataFrame, docs: DataFrame, analyse: Analyser = simple_to
     return titles.union(segments.select("doc_id", F.col("segment_index").cast("int").alias("segment_index"), analyse(F.coalesce("body", F.lit(""))).alias("tokens")))
 
 
+def places(tokens: Column) -> Column:
+    """array<struct<term, at: array<int>>>: each term of an array of tokens with its places; sorted, so it takes n log n time."""
+    coded = F.array_sort(F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))), lambda x: x["term"].isNotNull()))
+
+    def runs(c: Column) -> Column:
+        every = F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(every, lambda i: (i == 0) | (F.get(c, i)["term"] != F.get(c, i - 1)["term"]))
+        run = lambda s, i, k: F.slice(c, i + 1, F.coalesce(F.get(s, k + 1), F.size(c)) - i)
+        return let(starts, lambda s: F.transform(s, lambda i, k: F.struct(F.get(c, i)["term"].alias("term"), F.transform(run(s, i, k), lambda x: x["pos"]).alias("at"))))
+
+    return let(coded, runs)
+
+
 def index_of(fields: DataFrame) -> TextIndex:
     """The index of analysed fields, which are best written before: both tables are made from them."""
-    words = fields.select("doc_id", "segment_index", F.posexplode("tokens").alias("pos", "term")).filter("term IS NOT NULL")
+    words = fields.select("doc_id", "segment_index", F.size("tokens").alias("n"), F.explode(places(F.col("tokens"))).alias("w"))
+    level = F.ceil(LEVELS * F.size("w.at") / F.log(F.col("n") + F.lit(1.0))).cast("int")
     every = fields.groupBy("doc_id").agg(F.collect_list(F.struct("segment_index", F.size("tokens").alias("n"))).alias("every"))
     title = F.get(F.filter("every", lambda f: f["segment_index"] == TITLE), F.lit(0))["n"]
     sizes = every.filter(title.isNotNull()).select("doc_id", title.alias("n_title"), F.filter("every", lambda f: f["segment_index"] != TITLE).alias("fields"))
-    return TextIndex(words.select("term", "doc_id", "segment_index", "pos"), sizes)
+    return TextIndex(words.select("w.term", "doc_id", "segment_index", level.alias("level"), "w.at"), sizes)
+
+
+def blocks_of(postings: DataFrame) -> DataFrame:
+    """term, titled, level, n: the postings of each term by kind of field and level."""
+    return postings.groupBy("term", (F.col("segment_index") == TITLE).alias("titled"), "level").agg(F.count(F.lit(1)).alias("n"))
 
 
 def text_index(segments: DataFrame, docs: DataFrame, analyse: Analyser = simple_tokens) -> TextIndex:
@@ -89,23 +121,19 @@ def cover_density(occ: Column, n_terms: Column, n_positions: Column, title_weigh
                 score = s["score"] + F.when(new, gain).otherwise(F.lit(0.0))
                 return F.struct(last.alias("last"), (s["at"] + 1).alias("at"), F.when(new, left).otherwise(s["left"]).alias("left"), score.alias("score"))
 
-            return _let(last, lambda last: _let(F.array_min(last), lambda left: close(left, last)))
+            return let(last, lambda last: let(F.array_min(last), lambda left: close(left, last)))
 
         return F.aggregate(occ, zero, step, lambda s: s["score"])
 
-    total = _let(occ, lambda occ: _let(F.size(F.filter(occ, lambda o: o["titled"])), lambda n: scored(occ, n)))
+    total = let(occ, lambda occ: let(F.size(F.filter(occ, lambda o: o["titled"])), lambda n: scored(occ, n)))
     return total / F.log(n_positions.cast("double") + 1)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
-
-
-def matches(index: TextIndex, queries: DataFrame, analyse: Analyser = simple_tokens) -> DataFrame:
+def matches(index: TextIndex, queries: DataFrame, analyse: Analyser = simple_tokens, cuts: Cuts | None = None) -> DataFrame:
     """query_id, n_terms, doc_id, segment_index, n_title, n_body, title_occ, body_occ of every match.
 
-    A segment matches when its body or its document's title holds every term.
+    A segment matches when its body or its document's title holds every term. Postings below the `cuts` are left out: what would match by them is
+    lost or ranked lower.
     """
     terms = query_terms(queries, analyse)
     words = [r["term"] for r in terms.select("term").distinct().limit(BROADCAST_TERMS + 1).collect()]
@@ -113,9 +141,24 @@ def matches(index: TextIndex, queries: DataFrame, analyse: Analyser = simple_tok
     if len(words) <= PUSHED_TERMS:  # the scan skips files and row groups that hold none of them
         postings = (index.find(words) if index.find else postings).filter(F.col("term").isin(words))
     small = F.broadcast(terms) if len(words) <= BROADCAST_TERMS and terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else terms
-    found = postings.join(small, "term").repartition("query_id", "doc_id")
+    if cuts:
+        least: dict[str, int] = {}
+        uncut = {(r["query_id"], r["term"]) for r in terms.select("query_id", "term").collect()} - {(q, t) for q, t, _, _ in cuts}  # PUSHED_TERMS at most
+        for _, t, title, body in cuts:
+            least[t] = min(title, body, least.get(t, title))
+        high = {t: c for t, c in least.items() if c > 0 and t not in {t for _, t in uncut}}
+        wanted = reduce(Column.__or__, [(F.col("term") == t) & (F.col("level") >= c) for t, c in high.items()], F.col("term").isin([w for w in words if w not in high]))
+        kind = dict(queries.dtypes)["query_id"]
+        table = queries.sparkSession.createDataFrame(cuts, f"query_id {kind}, term string, title_cut int, body_cut int")
+        of_kind = F.when(F.col("segment_index") == TITLE, F.col("title_cut")).otherwise(F.col("body_cut"))
+        joined = postings.filter(wanted).join(F.broadcast(terms.join(F.broadcast(table), ["query_id", "term"], "left")), "term")
+        found = joined.filter(F.col("level") >= F.coalesce(of_kind, F.lit(0))).repartition("query_id", "doc_id")
+    else:
+        found = postings.join(small, "term").repartition("query_id", "doc_id")
+    placed = F.transform("at", lambda p: F.struct(p.alias("pos"), F.col("term_no").alias("term_no")))
+    found = found.select("query_id", "n_terms", "doc_id", "segment_index", placed.alias("occ"))
     # both groupings keep to the one shuffle by query and document
-    fields = found.groupBy("query_id", "n_terms", "doc_id", "segment_index").agg(F.array_sort(F.collect_list(F.struct("pos", "term_no"))).alias("occ"))
+    fields = found.groupBy("query_id", "n_terms", "doc_id", "segment_index").agg(F.array_sort(F.flatten(F.collect_list("occ"))).alias("occ"))
     whole = F.size(F.array_distinct(F.col("occ.term_no"))) == F.col("n_terms")
     of_doc = fields.withColumn("whole", whole).groupBy("query_id", "n_terms", "doc_id").agg(F.collect_list(F.struct("segment_index", "whole", "occ")).alias("f"))
     title = F.get(F.filter("f", lambda x: x["segment_index"] == TITLE), F.lit(0))
@@ -132,16 +175,65 @@ def matches(index: TextIndex, queries: DataFrame, analyse: Analyser = simple_tok
     )
 
 
-def lexical_scores(index: TextIndex, queries: DataFrame, title_weight: float = 3.0, body_weight: float = 1.0, analyse: Analyser = simple_tokens) -> DataFrame:
+def lexical_scores(index: TextIndex, queries: DataFrame, title_weight: float = 3.0, body_weight: float = 1.0, analyse: Analyser = simple_tokens, cuts: Cuts | None = None) -> DataFrame:
     """query_id, doc_id, segment_index, lexical_score of every match for queries(query_id, q); the rank looks at title and body in a row."""
     scale = max(title_weight, body_weight)
     place = lambda occ, shift, titled: F.transform(occ, lambda o: F.struct((o["pos"] + shift).alias("pos"), o["term_no"].alias("term_no"), F.lit(titled).alias("titled")))
     occ = F.concat(place(F.col("title_occ"), F.lit(0), True), place(F.col("body_occ"), F.col("n_title"), False))
     score = cover_density(occ, F.col("n_terms"), F.col("n_title") + F.col("n_body"), title_weight / scale, body_weight / scale)
-    return matches(index, queries, analyse).select("query_id", "doc_id", "segment_index", F.round(score, DECIMALS).alias("lexical_score"))
+    return matches(index, queries, analyse, cuts).select("query_id", "doc_id", "segment_index", F.round(score, DECIMALS).alias("lexical_score"))
 
 
 def top(scored: DataFrame, score: str, k: int = POOL) -> DataFrame:
     """The k best per query; the window's limit is applied in each task before rows are shuffled."""
     order = Window.partitionBy("query_id").orderBy(F.desc(score), "doc_id", "segment_index")
     return scored.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
+
+
+def lexical_top(index: TextIndex, queries: DataFrame, title_weight: float = 3.0, body_weight: float = 1.0, analyse: Analyser = simple_tokens, k: int = POOL) -> DataFrame:
+    """The k best of lexical_scores per query; for frequent words only levels of postings that can be among them are read."""
+    cuts = level_cuts(index, queries, title_weight, body_weight, analyse, k) if index.blocks else None
+    return top(lexical_scores(index, queries, title_weight, body_weight, analyse, cuts), "lexical_score", k)
+
+
+def level_cuts(index: TextIndex, queries: DataFrame, title_weight: float, body_weight: float, analyse: Analyser, k: int, heavy_rows: int | None = None, sample_rows: int | None = None) -> Cuts:
+    """The least levels that can reach the k best, for the queries of frequent words that have k matches among their best levels.
+
+    A batch of more than PUSHED_TERMS terms is not looked at.
+    """
+    heavy_rows, sample_rows = heavy_rows or HEAVY_ROWS, sample_rows or SAMPLE_ROWS
+    rows = query_terms(queries, analyse).select("query_id", "term").limit(PUSHED_TERMS + 1).collect()
+    if not rows or len(rows) > PUSHED_TERMS:
+        return []
+    counted = index.blocks(sorted({r["term"] for r in rows})).groupBy("term", "titled", "level").agg(F.sum("n").alias("n")).collect()  # some levels a term
+    levels: dict[str, dict[bool, dict[int, int]]] = {}
+    for r in counted:
+        levels.setdefault(r["term"], {True: {}, False: {}})[r["titled"]][r["level"]] = r["n"]
+    terms: dict[object, list[str]] = {}
+    for r in rows:
+        terms.setdefault(r["query_id"], []).append(r["term"])
+    size = {t: sum(sum(x.values()) for x in kinds.values()) for t, kinds in levels.items()}
+    heavy = [q for q, ts in terms.items() if all(t in size for t in ts) and sum(size[t] for t in ts) >= heavy_rows]
+    if not heavy:
+        return []
+
+    def best(kinds: dict[bool, dict[int, int]]) -> int:
+        """The level from which a term has `sample_rows` postings."""
+        every = sorted(((level, n) for x in kinds.values() for level, n in x.items()), reverse=True)
+        total = 0
+        for level, n in every:
+            total += n
+            if total >= sample_rows:
+                return level
+        return 0
+
+    first = [(q, t, best(levels[t]), best(levels[t])) for q in heavy for t in terms[q]]
+    found = top(lexical_scores(index, queries.filter(F.col("query_id").isin(heavy)), title_weight, body_weight, analyse, first), "lexical_score", k)
+    least = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("lexical_score").alias("score")).filter(F.col("n") >= k)
+    cuts: Cuts = []
+    for r in least.collect():
+        q = r["query_id"]
+        most = {t: {kind: max(levels[t][kind], default=0) for kind in (True, False)} for t in terms[q]}
+        total, bar = sum(sum(m.values()) for m in most.values()), LEVELS * (r["score"] - 10.0**-DECIMALS)
+        cuts += [(q, t, *(max(0, math.ceil(bar - (total - most[t][kind]))) for kind in (True, False))) for t in terms[q]]
+    return cuts

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from lodestack.functions.text import content_hash, simple_tokens, trim
 from lodestack.operators.fusion import Stored
-from lodestack.operators.lexical import Analyser, TextIndex, analysed, index_of
+from lodestack.operators.lexical import Analyser, TextIndex, analysed, blocks_of, index_of
 from lodestack.sources.files import Files, delete_path, forget, kept, new_path
 from lodestack.sources.layers import LayeredStore, Table
 
@@ -73,7 +73,8 @@ class Corpus:
 TABLES = {
     "docs": Table("doc_id long, external_id string, title string, kind string, lang string, published_at string", "doc_id", ("doc_id",)),
     "segments": Table("doc_id long, segment_index int, content_hash string, body string, embedding array<float>", "doc_id", ("doc_id", "segment_index")),
-    "postings": Table("term string, doc_id long, segment_index int, pos int", "doc_id", ("term", "doc_id")),
+    "postings": Table("term string, doc_id long, segment_index int, level int, at array<int>", "doc_id", ("term", "level", "doc_id")),
+    "blocks": Table("term string, titled boolean, level int, n long", None, ("term",)),
     "sizes": Table("doc_id long, n_title int, fields array<struct<segment_index: int, n: int>>", "doc_id", ("doc_id",)),
 }
 #: rows of one file; segments are whole lines, postings are small
@@ -107,12 +108,12 @@ def _store(spark: SparkSession, sf_dir: str, analyse: Analyser) -> _Made:
     index = index_of(fields)
     n, words = d.count(), fields.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
     rows = {"docs": n, "segments": s.count(), "postings": words, "sizes": n}
-    tables = {"docs": d, "segments": s, "postings": index.postings, "sizes": index.sizes}
+    tables = {"docs": d, "segments": s, "postings": index.postings, "blocks": blocks_of(index.postings), "sizes": index.sizes}
     p = store.add_layer(store.pointer(), {k: in_order(k, t) for k, t in tables.items()}, rows)
     forget(d, s, fields)
     ids = lambda found: found.select(F.col("doc_id").alias("external_id"))
     stored = Stored(lambda found: store.find_all("docs", ids(found), p), lambda found: store.find_all("segments", ids(found), p), lambda df: kept(df, "search"))
-    text = TextIndex(store.read("postings", p), store.read("sizes", p), lambda terms: store.find("postings", terms, p))
+    text = TextIndex(store.read("postings", p), store.read("sizes", p), lambda terms: store.find("postings", terms, p), lambda terms: store.find("blocks", terms, p))
     return _Made(store.path, Corpus(store.read("docs", p), store.read("segments", p), text, stored))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import evalmetrics, scores, text, vectors
 from lodestack.operators import ingest, rag, state
 from lodestack.operators.fusion import SearchOptions, hybrid_search
-from lodestack.operators.lexical import lexical_scores, top
+from lodestack.operators.lexical import lexical_scores, lexical_top
 from lodestack.operators.vector import vector_topk
 from lodestack.plans import corpus
 from lodestack.plans.corpus import NOW, SQL, docs, queries, segments, table
@@ -92,12 +92,12 @@ def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(lexical_sql("SELECT query_id, doc_id, segment_index, lexical_score FROM lex_top", 1))
 def lexical_rank_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top(_lexical(spark, sf_dir, 1), "lexical_score")
+    return lexical_top(corpus.corpus(spark, sf_dir).index, queries(spark, sf_dir, 1))
 
 
 @query(lexical_sql("SELECT query_id, doc_id, segment_index, lexical_score FROM lex_top"))
 def lexical_rank_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top(_lexical(spark, sf_dir, 2), "lexical_score")
+    return lexical_top(corpus.corpus(spark, sf_dir).index, queries(spark, sf_dir, 2))
 
 
 @query()
@@ -105,7 +105,7 @@ def lexical_rank_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestack.functions.english import english_tokens
 
     index = corpus.corpus(spark, sf_dir, english_tokens).index
-    return top(lexical_scores(index, queries(spark, sf_dir, 3), analyse=english_tokens), "lexical_score")
+    return lexical_top(index, queries(spark, sf_dir, 3), analyse=english_tokens)
 
 
 # ---- hybrid search ---------------------------------------------------------------------------------------------------

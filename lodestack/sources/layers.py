@@ -38,10 +38,10 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Table:
-    """A stored table: its schema, the column that names a row's document, and the columns whose ranges its files are."""
+    """A stored table: its schema, the column that names a row's document (none: rows of all layers count), and the columns whose ranges its files are."""
 
     schema: str
-    key: str
+    key: str | None
     range: tuple[str, ...]
     #: folders of their own for the values of a column, which has few
     parted: str | None = None
@@ -178,7 +178,7 @@ class LayeredStore:
         if not found:
             return self.spark.createDataFrame([], t.schema)
         every, gone = reduce(DataFrame.union, found), self._gone(pointer, keys)
-        if gone is not None:
+        if gone is not None and t.key:
             every = every.join(gone, (F.col(t.key) == F.col("_key")) & (F.col("_layer") < F.col("_at")), "left_anti")
         return every.drop("_layer")
 

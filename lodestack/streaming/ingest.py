@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestack.functions.text import chunk_text, simple_tokens
 from lodestack.operators import ingest, vector_index
-from lodestack.operators.lexical import Analyser, TextIndex, analysed, index_of, text_index
+from lodestack.operators.lexical import Analyser, TextIndex, analysed, blocks_of, index_of, text_index
 from lodestack.sources.files import Files
 from lodestack.sources.layers import Conflict, LayeredStore, Table
 
@@ -28,13 +28,14 @@ __all__ = ["Conflict", "Files", "SnapshotStore", "delete", "retry", "stream_upse
 FORMAT = 3
 DOCS = "external_id string, title string, body string, kind string, metadata string, segment_count int, created_at timestamp, updated_at timestamp"
 SEGMENTS = "external_id string, segment_index int, segment string, content_hash string, embedding array<float>"
-POSTINGS = "term string, doc_id string, segment_index int, pos int"
+POSTINGS = "term string, doc_id string, segment_index int, level int, at array<int>"
+BLOCKS = "term string, titled boolean, level int, n long"
 SIZES = "doc_id string, n_title int, fields array<struct<segment_index: int, n: int>>"
 VECTORS = "external_id string, segment_index int, embedding array<float>, list int"
 REPORT = "external_id string, segments int, changed long, unchanged long, removed long, status string, error string"
 TABLES = {
     "docs": Table(DOCS, "external_id", ("external_id",)), "segments": Table(SEGMENTS, "external_id", ("external_id", "segment_index")),
-    "postings": Table(POSTINGS, "doc_id", ("term", "doc_id")), "sizes": Table(SIZES, "doc_id", ("doc_id",)),
+    "postings": Table(POSTINGS, "doc_id", ("term", "level", "doc_id")), "blocks": Table(BLOCKS, None, ("term",)), "sizes": Table(SIZES, "doc_id", ("doc_id",)),
     "vectors": Table(VECTORS, "external_id", ("external_id", "segment_index"), "list"),
 }
 NO_ID = "document has no external_id"
@@ -53,31 +54,27 @@ def retry(work: Callable[[], T], attempts: int = 3, on: type[Exception] = Confli
 
 
 def _to_format_2(store: SnapshotStore) -> None:
-    """Format 1 had empty pointers, folders named by version, and no text index: it is made here, for the last version."""
-    files = store.files
+    """Format 1 had empty pointers and folders named by version."""
     for v in store.versions():
-        if not files.read(f"_versions/{v}"):
-            files.write(f"_versions/{v}", json.dumps({"folder": f"v{v}", "streams": {}}))
-    folder = json.loads(files.read(f"_versions/{store.version()}"))["folder"]
-    table = lambda name: store.spark.read.schema(TABLES[name].schema).parquet(f"{store.path}/{folder}/{name}")
-    if not files.exists(f"{folder}/segments"):  # an index of documents without text
-        store.spark.createDataFrame([], SEGMENTS).write.parquet(f"{store.path}/{folder}/segments")
-    if not files.exists(f"{folder}/sizes/_SUCCESS"):
-        made = text_index(table("segments").selectExpr("external_id AS doc_id", "segment_index", "segment AS body"), table("docs").selectExpr("external_id AS doc_id", "title"), store.analyse)
-        made.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{store.path}/{folder}/postings")
-        made.sizes.write.mode("overwrite").parquet(f"{store.path}/{folder}/sizes")
+        if not store.files.read(f"_versions/{v}"):
+            store.files.write(f"_versions/{v}", json.dumps({"folder": f"v{v}", "streams": {}}))
 
 
 def _to_format_3(store: SnapshotStore) -> None:
-    """Format 2 had one folder for each version: the last one becomes the base, those before it go."""
+    """Format 2 had one folder for each version, and no text index or one of another kind: the last version becomes the base, with an index made anew."""
     v = store.version()
     told = json.loads(store.files.read(f"_versions/{v}"))
     if "layers" not in told:
-        folder = told["folder"]
-        rows = {n: store.spark.read.parquet(f"{store.path}/{folder}/{n}").count() for n in ("docs", "segments", "postings", "sizes")}
-        layer = {"folder": folder, "tables": list(rows), "ranged": [], "rows": rows}
+        folder, words = told["folder"], store.new_folder()
+        if not store.files.exists(f"{folder}/segments"):  # documents without text
+            store.spark.createDataFrame([], SEGMENTS).write.parquet(f"{store.path}/{folder}/segments")
+        docs, segments = (store.spark.read.schema(TABLES[n].schema).parquet(f"{store.path}/{folder}/{n}") for n in ("docs", "segments"))
+        made = text_index(segments.selectExpr("external_id AS doc_id", "segment_index", "segment AS body"), docs.selectExpr("external_id AS doc_id", "title"), store.analyse)
+        rows = {"docs": docs.count(), "segments": segments.count()}
+        text = store._write(words, {"postings": made.postings, "blocks": blocks_of(made.postings), "sizes": made.sizes}, {"postings": made.postings.count(), "sizes": rows["docs"]})
+        layer = {"folder": folder, "tables": ["docs", "segments"], "ranged": [], "rows": rows}
         report = folder if store.files.exists(f"{folder}/report") else None
-        told = {"layers": [layer], "streams": told["streams"], "counters": {n: rows[n] for n in ("docs", "segments")}, "report": report}
+        told = {"layers": [layer, text], "streams": told["streams"], "counters": rows, "report": report}
         store.files.write(f"_versions/{v}", json.dumps(told))
     for old in store.versions()[:-1]:
         before = json.loads(store.files.read(f"_versions/{old}"))
@@ -122,10 +119,11 @@ class SnapshotStore(LayeredStore):
     def index(self, pointer: dict | None = None) -> TextIndex:
         """The stored text index; doc_id is the external_id."""
         p = pointer or self.pointer()
-        return TextIndex(self.read("postings", p), self.read("sizes", p), lambda terms: self.find("postings", terms, p))
+        return TextIndex(self.read("postings", p), self.read("sizes", p), lambda terms: self.find("postings", terms, p), lambda terms: self.find("blocks", terms, p))
 
     def prepare(self, base: dict, which: str, tables: dict[str, DataFrame], rows: dict[str, int]) -> dict:
-        """A new base gets new lists, if it has enough vectors."""
+        """Words are counted again; a new base gets new lists, if it has enough vectors."""
+        tables["blocks"] = blocks_of(tables["postings"])
         if which != "all":
             return base
         tables.pop("vectors", None)
@@ -215,7 +213,7 @@ def upsert(
         rows = {**size, "postings": words, "sizes": size["docs"], "gone": size["docs"]}
         tables = {
             "docs": docs, "segments": titled.select("external_id", "segment_index", "segment", "content_hash", embedding.alias("embedding")),
-            "postings": fresh.postings, "sizes": fresh.sizes, "gone": gone, "report": said.union(refused),
+            "postings": fresh.postings, "blocks": blocks_of(fresh.postings), "sizes": fresh.sizes, "gone": gone, "report": said.union(refused),
         }
         if (lists := store.lists(base)) is not None:
             tables["segments"] = kept("segments", tables["segments"])  # embedded once

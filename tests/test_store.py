@@ -226,3 +226,64 @@ def test_old_formats_keep_their_keyword_search(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         store.docs().count()
     assert DOCS.startswith("external_id")
+
+
+def test_frequent_words_are_read_by_levels(spark, tmp_path):
+    """The k best of queries with frequent words, by levels that can reach them, are the k best of all matches; fewer postings are read."""
+    from lodestack.operators import lexical
+    from lodestack.operators.lexical import TITLE, blocks_of, level_cuts, lexical_scores, text_index, top
+
+    rnd = random.Random(9)
+    docs, segments = [], []
+    for i in range(1500):
+        docs.append((i, " ".join(rnd.choices(["common", "often", "rare", "x", "y"], [4, 3, 0.1, 9, 9], k=rnd.randint(1, 6)))))
+        for j in range(rnd.randint(1, 3)):
+            segments.append((i, j, " ".join(rnd.choices(["common", "often", "rare", "x", "y", "z"], [3, 3, 0.05, 20, 20, 20], k=rnd.choice([3, 20, 200])))))
+    d, s = spark.createDataFrame(docs, "doc_id long, title string"), spark.createDataFrame(segments, "doc_id long, segment_index int, body string")
+    made = text_index(s, d)
+    made.postings.sort("term", "level").write.option("parquet.page.row.count.limit", 100).option("parquet.block.size", 20_000).parquet(f"{tmp_path}/p")
+    postings = spark.read.parquet(f"{tmp_path}/p")
+    blocks = blocks_of(postings)
+    index = lexical.TextIndex(postings, made.sizes, lambda w: postings.filter(F.col("term").isin(w)), lambda w: blocks.filter(F.col("term").isin(w)))
+    texts = {0: "common", 1: "common often", 2: "rare", 3: "often rare common", 4: "none common", 5: "common common", 6: "z"}
+    q = spark.createDataFrame(list(texts.items()), "query_id long, q string")
+    # an upper bound of every rank, by the levels of its words
+    levels = {(r["term"], r["doc_id"], r["segment_index"]): r["level"] for r in postings.collect()}
+    scores = lexical_scores(index, q).collect()
+    for r in scores:
+        words = set(texts[r["query_id"]].split())
+        bound = sum(levels.get((w, r["doc_id"], g), 0) for w in words for g in (TITLE, r["segment_index"]))
+        assert r["lexical_score"] <= bound / lexical.LEVELS + 1e-6
+    for k, weights in ((20, (3.0, 1.0)), (100, (1.0, 2.0))):
+        cuts = level_cuts(index, q, *weights, lexical.simple_tokens, k, heavy_rows=100, sample_rows=400)
+        assert {c[0] for c in cuts} >= {0, 5} and any(max(c[2:]) > 0 for c in cuts) and 4 not in {c[0] for c in cuts}
+        want = sorted(map(tuple, top(lexical_scores(index, q, *weights), "lexical_score", k).collect()))
+        assert sorted(map(tuple, top(lexical_scores(index, q, *weights, cuts=cuts), "lexical_score", k).collect())) == want
+    one = q.filter("query_id = 0")
+    cuts = level_cuts(index, one, 3.0, 1.0, lexical.simple_tokens, 20, heavy_rows=100, sample_rows=400)
+
+    def scanned(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+        out, todo = 0, [plan]
+        while todo:
+            node = todo.pop()
+            if hasattr(node, "plan") and node.getClass().getSimpleName().endswith("QueryStageExec"):
+                todo.append(node.plan())
+            if node.getClass().getSimpleName() == "FileSourceScanExec" and "segment_index" in str(node.output()):
+                out += node.metrics().apply("numOutputRows").value()
+            kids = node.children()
+            todo += [kids.apply(i) for i in range(kids.size())]
+        return out
+
+    whole, part = scanned(lexical_scores(index, one)), scanned(lexical_scores(index, one, cuts=cuts))
+    assert 0 < part < whole / 2, (part, whole)
+
+
+def test_places_of_terms(spark):
+    from lodestack.operators.lexical import places
+
+    rows = [(["b", "a", None, "b", "é"],), ([],), ([None],), (["x"] * 50_000 + ["y"],)]
+    got = [{x["term"]: x["at"] for x in r[0]} for r in spark.createDataFrame(rows, "t array<string>").select(places(F.col("t"))).collect()]
+    assert got == [{"b": [0, 3], "a": [1], "é": [4]}, {}, {}, {"x": list(range(50_000)), "y": [50_000]}]
