@@ -4,9 +4,10 @@ The index of a corpus is three tables. `postings` has a row per word and field (
 stands for the title; `sizes` has a row per document with the lengths of its fields; `blocks` counts the postings of a term by level. A search
 joins its few terms to the postings, so it handles the occurrences of those terms and no other words.
 
-A level bounds what a word can add to a rank in that field: a cover needs an occurrence of its own to end at and gains one at most, so no rank is above
-the sum of its words' occurrences over ln(positions + 1). Postings are stored in order of term and level. For a query of frequent words the best
-levels are ranked first; the k-th rank found is a threshold, and levels that cannot reach it with the best of all other words are not read.
+A level bounds what a word adds to a segment's rank: a cover needs an occurrence of its own to end at and gains one at most, so no rank is above
+the sum of its words' occurrences, in title and segment, over ln(positions + 1). Postings are stored in order of term and level. For a query of
+frequent words the best levels are ranked first; the k-th rank found is a threshold, and levels of segments that cannot reach it with the best of all
+other words are not read. Words of titles are always read.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ DECIMALS = 6
 PUSHED_TERMS, BROADCAST_TERMS = 1_000, 100_000
 #: rows of query terms that are broadcast; a larger batch is joined by shuffling
 BROADCAST_ROWS = 200_000
-#: levels of one unit of rank
-LEVELS = 16
+#: levels of one unit of rank; words of titles stand above all levels, so that no cut leaves them out
+LEVELS, TITLED = 16, 1 << 24
 #: postings of a query's words from which its best levels are ranked first, and postings of a word that are ranked then
 HEAVY_ROWS, SAMPLE_ROWS = 200_000, 10_000
 Analyser = Callable[[Column], Column]
-#: query_id, term, and the least levels of titles and segments that are looked at
-Cuts = list[tuple[object, str, int, int]]
+#: query_id, term, and the least level of segments that is looked at
+Cuts = list[tuple[object, str, int]]
 
 
 @dataclass(frozen=True)
@@ -53,9 +54,16 @@ class TextIndex:
 
 
 def analysed(segments: DataFrame, docs: DataFrame, analyse: Analyser = simple_tokens) -> DataFrame:
-    """doc_id, segment_index, tokens of every field of segments(doc_id, segment_index, body) and docs(doc_id, title)."""
-    titles = docs.select("doc_id", F.lit(TITLE).alias("segment_index"), analyse(F.coalesce("title", F.lit(""))).alias("tokens"))
-    return titles.union(segments.select("doc_id", F.col("segment_index").cast("int").alias("segment_index"), analyse(F.coalesce("body", F.lit(""))).alias("tokens")))
+    """doc_id, segment_index, tokens, titled (tokens of the title, for a segment) of every field of segments(doc_id, segment_index, body) and docs(doc_id, title).
+
+    Segments that have their document's title are not joined to it.
+    """
+    if "title" not in segments.columns:
+        segments = segments.join(docs.select("doc_id", "title"), "doc_id", "left")
+    tokens = lambda c: analyse(F.coalesce(c, F.lit("")))
+    none = F.array().cast("array<string>").alias("titled")
+    titles = docs.select("doc_id", F.lit(TITLE).alias("segment_index"), tokens("title").alias("tokens"), none)
+    return titles.union(segments.select("doc_id", F.col("segment_index").cast("int").alias("segment_index"), tokens("body").alias("tokens"), tokens("title").alias("titled")))
 
 
 def places(tokens: Column) -> Column:
@@ -73,8 +81,10 @@ def places(tokens: Column) -> Column:
 
 def index_of(fields: DataFrame) -> TextIndex:
     """The index of analysed fields, which are best written before: both tables are made from them."""
-    words = fields.select("doc_id", "segment_index", F.size("tokens").alias("n"), F.explode(places(F.col("tokens"))).alias("w"))
-    level = F.ceil(LEVELS * F.size("w.at") / F.log(F.col("n") + F.lit(1.0))).cast("int")
+    size = (F.size("tokens") + F.size("titled")).alias("n")
+    words = fields.select("doc_id", "segment_index", size, "titled", F.explode(places(F.col("tokens"))).alias("w"))
+    found = F.size("w.at") + F.size(F.filter("titled", lambda t: t == F.col("w.term")))
+    level = F.ceil(LEVELS * found / F.log(F.col("n") + F.lit(1.0))).cast("int") + F.when(F.col("segment_index") == TITLE, TITLED).otherwise(0)
     every = fields.groupBy("doc_id").agg(F.collect_list(F.struct("segment_index", F.size("tokens").alias("n"))).alias("every"))
     title = F.get(F.filter("every", lambda f: f["segment_index"] == TITLE), F.lit(0))["n"]
     sizes = every.filter(title.isNotNull()).select("doc_id", title.alias("n_title"), F.filter("every", lambda f: f["segment_index"] != TITLE).alias("fields"))
@@ -83,7 +93,7 @@ def index_of(fields: DataFrame) -> TextIndex:
 
 def blocks_of(postings: DataFrame) -> DataFrame:
     """term, titled, level, n: the postings of each term by kind of field and level."""
-    return postings.groupBy("term", (F.col("segment_index") == TITLE).alias("titled"), "level").agg(F.count(F.lit(1)).alias("n"))
+    return postings.groupBy("term", (F.col("level") >= TITLED).alias("titled"), (F.col("level") % TITLED).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def text_index(segments: DataFrame, docs: DataFrame, analyse: Analyser = simple_tokens) -> TextIndex:
@@ -143,16 +153,14 @@ def matches(index: TextIndex, queries: DataFrame, analyse: Analyser = simple_tok
     small = F.broadcast(terms) if len(words) <= BROADCAST_TERMS and terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else terms
     if cuts:
         least: dict[str, int] = {}
-        uncut = {(r["query_id"], r["term"]) for r in terms.select("query_id", "term").collect()} - {(q, t) for q, t, _, _ in cuts}  # PUSHED_TERMS at most
-        for _, t, title, body in cuts:
-            least[t] = min(title, body, least.get(t, title))
+        uncut = {(r["query_id"], r["term"]) for r in terms.select("query_id", "term").collect()} - {(q, t) for q, t, _ in cuts}  # PUSHED_TERMS at most
+        for _, t, cut in cuts:
+            least[t] = min(cut, least.get(t, cut))
         high = {t: c for t, c in least.items() if c > 0 and t not in {t for _, t in uncut}}
         wanted = reduce(Column.__or__, [(F.col("term") == t) & (F.col("level") >= c) for t, c in high.items()], F.col("term").isin([w for w in words if w not in high]))
-        kind = dict(queries.dtypes)["query_id"]
-        table = queries.sparkSession.createDataFrame(cuts, f"query_id {kind}, term string, title_cut int, body_cut int")
-        of_kind = F.when(F.col("segment_index") == TITLE, F.col("title_cut")).otherwise(F.col("body_cut"))
+        table = queries.sparkSession.createDataFrame(cuts, f"query_id {dict(queries.dtypes)['query_id']}, term string, cut int")
         joined = postings.filter(wanted).join(F.broadcast(terms.join(F.broadcast(table), ["query_id", "term"], "left")), "term")
-        found = joined.filter(F.col("level") >= F.coalesce(of_kind, F.lit(0))).repartition("query_id", "doc_id")
+        found = joined.filter(F.col("level") >= F.coalesce("cut", F.lit(0))).repartition("query_id", "doc_id")
     else:
         found = postings.join(small, "term").repartition("query_id", "doc_id")
     placed = F.transform("at", lambda p: F.struct(p.alias("pos"), F.col("term_no").alias("term_no")))
@@ -218,22 +226,21 @@ def level_cuts(index: TextIndex, queries: DataFrame, title_weight: float, body_w
         return []
 
     def best(kinds: dict[bool, dict[int, int]]) -> int:
-        """The level from which a term has `sample_rows` postings."""
-        every = sorted(((level, n) for x in kinds.values() for level, n in x.items()), reverse=True)
+        """The level from which a term has `sample_rows` postings of segments."""
         total = 0
-        for level, n in every:
+        for level, n in sorted(kinds[False].items(), reverse=True):
             total += n
             if total >= sample_rows:
                 return level
         return 0
 
-    first = [(q, t, best(levels[t]), best(levels[t])) for q in heavy for t in terms[q]]
+    first = [(q, t, best(levels[t])) for q in heavy for t in terms[q]]
     found = top(lexical_scores(index, queries.filter(F.col("query_id").isin(heavy)), title_weight, body_weight, analyse, first), "lexical_score", k)
     least = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("lexical_score").alias("score")).filter(F.col("n") >= k)
     cuts: Cuts = []
     for r in least.collect():
         q = r["query_id"]
-        most = {t: {kind: max(levels[t][kind], default=0) for kind in (True, False)} for t in terms[q]}
-        total, bar = sum(sum(m.values()) for m in most.values()), LEVELS * (r["score"] - 10.0**-DECIMALS)
-        cuts += [(q, t, *(max(0, math.ceil(bar - (total - most[t][kind]))) for kind in (True, False))) for t in terms[q]]
+        most = {t: max((level for x in levels[t].values() for level in x), default=0) for t in terms[q]}
+        bar = LEVELS * (r["score"] - 10.0**-DECIMALS)
+        cuts += [(q, t, max(0, math.ceil(bar - (sum(most.values()) - most[t])))) for t in terms[q]]
     return cuts

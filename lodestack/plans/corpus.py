@@ -28,7 +28,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         "doc_id",
         F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("external_id"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+        first_line(F.col("text")).alias("title"),
         F.col("text").alias("body"),
         F.col("source").alias("kind"),
         "lang",
@@ -36,14 +36,19 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def first_line(text: Column) -> Column:
+    """80 characters of it."""
+    return F.substring(F.substring_index(text, "\n", 1), 1, 80)
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, segment_index, body, content_hash, embedding: the distinct lines of each document, the first of equal ones kept.
+    """doc_id, segment_index, body, content_hash, title, embedding: the distinct lines of each document, the first of equal ones kept.
 
     A document's first segment has its vector, also where blank lines come before it.
     """
     # lines are told apart within their row, so no text is shuffled
-    kept = table(spark, sf_dir, "documents").select("doc_id", F.explode(distinct_lines(numbered_lines(F.col("text")))).alias("s"))
-    cut = kept.select("doc_id", "s.segment_index", "s.body", "s.content_hash", F.col("s.first").alias("_first"))
+    kept = table(spark, sf_dir, "documents").select("doc_id", first_line(F.col("text")).alias("title"), F.explode(distinct_lines(numbered_lines(F.col("text")))).alias("s"))
+    cut = kept.select("doc_id", "s.segment_index", "s.body", "s.content_hash", "title", F.col("s.first").alias("_first"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("_first"), "embedding")
     return cut.join(vectors, ["doc_id", "_first"], "left").drop("_first")
 
@@ -103,7 +108,7 @@ def _store(spark: SparkSession, sf_dir: str, analyse: Analyser) -> _Made:
     store = LayeredStore(spark, new_path(spark, "corpus"), TABLES, FILE_ROWS)
     in_order = lambda name, df: df.select(*[c.name for c in StructType.fromDDL(TABLES[name].schema)])
     d = kept(in_order("docs", docs(spark, sf_dir)), "corpus-docs")
-    s = kept(in_order("segments", segments(spark, sf_dir)), "corpus-segments")
+    s = kept(segments(spark, sf_dir), "corpus-segments")
     fields = kept(analysed(s, d, analyse), "corpus-fields")
     index = index_of(fields)
     n, words = d.count(), fields.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]

@@ -224,8 +224,7 @@ def estimate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(WITH_DOCS + "SELECT doc_id, segment_index, content_hash, sha256(title || chr(10) || chr(10) || c.body) AS input_hash FROM cut c JOIN docs USING (doc_id)")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segments(spark, sf_dir).join(docs(spark, sf_dir).select("doc_id", "title"), "doc_id")
-    return s.select("doc_id", "segment_index", "content_hash", F.sha2(text.embedding_input(F.col("title"), F.col("body")), 256).alias("input_hash"))
+    return segments(spark, sf_dir).select("doc_id", "segment_index", "content_hash", F.sha2(text.embedding_input(F.col("title"), F.col("body")), 256).alias("input_hash"))
 
 
 @query("SELECT doc_id, CAST(length(regexp_replace(text, '[\\s\\x0B]', '', 'g')) AS INT) AS kept_chars, 0 AS over_budget, 0 AS blank FROM documents")

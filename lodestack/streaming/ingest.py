@@ -196,7 +196,7 @@ def upsert(
         merged = ingest.merge_segments(old, new.select("external_id", "segment_index", "segment", "content_hash"), gone)
         titled = merged.join(new.select("external_id", "content_hash", "title"), ["external_id", "content_hash"], "left")
         embedding = F.coalesce("embedding", embed(F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.col("segment"))))
-        fields = kept("fields", analysed(new.selectExpr("external_id AS doc_id", "segment_index", "segment AS body"), good.selectExpr("external_id AS doc_id", "title"), analyse))
+        fields = kept("fields", analysed(new.selectExpr("external_id AS doc_id", "segment_index", "segment AS body", "title"), good.selectExpr("external_id AS doc_id", "title"), analyse))
         fresh = index_of(fields)
         changes = ingest.report(ingest.diff(new, old, "external_id", gone), "external_id")
         said = good.select("external_id").join(changes, "external_id", "left").select(
