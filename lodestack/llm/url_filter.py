@@ -21,9 +21,9 @@ SIZES = (3, 4, 5)
 BUCKETS = 1 << 15
 
 BAD_HOSTS = (
-    "casino", "casino-win", "jackpot", "poker-bonus", "slots", "betting", "free-money", "cheap-pills", "viagra", "pharma-deal",
+    "casino", "roulette-club", "jackpot", "poker-bonus", "slots", "betting", "free-money", "pillshop", "viagra", "pharma-deal",
     "xxx", "porn", "adult-cams", "sexdates", "escort", "win-prize", "lottery", "clickbait", "adtrack", "popup-ads",
-    "warez", "torrent-crack", "fast-loans", "crypto-double", "spam-links", "link-farm",
+    "warez", "torrent-crack", "fast-loans", "crypto-double", "bulk-mailer", "seo-ring",
 )
 GOOD_HOSTS = (
     "news", "library", "school", "university", "museum", "weather", "recipes", "garden", "travel-notes", "history",
@@ -32,7 +32,9 @@ GOOD_HOSTS = (
 )
 BAD_PATHS = ("/bonus/spin", "/free-win/now", "/buy/pills-online", "/adult/cams/live", "/click/track?id=1", "/prize/claim")
 GOOD_PATHS = ("/en/1204", "/articles/2019/spring.html", "/about", "/fr/88/", "/docs/guide/index.html", "/de/topics/history")
-FORMS = ("https://{host}.example.com{path}", "http://www.{host}.example.org{path}", "http://m.{host}.example.net{path}", "https://{host}.test{path}")
+FORMS = ("https://{host}.test{path}", "http://www.{host}.invalid{path}", "http://m.{host}.test:8080{path}", "https://{host}.localhost{path}")
+#: ordinary hosts with names that mean nothing, as many hosts have: three of these each
+SYLLABLES = ("ba", "ko", "lu", "mi", "ne", "po", "ra", "sa", "tu", "vi", "wo", "ze", "fa", "du")
 
 LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -40,9 +42,8 @@ LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """url, label (1.0: block). Some ordinary hosts have invented names, as hosts have."""
     rows = [("", 0.0)]
-    syllables = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "ti", "ble", "ing", "tion")
     for k in range(104):
-        good = GOOD_HOSTS[k % 24] if k % 2 else "".join(syllables[(k * m + m) % 14] for m in (1, 3, 5))
+        good = GOOD_HOSTS[k % 24] if k % 2 else "".join(SYLLABLES[(k * m + m) % 14] for m in (1, 3, 5))
         # a path of ordinary pages comes as often per ordinary page as per unwanted one that has such a path
         rows.append((FORMS[(k + k // 4) % 4].format(host=good, path=GOOD_PATHS[(k // 2 + k // 12) % 6]), 0.0))
         rows.append((FORMS[(k + k // 4) % 4].format(host=BAD_HOSTS[k % 26], path=(BAD_PATHS if k % 3 else GOOD_PATHS)[(k // 3 + k // 18) % 6]), 1.0))
