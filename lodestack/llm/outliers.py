@@ -21,6 +21,7 @@ repeat count each; documents that fail the base rules take no part in the estima
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -39,10 +40,12 @@ BORROW = 50
 #: steps that both starts take
 BOTH_STARTS = 2
 #: a group's steps end when the logarithm of its determinant falls by less than this; exact steps never raise it, and those over bins by
-#: a row or two at the edge, so MAX_STEPS is not met
+#: a row or two at the edge, so MAX_STEPS is not met (groups that do meet it are told of in a warning)
 TOLERANCE, MAX_STEPS = 0.005, 40
+#: rows of a group from which its model is always broadcast: there are few such groups, and a join by their names would put each in one task
+LARGE = 5_000_000
 #: Chi-squared tail beyond which a document is rejected; at sf0.1 it rejects 0.1 % of the documents labelled good.
-TAIL = 1e-7
+TAIL = 1e-9
 #: bins in a doubling of the squared distance, and in a unit of a statistic
 DISTANCE_BINS, VALUE_BINS = 128, 256
 #: deviations are summed as whole numbers of 1 / UNIT
@@ -51,7 +54,8 @@ PSEUDO = 50
 #: transformed statistics, and the scale of each that stands behind the smallest tables
 STATS = ("log_words", "log_word_length", "log_marks", "log_capitals", "log_variety")
 PRIOR = (1.0, 0.15, 0.4, 0.4, 0.3)
-#: scales added to every group's, for statistics that follow from the others in most of its texts (no capitals at all, say); small beside ordinary ones
+#: the least spread of a group in any direction, in these scales: directions in which statistics follow from the others in nearly all of its texts (no
+#: capitals at all, say) get it, the others keep their own
 RIDGE = (0.2, 0.015, 0.1, 0.1, 0.05)
 P = len(STATS)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
@@ -224,6 +228,15 @@ def _centre(vectors: DataFrame) -> DataFrame:
     return each.select("g", F.col("s.mid").alias("mid"), F.col("s.scale").alias("scale"))
 
 
+def _with(rows: DataFrame, table: DataFrame, keys: list[str], limit: int, large: DataFrame) -> DataFrame:
+    """rows joined to a table of one row for each group: broadcast up to `limit` rows; beyond it the rows of `large` groups (g) are, the others shuffle."""
+    small = maybe_broadcast(table, limit)
+    if small is not table:
+        return rows.join(small, keys)
+    few = F.broadcast(large)
+    return rows.join(F.broadcast(table.join(few, "g", "left_semi")), keys).unionByName(rows.join(few, "g", "left_anti").join(table, keys))
+
+
 def estimate(vectors: DataFrame, n_groups: int) -> DataFrame:
     """One row (MODEL) per group g of `vectors` (g and STATS): the minimum covariance determinant estimate; n counts the group's rows."""
     centre = staged(_centre(vectors), "mcd-centre", n_groups)
@@ -245,12 +258,13 @@ def estimate(vectors: DataFrame, n_groups: int) -> DataFrame:
     columns = [c.split()[0] for c in MODEL.split(", ")]
     least = lambda df: df.groupBy("g").agg(F.min_by(F.struct(*columns[1:]), F.struct("logdet", "start")).alias("m")).select("g", "m.*")
     moving, settled = staged(_models(signs, begin), "mcd-start", n_groups), None
+    large = staged(moving.filter(F.col("n") >= LARGE).select("g").distinct(), "mcd-large", n_groups)
     for step in range(MAX_STEPS):
         bin_ = F.floor(F.log2(F.greatest(_distance(), F.lit(1e-9))) * DISTANCE_BINS)
         whole = [F.round((F.col(x) - F.col("mean")[i]) * UNIT).cast("long").alias(x) for i, x in enumerate(STATS)]
-        far = vectors.join(maybe_broadcast(moving.select("g", "start", "mean", "precision"), 20_000), "g").select("g", "start", *whole, bin_.alias("bin"))
+        far = _with(vectors, moving.select("g", "start", "mean", "precision"), ["g"], 20_000, large).select("g", "start", *whole, bin_.alias("bin"))
         edge = staged(_quantiles(far, ["g", "start"], {"edge": H}), "mcd-edge", n_groups)
-        near = far.join(maybe_broadcast(edge, 50_000), ["g", "start"]).filter("bin <= edge")
+        near = _with(far, edge, ["g", "start"], 50_000, large).filter("bin <= edge")
         sums = near.groupBy("g", "start").agg(*_sums([F.col(x) for x in STATS]))
         before = moving.select("g", "start", "mean", F.col("n").alias("n_all"), F.col("logdet").alias("was"))
         after = _models(sums.join(before, ["g", "start"]), solve)
@@ -263,9 +277,18 @@ def estimate(vectors: DataFrame, n_groups: int) -> DataFrame:
         settled = done if settled is None else settled.union(done)
         if moving.isEmpty():
             break
+    else:
+        warnings.warn(f"{moving.count()} groups were still moving after {MAX_STEPS} steps", stacklevel=2)
     return settled.union(moving)
 
 
+def lifted(scatter: np.ndarray, least=RIDGE) -> np.ndarray:
+    """The scatter with the variance of its degenerate directions, those below one in units of `least`, raised to one."""
+    scale = np.outer(least, least)
+    values, vectors = np.linalg.eigh(scatter / scale)
+    return (vectors * np.maximum(values, 1.0)) @ vectors.T * scale
+
+
 def borrow(models: DataFrame, groups: DataFrame, prior=PRIOR) -> DataFrame:
     """of_source, mean, precision: each group's estimate with its share of its language's and the whole's.
 
@@ -282,7 +305,7 @@ def borrow(models: DataFrame, groups: DataFrame, prior=PRIOR) -> DataFrame:
             own = np.array(own)
             mean = own if mean is None else (n * own + BORROW * mean) / (n + BORROW)
             scatter = (n * _full(around) + BORROW * scatter) / (n + BORROW)
-        return [_row(r.of_source, 0, n, mean, scatter + np.diag(np.square(RIDGE)))]
+        return [_row(r.of_source, 0, n, mean, lifted(scatter))]
 
     return _models(joined, mix).select(F.col("g").alias("of_source"), "mean", "precision")
 

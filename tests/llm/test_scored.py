@@ -148,13 +148,39 @@ def test_verdict_is_the_borrowed_estimates(spark):
             mean = own if mean is None else (n * own + outliers.BORROW * mean) / (n + outliers.BORROW)
             scatter = (n * outliers._full(m["scatter"]) + outliers.BORROW * scatter) / (n + outliers.BORROW)
         x = np.array([r[c] for c in outliers.STATS]) - mean
-        d = x @ np.linalg.inv(scatter + np.diag(np.square(outliers.RIDGE)) + 1e-8 * np.eye(outliers.P)) @ x
+        # a direction with less variance than one in units of RIDGE has one
+        values, axes = np.linalg.eigh(np.diag(1 / np.array(outliers.RIDGE)) @ scatter @ np.diag(1 / np.array(outliers.RIDGE)))
+        full = sum(max(v, 1) * np.outer(a * outliers.RIDGE, a * outliers.RIDGE) for v, a in zip(values, axes.T, strict=True))
+        d = x @ np.linalg.inv(full + 1e-8 * np.eye(outliers.P)) @ x
         assert got[r["doc_id"]]["distance2"] == pytest.approx(d, rel=1e-6) and got[r["doc_id"]]["kept"] == (d <= outliers.CUTOFF)
     assert not any(got[300 + i]["kept"] for i in range(4)) and got[310]["kept"]
     share = np.mean([got[r["doc_id"]]["kept"] for r in good if r["doc_id"] < 300])
     assert share > 0.98
 
 
+def test_only_degenerate_directions_are_lifted():
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(outliers.P, outliers.P)) * np.array(outliers.RIDGE)[:, None] * 6
+    wide = a @ a.T + np.diag(np.square(np.array(outliers.RIDGE) * 2))
+    assert np.allclose(outliers.lifted(wide), wide)
+    flat = wide.copy()
+    flat[2], flat[:, 2] = flat[1], flat[:, 1]  # one statistic is the other
+    flat[2, 2] = flat[1, 1]
+    assert np.linalg.det(flat) < 1e-12 * np.linalg.det(wide)
+    values = np.linalg.eigvalsh(outliers.lifted(flat) / np.outer(outliers.RIDGE, outliers.RIDGE))
+    before = np.linalg.eigvalsh(flat / np.outer(outliers.RIDGE, outliers.RIDGE))
+    assert np.allclose(values, np.maximum(before, 1)) and values.min() > 0.999 and (before > 1).sum() == outliers.P - 1
+
+
+def test_groups_too_many_to_broadcast(spark):
+    """Beyond the broadcast limit large groups' rows are joined apart; the result is the same."""
+    rows = spark.createDataFrame([(g, i) for g, n in (("big", 50), ("a", 3), ("b", 2)) for i in range(n)], "g string, x long")
+    table = spark.createDataFrame([("big", 0, 1.0), ("big", 1, 2.0), ("a", 0, 3.0), ("none", 0, 4.0)], "g string, start long, m double")
+    want = sorted(map(tuple, rows.join(table, "g").collect()))
+    large = spark.createDataFrame([("big",)], "g string")
+    assert want == sorted(map(tuple, outliers._with(rows, table, ["g"], 2, large).collect())) == sorted(map(tuple, outliers._with(rows, table, ["g"], 10, large).collect()))
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     tokens = pytest.importorskip("public_tokenizers")
