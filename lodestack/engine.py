@@ -11,8 +11,8 @@ import secrets
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
-from typing import Protocol
-from urllib.parse import quote
+from typing import Protocol, TypeVar
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ from lodestack.operators.vector import check_dimensions
 from lodestack.operators.vector_index import nearest_in_lists
 from lodestack.plans import params
 from lodestack.sources.files import Files, forget, kept
-from lodestack.streaming.ingest import TABLES, SnapshotStore, delete, stream_upserts, upsert
+from lodestack.streaming.ingest import TABLES, Conflict, SnapshotStore, delete, retry, stream_upserts, upsert
 
 KEY_PREFIX = {"index": "idx", "search": "srch", "rag": "rag"}
 
@@ -96,6 +96,7 @@ class Index:
 
 
 Embedder = Callable[[Column, int], Column]
+T = TypeVar("T")
 
 
 class SearchEngine:
@@ -112,12 +113,39 @@ class SearchEngine:
 
     # -- administration
 
+    # An entry is a folder of numbered files, each written only if it is not there yet; the last one counts. So of two engines that change an
+    # entry at once the second sees the first one's change and makes its own again.
+
     @staticmethod
     def _entry(name: str) -> str:
-        return f"_registry/{quote(name, safe='')}"
-
-    def _save(self, index: Index) -> None:
-        self.files.write(self._entry(index.name), json.dumps(asdict(index)))
+        return f"_indexes/{quote(name, safe='')}"
+
+    def _numbers(self, name: str) -> list[int]:
+        old = f"_registry/{quote(name, safe='')}"  # entries were single files once
+        if self.files.exists(old) and not self.files.exists(self._entry(name)):
+            self.files.create(f"{self._entry(name)}/0", self.files.read(old))
+            self.files.delete(old)
+        return sorted(int(n) for n in self.files.names(self._entry(name)) if n.isdigit())
+
+    def _change(self, name: str, change: Callable[[Index], T | None]) -> T | None:
+        """What `change` says of the index, which it changes; nothing is written if it says None. None if there is no such index."""
+
+        def once() -> T | None:
+            if not (numbers := self._numbers(name)):
+                return None
+            index = self._read(name, numbers[-1])
+            said = change(index)
+            if said is not None:
+                if not self.files.create(f"{self._entry(name)}/{numbers[-1] + 1}", json.dumps(asdict(index))):
+                    raise Conflict(f"{name} has been changed by another")
+                for n in numbers[:-1]:  # the one before stays for readers that have seen its name
+                    self.files.delete(f"{self._entry(name)}/{n}")
+            return said
+
+        return retry(once, attempts=20)
+
+    def _read(self, name: str, number: int) -> Index:
+        return Index(**json.loads(self.files.read(f"{self._entry(name)}/{number}")))
 
     def _index(self, name: str) -> Index:
         if (index := self.get_index(name)) is None:
@@ -132,7 +160,7 @@ class SearchEngine:
         keys = {**{k: hash_key(v) for k, v in plain.items()}, "rag": None}
         now = datetime.datetime.now(datetime.UTC).isoformat()
         index = Index(name, description, merged, keys, f"data-{uuid.uuid4().hex}", now)
-        if not self.files.create(self._entry(name), json.dumps(asdict(index))):
+        if self._numbers(name) or not self.files.create(f"{self._entry(name)}/0", json.dumps(asdict(index))):
             return None
         return {"name": name, "index_key": plain["index"], "search_key": plain["search"]}
 
@@ -142,19 +170,20 @@ class SearchEngine:
         return {"created": True, **made} if made else {"created": False}
 
     def get_index(self, name: str) -> Index | None:
-        entry = self._entry(name)
-        return Index(**json.loads(self.files.read(entry))) if self.files.exists(entry) else None
+        numbers = self._numbers(name)
+        return self._read(name, numbers[-1]) if numbers else None
 
     def list_indexes(self) -> list[Index]:
         """In order of creation."""
-        found = [Index(**json.loads(self.files.read(f"_registry/{n}"))) for n in self.files.names("_registry") if not n.endswith(".part")]
-        return sorted(found, key=lambda i: (i.created_at, i.name))
+        names = {unquote(n) for folder in ("_indexes", "_registry") for n in self.files.names(folder) if not n.endswith(".part")}
+        return sorted(filter(None, map(self.get_index, names)), key=lambda i: (i.created_at, i.name))
 
     def update_index(self, name: str, config: dict) -> Index | None:
-        if index := self.get_index(name):
+        def change(index: Index) -> Index:
             index.config = merge_config(config, index.config)
-            self._save(index)
-        return index
+            return index
+
+        return self._change(name, change)
 
     def delete_index(self, name: str) -> bool:
         """Drop the index with its documents, prompts and keys; False if there is none."""
@@ -166,18 +195,21 @@ class SearchEngine:
 
     def mint_key(self, name: str, kind: str) -> str | None:
         """A new key in place of the old one, which stops working."""
-        if (index := self.get_index(name)) is None:
-            return None
         key = generate_key(kind)
-        index.keys[kind] = hash_key(key)
-        self._save(index)
-        return key
+        hashed = hash_key(key)
+
+        def change(index: Index) -> str:
+            index.keys[kind] = hashed
+            return key
+
+        return self._change(name, change)
 
     def revoke_key(self, name: str, kind: str) -> bool:
-        if index := self.get_index(name):
+        def change(index: Index) -> bool:
             index.keys[kind] = None
-            self._save(index)
-        return index is not None
+            return True
+
+        return self._change(name, change) is not None
 
     def authorize(self, name: str, kind: str, key: str | None) -> Index:
         if not key:
@@ -190,21 +222,20 @@ class SearchEngine:
     def create_prompt(self, name: str, prompt: str, content: dict) -> dict | None:
         """The prompt; None if its name is taken."""
         params.PROMPT(content)
-        index = self._index(name)
-        if prompt in index.prompts:
-            return None
-        index.prompts[prompt] = content
-        self._save(index)
-        return content
+        self._index(name)
+        return self._change(name, lambda index: None if prompt in index.prompts else index.prompts.setdefault(prompt, content))
 
     def update_prompt(self, name: str, prompt: str, content: dict) -> dict | None:
         params.PROMPT(content)
-        index = self._index(name)
-        if prompt not in index.prompts:
-            return None
-        index.prompts[prompt] = content
-        self._save(index)
-        return content
+        self._index(name)
+
+        def change(index: Index) -> dict | None:
+            if prompt not in index.prompts:
+                return None
+            index.prompts[prompt] = content
+            return content
+
+        return self._change(name, change)
 
     def get_prompt(self, name: str, prompt: str) -> dict | None:
         return self._index(name).prompts.get(prompt)
@@ -213,11 +244,8 @@ class SearchEngine:
         return sorted(self._index(name).prompts)
 
     def delete_prompt(self, name: str, prompt: str) -> bool:
-        index = self._index(name)
-        found = index.prompts.pop(prompt, None) is not None
-        if found:
-            self._save(index)
-        return found
+        self._index(name)
+        return self._change(name, lambda index: index.prompts.pop(prompt, None) and True) is not None
 
     def status(self, name: str) -> dict[str, DataFrame]:
         """tables: the stored tables with files, bytes and rows; dimensions: the size of a sampled vector; totals: documents and segments."""

@@ -350,6 +350,87 @@ def test_rest_source(spark):
         list(list_pages("http://k", lambda url: (500, {}, "{}")))  # noqa: ARG005
 
 
+def test_rest_items_that_fail_are_rows(spark):
+    from lodestack.sources.rest import read_rest
+
+    def fetch(url):
+        if "?" in url:
+            return 200, {}, json.dumps({"items": [{"id": i} for i in range(5)]})
+        i = int(url.rsplit("/", 1)[1])
+        if i == 2:
+            raise OSError("down")
+        return (404, {}, "") if i == 3 else (200, {}, json.dumps({"id": i, "title": "T"}) if i < 4 else "{broken")
+
+    rows = {r["id"]: r for r in read_rest(spark, "http://k", fetch).collect()}
+    assert len(rows) == 5 and [i for i in rows if rows[i]["error"] is None] == ["0", "1"]
+    assert "OSError" in rows["2"]["error"] and "404" in rows["3"]["error"] and "JSON" in rows["4"]["error"]
+
+
+def test_rest_stream_goes_on_where_it_was(spark, tmp_path):
+    """Restarts over a growing list lose and repeat nothing; items that fail are rows."""
+    from lodestack.sources.rest import RestStream, stream_rest
+
+    count = tmp_path / "count"
+
+    def fetch(url):
+        n = int(count.read_text())
+        if "?" in url:
+            at, size = (int(url.split(f"{k}=")[1].split("&")[0]) for k in ("offset", "limit"))
+            return 200, {}, json.dumps({"items": [{"id": i} for i in range(at, min(at + size, n))]})
+        i = url.rsplit("/", 1)[1]
+        return (500, {}, "") if i == "7" else (200, {}, json.dumps({"id": i, "title": f"T{i}"}))
+
+    def run():
+        q = stream_rest(spark, "http://k", fetch, 4).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").start(f"{tmp_path}/out")
+        q.processAllAvailable()
+        q.stop()
+
+    for n in (0, 9, 9, 23):
+        count.write_text(str(n))
+        run()
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(int(r["id"]) for r in rows) == list(range(23)) and [r["id"] for r in rows if r["error"]] == ["7"]
+    for n in (0, 1, 3, 4, 5, 1000):
+        count.write_text(str(n))
+        asked = []
+        stream = RestStream("http://k", lambda u: (asked.append(u), fetch(u))[1], 4)
+        assert stream.latestOffset() == {"items": n} and len(asked) < 30
+        assert sum(p.end - p.start for p in stream.partitions({"items": 0}, {"items": n})) == n
+    with pytest.raises(RuntimeError, match="shorter"):
+        stream.partitions({"items": 5}, {"items": 3})
+
+
+def test_engines_that_write_at_once_lose_nothing(spark, tmp_path):
+    """Prompts, keys and settings of two engines on one folder, each changed between the other's reading and writing."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"file://{tmp_path}"
+    first, second = SearchEngine(spark, path), SearchEngine(spark, path)
+    first.create_index("i")
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda k: (first if k % 2 else second).create_prompt("i", f"p{k}", PROMPT), range(8)))
+    assert all(done) and first.list_prompts("i") == sorted(f"p{k}" for k in range(8))
+    # a change made between reading and writing is seen and kept
+    real, raced = first.files.create, []
+
+    def slow(name, text):
+        if not raced:
+            raced.append(1)
+            second.update_index("i", {"rrf_k": 11})
+            second.delete_prompt("i", "p0")
+        return real(name, text)
+
+    first.files.create = slow
+    key = first.mint_key("i", "rag")
+    first.files.create = real
+    assert first.authorize("i", "rag", key).config["rrf_k"] == 11 and "p0" not in first.list_prompts("i")
+    assert first.create_index("i") is None and len(first.files.names("_indexes/i")) <= 2
+    # an entry of the older kind, one file, is read on
+    first.files.write("_registry/old", json.dumps({**json.loads(first.files.read(f"_indexes/i/{first._numbers('i')[-1]}")), "name": "old", "folder": "data-old"}))
+    assert [i.name for i in second.list_indexes()] == ["i", "old"] and second.revoke_key("old", "rag") and not second.revoke_key("none", "rag")
+    assert first.delete_index("old") and first.get_index("old") is None
+
+
 def test_captures(spark, tmp_path):
     from lodestack.sources.captures import compare, read_capture, write_capture
 
