@@ -21,6 +21,7 @@ from lodestack.config import merge_config
 from lodestack.functions.text import simple_tokens
 from lodestack.functions.vectors import hash_embedding
 from lodestack.operators import rag, state
+from lodestack.operators.batched import Embedding, TextEmbedder, answered, with_vectors
 from lodestack.operators.lexical import Analyser
 from lodestack.operators.fusion import SearchOptions, Stored, hybrid_search
 from lodestack.operators.vector import check_dimensions
@@ -103,10 +104,10 @@ class SearchEngine:
     """Indexes under one folder: a registry of small files (an index's settings, key hashes and prompts) and a snapshot store each.
 
     Every call reads the registry, so engines on the same folder see the same indexes. `embedders` maps a provider's name to a column
-    function.
+    function, or to an outside model that is called in batches; what such a model says is kept under the folder.
     """
 
-    def __init__(self, spark: SparkSession, path: str, embedders: dict[str, Embedder] | None = None):
+    def __init__(self, spark: SparkSession, path: str, embedders: dict[str, Embedder | TextEmbedder] | None = None):
         self.spark, self.path = spark, path.rstrip("/")
         self.files = Files(spark, self.path)
         self.embedders = {"test": hash_embedding, **(embedders or {})}
@@ -268,11 +269,14 @@ class SearchEngine:
         index = self._index(name)
         return SnapshotStore(self.spark, f"{self.path}/{index.folder}", self.analyser(index.config))
 
-    def embedder(self, config: dict) -> Callable[[Column], Column]:
+    def embedder(self, config: dict) -> Callable[[Column], Column] | Embedding:
         e = config["embedding"]
         if e["provider"] not in self.embedders:
             raise ValueError(f"unknown embedding provider: {e['provider']}")
-        return lambda text: self.embedders[e["provider"]](text, e["dimensions"])
+        model = self.embedders[e["provider"]]
+        if hasattr(model, "embed"):
+            return Embedding(self.spark, model, f"{self.path}/_vectors/{quote(model.name, safe='')}")
+        return lambda text: model(text, e["dimensions"])
 
     @staticmethod
     def analyser(config: dict) -> Analyser:
@@ -335,7 +339,7 @@ class SearchEngine:
             lambda found: docs(store.find_all("docs", ids(found), p)), lambda found: segments(store.find_all("segments", ids(found), p)), keep,
             (lambda q, k: nearest_in_lists(lambda some: store.vectors(some, p), lists, q, k)) if lists else None,
         )
-        q = queries.withColumn("embedding", self.embedder(config)(F.col("q")))
+        q = with_vectors(queries.drop("embedding"), self.embedder(config), F.col("q"))
         now = F.current_timestamp() if now is None else now
         o = SearchOptions.from_config(config, **options)
         return hybrid_search(segments(store.segments(p)), docs(store.docs(p)), q, o, now, self.analyser(config), store.index(p), stored)
@@ -377,3 +381,40 @@ class SearchEngine:
             "answer": done["text"], "citations": cited, "retrieved": [{"external_id": i, "score": s, "used": i in used} for i, s in best.items()],
             "model": done["model"], "prompt": prompt, "usage": done["usage"],
         }
+
+    def answer_batch(self, name: str, prompt: str, questions: DataFrame, llm: Llm, now: Column | None = None) -> DataFrame:
+        """question_id, question, answer, citations, retrieved, model, error for questions(question_id, question): as answer, for all at once.
+
+        One retrieval for the batch; the model is asked in the tasks, each distinct prompt once, and what it said is kept under the folder. A question that fails
+        has an error. The model has to reach the tasks.
+        """
+        content = self.get_prompt(name, prompt)
+        if content is None:
+            raise NotFound(prompt)
+        store, r = self.store(name), content["retrieval"]
+        p = store.pointer()
+        options = {k: r[k] for k in ("limit", "mode", "max_chunks_per_doc", "min_lexical_score", "min_vector_score")}
+        asked = questions.select(F.col("question_id").alias("query_id"), F.col("question").alias("q"))
+        found = kept(rag.contexts(self._search(self._index(name).config, store, p, asked, now, **options)), "answer-chunks")
+        full = questions.select("question_id", "question").join(found, F.col("question_id") == F.col("query_id"), "left").drop("query_id")
+        full = full.withColumn("chunks", F.coalesce("chunks", F.array().cast(found.schema["chunks"].dataType)))
+        turn = rag.user_turn(rag.context_block(F.col("chunks")), F.lit(content["response_format"]), F.col("question"))
+        fixed = {"model": content["model"], "system": content["system"], "max_tokens": content["max_tokens"], "temperature": content["temperature"]}
+        said = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()], F.array(F.struct(F.lit("user").alias("role"), turn.alias("content"))).alias("messages")))
+        complete = lambda d: llm.complete(d["system"], d["messages"], d["max_tokens"], d["temperature"])
+        done = answered(self.spark, f"{self.path}/_answers", full.withColumn("prompt", said), complete)
+        done = done.withColumn("a", F.from_json("answer", "text string, model string")).withColumn("answer", F.col("a.text"))
+        marks = rag.citation_markers(F.coalesce("answer", F.lit("")), F.size("chunks"))
+        at = F.transform(marks, lambda m: F.struct(m.alias("marker"), *[F.get("chunks", m - 1)[c].alias(c) for c in ("external_id", "title", "snippet")]))
+        done = kept(done.select("question_id", "question", "answer", "chunks", at.alias("cited"), F.col("a.model").alias("model"), "error"), "answer-rows")
+        # addresses of the cited documents
+        cited = done.select("question_id", F.explode("cited").alias("c")).select("question_id", "c.*")
+        docs = store.find_all("docs", cited.select("external_id"), p).select("external_id", rag.citation_url(F.col("metadata")).alias("url"))
+        each = cited.join(docs, "external_id", "left").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("marker", "external_id", "title", "snippet", F.coalesce("url", F.lit("")).alias("url")))).alias("citations"))
+        none = F.array().cast("array<struct<marker:int,external_id:string,title:string,snippet:string,url:string>>")
+        used = F.transform("citations", lambda c: c["external_id"])
+        best = F.transform(F.array_distinct(F.transform("chunks", lambda c: c["external_id"])), lambda i: F.struct(
+            i.alias("external_id"), F.array_max(F.transform(F.filter("chunks", lambda c: c["external_id"] == i), lambda c: c["score"])).alias("score"), F.array_contains(F.col("used"), i).alias("used"),
+        ))
+        whole = done.join(each, "question_id", "left").withColumn("citations", F.coalesce("citations", none)).withColumn("used", used)
+        return whole.select("question_id", "question", "answer", "citations", best.alias("retrieved"), "model", "error")

@@ -59,7 +59,7 @@ class LayeredStore:
     tables: dict[str, Table]
     #: rows of one file, where a table is laid out in ranges
     file_rows: int = 500_000
-    #: layers above the base before they are written together, and the share of the base's documents in them from which the base is rewritten
+    #: layers above the base before they are written together, and the share of the base's rows in them from which the base is rewritten
     max_layers: int = 8
     full_share: float = 0.25
     #: versions that readers may still use
@@ -259,13 +259,13 @@ class LayeredStore:
     # -- compaction
 
     def wants(self, pointer: dict) -> str | None:
-        """"all" or "upper" if the layers should be written together, by their number and documents."""
+        """"all" or "upper" if the layers should be written together, by their number and rows."""
         layers = pointer["layers"]
         if len(layers) <= self.max_layers:
             return None
         base, *upper = layers
-        over = sum(sum(x["rows"].get(n, 0) for n in ("docs", "gone")) for x in upper)
-        return "all" if over >= self.full_share * max(1, base["rows"].get("docs", 0)) else "upper"
+        over = sum(sum(x["rows"].values()) for x in upper)
+        return "all" if over >= self.full_share * max(1, sum(base["rows"].values())) else "upper"
 
     def compact(self, which: str = "all") -> dict:
         """Write all layers together into a new base, or the layers above the base into one; the rows stay the same.
@@ -283,9 +283,10 @@ class LayeredStore:
         tables = {n: self.read(n, view) for n in names}
         if first:
             gone = [self.spark.read.schema("external_id string").parquet(f"{self.path}/{x['folder']}/gone") for x in over if "gone" in x["tables"]]
+        if first and gone:
             tables["gone"] = reduce(DataFrame.union, gone).distinct().coalesce(max(1, math.ceil(sum(x["rows"].get("gone", 0) for x in over) / self.file_rows)))
             rows["gone"] = sum(x["rows"].get("gone", 0) for x in over)
-        elif base["counters"]:
+        if not first and base["counters"]:
             rows["docs"] = base["counters"].get("docs", rows.get("docs", 0))
             rows["segments"] = base["counters"].get("segments", rows.get("segments", 0))
         folder = self.new_folder()

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestack.functions.text import chunk_text, simple_tokens
 from lodestack.operators import ingest, vector_index
+from lodestack.operators.batched import Embedding, with_vectors
 from lodestack.operators.lexical import Analyser, TextIndex, analysed, blocks_of, index_of, text_index
 from lodestack.sources.files import Files
 from lodestack.sources.layers import Conflict, LayeredStore, Table
@@ -40,6 +41,8 @@ TABLES = {
 }
 NO_ID = "document has no external_id"
 T = TypeVar("T")
+#: a column function, or an outside model with what it has said before
+Embed = Callable[[Column], Column] | Embedding
 
 
 def retry(work: Callable[[], T], attempts: int = 3, on: type[Exception] = Conflict) -> T:
@@ -162,7 +165,7 @@ class SnapshotStore(LayeredStore):
 
 
 def upsert(
-    store: SnapshotStore, batch: DataFrame, embed: Callable[[Column], Column], now: Column, max_tokens: int = 1000, max_segments: int = 150,
+    store: SnapshotStore, batch: DataFrame, embed: Embed, now: Column, max_tokens: int = 1000, max_segments: int = 150,
     analyse: Analyser = simple_tokens, order: str | None = None, stream: str | None = None, number: int | None = None,
 ) -> DataFrame:
     """Merge a batch (external_id, title, body, kind, metadata) into the store, and say what became of each document (REPORT).
@@ -195,7 +198,7 @@ def upsert(
         docs = kept("docs", ingest.merge_documents(old_docs, counts.withColumn("created_at", now), now))
         merged = ingest.merge_segments(old, new.select("external_id", "segment_index", "segment", "content_hash"), gone)
         titled = merged.join(new.select("external_id", "content_hash", "title"), ["external_id", "content_hash"], "left")
-        embedding = F.coalesce("embedding", embed(F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.col("segment"))))
+        whole = with_vectors(titled, embed, F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.col("segment")))
         fields = kept("fields", analysed(new.selectExpr("external_id AS doc_id", "segment_index", "segment AS body", "title"), good.selectExpr("external_id AS doc_id", "title"), analyse))
         fresh = index_of(fields)
         changes = ingest.report(ingest.diff(new, old, "external_id", gone), "external_id")
@@ -212,7 +215,7 @@ def upsert(
         counters = {n: base["counters"].get(n, 0) + size[n] - before[n] for n in before}
         rows = {**size, "postings": words, "sizes": size["docs"], "gone": size["docs"]}
         tables = {
-            "docs": docs, "segments": titled.select("external_id", "segment_index", "segment", "content_hash", embedding.alias("embedding")),
+            "docs": docs, "segments": whole.select("external_id", "segment_index", "segment", "content_hash", "embedding"),
             "postings": fresh.postings, "blocks": blocks_of(fresh.postings), "sizes": fresh.sizes, "gone": gone, "report": said.union(refused),
         }
         if (lists := store.lists(base)) is not None:
@@ -259,7 +262,7 @@ def delete(store: SnapshotStore, ids: DataFrame) -> None:
 
 
 def stream_upserts(
-    source: DataFrame, store: SnapshotStore, embed: Callable[[Column], Column], checkpoint: str, now: Callable[[], Column] = F.current_timestamp, stream: str = "stream", **options
+    source: DataFrame, store: SnapshotStore, embed: Embed, checkpoint: str, now: Callable[[], Column] = F.current_timestamp, stream: str = "stream", **options
 ) -> StreamingQuery:
     """Start a query that merges each micro-batch of a document stream into the store; `stream` names it, for as long as its checkpoint lives."""
 
