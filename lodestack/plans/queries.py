@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import evalmetrics, scores, text, vectors
-from lodestack.operators import ingest, rag, state
+from lodestack.operators import ingest, rag, state, vector_index
 from lodestack.operators.fusion import SearchOptions, hybrid_search
 from lodestack.operators.lexical import lexical_scores, lexical_top
 from lodestack.operators.vector import vector_topk
 from lodestack.plans import corpus
 from lodestack.plans.corpus import NOW, SQL, docs, queries, segments, table
+from lodestack.sources.files import new_path
+from lodestack.sources.layers import LayeredStore, Table
 from lodestack.plans.search_sql import lexical_sql, search_sql, search_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +65,21 @@ def vector_topk_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_topk(e.join(of_kind, "vec_id", "left_semi"), _query_vectors(e), 10)
 
 
+@query()
+def vector_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vector_topk_cosine through stored inverted lists: nearly the same rows, from the lists that are probed."""
+    e = table(spark, sf_dir, "embeddings").withColumn("part", F.lit(0))
+    lists = vector_index.fit(e, e.count())
+    path = new_path(spark, "vector-lists")
+    placed = vector_index.assign(e.select("vec_id", "part", "embedding"), lists) if lists else e.select("vec_id", "part", "embedding", F.lit(0).alias("list")).limit(0)
+    placed.write.partitionBy("list").parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path)
+    read = lambda some: stored if some is None else stored.filter(F.col("list").isin(some))
+    if lists is None:
+        return vector_topk(e, _query_vectors(e), 10)
+    return vector_index.nearest_in_lists(read, lists, _query_vectors(e), 10).drop("part")
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS magnitude FROM embeddings")
 def vector_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.magnitude(F.col("embedding")), 6).alias("magnitude"))
@@ -227,6 +244,23 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).select("doc_id", "segment_index", "content_hash", F.sha2(text.embedding_input(F.col("title"), F.col("body")), 256).alias("input_hash"))
 
 
+@query(
+    """SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') AS external_id, CASE WHEN doc_id % 7 = 0 THEN 'changed' ELSE source END AS kind, length(text) AS n_chars
+    FROM documents WHERE doc_id % 11 <> 0"""
+)
+def layered_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in a layered store: all of them, then a batch that replaces every seventh, then deletes of every eleventh."""
+    schema = "external_id string, kind string, n_chars int"
+    store = LayeredStore(spark, new_path(spark, "layers"), {"docs": Table(schema, "external_id", ("external_id",))})
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("external_id"), F.col("source").alias("kind"), F.char_length("text").alias("n_chars"))
+    batch = d.filter("doc_id % 7 = 0").withColumn("kind", F.lit("changed"))
+    n = {"docs": d.count(), "gone": d.count()}
+    p = store.add_layer(store.pointer(), {"docs": d.drop("doc_id")}, n)
+    p = store.add_layer(p, {"docs": batch.drop("doc_id"), "gone": batch.select("external_id")}, n)
+    p = store.add_layer(p, {"gone": d.filter("doc_id % 11 = 0").select("external_id")}, n)
+    return store.read("docs", p)
+
+
 @query("SELECT doc_id, CAST(length(regexp_replace(text, '[\\s\\x0B]', '', 'g')) AS INT) AS kept_chars, 0 AS over_budget, 0 AS blank FROM documents")
 def segment_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "documents").select("doc_id", text.chunk_text(F.col("text"), 50).alias("c"))
