@@ -58,7 +58,8 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     if not words:
         return [0.0] * len(FEATURES)
     n, size = len(words), sum(map(len, words))
-    plain = [w.strip(_EDGE) for w in text.lower().split()]
+    # one rule for words: bytes split at ASCII white space only
+    plain = [w.decode("utf-8", "surrogatepass").strip(_EDGE) for w in text.lower().encode("utf-8", "surrogatepass").split()]
     strong = {w: max(lexicon.get(w, 0.0), lexicon.get(w[:STEM] + "*", 0.0)) for w in set(plain)}
     bad = {w for w, x in strong.items() if x > 0}
     hits = [i for i, w in enumerate(plain) if w in bad] if bad else []

@@ -1,7 +1,9 @@
 """Outliers, packing, SimHash, substrings and the classifiers against brute force on small tables."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -374,6 +376,39 @@ def test_toxicity(spark):
     assert toxicity.score(frame(spark, []), labels(spark, marks, "toxic")).count() == 0
 
 
+def plain_features(text, lexicon):
+    """toxicity.FEATURES of one text, each by its own loop over words."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if not words:
+        return [0.0] * len(toxicity.FEATURES)
+    n, size = len(words), sum(len(w.encode()) for w in words)
+    plain = [w.lower().strip(".,;:!?\"'()[]{}<>|*#$%&-_~`") for w in words]
+    strength = [max(lexicon.get(w, 0.0), lexicon.get(w[:7] + "*", 0.0)) for w in plain]
+    hits = [i for i, x in enumerate(strength) if x > 0]
+    persons = [i for i, w in enumerate(plain) if w in toxicity.SECOND_PERSON] if hits else []
+    letters = lambda w: "".join(c for c in w if not ("!" <= c <= "~") or c.isalpha())
+    undo = lambda w: "".join(dict(zip("013457@$!|", "oleastasil")).get(c, c) for c in w)
+    mixed = [len(w) > 3 and w[0].isalpha() and letters(w) != w for w in plain]
+    undone = [m and (undo(w) in lexicon or letters(w) in lexicon) for w, m in zip(plain, mixed)]
+    every = "".join(words)
+    return [
+        (len(hits) + sum(undone)) / n, sum(strength[i] for i in hits) / n, math.log(1 + len(hits)), max(strength), sum(any(abs(i - p) <= 5 for p in persons) for i in hits) / n, len(persons) / n,
+        sum("A" <= c <= "Z" for c in every) / size, sum(len(w.encode()) > 2 and w.encode().isupper() for w in words) / n, sum(c in ".,;:!?" for c in every) / size,
+        every.count("!") / n, sum(mixed) / n, sum(undone) / n, math.log(n),
+    ]
+
+
+def test_toxicity_features_against_plain_loops(spark):
+    rnd = random.Random(12)
+    lexicon = {"idiot": 2.5, "stupid*": 1.5, "stupid": 1.2, "hate": 3.0, "schrecklich": 2.0, "schreck*": 1.0}
+    words = ["idiot", "Idiot!", "id1ot", "i.d.i.o.t", "st\u00fcpid", "stupidly", "stupidity,", "hate", "H@TE", "h4te", "you", "DU", "your.", "fine", "GOOD", "\u0130stanbul", "a\u00a0hate", "x\x1cyou", "!!", "\u65e5\u672c", "schrecklich", "SHOUT?"]
+    texts = [rnd.choice([" ", "  ", "\n", "\t", "\x0b"]).join(rnd.choices(words, k=rnd.randint(1, 60))) for _ in range(300)] + [None, "", " \n", "hate " * 5000 + "you"]
+    rows = toxicity.featured(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]), lexicon).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert [r[c] for c in toxicity.FEATURES] == pytest.approx(plain_features(texts[r["doc_id"]], lexicon), rel=1e-9, abs=1e-12), texts[r["doc_id"]]
+
+
 def test_calibration(spark):
     """The centred curve rises nearly everywhere and follows the shares of labels."""
     rng = np.random.default_rng(2)
