@@ -62,8 +62,9 @@ class LayeredStore:
     #: layers above the base before they are written together, and the share of the base's rows in them from which the base is rewritten
     max_layers: int = 8
     full_share: float = 0.25
-    #: versions that readers may still use
+    #: versions that readers may still use: the last ones, and any that are younger in seconds
     keep_versions: int = 5
+    keep_seconds: float = 600
     files: Files = field(init=False)
 
     def __post_init__(self) -> None:
@@ -92,7 +93,7 @@ class LayeredStore:
             if new:
                 self.files.delete(new)
             raise Conflict(f"version {version} is taken")
-        self.vacuum()
+        self.vacuum(older_than=self.keep_seconds)
         return {"version": version, **told}
 
     def vacuum(self, keep: int | None = None, older_than: float = 0) -> list[str]:

@@ -126,7 +126,8 @@ class SnapshotStore(LayeredStore):
 
     def prepare(self, base: dict, which: str, tables: dict[str, DataFrame], rows: dict[str, int]) -> dict:
         """Words are counted again; a new base gets new lists, if it has enough vectors."""
-        tables["blocks"] = blocks_of(tables["postings"])
+        if "postings" in tables:  # not in layers of deletes only
+            tables["blocks"] = blocks_of(tables["postings"])
         if which != "all":
             return base
         tables.pop("vectors", None)

@@ -92,8 +92,18 @@ def test_layers_equal_a_rewrite(spark, tmp_path):
     assert len(store.pointer()["layers"]) == 1 and "gone" not in store.pointer()["layers"][0]["tables"]
 
 
+def test_layers_of_deletes_only(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/s", max_layers=2)
+    upsert(store, many(spark, 40), embed, now(), max_tokens=20)
+    for i in range(5):
+        delete(store, spark.createDataFrame([(f"d{i:05d}",)], "external_id string"))
+    assert len(store.pointer()["layers"]) <= 3 and store.pointer()["counters"]["docs"] == 35 == store.docs().count()
+    assert sorted(r["external_id"] for r in store.docs().collect()) == [f"d{i:05d}" for i in range(5, 40)]
+    assert {r["doc_id"] for r in store.index().find(["common"]).collect()} == {f"d{i:05d}" for i in range(5, 40)}
+
+
 def test_old_versions_go(spark, tmp_path):
-    store = SnapshotStore(spark, f"file://{tmp_path}/s", keep_versions=2, max_layers=50)
+    store = SnapshotStore(spark, f"file://{tmp_path}/s", keep_versions=2, keep_seconds=0, max_layers=50)
     for i in range(4):
         upsert(store, batch(spark, [("a", f"T{i}", f"text {i}")]), embed, now())
     assert len(store.versions()) == 2
@@ -102,7 +112,13 @@ def test_old_versions_go(spark, tmp_path):
     store.vacuum(keep=1)
     assert store.versions() == [store.version()] and {n for n in store.files.names("") if n.startswith("layer-")} - {store.pointer()["report"]} == listed() and len(listed()) == 1
     assert store.docs().first()["title"] == "T3" and store.report().count() == 1
-    assert store.vacuum() == []
+    store.keep_seconds = 600  # young versions stay
+    for i in range(3):
+        upsert(store, batch(spark, [("a", f"U{i}", f"text {i}")]), embed, now())
+    assert len(store.versions()) == 4
+    assert store.vacuum(older_than=600) == [] and len(store.versions()) == 4
+    store.vacuum()
+    assert len(store.versions()) == 2 and store.docs().first()["title"] == "U2"
 
 
 def test_lookups_read_few_files(spark, tmp_path):
