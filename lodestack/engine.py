@@ -252,7 +252,8 @@ class SearchEngine:
         """tables: the stored tables with files, bytes and rows; dimensions: the size of a sampled vector; totals: documents and segments."""
         store = self.store(name)
         p = store.pointer()
-        stored = {t: ([f"{store.path}/{x['folder']}/{t}" for x in p["layers"] if t in x["tables"]], store.read(t, p)) for t in TABLES} if p["layers"] else {}
+        folders = {t: [f"{store.path}/{x['folder']}/{t}" for x in p["layers"] if t in x["tables"]] for t in TABLES}
+        stored = {t: (found, store.read(t, p)) for t, found in folders.items() if found}
         total = (name, p["counters"].get("docs", 0), p["counters"].get("segments", 0))
         return {
             "tables": state.tables(self.spark, stored),
