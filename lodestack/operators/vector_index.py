@@ -112,6 +112,8 @@ def nearest_in_lists(read: Callable[[list[int] | None], DataFrame], lists: Lists
             raise ValueError(f"vectors have {lists.centres.shape[1]} dimensions, queries {unit.shape[1]}")
         near = np.argsort(-(unit @ lists.centres.T), axis=1, kind="stable")[:, : lists.probes]
         v, _ = _known(read(sorted(set(near.ravel().tolist()))), queries)
+        # lists are many small files: a task per core reads several, so that fewer tasks send their k best of every query
+        v = v.coalesce(queries.sparkSession.sparkContext.defaultParallelism)
         return _ranked(_one_block(v, few, k, schema), k)
     v = read(None)
     dealt = v.select("vec_id", F.col("part").cast("int").alias("part"), "embedding", F.col("list").alias("block"))
