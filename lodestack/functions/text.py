@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 BYTES_PER_TOKEN = 3
 #: White space that trimming removes (fixed value), as a character class for Java and RE2.
 TRIM_CLASS = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: its characters
+TRIMMED = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 TOKEN = r"[\p{L}\p{N}]+"
 #: Boundaries from coarse to fine; after the last, text is cut between characters.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{TRIM_CLASS}+|{TRIM_CLASS}+$", "")
+    return F.btrim(text, F.lit(TRIMMED))
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -13,14 +13,18 @@ other words are not read. Words of titles are always read.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import let, simple_tokens
+from lodestack.operators.covers import Covers
 
 POOL = 200
 #: segment_index of words that stand in the title
@@ -79,16 +83,58 @@ def places(tokens: Column) -> Column:
     return let(coded, runs)
 
 
-def index_of(fields: DataFrame) -> TextIndex:
-    """The index of analysed fields, which are best written before: both tables are made from them."""
-    size = (F.size("tokens") + F.size("titled")).alias("n")
-    words = fields.select("doc_id", "segment_index", size, "titled", F.explode(places(F.col("tokens"))).alias("w"))
-    found = F.size("w.at") + F.size(F.filter("titled", lambda t: t == F.col("w.term")))
-    level = F.ceil(LEVELS * found / F.log(F.col("n") + F.lit(1.0))).cast("int") + F.when(F.col("segment_index") == TITLE, TITLED).otherwise(0)
-    every = fields.groupBy("doc_id").agg(F.collect_list(F.struct("segment_index", F.size("tokens").alias("n"))).alias("every"))
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of fields (doc_id, segment_index, tokens, titled), those of a batch in order of term, then the fields' lengths."""
+    for b in batches:
+        lengths = [pc.fill_null(pc.list_value_length(b.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3)]
+        every = pa.concat_arrays([b.column(2).flatten(), b.column(3).flatten()]).dictionary_encode()
+        names = every.dictionary.take(sorted_at := pc.array_sort_indices(every.dictionary))
+        rank = np.empty(len(names) + 1, np.int64)
+        rank[-1] = -1
+        rank[sorted_at.to_numpy()] = np.arange(len(names))
+        code = rank[pc.fill_null(every.indices, -1).to_numpy(zero_copy_only=False)]
+        row = [np.repeat(np.arange(b.num_rows), n) for n in lengths]
+        at = np.arange(len(row[0])) - np.repeat(np.cumsum(lengths[0]) - lengths[0], lengths[0])
+        key, titled = (c * b.num_rows + r for c, r in zip((code[: len(at)], code[len(at) :]), row, strict=True))
+        order = np.argsort(key, kind="stable")  # by term and field, places in order
+        order = order[np.searchsorted(key[order], 0) :]  # nulls are words that take a place and match nothing
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        own, n = key[first], np.diff(first, append=len(key))
+        also, times = np.unique(titled[titled >= 0], return_counts=True)
+        place = np.minimum(np.searchsorted(also, own), max(0, len(also) - 1))
+        found = n + (np.where(also[place] == own, times[place], 0) if len(also) else 0)
+        field, term = own % max(1, b.num_rows), own // max(1, b.num_rows)
+        segment = b.column(1).to_numpy(zero_copy_only=False)
+        level = np.ceil(LEVELS * found / np.log((lengths[0] + lengths[1])[field] + 1.0)).astype(np.int32) + np.where(segment[field] == TITLE, TITLED, 0).astype(np.int32)
+        ends = np.concatenate([first, len(key) + np.arange(b.num_rows + 1)])  # and one number for each field
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([at[order], lengths[0]]), pa.int32()))
+        of = pa.array(np.concatenate([field, np.arange(b.num_rows)]))
+        words = pa.concat_arrays([names.take(pa.array(term)), pa.nulls(b.num_rows, names.type)])
+        levels = pa.array(np.concatenate([level, np.zeros(b.num_rows, np.int32)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([words, b.column(0).take(of), b.column(1).take(of), levels, lists], names=["term", "doc_id", "segment_index", "level", "at"])
+
+
+def index_rows(fields: DataFrame) -> DataFrame:
+    """The postings of analysed fields, and for each field a row without a term that has its length: all of an index in one pass.
+
+    A field's words are sorted in Arrow batches: as array expressions in a row that took several times as long.
+    """
+    return fields.select("doc_id", "segment_index", "tokens", "titled").mapInArrow(_words, f"term string, doc_id {dict(fields.dtypes)['doc_id']}, segment_index int, level int, at array<int>")
+
+
+def index_in(rows: DataFrame) -> TextIndex:
+    """The index in index_rows."""
+    every = rows.filter("term IS NULL").groupBy("doc_id").agg(F.collect_list(F.struct("segment_index", F.col("at")[0].alias("n"))).alias("every"))
     title = F.get(F.filter("every", lambda f: f["segment_index"] == TITLE), F.lit(0))["n"]
     sizes = every.filter(title.isNotNull()).select("doc_id", title.alias("n_title"), F.filter("every", lambda f: f["segment_index"] != TITLE).alias("fields"))
-    return TextIndex(words.select("w.term", "doc_id", "segment_index", level.alias("level"), "w.at"), sizes)
+    return TextIndex(rows.filter("term IS NOT NULL"), sizes)
+
+
+def index_of(fields: DataFrame) -> TextIndex:
+    """The index of analysed fields, which are best written before: both tables are made from them."""
+    lengths = fields.select(F.lit(None).cast("string").alias("term"), "doc_id", "segment_index", F.array(F.size("tokens")).alias("at"))
+    return TextIndex(index_rows(fields).filter("term IS NOT NULL"), index_in(lengths).sizes)
 
 
 def blocks_of(postings: DataFrame) -> DataFrame:
@@ -139,11 +185,10 @@ def cover_density(occ: Column, n_terms: Column, n_positions: Column, title_weigh
     return total / F.log(n_positions.cast("double") + 1)
 
 
-def matches(index: TextIndex, queries: DataFrame, analyse: Analyser = simple_tokens, cuts: Cuts | None = None) -> DataFrame:
-    """query_id, n_terms, doc_id, segment_index, n_title, n_body, title_occ, body_occ of every match.
+def matches(index: TextIndex, queries: DataFrame, analyse: Analyser = simple_tokens) -> DataFrame:
+    """query_id, n_terms, doc_id, segment_index, n_title, n_body, title_occ, body_occ of every match, for batches of any size.
 
-    A segment matches when its body or its document's title holds every term. Postings below the `cuts` are left out: what would match by them is
-    lost or ranked lower.
+    A segment matches when its body or its document's title holds every term.
     """
     terms = query_terms(queries, analyse)
     words = [r["term"] for r in terms.select("term").distinct().limit(BROADCAST_TERMS + 1).collect()]
@@ -151,18 +196,7 @@ def matches(index: TextIndex, queries: DataFrame, analyse: Analyser = simple_tok
     if len(words) <= PUSHED_TERMS:  # the scan skips files and row groups that hold none of them
         postings = (index.find(words) if index.find else postings).filter(F.col("term").isin(words))
     small = F.broadcast(terms) if len(words) <= BROADCAST_TERMS and terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else terms
-    if cuts:
-        least: dict[str, int] = {}
-        uncut = {(r["query_id"], r["term"]) for r in terms.select("query_id", "term").collect()} - {(q, t) for q, t, _ in cuts}  # PUSHED_TERMS at most
-        for _, t, cut in cuts:
-            least[t] = min(cut, least.get(t, cut))
-        high = {t: c for t, c in least.items() if c > 0 and t not in {t for _, t in uncut}}
-        wanted = reduce(Column.__or__, [(F.col("term") == t) & (F.col("level") >= c) for t, c in high.items()], F.col("term").isin([w for w in words if w not in high]))
-        table = queries.sparkSession.createDataFrame(cuts, f"query_id {dict(queries.dtypes)['query_id']}, term string, cut int")
-        joined = postings.filter(wanted).join(F.broadcast(terms.join(F.broadcast(table), ["query_id", "term"], "left")), "term")
-        found = joined.filter(F.col("level") >= F.coalesce("cut", F.lit(0))).repartition("query_id", "doc_id")
-    else:
-        found = postings.join(small, "term").repartition("query_id", "doc_id")
+    found = postings.join(small, "term").repartition("query_id", "doc_id")
     placed = F.transform("at", lambda p: F.struct(p.alias("pos"), F.col("term_no").alias("term_no")))
     found = found.select("query_id", "n_terms", "doc_id", "segment_index", placed.alias("occ"))
     # both groupings keep to the one shuffle by query and document
@@ -183,13 +217,54 @@ def matches(index: TextIndex, queries: DataFrame, analyse: Analyser = simple_tok
     )
 
 
+def _least_levels(terms: DataFrame, words: list[str], cuts: Cuts) -> Column:
+    """Postings that some query of the batch has not cut."""
+    least: dict[str, int] = {}
+    uncut = {(r["query_id"], r["term"]) for r in terms.select("query_id", "term").collect()} - {(q, t) for q, t, _ in cuts}  # PUSHED_TERMS at most
+    for _, t, cut in cuts:
+        least[t] = min(cut, least.get(t, cut))
+    high = {t: c for t, c in least.items() if c > 0 and t not in {t for _, t in uncut}}
+    return reduce(Column.__or__, [(F.col("term") == t) & (F.col("level") >= c) for t, c in high.items()], F.col("term").isin([w for w in words if w not in high]))
+
+
+def _by_document(index: TextIndex, terms: DataFrame, title_weight: float, body_weight: float, cuts: Cuts | None) -> DataFrame | None:
+    """query_id, doc_id, segment_index, covers, positions of every match; none if the batch is too large to go to the tasks with the plan.
+
+    Of cut words, what some query of the batch looks at is looked at for all, which can only find more.
+    """
+    few = terms.limit(BROADCAST_ROWS + 1).toArrow()
+    words = pc.unique(few["term"]).to_pylist()
+    if few.num_rows > BROADCAST_ROWS or len(words) > BROADCAST_TERMS:
+        return None
+    postings = index.postings
+    if len(words) <= PUSHED_TERMS:  # the scan skips files and row groups that hold none of them
+        postings = (index.find(words) if index.find else postings).filter(F.col("term").isin(words))
+    else:
+        postings = postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    if cuts:
+        postings = postings.filter(_least_levels(terms, words, cuts))
+    of_word = postings.select("doc_id", "segment_index", "term", "at", F.lit(0).alias("n"))
+    size = F.concat(F.array(F.struct(F.lit(TITLE).alias("segment_index"), F.col("n_title").alias("n"))), "fields")
+    of_field = index.sizes.select("doc_id", F.explode(size).alias("f")).select("doc_id", "f.segment_index", F.lit(None).cast("string"), F.array().cast("array<int>"), "f.n")
+    rows = of_word.union(of_field).filter("doc_id IS NOT NULL").repartition("doc_id").sortWithinPartitions("doc_id")
+    of = dict(terms.dtypes)["query_id"], dict(postings.dtypes)["doc_id"]
+    return rows.mapInArrow(Covers.of(few, TITLE, title_weight, body_weight).run, f"query_id {of[0]}, doc_id {of[1]}, segment_index int, covers double, positions long")
+
+
 def lexical_scores(index: TextIndex, queries: DataFrame, title_weight: float = 3.0, body_weight: float = 1.0, analyse: Analyser = simple_tokens, cuts: Cuts | None = None) -> DataFrame:
-    """query_id, doc_id, segment_index, lexical_score of every match for queries(query_id, q); the rank looks at title and body in a row."""
+    """query_id, doc_id, segment_index, lexical_score of every match for queries(query_id, q); the rank looks at title and body in a row.
+
+    Postings below the `cuts` are left out: what would match by them is lost or ranked lower.
+    """
     scale = max(title_weight, body_weight)
+    found = _by_document(index, query_terms(queries, analyse), title_weight / scale, body_weight / scale, cuts)
+    if found is not None:
+        score = F.col("covers") / F.log(F.col("positions").cast("double") + 1)
+        return found.select("query_id", "doc_id", "segment_index", F.round(score, DECIMALS).alias("lexical_score"))
     place = lambda occ, shift, titled: F.transform(occ, lambda o: F.struct((o["pos"] + shift).alias("pos"), o["term_no"].alias("term_no"), F.lit(titled).alias("titled")))
     occ = F.concat(place(F.col("title_occ"), F.lit(0), True), place(F.col("body_occ"), F.col("n_title"), False))
     score = cover_density(occ, F.col("n_terms"), F.col("n_title") + F.col("n_body"), title_weight / scale, body_weight / scale)
-    return matches(index, queries, analyse, cuts).select("query_id", "doc_id", "segment_index", F.round(score, DECIMALS).alias("lexical_score"))
+    return matches(index, queries, analyse).select("query_id", "doc_id", "segment_index", F.round(score, DECIMALS).alias("lexical_score"))
 
 
 def top(scored: DataFrame, score: str, k: int = POOL) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestack.functions.text import content_hash, simple_tokens, trim
+from lodestack.functions.text import simple_tokens, trim
 from lodestack.operators.fusion import Stored
-from lodestack.operators.lexical import Analyser, TextIndex, analysed, blocks_of, index_of
-from lodestack.sources.files import Files, delete_path, forget, kept, new_path
+from lodestack.operators.lexical import Analyser, TextIndex, analysed, blocks_of, index_in, index_rows
+from lodestack.sources.files import Files, delete_path, kept, new_path
 from lodestack.sources.layers import LayeredStore, Table
 
 NOW = "2026-07-13 00:00:00"
@@ -46,13 +46,18 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A document's first segment has its vector, also where blank lines come before it.
     """
-    # lines are told apart within their row, so no text is shuffled
-    kept = table(spark, sf_dir, "documents").select("doc_id", first_line(F.col("text")).alias("title"), F.explode(distinct_lines(numbered_lines(F.col("text")))).alias("s"))
-    cut = kept.select("doc_id", "s.segment_index", "s.body", "s.content_hash", "title", F.col("s.first").alias("_first"))
+    cut = lines(spark, sf_dir).withColumnRenamed("first", "_first")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("_first"), "embedding")
     return cut.join(vectors, ["doc_id", "_first"], "left").drop("_first")
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, segment_index, body, content_hash, title, first: segments without vectors."""
+    # lines are told apart within their row, so no text is shuffled
+    kept = table(spark, sf_dir, "documents").select("doc_id", first_line(F.col("text")).alias("title"), F.explode(distinct_lines(numbered_lines(F.col("text")))).alias("s"))
+    return kept.select("doc_id", "s.segment_index", "s.body", "s.content_hash", "title", "s.first")
+
+
 def numbered_lines(text: Column) -> Column:
     """array<struct<at, body>>: the trimmed lines that are not blank, with their numbers."""
     return F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), trim(x).alias("body"))), lambda s: s["body"] != "")
@@ -60,30 +65,29 @@ def numbered_lines(text: Column) -> Column:
 
 def distinct_lines(lines: Column) -> Column:
     """array<struct<content_hash, segment_index, body, first>> of numbered lines: of equal ones the first; sorted, so n log n time."""
-    coded = F.array_sort(F.transform(lines, lambda s, n: F.struct(content_hash(s["body"]).alias("content_hash"), s["at"].alias("segment_index"), s["body"].alias("body"), (n == 0).alias("first"))))
+    coded = F.array_sort(F.transform(lines, lambda s, n: F.struct(F.sha2(s["body"], 256).alias("content_hash"), s["at"].alias("segment_index"), s["body"].alias("body"), (n == 0).alias("first"))))
     first = lambda a: F.filter(a, lambda s, i: (i == 0) | (s["content_hash"] != F.get(a, i - 1)["content_hash"]))
     return F.get(F.transform(F.array(coded), lambda a: first(a)), F.lit(0))
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """What an ingest of the tables leaves for searches: documents, segments and their text index, and how to look them up."""
+    """What an ingest of the tables leaves for searches: documents, segments that have vectors, the text index, and how to look rows up."""
 
     docs: DataFrame
-    segments: DataFrame
+    vectors: DataFrame
     index: TextIndex
     stored: Stored
 
 
+#: Made at once from whole tables and read by batches of many queries, so none is shuffled into ranges.
 TABLES = {
-    "docs": Table("doc_id long, external_id string, title string, kind string, lang string, published_at string", "doc_id", ("doc_id",)),
-    "segments": Table("doc_id long, segment_index int, content_hash string, body string, embedding array<float>", "doc_id", ("doc_id", "segment_index")),
-    "postings": Table("term string, doc_id long, segment_index int, level int, at array<int>", "doc_id", ("term", "level", "doc_id")),
-    "blocks": Table("term string, titled boolean, level int, n long", None, ("term",)),
-    "sizes": Table("doc_id long, n_title int, fields array<struct<segment_index: int, n: int>>", "doc_id", ("doc_id",)),
+    "docs": Table("doc_id long, external_id string, title string, kind string, lang string, published_at string", "doc_id"),
+    "segments": Table("doc_id long, segment_index int, content_hash string, body string, title string, first boolean", "doc_id"),
+    "vectors": Table("doc_id long, segment_index int, embedding array<float>", "doc_id"),
+    "postings": Table("term string, doc_id long, segment_index int, level int, at array<int>", "doc_id"),
+    "sizes": Table("doc_id long, n_title int, fields array<struct<segment_index: int, n: int>>", "doc_id"),
 }
-#: rows of one file; segments are whole lines, postings are small
-FILE_ROWS = 100_000
 _made: dict[tuple, _Made] = {}
 
 
@@ -105,21 +109,24 @@ class _Made:
 
 
 def _store(spark: SparkSession, sf_dir: str, analyse: Analyser) -> _Made:
-    store = LayeredStore(spark, new_path(spark, "corpus"), TABLES, FILE_ROWS)
+    store = LayeredStore(spark, new_path(spark, "corpus"), TABLES)
     in_order = lambda name, df: df.select(*[c.name for c in StructType.fromDDL(TABLES[name].schema)])
-    d = kept(in_order("docs", docs(spark, sf_dir)), "corpus-docs")
-    s = kept(segments(spark, sf_dir), "corpus-segments")
-    fields = kept(analysed(s, d, analyse), "corpus-fields")
-    index = index_of(fields)
-    n, words = d.count(), fields.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-    rows = {"docs": n, "segments": s.count(), "postings": words, "sizes": n}
-    tables = {"docs": d, "segments": s, "postings": index.postings, "blocks": blocks_of(index.postings), "sizes": index.sizes}
-    p = store.add_layer(store.pointer(), {k: in_order(k, t) for k, t in tables.items()}, rows)
-    forget(d, s, fields)
+
+    def add(base: dict, **tables: DataFrame) -> dict:
+        return store.add_layer(base, {k: in_order(k, t) for k, t in tables.items()}, {})
+
+    # each layer is made from what the one before has written
+    p = add(store.pointer(), docs=docs(spark, sf_dir), segments=lines(spark, sf_dir))
+    d, s = store.read("docs", p), store.read("segments", p)
+    p = add(p, postings=index_rows(analysed(s, d, analyse)))
+    index = index_in(store.read("postings", p))
+    given = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").filter("embedding IS NOT NULL")
+    p = add(p, vectors=s.filter("first").select("doc_id", "segment_index").join(given, "doc_id"), sizes=index.sizes)
     ids = lambda found: found.select(F.col("doc_id").alias("external_id"))
     stored = Stored(lambda found: store.find_all("docs", ids(found), p), lambda found: store.find_all("segments", ids(found), p), lambda df: kept(df, "search"))
-    text = TextIndex(store.read("postings", p), store.read("sizes", p), lambda terms: store.find("postings", terms, p), lambda terms: store.find("blocks", terms, p))
-    return _Made(store.path, Corpus(store.read("docs", p), store.read("segments", p), text, stored))
+    postings = lambda terms: store.find("postings", terms, p, "term")
+    text = TextIndex(index.postings, store.read("sizes", p), postings, lambda terms: blocks_of(postings(terms)))
+    return _Made(store.path, Corpus(d, store.read("vectors", p), text, stored))
 
 
 def queries(spark: SparkSession, sf_dir: str, words: int = 2) -> DataFrame:

@@ -144,7 +144,7 @@ FOUND = "SELECT query_id, position, external_id, score, title, kind, total FROM
 
 def _search(spark: SparkSession, sf_dir: str, o: SearchOptions) -> DataFrame:
     c = corpus.corpus(spark, sf_dir)
-    return hybrid_search(c.segments, c.docs, queries(spark, sf_dir), o, _now(), index=c.index, stored=c.stored)
+    return hybrid_search(c.vectors, c.docs, queries(spark, sf_dir), o, _now(), index=c.index, stored=c.stored)
 
 
 def _registered(o: SearchOptions) -> Callable[[SparkSession, str], DataFrame]:

@@ -38,11 +38,14 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Table:
-    """A stored table: its schema, the column that names a row's document (none: rows of all layers count), and the columns whose ranges its files are."""
+    """A stored table: its schema, the column that names a row's document (none: rows of all layers count), and the columns whose ranges its files are.
+
+    Without such columns its files are as its tasks write them, and a look-up scans them all.
+    """
 
     schema: str
     key: str | None
-    range: tuple[str, ...]
+    range: tuple[str, ...] = ()
     #: folders of their own for the values of a column, which has few
     parted: str | None = None
 
@@ -125,6 +128,9 @@ class LayeredStore:
         """Write one table in ranges of its key, `rows` being about how many it has; returns the number of files asked for."""
         t = self.tables[name]
         n = max(1, math.ceil(rows / self.file_rows))
+        if not t.range:
+            table.write.parquet(f"{self.path}/{folder}/{name}")
+            return 1
         if t.parted:  # a large value is several files
             spread = table.coalesce(1) if n == 1 else table.repartition(n, t.parted, F.pmod(F.xxhash64(*t.range), F.lit(4)))
             spread.write.partitionBy(t.parted).parquet(f"{self.path}/{folder}/{name}")
@@ -222,7 +228,7 @@ class LayeredStore:
 
     def find(self, name: str, keys: list, pointer: dict | None = None, by: str | None = None) -> DataFrame:
         """The visible rows of a table with one of the keys, read from the files that can hold them."""
-        p, ranged = pointer or self.pointer(), self.tables[name].range[0]
+        p, ranged = pointer or self.pointer(), next(iter(self.tables[name].range), None)
         column = by or ranged
         parts = [self._scan(x, name, self.files_with(x, name, keys) if column == ranged else None) for x in p["layers"]]
         named = [None if d is None else self._named(d, column, keys) for d in parts]
