@@ -461,6 +461,7 @@ def most_divergent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestack.functions import html
 
+    html.small_batches(spark)
     parse = html.pipeline(html.extract_meta(), html.extract_title(), html.clean_whitespace(), html.remove("nav, footer"), html.to_markdown())
     p = table(spark, sf_dir, "pages").select("page_id", parse(F.col("html")).alias("p"))
     return p.select("page_id", "p.title", "p.body", F.to_json("p.metadata").alias("metadata"), "p.error")
@@ -470,6 +471,7 @@ def html_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kb_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestack.functions import html
 
+    html.small_batches(spark)
     p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.concat(F.lit("Article "), "page_id").alias("title"), "url", F.lit("2020-01-01T00:00:00.000+0000").alias("last_published_at"), F.col("html").alias("content"))
     return html.kb_transform(p, "https://kb.test/articles/", "kb")
 
