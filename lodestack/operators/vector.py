@@ -162,18 +162,23 @@ def _centres(vectors: DataFrame, lists: int, seed: int) -> np.ndarray:
     return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
 
 
-def _near_lists(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
-    """df with block: a row for each of the n centres that are nearest to its embedding; zero vectors have none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            unit = _unit(b.column(b.schema.get_field_index("embedding"))) if b.num_rows else np.zeros((0, centres.shape[1]))
+def _dealt_to_lists(batches: Iterator[pa.RecordBatch], centres: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Rows with `block`, in pieces: a row is compared with every centre and goes out n times with its vector, both up to CELLS numbers at once."""
+    size = max(1, CELLS // max(len(centres), n * centres.shape[1]))
+    for b in batches:
+        for i in range(0, b.num_rows, size):
+            piece = b.slice(i, size)
+            unit = _unit(piece.column(b.schema.get_field_index("embedding")))
             whole = np.flatnonzero(~np.isnan(unit).any(axis=1))
-            near = np.argsort(-(unit[whole] @ centres.T), axis=1, kind="stable")[:, :n]
-            rows = b.take(pa.array(np.repeat(whole, near.shape[1])))
+            sim = unit[whole] @ centres.T
+            near = sim.argmax(axis=1)[:, None] if n == 1 else np.argsort(-sim, axis=1, kind="stable")[:, :n]
+            rows = piece.take(pa.array(np.repeat(whole, near.shape[1])))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.ravel().astype(np.int32))], names=[*b.schema.names, "block"])
 
-    return df.mapInArrow(run, ", ".join(f"`{n_}` {t}" for n_, t in df.dtypes) + ", block int")
+
+def _near_lists(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
+    """df with block: a row for each of the n centres that are nearest to its embedding; zero vectors have none."""
+    return df.mapInArrow(lambda batches: _dealt_to_lists(batches, centres, n), ", ".join(f"`{n_}` {t}" for n_, t in df.dtypes) + ", block int")
 
 
 def vector_topk_approximate(vectors: DataFrame, queries: DataFrame, k: int, lists: int | None = None, probes: int | None = None, seed: int = 7) -> DataFrame:
