@@ -39,6 +39,8 @@ BROADCAST_ROWS = 200_000
 LEVELS, TITLED = 16, 1 << 24
 #: postings of a query's words from which its best levels are ranked first, and postings of a word that are ranked then
 HEAVY_ROWS, SAMPLE_ROWS = 200_000, 10_000
+#: words of a batch whose cuts are named to the scan
+NAMED_CUTS = 10
 Analyser = Callable[[Column], Column]
 #: query_id, term, and the least level of segments that is looked at
 Cuts = list[tuple[object, str, int]]
@@ -217,14 +219,17 @@ def matches(index: TextIndex, queries: DataFrame, analyse: Analyser = simple_tok
     )
 
 
-def _least_levels(terms: DataFrame, words: list[str], cuts: Cuts) -> Column:
-    """Postings that some query of the batch has not cut."""
+def _above_cuts(postings: DataFrame, terms: DataFrame, words: list[str], cuts: Cuts) -> DataFrame:
+    """Postings that some query of the batch has not cut; more than NAMED_CUTS words are joined, as a filter would try one after the other on every row."""
     least: dict[str, int] = {}
     uncut = {(r["query_id"], r["term"]) for r in terms.select("query_id", "term").collect()} - {(q, t) for q, t, _ in cuts}  # PUSHED_TERMS at most
     for _, t, cut in cuts:
         least[t] = min(cut, least.get(t, cut))
     high = {t: c for t, c in least.items() if c > 0 and t not in {t for _, t in uncut}}
-    return reduce(Column.__or__, [(F.col("term") == t) & (F.col("level") >= c) for t, c in high.items()], F.col("term").isin([w for w in words if w not in high]))
+    if len(high) > NAMED_CUTS:
+        table = postings.sparkSession.createDataFrame([(w, high.get(w, 0)) for w in words], "term string, _cut int").coalesce(1)
+        return postings.join(F.broadcast(table), "term").filter(F.col("level") >= F.col("_cut")).drop("_cut")
+    return postings.filter(reduce(Column.__or__, [(F.col("term") == t) & (F.col("level") >= c) for t, c in high.items()], F.col("term").isin([w for w in words if w not in high])))
 
 
 def _by_document(index: TextIndex, terms: DataFrame, title_weight: float, body_weight: float, cuts: Cuts | None) -> DataFrame | None:
@@ -242,7 +247,7 @@ def _by_document(index: TextIndex, terms: DataFrame, title_weight: float, body_w
     else:
         postings = postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     if cuts:
-        postings = postings.filter(_least_levels(terms, words, cuts))
+        postings = _above_cuts(postings, terms, words, cuts)
     of_word = postings.select("doc_id", "segment_index", "term", "at", F.lit(0).alias("n"))
     size = F.concat(F.array(F.struct(F.lit(TITLE).alias("segment_index"), F.col("n_title").alias("n"))), "fields")
     of_field = index.sizes.select("doc_id", F.explode(size).alias("f")).select("doc_id", "f.segment_index", F.lit(None).cast("string"), F.array().cast("array<int>"), "f.n")

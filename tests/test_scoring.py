@@ -78,3 +78,18 @@ def test_a_document_goes_on_in_the_next_batch(spark):
         assert sorted(map(tuple, lexical_scores(text_index(segments, docs), queries).collect())) == want
     finally:
         spark.conf.set(size, before)
+
+
+def test_the_cuts_of_many_words_are_looked_up(spark):
+    import re
+
+    from lodestack.operators.lexical import _above_cuts
+
+    words = [f"w{i}" for i in range(40)]
+    rows = [(w, i, 0, (i * 7 + n) % 30, [0]) for i in range(20) for n, w in enumerate(words)]
+    postings = spark.createDataFrame(rows, "term string, doc_id long, segment_index int, level int, at array<int>")
+    terms = spark.createDataFrame([(n, w) for n, w in enumerate(words)], "query_id long, term string")
+    cuts = [(n, w, n % 25) for n, w in enumerate(words)]
+    got = _above_cuts(postings, terms, words, cuts)
+    assert len(re.findall(r"level#\d+ >= \d", got._jdf.queryExecution().executedPlan().toString())) == 0
+    assert {(r["term"], r["doc_id"]) for r in got.collect()} == {(r[0], r[1]) for r in rows if r[3] >= int(r[0][1:]) % 25}
